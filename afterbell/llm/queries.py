@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from afterbell.llm.common import table
 from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
+from afterbell.llm.simhash import near_duplicates
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +25,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at up to three differing fingerprint bits."""
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_distance=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_secret_scan": op2_secret_scan,
+        "op7_simhash": op7_simhash,
     }

@@ -20,7 +20,7 @@ BITS, SEED = 64, 42
 ROW_COST = 1000.0
 #: Groups up to this size are compared by shifting, larger ones by blocks.
 SHIFT_GROUP = 64
-BLOCK = 2048
+BLOCK = 512
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -192,7 +192,7 @@ def _near(a: list[np.ndarray], i, b: list[np.ndarray], j, limits: list[int]) ->
 def _link_large(node: np.ndarray, fps: list[np.ndarray], role: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Links of one large group as a forest: least labels are passed over blocks of compared pairs until they settle."""
     n = len(node)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     looks, found = role >= 1, role != 1
     while True:
         new = label.copy()
@@ -205,8 +205,8 @@ def _link_large(node: np.ndarray, fps: list[np.ndarray], role: np.ndarray, limit
                 ok = _near([x[rows, None] for x in fps], slice(None), [x[None, cols] for x in fps], slice(None), limits)
                 ok &= (looks[rows, None] & found[None, cols]) | (found[rows, None] & looks[None, cols])
                 if ok.any():
-                    new[rows] = np.minimum(new[rows], np.where(ok, label[None, cols], n).min(axis=1))
-                    new[cols] = np.minimum(new[cols], np.where(ok, label[rows, None], n).min(axis=0))
+                    new[rows] = np.minimum(new[rows], np.where(ok, label[None, cols], np.int32(n)).min(axis=1))
+                    new[cols] = np.minimum(new[cols], np.where(ok, label[rows, None], np.int32(n)).min(axis=0))
         new = new[new]
         if (new == label).all():
             break

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from afterbell.llm.common import table
+from afterbell.llm.decontaminate import find_contamination
 from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
@@ -27,6 +28,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its distance."""
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at up to three differing fingerprint bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_distance=3)
@@ -41,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_secret_scan": op2_secret_scan,
+        "op5_decontamination": op5_decontamination,
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,
     }

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from afterbell.llm.common import table
 from afterbell.llm.decontaminate import find_contamination
+from afterbell.llm.language import learn_languages, predict_languages
+from afterbell.llm.mixing import mix_documents
 from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
@@ -28,6 +30,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from documents that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    return predict_languages(documents, learn_languages(documents))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated sampling of all documents, raked to tempered source, language and topic shares."""
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its distance."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,6 +60,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_secret_scan": op2_secret_scan,
+        "op3_language_id": op3_language_id,
+        "op4_source_mixing": op4_source_mixing,
         "op5_decontamination": op5_decontamination,
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,

@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +25,7 @@ MAGIC = b"ABTK0001"
 TRAILER = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 4096
 #: Most words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 WHITE = b" \t\n\r\x0b\f"
 
 
@@ -78,7 +79,10 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
+        ends = list(accumulate(4 * len(ids) for ids in lists))
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
@@ -95,13 +99,26 @@ class Encoder:
         # the splitter sees lower case, and special tokens are lower case themselves or handled whole
         odd = [any(s in t for s in self.special) for t in texts]
         split = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        self._learn(set().union(*split) - self.known.keys())
+        words = set().union(*split)
+        if len(self.known) > CACHE_WORDS:  # words of this batch stay, most frequent words are among them
+            self.known = {w: self.known[w] for w in words & self.known.keys()}
+        self._learn(words - self.known.keys())
         get = self.known.__getitem__
         return [self._ids([t.decode()])[0] if o else b"".join(map(get, s)) for t, s, o in zip(texts, split, odd, strict=True)]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(spec: str) -> Encoder:
+    """The worker process' encoder: tasks that follow one another share its words."""
+    key = zlib.crc32(spec.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(spec)
+    return _ENCODERS[key]
+
+
 class TokenFile:
     """Random access to one packed file."""
 
@@ -183,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     bits, end = bits_for(vocabulary), np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(spec.value), TaskContext.get().partitionId()
+        encoder, part = _encoder(spec.value), TaskContext.get().partitionId()
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from afterbell.llm.common import table
 from afterbell.llm.decontaminate import find_contamination
+from afterbell.llm.html import extract_pages
 from afterbell.llm.language import learn_languages, predict_languages
 from afterbell.llm.mixing import mix_documents
 from afterbell.llm.secrets import scan_secrets, secret_digest
@@ -56,6 +57,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -65,4 +71,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,
+        "op9_html_text": op9_html_text,
     }

@@ -74,5 +74,18 @@ FROM docs LEFT JOIN a USING (rn)
 """
 
 
+NEIGHBOURS = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT len(e) AS n FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+u AS (SELECT v.* FROM v, n WHERE len(e) = n.n),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM u q, u c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS}
+    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op10_neighbours": NEIGHBOURS}

@@ -13,6 +13,7 @@ from afterbell.llm.decontaminate import find_contamination
 from afterbell.llm.html import extract_pages
 from afterbell.llm.language import learn_languages, predict_languages
 from afterbell.llm.mixing import mix_documents
+from afterbell.llm.neighbours import nearest_neighbours
 from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
@@ -62,6 +63,11 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every hundredth vector among all vectors."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, factor=1.0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -72,4 +78,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
+        "op10_neighbours": op10_neighbours,
     }

@@ -14,6 +14,7 @@ from afterbell.llm.html import extract_pages
 from afterbell.llm.language import learn_languages, predict_languages
 from afterbell.llm.mixing import mix_documents
 from afterbell.llm.neighbours import nearest_neighbours
+from afterbell.llm.repeats import remove_repeats
 from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
@@ -48,6 +49,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 200-byte strings that repeat anywhere."""
+    return remove_repeats(table(spark, sf_dir, "documents"), 200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at up to three differing fingerprint bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_distance=3)
@@ -75,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_source_mixing": op4_source_mixing,
         "op5_decontamination": op5_decontamination,
+        "op6_repeated_bytes": op6_repeated_bytes,
         "op7_simhash": op7_simhash,
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,

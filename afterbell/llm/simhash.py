@@ -327,3 +327,31 @@ def near_duplicates(
     named = grouped.join(firsts, "component").select("_node", "_least")
     known = nodes.join(named, "_node", "left").select(*columns, F.coalesce("_least", "_first").alias("component_id"))
     return fps.join(known, columns).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 1,
+    max_distance: int = 6,
+    check_words: int = 5,
+    check_distance: int = 13,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of near copies: that of least id.
+
+    Documents link when the fingerprint of their words differs in at most ``max_distance`` bits and
+    that of their five-word shingles in at most ``check_distance``: the first finds candidates whose
+    few changed words leave most words alone, the second stands for a shingle similarity of about
+    0.8 (13 bits keep the pairs of 0.8 and more that a 64-bit estimate puts lower; see the README).
+    Of repeated rows one stays; rows with null ids stay only if their group has no other.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    near = near_duplicates(docs.select(key.alias("_key"), text_col), "_key", text_col, words, max_distance, check_words, check_distance)
+    kept = materialize(near.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_times")), "kept")
+    same = docs.withColumn("_key", key).join(kept, "_key").drop("_key")
+    once = same.where("_times = 1").drop("_times")
+    if kept.where("_times > 1").isEmpty():
+        return once
+    again = docs.withColumn("_key", key).join(kept.where("_times > 1"), "_key").dropDuplicates(["_key"]).drop("_key", "_times")
+    return once.unionByName(again)

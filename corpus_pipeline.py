@@ -5,15 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from afterbell.llm.common import materialize, table
+from afterbell.llm.decontaminate import drop_contaminated
+from afterbell.llm.language import keep_known_languages, learn_languages
+from afterbell.llm.mixing import sample_mixture
 from afterbell.llm.sharding import shard_by_bytes
+from afterbell.llm.simhash import keep_one_of_each
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents without a language (null, empty or no letter) go; a missing label is filled."""
+    return keep_known_languages(docs, learn_languages(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: of each group of near copies one document stays, the one of least id."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: documents are sampled towards tempered source, language and topic shares."""
+    return sample_mixture(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage of operator 1: eight contiguous shards of near-equal bytes."""
+    """Operator 1: eight contiguous shards of near-equal bytes."""
     return shard_by_bytes(docs, 8)
 
 
-STAGES = [("sharding", sharding)]
+STAGES = [
+    ("language id", language_id),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
+#: The stages hold a trained classifier, fingerprints and edit distances, which SQL can't express.
 ORACLE_SQL = None
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from afterbell.llm.simhash import fingerprint, fit_plan, links, near_duplicates
+from afterbell.llm.simhash import fingerprint, fit_plan, keep_one_of_each, links, near_duplicates
 from pyspark.sql import functions as F
 
 
@@ -108,3 +108,23 @@ def test_empty_and_null_ids(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = near_duplicates(spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (7, "q r s t")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (-1, -1), (7, 7)]
+
+
+def test_one_of_each_group_stays(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(200)]
+        for c in range(r.randint(1, 4)):
+            copy = list(base)
+            for _ in range(min(c, 2)):
+                copy[r.randrange(200)] = "other"
+            rows.append((len(rows) + 1000 * g, " ".join(copy), g))
+    rows += [(5, rows[0][1], 0), (5, rows[0][1], 0), (None, rows[1][1], 0), (None, "alone with no id", 99), (None, "alone with no id", 99)]
+    df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, g int, component_id string")
+    out = keep_one_of_each(df)
+    assert out.columns == df.columns
+    kept = [(x.g, x.doc_id) for x in out.collect()]
+    want = {g: min((i for i, _, h in rows if h == g and i is not None), default=None) for _, _, g in rows}
+    assert sorted(kept, key=str) == sorted(want.items(), key=str)
+    assert keep_one_of_each(df.limit(0)).count() == 0

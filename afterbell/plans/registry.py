@@ -25,8 +25,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 
 def queries() -> dict[str, Builder]:
+    load_all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load_all()
     return dict(_ORACLES)
+
+
+def load_all() -> None:
+    """Import every module of bindings; each registers its queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"afterbell.plans.{name}")
+
+
+MODULES = ("study",)

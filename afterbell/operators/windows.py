@@ -80,3 +80,96 @@ def drawdown_columns(df: DataFrame, net: str, keys: list[str], order: list[str])
         .withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0)))
         .withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
     )
+
+
+def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Features of the day before an event: what is known at the close of each bar.
+
+    ret_n: simple return over the last n returns, which must all be there; adj_n: less the
+    benchmark's; vol_20 (at least 20 returns); beta_60 and idio_vol_60 over complete pairs; volume_z
+    against the 20 bars before; runup_z; expected_move_h.
+    """
+    rows = sparse_returns(bars).join(benchmark.select("d", F.col("log_ret").alias("x")), "d", "left").withColumnRenamed("log_ret", "y")
+
+    def last(n: int):
+        return by_ticker().rowsBetween(-(n - 1), 0)
+
+    for n in (5, 20, 60):
+        full = F.count("y").over(last(n)) == n
+        total = F.when(full, F.sum("y").over(last(n)))
+        other = F.when(F.count("x").over(last(n)) == n, F.sum("x").over(last(n)))
+        rows = rows.withColumn(f"ret_{n}", F.expm1(total)).withColumn(f"adj_{n}", F.expm1(total - other))
+    both = F.col("y").isNotNull() & F.col("x").isNotNull()
+    py, px = F.when(both, F.col("y")), F.when(both, F.col("x"))
+    enough = F.count(px).over(last(60)) >= 20
+    beta = F.when(enough, F.regr_slope(py, px).over(last(60)))
+    n = F.count(px).over(last(60))
+    sse = F.regr_syy(py, px).over(last(60)) - F.regr_slope(py, px).over(last(60)) * F.regr_sxy(py, px).over(last(60))
+    before = by_ticker().rowsBetween(-20, -1)
+    spread = F.stddev_samp("volume").over(before)
+    vol = F.when(F.count("y").over(last(20)) >= 20, F.stddev_samp("y").over(last(20)))
+    rows = (
+        rows.withColumn("vol_20", vol)
+        .withColumn("beta_60", beta)
+        .withColumn("idio_vol_60", F.when(enough & (n > 2), F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2))))
+        .withColumn("volume_z", F.when((F.count("volume").over(before) == 20) & (spread > 0), (F.col("volume") - F.avg("volume").over(before)) / spread))
+    )
+    runup = F.try_divide(F.col("adj_20"), F.col("vol_20") * F.sqrt(F.lit(20.0)))
+    return rows.withColumn("runup_z", runup).withColumn("expected_move_3", F.col("vol_20") * F.sqrt(F.lit(3.0)))
+
+
+def anchor_features(bars: DataFrame) -> DataFrame:
+    """Per bar: trailing returns, volatility, distance from the 253-bar high, dollar and share volume, window return."""
+    w = by_ticker()
+    pct = F.try_divide(F.col("price"), F.lag("price").over(w)) - 1
+    rows = bars.withColumn("pct", pct)
+    full_20 = F.count("price").over(w.rowsBetween(-19, 0)) == 20
+    return (
+        rows.withColumn("trail_20", trailing_return("price", 20))
+        .withColumn("trail_60", trailing_return("price", 60))
+        .withColumn("volatility_20", F.stddev_samp("pct").over(w.rowsBetween(-19, 0)))
+        .withColumn("from_high", F.col("price") / F.max("price").over(w.rowsBetween(-252, 0)) - 1)
+        .withColumn("dollar_volume_20", F.avg(F.col("price") * F.col("volume")).over(w.rowsBetween(-19, 0)))
+        .withColumn("dollar_volume_full_20", F.when(full_20, F.avg(F.col("price") * F.col("volume")).over(w.rowsBetween(-19, 0))))
+        .withColumn("share_volume_21", F.avg("volume").over(w.rowsBetween(-20, 0)))
+        .withColumn("window_log_3", F.ln(F.try_divide(F.lead("price", 2).over(w), F.lag("price").over(w))))
+    )
+
+
+def covariance_beta(returns: DataFrame, y: str, x: str, length: int = 120, least: int = 50) -> Column:
+    """Sample covariance over variance of the complete pairs in the ``length`` rows before the row."""
+    w = by_ticker().rowsBetween(-length, -1)
+    both = F.col(y).isNotNull() & F.col(x).isNotNull()
+    px, py = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return F.when(F.count(px).over(w) >= least, F.try_divide(F.covar_samp(py, px).over(w), F.var_samp(px).over(w)))
+
+
+def liquidity_audit(bars: DataFrame, thin: float) -> DataFrame:
+    """Average and median dollar volume of the 20 bars before, gap from the last price, flags and risk."""
+    w = by_ticker().rowsBetween(-20, -1)
+    dollars = F.col("price") * F.col("volume")
+    framed = F.array_sort(F.collect_list("_dollars").over(w))  # a frame of 20 rows
+    size = F.size(framed)
+    median = F.when(size > 0, (F.get(framed, ((size - 1) / 2).cast("int")) + F.get(framed, (size / 2).cast("int"))) / 2)
+    rows = bars.withColumn("_dollars", dollars)
+    rows = rows.withColumn("avg_dollar_volume", F.avg("_dollars").over(w)).withColumn("median_dollar_volume", median)
+    rows = rows.withColumn("gap", F.try_divide(F.col("price"), F.lag("price").over(by_ticker())) - 1)
+    flags = F.array_compact(
+        F.array(
+            F.when(F.col("avg_dollar_volume").isNull(), "no_history"),
+            F.when(F.col("median_dollar_volume") < thin, "thin"),
+            F.when(F.abs(F.col("gap")) > 0.2, "large_gap"),
+        )
+    )
+    return (
+        rows.withColumn("flags", F.array_join(flags, ";"))
+        .withColumn("risk", F.when(F.size(flags) >= 2, "high").when(F.size(flags) == 1, "medium").otherwise("low"))
+        .drop("_dollars")
+    )
+
+
+def interval_distinct(df: DataFrame, key: str, at: str, what: str, days: int, when: Column | None = None, include_now: bool = True) -> Column:
+    """Distinct values in the ``days`` days up to the row's day (or before it)."""
+    w = Window.partitionBy(key).orderBy(F.unix_date(F.col(at).cast("date"))).rangeBetween(-days, 0 if include_now else -1)
+    value = F.col(what) if when is None else F.when(when, F.col(what))
+    return F.size(F.collect_set(value).over(w))

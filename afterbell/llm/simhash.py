@@ -17,7 +17,7 @@ from afterbell.llm.graph import components
 
 BITS, SEED = 64, 42
 #: Cost of a shuffled row, in compared pairs.
-ROW_COST = 1000.0
+ROW_COST = 400.0
 #: Groups up to this size are compared by shifting, larger ones by blocks.
 SHIFT_GROUP = 64
 BLOCK = 512
@@ -185,28 +185,61 @@ def _probes(plan: Plan, node: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.
 def _near(a: list[np.ndarray], i, b: list[np.ndarray], j, limits: list[int]) -> np.ndarray:
     ok = np.bitwise_count(a[0][i] ^ b[0][j]) <= limits[0]
     for x, y, most in zip(a[1:], b[1:], limits[1:], strict=True):
-        ok &= np.bitwise_count(x[i] ^ y[j]) <= most
+        if ok.any():
+            ok &= np.bitwise_count(x[i] ^ y[j]) <= most
     return ok
 
 
+def _forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few (row, column) pairs that connect what all pairs of ``ok`` connect."""
+    if np.count_nonzero(ok) <= 2 * sum(ok.shape):
+        return np.nonzero(ok)
+    rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+    ok = ok[np.ix_(rows, cols)]
+    label = np.arange(len(rows), dtype=np.int32)
+    most = np.int32(len(rows))
+    while True:
+        over = np.where(ok, label[:, None], most).min(axis=0)  # least row label of each column
+        new = np.where(ok, over[None, :], most).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    # rows of one label hang together: neighbours in label order share a column of the first, and
+    # each column is tied to one of its rows
+    order = np.argsort(label, kind="stable")
+    chain = label[order][1:] == label[order][:-1]
+    left, right = order[:-1][chain], order[1:][chain]
+    shared = cols[ok.argmax(axis=1)[left]]
+    return np.concatenate((rows[ok.argmax(axis=0)], rows[left], rows[right])), np.concatenate((cols, shared, shared))
+
+
 def _link_large(node: np.ndarray, fps: list[np.ndarray], role: np.ndarray, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one large group as a forest: least labels are passed over blocks of compared pairs until they settle."""
+    """Links of one large group as a forest: blocks of pairs are compared once, each gives a forest, and these are merged."""
     n = len(node)
-    label = np.arange(n, dtype=np.int32)
     looks, found = role >= 1, role != 1
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, BLOCK):
+        rows = slice(a, a + BLOCK)
+        for b in range(a, n, BLOCK):
+            cols = slice(b, b + BLOCK)
+            one, other = looks[rows].any() and found[cols].any(), found[rows].any() and looks[cols].any()
+            if not (one or other):
+                continue
+            ok = _near([x[rows, None] for x in fps], slice(None), [x[None, cols] for x in fps], slice(None), limits)
+            if not ok.any():
+                continue
+            if not (looks[rows].all() and found[cols].all()):
+                ok &= (looks[rows, None] & found[None, cols]) | (found[rows, None] & looks[None, cols])
+            i, j = _forest(ok)
+            us.append(i + a)
+            vs.append(j + b)
+    u, v = np.concatenate(us), np.concatenate(vs)
+    label = np.arange(n)
     while True:
+        least = np.minimum(label[u], label[v])
         new = label.copy()
-        for a in range(0, n, BLOCK):
-            rows = slice(a, a + BLOCK)
-            for b in range(a, n, BLOCK):
-                cols = slice(b, b + BLOCK)
-                if not ((looks[rows].any() and found[cols].any()) or (found[rows].any() and looks[cols].any())):
-                    continue
-                ok = _near([x[rows, None] for x in fps], slice(None), [x[None, cols] for x in fps], slice(None), limits)
-                ok &= (looks[rows, None] & found[None, cols]) | (found[rows, None] & looks[None, cols])
-                if ok.any():
-                    new[rows] = np.minimum(new[rows], np.where(ok, label[None, cols], np.int32(n)).min(axis=1))
-                    new[cols] = np.minimum(new[cols], np.where(ok, label[rows, None], np.int32(n)).min(axis=0))
+        np.minimum.at(new, u, least)
+        np.minimum.at(new, v, least)
         new = new[new]
         if (new == label).all():
             break

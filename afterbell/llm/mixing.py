@@ -52,12 +52,29 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
     return np.divide(weights, start, out=np.ones_like(weights), where=start > 0)
 
 
+def calibrate(tokens: np.ndarray, factor: np.ndarray, share: float | None) -> np.ndarray:
+    """Probabilities min(1, scale * factor): scale 1 over the largest factor, or so that ``share`` of the tokens is expected. Cells without tokens have 1."""
+    live = tokens > 0
+    most = factor[live].max(initial=0)
+    if not most:
+        return np.ones(len(tokens)) if not live.any() else np.where(live, 0.0, 1.0)
+    scale = 1 / most
+    if share is not None:
+        low, high = 0.0, 1 / factor[live & (factor > 0)].min()
+        for _ in range(200):
+            scale = (low + high) / 2
+            enough = (tokens * np.minimum(1, scale * factor)).sum() >= share * tokens.sum()
+            low, high = (low, scale) if enough else (scale, high)
+    return np.where(live, np.minimum(1, scale * factor), 1.0)
+
+
 def fit_mixture(
     docs: DataFrame,
     dims: Mapping[str, F.Column],
     tokens: F.Column,
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = 0.7,
+    share: float | None = None,
     max_cells: int = 1_000_000,
 ) -> DataFrame:
     """One row per cell of the dimensions: its tokens, factor and sampling probability.
@@ -66,7 +83,9 @@ def fit_mixture(
     ``max_cells`` (more raise an error that asks for coarser dimensions), are raked to the targets:
     given shares by dimension and value, or the corpus' own shares tempered. The probability is the
     factor over the largest factor, so no cell needs more than all its documents and the expected
-    token shares are the raked ones.
+    token shares are the raked ones. With ``share`` it is calibrated so that this share of all
+    tokens is expected: cells that would need more than all their documents are taken whole, and
+    the factors of the others are scaled up to make good for them.
     """
     names = list(dims)
     cells = (
@@ -87,15 +106,12 @@ def fit_mixture(
         group = np.array([index[c[n]] for c in cells], int)
         sums = np.bincount(group, total, len(values)) if len(cells) else np.zeros(0)
         wanted = dict((targets or {}).get(n) or tempered(dict(zip(values, sums, strict=True)), temperature))
-        share = np.array([wanted.get(v, 0.0) if s > 0 else 0.0 for v, s in zip(values, sums, strict=True)])
+        target = np.array([wanted.get(v, 0.0) if s > 0 else 0.0 for v, s in zip(values, sums, strict=True)])
         groups.append(group)
-        shares.append(share / share.sum() if share.sum() else share)
+        shares.append(target / target.sum() if target.sum() else target)
     factor = rake(total, groups, shares) if len(cells) else np.zeros(0)
-    most = factor[total > 0].max(initial=0) or 1.0
-    rows = [
-        (*[c[n] for n in names], c.cell_tokens, c.cell_docs, float(f), float(min(1.0, f / most)) if c.cell_tokens else 1.0)
-        for c, f in zip(cells, factor, strict=True)
-    ]
+    probability = calibrate(total, factor, share)
+    rows = [(*[c[n] for n in names], c.cell_tokens, c.cell_docs, float(f), float(p)) for c, f, p in zip(cells, factor, probability, strict=True)]
     schema = ", ".join(f"{n} string" for n in names) + ", cell_tokens long, cell_docs long, factor double, probability double"
     return docs.sparkSession.createDataFrame(rows, schema)
 
@@ -117,6 +133,7 @@ def mix_documents(
     lang_col: str = "lang",
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = 0.7,
+    share: float | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """Every document's cell, calibrated probability and whether it is sampled.
@@ -129,7 +146,7 @@ def mix_documents(
     """
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
     dims = _standard_dims(text_col, source_col, lang_col)
-    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature)
+    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share)
     rows = docs.select(
         F.col(id_col).alias("_id"),
         *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in dims.items()],
@@ -158,12 +175,13 @@ def sample_mixture(
     lang_col: str = "lang",
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = 0.7,
+    share: float | None = None,
     seed: int = 7,
 ) -> DataFrame:
     """The sampled rows of ``docs``, all columns: the same choice as :func:`mix_documents`, without a shuffle of texts."""
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
     dims = _standard_dims(text_col, source_col, lang_col)
-    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature)
+    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share)
     cells = cells.select(*[F.col(n).alias(f"_cell{n}") for n in dims], F.col("probability").alias("_cell_probability"))
     same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_cell{n}") for n, c in dims.items()]
     condition = same[0] & same[1] & same[2]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from afterbell.llm.mixing import mix_documents, rake, sample_mixture, tempered
+from afterbell.llm.mixing import calibrate, mix_documents, rake, sample_mixture, tempered
 
 
 def test_rake_meets_marginals():
@@ -56,3 +56,19 @@ def test_odd_rows(spark):
     assert sample_mixture(df).count() == sum(r.selected for r in out)
     assert mix_documents(df.limit(0)).count() == 0
     assert sample_mixture(df.limit(0)).count() == 0
+
+
+def test_calibrated_share():
+    tokens, factor = np.array([100.0, 50, 10, 0]), np.array([0.5, 1.0, 6.0, 1.0])
+    assert calibrate(tokens, factor, None).tolist() == pytest.approx([0.5 / 6, 1 / 6, 1, 1])
+    p = calibrate(tokens, factor, 0.6)
+    assert (tokens * p).sum() == pytest.approx(0.6 * 160)
+    assert p[2] == 1 and p[1] / p[0] == pytest.approx(2)
+    assert calibrate(tokens, factor, 1.0).tolist() == pytest.approx([1, 1, 1, 1])
+
+
+def test_share_of_documents(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string")
+    out = mix_documents(df, share=0.8).collect()
+    assert sum(r.n_tokens * r.probability for r in out) == pytest.approx(0.8 * sum(r.n_tokens for r in out))
+    assert sample_mixture(df, share=0.8).count() == sum(r.selected for r in out)

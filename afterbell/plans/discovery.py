@@ -175,7 +175,7 @@ def jn14_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "jn16_matched_peers",
     "WITH " + base.BARS + """, e AS (SELECT ticker, d, ticker * 100000 + date_diff('day', DATE '1995-01-01', d) AS event_id FROM bars WHERE date_diff('day', DATE '1995-01-01', d) % 9 = ticker % 9),
-    p AS (SELECT b.ticker, d, s_nationkey AS stratum, CASE WHEN volume > 30 THEN NULL ELSE round(price / 1000, 6) END AS beta, s_suppkey % 3 AS bucket, s_suppkey % 2 AS phase, [n_name, r_name] AS tokens FROM bars b JOIN supplier ON s_suppkey = b.ticker JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    p AS (SELECT b.ticker, d, s_nationkey AS stratum, CASE WHEN volume > 30 THEN NULL ELSE round(price / 1000 + 1e-10, 6) END AS beta, s_suppkey % 3 AS bucket, s_suppkey % 2 AS phase, [n_name, r_name] AS tokens FROM bars b JOIN supplier ON s_suppkey = b.ticker JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     f AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.ticker = p.ticker AND e.d = p.d)),
     j AS (SELECT e.event_id, f.ticker AS peer, round(coalesce(abs(f.beta - p.beta), 1.0) + CASE WHEN f.bucket <> p.bucket THEN 0.5 ELSE 0 END + CASE WHEN f.phase <> p.phase THEN 0.25 ELSE 0 END
       + 0.25 * (1 - len(list_intersect(f.tokens, p.tokens)) / len(list_distinct(list_concat(f.tokens, p.tokens)))), 9) AS s FROM e JOIN p ON e.ticker = p.ticker AND e.d = p.d JOIN f ON f.d = p.d AND f.stratum = p.stratum AND f.ticker <> p.ticker),
@@ -190,7 +190,7 @@ def jn16_matched_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (base.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     sup = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     p = b.join(sup, b.ticker == sup.s_suppkey).select(
-        "ticker", "d", F.col("s_nationkey").alias("stratum"), F.when(F.col("volume") <= 30, F.round(F.col("price") / 1000, 6)).alias("beta"), (F.col("s_suppkey") % 3).alias("bucket"), (F.col("s_suppkey") % 2).alias("phase"), F.array("n_name", "r_name").alias("tokens")
+        "ticker", "d", F.col("s_nationkey").alias("stratum"), F.when(F.col("volume") <= 30, F.round(F.col("price") / 1000 + 1e-10, 6)).alias("beta"), (F.col("s_suppkey") % 3).alias("bucket"), (F.col("s_suppkey") % 2).alias("phase"), F.array("n_name", "r_name").alias("tokens")
     )
     return S.matched_peers(e, p).withColumn("score", F.round(F.col("score") + 1e-9, 6))
 

@@ -29,25 +29,49 @@ def sparse_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("log_ret", F.when(ratio > 0, F.ln(ratio)))
 
 
+def rolling_moments(rows: DataFrame, y: str, x: str, first: int, last: int, prefix: str = "_m") -> DataFrame:
+    """Sums of the complete (x, y) pairs over rows [i + first, i + last], for last <= 0: {prefix}_n, _x, _y, _xx, _xy, _yy.
+
+    Running sums are taken once and two of them subtracted, so the work per row doesn't grow with
+    the window, as it would with a sliding frame.
+    """
+    w = by_ticker()
+    both = F.col(y).isNotNull() & F.col(x).isNotNull()
+    px, py = F.when(both, F.col(x)).otherwise(0.0), F.when(both, F.col(y)).otherwise(0.0)
+    terms = {"n": both.cast("double"), "x": px, "y": py, "xx": px * px, "xy": px * py, "yy": py * py}
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.withColumns({f"{prefix}_c{k}": F.sum(v).over(upto) for k, v in terms.items()})
+    end = lambda c: F.coalesce(F.lag(c, -last).over(w), F.lit(0.0)) if last < 0 else F.col(c)
+    sums = {f"{prefix}_{k}": end(f"{prefix}_c{k}") - F.coalesce(F.lag(f"{prefix}_c{k}", 1 - first).over(w), F.lit(0.0)) for k in terms}
+    return running.withColumns(sums).drop(*[f"{prefix}_c{k}" for k in terms])
+
+
+def least_squares(prefix: str = "_m") -> tuple[Column, Column, Column, Column]:
+    """n, slope, intercept and sum of squared residuals from :func:`rolling_moments`; NULL for a constant x."""
+    n, sx, sy, sxx, sxy, syy = (F.col(f"{prefix}_{k}") for k in ("n", "x", "y", "xx", "xy", "yy"))
+    spread = sxx - F.try_divide(sx * sx, n)
+    slope = F.when(spread > 1e-12 * sxx, F.try_divide(sxy - F.try_divide(sx * sy, n), spread))
+    intercept = F.try_divide(sy - slope * sx, n)
+    sse = syy - F.try_divide(sy * sy, n) - slope * (sxy - F.try_divide(sx * sy, n))
+    return n, slope, intercept, F.greatest(sse, F.lit(0.0))
+
+
 def market_model(returns: DataFrame, y: str = "y", x: str = "x", length: int = 120, gap: int = 5, least: int = 60) -> DataFrame:
     """Rolling least squares of y on x over rows [i - gap - length, i - gap): alpha, beta, resid_vol, n.
 
     Only complete pairs count. Residual deviation is sqrt(SSE / (n - 2)), at least 1e-9. NULL with fewer
-    than ``least`` pairs or a constant x. One pass of window sums, no refit per row.
+    than ``least`` pairs or a constant x. One pass of running sums, no refit per row.
     """
-    w = by_ticker().rowsBetween(-(gap + length), -(gap + 1))
-    both = F.col(y).isNotNull() & F.col(x).isNotNull()
-    px, py = F.when(both, F.col(x)), F.when(both, F.col(y))
-    n = F.count(px).over(w)
-    beta = F.when(n >= least, F.regr_slope(py, px).over(w))
-    alpha = F.when(n >= least, F.regr_intercept(py, px).over(w))
-    sse = F.regr_syy(py, px).over(w) - F.regr_slope(py, px).over(w) * F.regr_sxy(py, px).over(w)
-    return (
-        returns.withColumn("est_n", n)
-        .withColumn("alpha", alpha)
-        .withColumn("beta", beta)
-        .withColumn("resid_vol", F.when((n >= least) & F.col("beta").isNotNull(), F.greatest(F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2)), F.lit(1e-9))))
+    rows = rolling_moments(returns, y, x, -(gap + length), -(gap + 1))
+    n, slope, intercept, sse = least_squares()
+    enough = n >= least
+    out = rows.withColumns(
+        {
+            "est_n": n.cast("long"), "alpha": F.when(enough, intercept), "beta": F.when(enough, slope),
+            "resid_vol": F.when(enough & slope.isNotNull(), F.greatest(F.sqrt(sse / (n - 2)), F.lit(1e-9))),
+        }
     )
+    return out.drop(*[f"_m_{k}" for k in ("n", "x", "y", "xx", "xy", "yy")])
 
 
 def forward_sum(c: str, length: int, complete: Column | None = None) -> Column:
@@ -99,19 +123,17 @@ def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
         total = F.when(full, F.sum("y").over(last(n)))
         other = F.when(F.count("x").over(last(n)) == n, F.sum("x").over(last(n)))
         rows = rows.withColumn(f"ret_{n}", F.expm1(total)).withColumn(f"adj_{n}", F.expm1(total - other))
-    both = F.col("y").isNotNull() & F.col("x").isNotNull()
-    py, px = F.when(both, F.col("y")), F.when(both, F.col("x"))
-    enough = F.count(px).over(last(60)) >= 20
-    beta = F.when(enough, F.regr_slope(py, px).over(last(60)))
-    n = F.count(px).over(last(60))
-    sse = F.regr_syy(py, px).over(last(60)) - F.regr_slope(py, px).over(last(60)) * F.regr_sxy(py, px).over(last(60))
+    rows = rolling_moments(rows, "y", "x", -59, 0)
+    n, slope, _, sse = least_squares()
+    enough = n >= 20
+    beta = F.when(enough, slope)
     before = by_ticker().rowsBetween(-20, -1)
     spread = F.stddev_samp("volume").over(before)
     vol = F.when(F.count("y").over(last(20)) >= 20, F.stddev_samp("y").over(last(20)))
     rows = (
         rows.withColumn("vol_20", vol)
         .withColumn("beta_60", beta)
-        .withColumn("idio_vol_60", F.when(enough & (n > 2), F.sqrt(F.greatest(sse, F.lit(0.0)) / (n - 2))))
+        .withColumn("idio_vol_60", F.when(enough, F.sqrt(sse / (n - 2))))
         .withColumn("volume_z", F.when((F.count("volume").over(before) == 20) & (spread > 0), (F.col("volume") - F.avg("volume").over(before)) / spread))
     )
     runup = F.try_divide(F.col("adj_20"), F.col("vol_20") * F.sqrt(F.lit(20.0)))

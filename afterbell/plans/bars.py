@@ -53,13 +53,15 @@ _F = ["ret_5", "ret_20", "ret_60", "adj_5", "adj_20", "adj_60", "vol_20", "beta_
     + ", ".join(f"w{n} AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 20, 60))
     + """, b20 AS (PARTITION BY ticker ORDER BY d ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
     SELECT ticker, CAST(d AS VARCHAR) AS d, """
-    + ", ".join(f"round({c}, 5) AS {c}" for c in _F[:10])
-    + ", round(adj_20 / nullif(vol_20 * sqrt(20.0), 0), 5) AS runup_z, round(vol_20 * sqrt(3.0), 5) AS expected_move_3 FROM f",
+    + ", ".join(f"round(ln(1 + {c}), 5) AS {c}" for c in _F[:6])
+    + ", "
+    + ", ".join(f"round({c}, 5) AS {c}" for c in _F[6:10])
+    + ", round(ln(1 + abs(adj_20 / nullif(vol_20 * sqrt(20.0), 0))), 5) AS runup_z, round(vol_20 * sqrt(3.0), 5) AS expected_move_3 FROM f",
 )
 def wn4_price_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WN-4: features known at the close of each bar."""
+    """WN-4: features known at the close of each bar; the returns as logs, as the driver's prices make simple ones very large."""
     f = W.price_features(base.bars(spark, sf_dir), base.benchmark_returns(spark, sf_dir))
-    return f.select("ticker", F.col("d").cast("string").alias("d"), *[F.round(c, 5).alias(c) for c in _F])
+    return f.select("ticker", F.col("d").cast("string").alias("d"), *[F.round(F.log1p(c), 5).alias(c) for c in _F[:6]], *[F.round(F.log1p(F.abs(F.col(c))) if c == "runup_z" else F.col(c), 5).alias(c) for c in _F[6:]])
 
 
 _A = ["trail_20", "trail_60", "volatility_20", "from_high", "dollar_volume_20", "dollar_volume_full_20", "share_volume_21", "window_log_3"]

@@ -1,0 +1,89 @@
+import os
+import random
+import re
+
+import pytest
+from oracle import DATA, compare
+
+import __spark_entry__
+from afterbell.llm import oracles, queries
+from afterbell.llm.secrets import scan_secrets, secret_digest
+from afterbell.llm.sharding import shard_by_bytes, write_shards
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+def test_query_gives_the_rows_of_its_sql(spark, name):
+    assert compare(spark, queries.queries()[name], oracles.oracle_sql()[name]) > 0
+
+
+def test_eleven_queries_are_registered():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names
+    assert {re.match(r"op(\d+)_", n)[1] for n in names if n.startswith("op")} == {str(i) for i in range(1, 11)}
+
+
+def test_shards_are_contiguous_and_even(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(i * 7, "x" * r.choice((0, 5, 50, 500)), "s") for i in range(3000)] + [(99, None, "s")] + [(100, "same id", "s")] * 900 + [(None, "é" * 20, "s")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(7)
+    out = shard_by_bytes(df, 8).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for o in out:
+        by.setdefault(o.shard, []).append(o)
+    sizes = [sum(o.size for o in v) for v in by.values()]
+    assert len(by) == 8 and max(sizes) - min(sizes) <= 2 * 501
+    last = -1
+    for k in range(8):
+        ids = [o.doc_id if o.doc_id is not None else -1 for o in sorted(by[k], key=lambda o: o.slot)]
+        assert [o.slot for o in sorted(by[k], key=lambda o: o.slot)] == list(range(len(ids)))
+        assert ids == sorted(ids) and ids[0] >= last
+        last = ids[-1]
+    assert shard_by_bytes(df.limit(0), 8).count() == 0
+    assert {o.shard for o in shard_by_bytes(df.limit(1), 3).collect()} <= {0, 1, 2}
+    small = spark.createDataFrame([(i, "t" * i, 1) for i in range(50)], "doc_id long, text string, n int")
+    write_shards(small, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert back.count() == 50 and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2, 3}
+
+
+def naive_secrets(text):
+    text = text or ""
+    out = []
+    kinds = (
+        ("assign", r"((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+        ("access", r"AKIA[A-Z0-9]+", 0, 18),
+        ("hex", r"[0-9a-f]+", 0, 16),
+    )
+    for rank, (kind, pattern, group, least) in enumerate(kinds):
+        for m in re.finditer(pattern, text):
+            if len(m[group]) >= least:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+def test_secrets_match_a_plain_scan(spark):
+    r = random.Random(4)
+    parts = ["token=", "API_KEY: '", "passwd \"= ", "secret", "=", ":", " ", "é😀", "AKIA", "ABCDEF0123456789", "deadbeefdeadbeef", "0123456789abcdef01", "xyzXYZ+/_.-", "\n", "Password", "AKIAAKIA"]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25))), f"s{i % 4}") for i in range(500)]
+    rows += [(1000, None, None), (1001, "", "s1"), (7, rows[3][1], "s2"), (7, rows[3][1], "s2"), (None, "token = abcdefgh12345678", None)]
+    df = spark.createDataFrame([(*x, "h") for x in rows], "doc_id long, text string, source string, spans string")
+    out = scan_secrets(df).collect()
+    assert len(out) == len(rows)
+    want = {}
+    for i, t, _ in rows:
+        want.setdefault(i, []).append(naive_secrets(t))
+    for o in out:
+        assert list(o.base) in want[o.doc_id]
+        assert set(o.base) <= set(o.spans)
+        assert [o.n_assign, o.n_access, o.n_hex] == [sum(s.startswith(k) for s in o.base) for k in ("assign", "access", "hex")]
+    assert secret_digest(scan_secrets(df.limit(0))).count() == 0
+
+
+def test_ownership_tells_copies_from_own_secrets(spark):
+    own, shared = "token = q8Zr2LkV0pXw7Tn4", "password: hunter2hunter2Z9"
+    rows = [(i, f"see {shared} here", f"s{i % 5}") for i in range(30)] + [(100, f"mine {own}", "s1"), (101, f"again {own}", "s1")]
+    out = {o.doc_id: o for o in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(out[i].found[0]["class"] == "example" and out[i].found[0]["owners"] == 5 for i in range(30))
+    assert out[100].found[0]["class"] == "live" and out[100].n_live == 1 and "live:5:29" in out[100].spans

@@ -16,6 +16,8 @@ from afterbell.llm.common import materialize, partitions
 ANCHOR, SLICE, TEXT = 64, 4_000_000, 8_000_000
 #: Windows around an anchor are told apart by ranges of so many offsets.
 RANGE = 16
+#: Anchors with more different contexts than this don't go to one task as bytes; their windows are hashed and counted.
+HOT = 20_000
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -228,7 +230,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
        task are counted once before the shuffle; contexts are dealt by anchor hash.
     2. A context that occurs again goes as a whole. Where different contexts share an anchor, one of
        each is kept for the next step; all others are unique.
-    3. Their bytes are fetched and told apart by :func:`repeated_windows`, on a Burrows-Wheeler transform.
+    3. Their bytes are fetched and told apart by :func:`repeated_windows`, on a Burrows-Wheeler
+       transform. An anchor of more than ``HOT`` different contexts would be too much for one task:
+       the windows of its contexts are hashed and counted with map-side sums instead, to the same end.
     4. Each text's ranges are united and cut out.
 
     Returns ``id_col``, n_bytes, n_removed, n_spans, spans (array of start and end, bytes) and kept
@@ -280,7 +284,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         now = -1
 
         def told(rows: np.ndarray, kind: int) -> pa.RecordBatch:
-            whole = kind == 1
+            whole = kind > 0
             empty = pa.nulls(len(rows), pa.int64())
             return pa.RecordBatch.from_arrays(
                 [
@@ -303,7 +307,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             one = rows[first]
             one["n"] = np.minimum(times, 2**32 - 1)
             anchor = np.cumsum(np.concatenate(([True], one["h"][1:] != one["h"][:-1]))) - 1
-            yield told(one[np.bincount(anchor)[anchor] > 1], 1)
+            shared = np.bincount(anchor)[anchor]
+            yield told(one[(shared > 1) & (shared <= HOT)], 1)
+            yield told(one[shared > HOT], 2)
 
         for batch in batches:
             for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -318,7 +324,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     dealt = texts.select("_key", "_text").mapInArrow(find, "_bucket int, _rows binary").repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket")
     found = materialize(dealt.mapInArrow(meet, "_kind byte, _key binary, _lo long, _hi long, _h long, _c long, _n long, _p long"), "repeats")
-    wanted = found.where("_kind = 1").groupBy("_key").agg(F.collect_list(F.struct("_lo", "_hi", "_h", "_c", "_n", "_p")).alias("_asks"))
+
+    def asks(kind: int) -> DataFrame:
+        wanted = found.where(f"_kind = {kind}").groupBy("_key").agg(F.collect_list(F.struct("_lo", "_hi", "_h", "_c", "_n", "_p")).alias("_asks"))
+        return texts.select("_key", "_text").join(wanted, "_key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -335,8 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             )
 
     contexts = (
-        texts.select("_key", "_text")
-        .join(wanted, "_key")
+        asks(1)
         .mapInArrow(fetch, "_h long, _c long, _n long, _p long, _key binary, _lo long, _data binary")
         .repartition(partitions(spark), "_h")
         .sortWithinPartitions("_h", "_c")
@@ -365,7 +373,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         if held:
             yield flush()
 
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(xxhash.xxh3_128_digest(data[i : i + length]), key, i, min(a["_n"], 2)) for a in wanted for i in range(a["_lo"], a["_hi"] - length + 1)]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["_w", "_key", "_lo", "_n"]
+                )
+
     ranges = found.where("_kind = 0").select("_key", "_lo", "_hi").unionAll(contexts.mapInArrow(expand, "_key binary, _lo long, _hi long"))
+    if not found.where("_kind = 2").isEmpty():
+        # copies of a text would count its windows again: one row per text and place
+        hashed = asks(2).mapInArrow(windows, "_w binary, _key binary, _lo long, _n long").groupBy("_w", "_key", "_lo").agg(F.max("_n").alias("_n"))
+        hashed = materialize(hashed, "hot-windows")
+        again = hashed.groupBy("_w").agg(F.sum("_n").alias("_times")).where("_times > 1").select("_w")
+        ranges = ranges.unionAll(hashed.where("_n = 1").join(again, "_w").select("_key", "_lo", (F.col("_lo") + length).alias("_hi")))
     by_text = ranges.groupBy("_key").agg(F.collect_list("_lo").alias("_los"), F.collect_list("_hi").alias("_his"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

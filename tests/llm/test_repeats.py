@@ -77,6 +77,11 @@ def test_matches_brute_force_in_small_pieces(spark, monkeypatch):
     check(spark, corpus(3), 97)
 
 
+def test_hot_anchors_are_counted_to_the_same_end(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 5)
+    check(spark, corpus(4))
+
+
 def test_odd_tables(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = R.remove_repeats(spark.createDataFrame([(None, "k" * 150), (None, "k" * 150), (1, "z" * 210 + "y")], "doc_id long, text string")).collect()

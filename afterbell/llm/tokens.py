@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -26,7 +28,15 @@ TRAILER = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 4096
 #: Most words whose ids a worker keeps.
 CACHE_WORDS = 800_000
-WHITE = b" \t\n\r\x0b\f"
+_ASCII = re.compile(b"[a-z]+").fullmatch
+
+
+def _plain(word: bytes) -> bool:
+    """Whether a word is only letters that normalisation and lower-casing leave as they are."""
+    if word.isascii():
+        return _ASCII(word) is not None
+    text = word.decode()
+    return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -77,6 +87,25 @@ class Encoder:
         self.by_word = words_are_independent(parsed)
         self.special = [t["content"].encode() for t in parsed.get("added_tokens", [])]
         self.known: dict[bytes, bytes] = {}
+        # with a suffix that marks a word's last piece, many plain words can be told apart in one text
+        suffix = parsed["model"].get("end_of_word_suffix")
+        ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)] if suffix and self.by_word else []
+        self.last_piece = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.last_piece[ends] = True
+
+    def _plain_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters only, each of which ends with exactly one last piece."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 20_000):
+            some = words[a : a + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.last_piece[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):  # a letter that this tokenizer takes apart
+                out += self._ids(some)
+                continue
+            flat = ids.tobytes()
+            out += [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,8 +116,11 @@ class Encoder:
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
         stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
-        new = list({stems.get(w, w) for w in words} - known.keys() | ({b",", b"."} - known.keys()))
-        known.update(zip(new, self._ids([w.decode() for w in new]), strict=True))
+        new = {stems.get(w, w) for w in words} - known.keys() | ({b",", b"."} - known.keys())
+        plain = [w for w in new if _plain(w)] if self.last_piece.any() else []
+        known.update(zip(plain, self._plain_ids([w.decode() for w in plain]), strict=True))
+        other = list(new.difference(plain))
+        known.update(zip(other, self._ids([w.decode() for w in other]), strict=True))
         for w, stem in stems.items():
             known[w] = known[stem] + known[w[-1:]]
 

@@ -369,14 +369,14 @@ def keep_one_of_each(
     words: int = 1,
     max_distance: int = 6,
     check_words: int = 5,
-    check_distance: int = 13,
+    check_distance: int = 14,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near copies: that of least id.
 
     Documents link when the fingerprint of their words differs in at most ``max_distance`` bits and
     that of their five-word shingles in at most ``check_distance``: the first finds candidates whose
     few changed words leave most words alone, the second stands for a shingle similarity of about
-    0.8 (13 bits keep the pairs of 0.8 and more that a 64-bit estimate puts lower; see the README).
+    0.8 (14 bits keep the pairs of 0.8 and more that a 64-bit estimate puts lower; see the README).
     Of repeated rows one stays; rows with null ids stay only if their group has no other.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from afterbell.operators.asof import asof_forward
 from afterbell.operators.windows import drawdown_columns
 
 
@@ -237,3 +238,25 @@ def purged_walk_forward(df: DataFrame, key: str, at: str, row_id: str, features:
     return df.select(key, at, row_id, *features, F.col(y).cast("double").alias(y)).groupBy(key).applyInPandas(
         run, f"{key} {types[key]}, {row_id} {types[row_id]}, train_n long, probability double, target double, status string"
     )
+
+
+def shifted_placebos(events: DataFrame, bars: DataFrame, shifts: Sequence[int] = (30, 60, 90, -30, -60, -90), margin: int = 10) -> DataFrame:
+    """Each event moved by the next of the cycling shifts (per ticker, in id order), to the first bar from there on; days near an event are dropped."""
+    k = F.row_number().over(Window.partitionBy("ticker").orderBy("event_id")) - 1
+    days = F.element_at(F.array(*[F.lit(s) for s in shifts]), (k % len(shifts)).cast("int") + 1)
+    probes = events.select("event_id", "ticker", "event_time").withColumn("_day", F.date_add(F.col("event_time").cast("date"), days))
+    moved = asof_forward(probes, bars.select("ticker", F.col("d").alias("placebo_day")), ["ticker"], F.col("_day"), F.col("placebo_day"), ["placebo_day"]).where("placebo_day is not null")
+    free = free_days(bars, events, margin).withColumnRenamed("d", "placebo_day")
+    return moved.join(free, ["ticker", "placebo_day"], "left_semi").select(F.concat(F.col("event_id").cast("string"), F.lit("__placebo01")).alias("event_id"), "ticker", "placebo_day")
+
+
+def research_backtest(preds: DataFrame, p: str, y: str, ret: str, keys: list[str], order: list[str], long: float = 0.6, cost_bps: float = 10.0) -> dict[str, DataFrame]:
+    """The parts of a backtest report over scored events: metrics, calibration, trades, summary and cost grid."""
+    trades = strategy(preds, p, ret, keys, order, long, cost_bps=cost_bps)
+    return {
+        "metrics": classification_metrics(preds, p, y, keys),
+        "calibration": calibration(preds, p, y),
+        "trades": trades,
+        "summary": strategy_summary(trades, keys),
+        "costs": cost_grid(preds, p, ret, keys, order, long=long),
+    }

@@ -1,4 +1,4 @@
-"""Structured Streaming over event streams: windows, sessions, idempotent batches. The reference engine has none; these go beyond it."""
+"""Structured Streaming over event streams: windows, sessions, idempotent batches. These go beyond the inventory."""
 
 from __future__ import annotations
 

@@ -16,6 +16,7 @@ from afterbell.llm.common import materialize, partitions
 from afterbell.llm.graph import components
 
 BITS, SEED = 64, 42
+SKETCH, SKETCH_COLUMNS = 256, ["_s0", "_s1", "_s2", "_s3"]
 #: Cost of a shuffled row, in compared pairs.
 ROW_COST = 400.0
 #: Groups up to this size are compared by shifting, larger ones by blocks.
@@ -23,35 +24,64 @@ SHIFT_GROUP = 64
 BLOCK = 512
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of the ``words``-word shingles of an ASCII-lower-cased text, as an unsigned number; 0 without words."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each ``words``-word shingle, repeats included, of an ASCII-lower-cased text; fewer words are one shingle, none give none."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_digest
     if len(parts) <= words:
-        digests = xxhash.xxh64_digest(joined, SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        return np.frombuffer(digest(joined, SEED), ">u8")
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), ">u8")
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of the shingles, as an unsigned number; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(bits)).tobytes(), "big")
 
 
-def add_fingerprints(docs: DataFrame, shingles: dict[str, int], id_col: str, text_col: str) -> DataFrame:
-    """Ids and one signed 64-bit fingerprint per entry (column name: words in a shingle)."""
+def sketch(text: bytes, words: int) -> bytes:
+    """256 bits of the set of shingles: one bit of the least hash in each of 256 ranges; empty ranges borrow from the next.
+
+    Sets of similarity s differ in about (1 - s) / 2 of the bits.
+    """
+    hashes = np.sort(shingle_hashes(text, words).astype(np.uint64))
+    if not len(hashes):
+        return bytes(SKETCH // 8)
+    ranges = (hashes >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+    filled, least = ranges[first], hashes[first]
+    own = np.arange(SKETCH)
+    source = np.searchsorted(filled, own) % len(filled)
+    mixed = least[source] + ((filled[source] - own) % SKETCH).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8)).tobytes()
+
+
+def add_fingerprints(docs: DataFrame, words: int, sketch_words: int | None, id_col: str, text_col: str) -> DataFrame:
+    """Ids, the SimHash of ``words``-word shingles (_fp), and with ``sketch_words`` the sketch of longer ones (_s0 to _s3), as signed numbers."""
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    names = SKETCH_COLUMNS if sketch_words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            columns = [pa.array(np.array([fingerprint(t or b"", k) for t in texts], np.uint64).view(np.int64)) for k in shingles.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", *shingles])
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            columns = [np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)]
+            if names:
+                columns += list(np.frombuffer(b"".join([sketch(t, sketch_words) for t in texts]), "<i8").reshape(-1, len(names)).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in columns]], names=["_id", "_fp", *names])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).mapInArrow(
-        run, f"_id {id_type}, " + ", ".join(f"{c} long" for c in shingles)
+        run, f"_id {id_type}, " + ", ".join(f"{c} long" for c in ["_fp", *names])
     )
 
 
@@ -183,10 +213,10 @@ def _probes(plan: Plan, node: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.
 
 
 def _near(a: list[np.ndarray], i, b: list[np.ndarray], j, limits: list[int]) -> np.ndarray:
+    """Whether fingerprints differ in at most limits[0] bits, and the sketches, if any, in at most limits[1]."""
     ok = np.bitwise_count(a[0][i] ^ b[0][j]) <= limits[0]
-    for x, y, most in zip(a[1:], b[1:], limits[1:], strict=True):
-        if ok.any():
-            ok &= np.bitwise_count(x[i] ^ y[j]) <= most
+    if len(a) > 1 and ok.any():
+        ok &= sum(np.bitwise_count(x[i] ^ y[j]).astype(np.uint16) for x, y in zip(a[1:], b[1:], strict=True)) <= limits[1]
     return ok
 
 
@@ -277,7 +307,7 @@ def links(nodes: DataFrame, columns: list[str], limits: list[int], sample_size:
     """Edges (u, v) that connect exactly the nodes whose fingerprints are within all limits.
 
     ``nodes`` has _node and the fingerprint columns, without repeated fingerprints. The first
-    column is cut into partitions and probed, the others are only verified. The partitioning is
+    column is cut into partitions and probed, the others (a sketch) are only verified. The partitioning is
     fitted on at most ``sample_size`` fingerprints; which links are found doesn't depend on it.
     """
     spark = nodes.sparkSession
@@ -329,8 +359,8 @@ def near_duplicates(
     text_col: str = "text",
     words: int = 3,
     max_distance: int = 3,
-    check_words: int | None = None,
-    check_distance: int = 0,
+    sketch_words: int | None = None,
+    sketch_distance: int = 33,
     sample_size: int = 20_000,
 ) -> DataFrame:
     """Components of documents whose SimHash fingerprints differ in at most ``max_distance`` bits.
@@ -339,8 +369,8 @@ def near_duplicates(
     Correlated bits share a partition; each fingerprint's partitions get thresholds by dynamic
     programming on estimated candidate counts, which keeps frequent values from being probed; the
     found candidates are verified. Groups that share a value give a forest of links, never their
-    pairs. With ``check_words`` a second fingerprint on longer shingles must be within
-    ``check_distance`` too.
+    pairs. With ``sketch_words`` a 256-bit sketch of longer shingles must be within
+    ``sketch_distance`` bits too.
 
     Returns one row per input row: ``id_col``, fingerprint (16 hex digits), component_id (the least
     id of the component). Defined cases: a text that is null, empty or without words has
@@ -348,10 +378,9 @@ def near_duplicates(
     null ids has null); repeated rows are separate rows of one component; an empty table gives an
     empty result; further columns are ignored.
     """
-    shingles = {"_fp": words} | ({"_fp2": check_words} if check_words else {})
-    columns = list(shingles)
-    limits = [max_distance, check_distance][: len(columns)]
-    fps = materialize(add_fingerprints(docs, shingles, id_col, text_col), "fingerprints")
+    columns = ["_fp", *(SKETCH_COLUMNS if sketch_words else [])]
+    limits = [max_distance, sketch_distance]
+    fps = materialize(add_fingerprints(docs, words, sketch_words, id_col, text_col), "fingerprints")
     nodes = materialize(
         fps.groupBy(*columns).agg(F.min("_id").alias("_first")).select(F.monotonically_increasing_id().alias("_node"), *columns, "_first"), "fingerprint-nodes"
     )
@@ -368,19 +397,19 @@ def keep_one_of_each(
     text_col: str = "text",
     words: int = 1,
     max_distance: int = 6,
-    check_words: int = 5,
-    check_distance: int = 14,
+    sketch_words: int = 5,
+    sketch_distance: int = 33,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near copies: that of least id.
 
-    Documents link when the fingerprint of their words differs in at most ``max_distance`` bits and
-    that of their five-word shingles in at most ``check_distance``: the first finds candidates whose
-    few changed words leave most words alone, the second stands for a shingle similarity of about
-    0.8 (14 bits keep the pairs of 0.8 and more that a 64-bit estimate puts lower; see the README).
-    Of repeated rows one stays; rows with null ids stay only if their group has no other.
+    Documents link when the fingerprints of their words differ in at most ``max_distance`` bits and
+    the sketches of their five-word shingles in at most ``sketch_distance`` of 256: the first finds
+    candidates whose few changed words leave most words alone, the second holds them to a shingle
+    similarity of 0.8 (25.6 bits expected there, deviation 4.8; see the README). Of repeated rows
+    one stays; rows with null ids stay only if their group has no other.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    near = near_duplicates(docs.select(key.alias("_key"), text_col), "_key", text_col, words, max_distance, check_words, check_distance)
+    near = near_duplicates(docs.select(key.alias("_key"), text_col), "_key", text_col, words, max_distance, sketch_words, sketch_distance)
     kept = materialize(near.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_times")), "kept")
     same = docs.withColumn("_key", key).join(kept, "_key").drop("_key")
     once = same.where("_times = 1").drop("_times")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from afterbell.llm.simhash import fingerprint, fit_plan, keep_one_of_each, links, near_duplicates
+from afterbell.llm.simhash import fingerprint, fit_plan, keep_one_of_each, links, near_duplicates, sketch
 from pyspark.sql import functions as F
 
 
@@ -128,3 +128,22 @@ def test_one_of_each_group_stays(spark):
     want = {g: min((i for i, _, h in rows if h == g and i is not None), default=None) for _, _, g in rows}
     assert sorted(kept, key=str) == sorted(want.items(), key=str)
     assert keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_sketch_estimates_similarity():
+    r = random.Random(6)
+    misses = []
+    for share in (1.0, 0.9, 0.8, 0.6, 0.0):
+        off = []
+        for _ in range(60):
+            n = r.randint(150, 900)
+            # words that stand alone: one-word shingles, so that the similarity is known
+            common = [f"c{r.getrandbits(60)}" for _ in range(round(n * 2 * share / (1 + share)))]
+            rest = n - len(common)
+            a, b = (common + [f"{x}{r.getrandbits(60)}" for _ in range(rest)] for x in "ab")
+            x, y = (np.frombuffer(sketch(" ".join(t).encode(), 1), np.uint64) for t in (a, b))
+            off.append(int(np.bitwise_count(x ^ y).sum()))
+        misses.append((share, np.mean(off)))
+    for share, mean in misses:
+        assert abs(mean - 128 * (1 - share)) < 6
+    assert sketch(b"", 5) == sketch(b" ", 5) == bytes(32)

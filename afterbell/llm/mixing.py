@@ -182,8 +182,8 @@ def sample_mixture(
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
     dims = _standard_dims(text_col, source_col, lang_col)
     cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share)
-    cells = cells.select(*[F.col(n).alias(f"_cell{n}") for n in dims], F.col("probability").alias("_cell_probability"))
-    same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_cell{n}") for n, c in dims.items()]
+    cells = cells.select(*[F.col(n).alias(f"_afterbell{n}") for n in dims], F.col("probability").alias("_afterbell_probability"))
+    same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_afterbell{n}") for n, c in dims.items()]
     condition = same[0] & same[1] & same[2]
     sure = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
-    return docs.join(F.broadcast(cells), condition).where(sure | (_chance(id_col, text_col, seed) < F.col("_cell_probability"))).select(*[docs[c] for c in docs.columns])
+    return docs.join(F.broadcast(cells), condition).where(sure | (_chance(id_col, text_col, seed) < F.col("_afterbell_probability"))).select(*[docs[c] for c in docs.columns])

@@ -87,5 +87,23 @@ FROM d QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)
 """
 
 
+#: Every window by its digest, flagged windows to spans, spans cut out.
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT rn, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT rn, i, md5(b[i:i + 199]) AS h FROM n, LATERAL (SELECT unnest(range(1, n - 198)) AS i) r WHERE n >= 200),
+r AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+s AS (SELECT rn, i AS a FROM w SEMI JOIN r USING (h)),
+g AS (SELECT rn, a, CASE WHEN a > lag(a) OVER (PARTITION BY rn ORDER BY a) + 200 THEN 1 ELSE 0 END AS fresh FROM s),
+k AS (SELECT rn, a, sum(fresh) OVER (PARTITION BY rn ORDER BY a ROWS UNBOUNDED PRECEDING) AS k FROM g),
+x AS (SELECT rn, min(a) AS a, max(a) + 199 AS z FROM k GROUP BY rn, k),
+l AS (SELECT rn, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends, sum(z - a + 1) AS gone FROM x GROUP BY rn)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(len(starts), 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN starts IS NULL THEN b ELSE list_reduce(list_transform(range(0, len(starts) + 1),
+    lambda j: b[(CASE WHEN j = 0 THEN 1 ELSE ends[j] + 1 END):(CASE WHEN j = len(starts) THEN n ELSE starts[j + 1] - 1 END)]), lambda p, q: p || q) END) AS kept_sha256
+FROM n LEFT JOIN l USING (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op10_neighbours": NEIGHBOURS}
+    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS}

@@ -409,11 +409,11 @@ def keep_one_of_each(
     one stays; rows with null ids stay only if their group has no other.
     """
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    near = near_duplicates(docs.select(key.alias("_key"), text_col), "_key", text_col, words, max_distance, sketch_words, sketch_distance)
-    kept = materialize(near.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count("*").alias("_times")), "kept")
-    same = docs.withColumn("_key", key).join(kept, "_key").drop("_key")
-    once = same.where("_times = 1").drop("_times")
-    if kept.where("_times > 1").isEmpty():
+    near = near_duplicates(docs.select(key.alias("_afterbell_key"), text_col), "_afterbell_key", text_col, words, max_distance, sketch_words, sketch_distance)
+    kept = materialize(near.where(F.col("_afterbell_key") == F.col("component_id")).groupBy("_afterbell_key").agg(F.count("*").alias("_afterbell_times")), "kept")
+    same = docs.withColumn("_afterbell_key", key).join(kept, "_afterbell_key").drop("_afterbell_key")
+    once = same.where("_afterbell_times = 1").drop("_afterbell_times")
+    if kept.where("_afterbell_times > 1").isEmpty():
         return once
-    again = docs.withColumn("_key", key).join(kept.where("_times > 1"), "_key").dropDuplicates(["_key"]).drop("_key", "_times")
+    again = docs.withColumn("_afterbell_key", key).join(kept.where("_afterbell_times > 1"), "_afterbell_key").dropDuplicates(["_afterbell_key"]).drop("_afterbell_key", "_afterbell_times")
     return once.unionByName(again)

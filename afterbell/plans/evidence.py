@@ -28,9 +28,6 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("value", F.round("value", 4))
 
 
-_V = "CAST(CAST(round({0}, 2) * 100 AS BIGINT) AS VARCHAR)"
-
-
 def _cents(c: str) -> F.Column:
     return F.round(F.col(c) * 100).cast("long")
 

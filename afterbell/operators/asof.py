@@ -25,13 +25,16 @@ def _merged(probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: C
 
 
 def asof_forward(
-    probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: Column, fact_at: Column, carry: Sequence[str], strict: Column | bool = False
+    probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: Column, fact_at: Column, carry: Sequence[str], strict: Column | bool = False, known: str | None = None
 ) -> DataFrame:
-    """Each probe with the first fact at or after its time (after it where ``strict``); NULLs if there is none."""
+    """Each probe with the first fact at or after its time (after it where ``strict``); NULLs if there is none.
+
+    ``known`` names a column that says whether the key has any fact, from the same partitions.
+    """
     order = _tie(strict, probe_first=True)
     merged = _merged(probes.withColumn("_strict", F.lit(strict) if isinstance(strict, bool) else strict), facts, key, probe_at, fact_at, carry)
     w = Window.partitionBy(*key).orderBy(_AT, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return _result(merged.withColumn("_found", F.first(_ROW, ignorenulls=True).over(w)), probes, carry)
+    return _result(merged.withColumn("_found", F.first(_ROW, ignorenulls=True).over(w)), probes, carry, key, known)
 
 
 def asof_backward(
@@ -50,8 +53,12 @@ def _tie(strict: Column | bool, probe_first: bool) -> Column:
     return F.when(F.col(_SIDE) == 1, 1).when(F.col("_probe._strict"), far).otherwise(near)
 
 
-def _result(merged: DataFrame, probes: DataFrame, carry: Sequence[str]) -> DataFrame:
-    return merged.where(F.col(_SIDE) == 0).select(*[F.col("_probe")[c].alias(c) for c in probes.columns], *[F.col("_found")[c].alias(c) for c in carry])
+def _result(merged: DataFrame, probes: DataFrame, carry: Sequence[str], key: Sequence[str] = (), known: str | None = None) -> DataFrame:
+    columns = [F.col("_probe")[c].alias(c) for c in probes.columns] + [F.col("_found")[c].alias(c) for c in carry]
+    if known:
+        merged = merged.withColumn("_known", F.max(_SIDE).over(Window.partitionBy(*key)) == 1)
+        columns.append(F.col("_known").alias(known))
+    return merged.where(F.col(_SIDE) == 0).select(*columns)
 
 
 def nearest_ranked(probes: DataFrame, facts: DataFrame, on: Column, probe_id: Sequence[str], ranking: Sequence[Column], carry: Sequence[str]) -> DataFrame:

@@ -20,14 +20,13 @@ def market_rows(returns: DataFrame, benchmark: DataFrame, horizons: Sequence[int
     returns: ticker, d, log_ret. benchmark: d, log_ret. A horizon's sums are NULL unless all its
     rows have complete pairs.
     """
-    rows = returns.select("ticker", "d", F.col("log_ret").alias("y")).join(benchmark.select("d", F.col("log_ret").alias("x")), "d", "left")
-    rows = market_model(rows, length=length, gap=gap, least=least).withColumn("i", F.row_number().over(by_ticker()) - 1)
+    # one row per calendar day: a broadcast of fixed size, which keeps the rows dealt by ticker
+    rows = returns.select("ticker", "d", F.col("log_ret").alias("y")).join(F.broadcast(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left")
     complete = F.col("y").isNotNull() & F.col("x").isNotNull()
+    columns = {"i": F.row_number().over(by_ticker()) - 1, "pre_5": trailing_sum("y", 5), "pre_20": trailing_sum("y", 20), "pre_vol_20": trailing_std("y", 20)}
     for h in horizons:
-        rows = rows.withColumn(f"raw_{h}", forward_sum("y", h, complete)).withColumn(f"bench_{h}", forward_sum("x", h, complete))
-    for n in (5, 20):
-        rows = rows.withColumn(f"pre_{n}", trailing_sum("y", n))
-    return rows.withColumn("pre_vol_20", trailing_std("y", 20))
+        columns |= {f"raw_{h}": forward_sum("y", h, complete), f"bench_{h}": forward_sum("x", h, complete)}
+    return market_model(rows, length=length, gap=gap, least=least).withColumns(columns)
 
 
 def event_study(
@@ -42,11 +41,9 @@ def event_study(
     """
     carry = ["d", "i", "est_n", "alpha", "beta", "resid_vol", "pre_5", "pre_20", "pre_vol_20", *[f"{k}_{h}" for h in horizons for k in ("raw", "bench")]]
     probes = events.withColumn("_day", F.col("event_time").cast("date"))
-    found = asof_forward(probes, market, ["ticker"], F.col("_day"), F.col("d"), carry, strict=F.coalesce(F.col("release_session") == "after_close", F.lit(False)))
-    known = market.select("ticker").distinct().withColumn("_known", F.lit(True))
-    found = found.join(known, "ticker", "left")
+    found = asof_forward(probes, market, ["ticker"], F.col("_day"), F.col("d"), carry, strict=F.coalesce(F.col("release_session") == "after_close", F.lit(False)), known="_known")
     status = (
-        F.when(F.col("_known").isNull(), "ticker_not_found")
+        F.when(~F.col("_known"), "ticker_not_found")
         .when(F.col("d").isNull(), "no_trading_day")
         .when(F.col("i") < gap + length, "not_enough_history")
         .when(F.coalesce(F.col("est_n"), F.lit(0)) < least, "not_enough_pairs")

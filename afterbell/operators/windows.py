@@ -113,16 +113,19 @@ def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark's; vol_20 (at least 20 returns); beta_60 and idio_vol_60 over complete pairs; volume_z
     against the 20 bars before; runup_z; expected_move_h.
     """
-    rows = sparse_returns(bars).join(benchmark.select("d", F.col("log_ret").alias("x")), "d", "left").withColumnRenamed("log_ret", "y")
+    # one row per calendar day: a broadcast of fixed size, which keeps the rows dealt by ticker
+    rows = sparse_returns(bars).join(F.broadcast(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left").withColumnRenamed("log_ret", "y")
 
     def last(n: int):
         return by_ticker().rowsBetween(-(n - 1), 0)
 
+    returns = {}
     for n in (5, 20, 60):
         full = F.count("y").over(last(n)) == n
         total = F.when(full, F.sum("y").over(last(n)))
         other = F.when(F.count("x").over(last(n)) == n, F.sum("x").over(last(n)))
-        rows = rows.withColumn(f"ret_{n}", F.expm1(total)).withColumn(f"adj_{n}", F.expm1(total - other))
+        returns |= {f"ret_{n}": F.expm1(total), f"adj_{n}": F.expm1(total - other)}
+    rows = rows.withColumns(returns)
     rows = rolling_moments(rows, "y", "x", -59, 0)
     n, slope, _, sse = least_squares()
     enough = n >= 20
@@ -131,10 +134,12 @@ def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     spread = F.stddev_samp("volume").over(before)
     vol = F.when(F.count("y").over(last(20)) >= 20, F.stddev_samp("y").over(last(20)))
     rows = (
-        rows.withColumn("vol_20", vol)
-        .withColumn("beta_60", beta)
-        .withColumn("idio_vol_60", F.when(enough, F.sqrt(sse / (n - 2))))
-        .withColumn("volume_z", F.when((F.count("volume").over(before) == 20) & (spread > 0), (F.col("volume") - F.avg("volume").over(before)) / spread))
+        rows.withColumns(
+            {
+                "vol_20": vol, "beta_60": beta, "idio_vol_60": F.when(enough, F.sqrt(sse / (n - 2))),
+                "volume_z": F.when((F.count("volume").over(before) == 20) & (spread > 0), (F.col("volume") - F.avg("volume").over(before)) / spread),
+            }
+        )
     )
     runup = F.try_divide(F.col("adj_20"), F.col("vol_20") * F.sqrt(F.lit(20.0)))
     return rows.withColumn("runup_z", runup).withColumn("expected_move_3", F.col("vol_20") * F.sqrt(F.lit(3.0)))

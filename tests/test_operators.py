@@ -202,4 +202,17 @@ def test_taxonomies(spark):
     assert [r.label for r in values(df, T.first_label(F.col("s"), T.SECURITY_TYPES, "unknown"))] == ["convertible_notes", "common_stock", "unknown"]
     df = spark.createDataFrame([("Task order under IDIQ",), ("ceiling of $5 for work",), ("contract awarded",)], "s string")
     assert [r.label for r in values(df, T.first_label(F.col("s"), T.CONTRACT_EVENTS, "ambiguous"))] == ["task_order_award", "contract_ceiling_only", "new_contract_award"]
+    texts = {
+        "financing": (T.FINANCING_EVENTS, [("At-the-market program: shares sold", "atm_program_usage_reported"), ("ATM under which it may sell; sold", "atm_program_created"), ("Public offering of common stock priced", "completed_equity_offering"), ("public offering of ordinary shares", "announced_equity_offering")]),
+        "accounting": (T.ACCOUNTING_EVENTS, [("Statements should no longer be relied upon", "non_reliance_financial_statements"), ("There were no disagreements with the accountant, who resigned", "auditor_resignation"), ("The auditor disagreed", "auditor_disagreement")]),
+        "deals": (T.DEAL_EVENTS, [("The merger was terminated after the FTC sued", "regulatory_block"), ("It completed its acquisition", "acquisition_completion"), ("Agreement and Plan of Merger", "definitive_merger_agreement")]),
+    }
+    for rules, cases in texts.values():
+        got = values(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, s string").coalesce(1).orderBy("i"), T.first_label(F.col("s"), rules, "none"))
+        assert [g.label for g in got] == [want for _, want in cases]
+    one = spark.range(1)
+    assert values(one, T.deal_survivability(F.lit("tender_offer"), F.lit("Target"))) == ["immediate-gap"]
+    assert values(one, T.deal_survivability(F.lit("tender_offer"), F.lit("acquirer"))) == ["pre-event setup"]
+    assert values(one, T.distress_survivability(F.lit("delisting"), F.lit("after_close"), F.lit(2e6))) == ["immediate-gap"]
+    assert values(one, T.distress_survivability(F.lit("delisting"), F.lit("after_close"), F.lit(2e5))) == ["explanation-only"]
     assert values(spark.range(1), T.survivability(F.lit("exit_amendment"), F.lit("after_close")))[0].first_entry == "next_open"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
-import re
 import struct
 import unicodedata
 import uuid
@@ -27,14 +27,11 @@ MAGIC = b"ABTK0001"
 TRAILER = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 4096
 #: Most words whose ids a worker keeps.
-CACHE_WORDS = 800_000
-_ASCII = re.compile(b"[a-z]+").fullmatch
-
-
+CACHE_WORDS = 1_200_000
 def _plain(word: bytes) -> bool:
-    """Whether a word is only letters that normalisation and lower-casing leave as they are."""
+    """Whether a lower-cased word is only letters that normalisation and lower-casing leave as they are."""
     if word.isascii():
-        return _ASCII(word) is not None
+        return word.isalpha()
     text = word.decode()
     return text.isalpha() and text.lower() == text and unicodedata.is_normalized("NFC", text)
 
@@ -92,16 +89,17 @@ class Encoder:
         ends = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)] if suffix and self.by_word else []
         self.last_piece = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.last_piece[ends] = True
+        self.any_last = bool(ends)
 
-    def _plain_ids(self, words: list[str]) -> list[bytes]:
+    def _plain_ids(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of lower-case letters only, each of which ends with exactly one last piece."""
         out: list[bytes] = []
         for a in range(0, len(words), 20_000):
             some = words[a : a + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = ((np.flatnonzero(self.last_piece[ids]) + 1) * 4).tolist()
             if len(ends) != len(some):  # a letter that this tokenizer takes apart
-                out += self._ids(some)
+                out += self._ids([w.decode() for w in some])
                 continue
             flat = ids.tobytes()
             out += [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
@@ -115,10 +113,10 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> None:
         known = self.known
-        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in b",." and 97 <= w[-2] <= 122}
+        stems = {w: w[:-1] for w in words if w.endswith((b",", b".")) and w[-2:-1].isalpha()}
         new = {stems.get(w, w) for w in words} - known.keys() | ({b",", b"."} - known.keys())
-        plain = [w for w in new if _plain(w)] if self.last_piece.any() else []
-        known.update(zip(plain, self._plain_ids([w.decode() for w in plain]), strict=True))
+        plain = [w for w in new if w.isalpha() or (not w.isascii() and _plain(w))] if self.any_last else []
+        known.update(zip(plain, self._plain_ids(plain), strict=True))
         other = list(new.difference(plain))
         known.update(zip(other, self._ids([w.decode() for w in other]), strict=True))
         for w, stem in stems.items():
@@ -126,6 +124,15 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each UTF-8 text."""
+        collects = gc.isenabled()
+        gc.disable()  # millions of words, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
         # the splitter sees lower case, and special tokens are lower case themselves or handled whole

@@ -391,25 +391,17 @@ def near_duplicates(
     return fps.join(known, columns).select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 1,
-    max_distance: int = 6,
-    sketch_words: int = 5,
-    sketch_distance: int = 33,
-) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near copies: that of least id.
 
-    Documents link when the fingerprints of their words differ in at most ``max_distance`` bits and
-    the sketches of their five-word shingles in at most ``sketch_distance`` of 256: the first finds
-    candidates whose few changed words leave most words alone, the second holds them to a shingle
-    similarity of 0.8 (25.6 bits expected there, deviation 4.8; see the README). Of repeated rows
-    one stays; rows with null ids stay only if their group has no other.
+    Documents link when the sets of their ``words``-word shingles have an exact Jaccard similarity of
+    0.8 or more (:func:`afterbell.llm.jaccard.jaccard_components`); groups are what links connect. Of
+    repeated rows one stays; rows with null ids stay only if their group has no other.
     """
+    from afterbell.llm.jaccard import jaccard_components
+
     key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    near = near_duplicates(docs.select(key.alias("_afterbell_key"), text_col), "_afterbell_key", text_col, words, max_distance, sketch_words, sketch_distance)
+    near = jaccard_components(docs.select(key.alias("_afterbell_key"), text_col), "_afterbell_key", text_col, words)
     kept = materialize(near.where(F.col("_afterbell_key") == F.col("component_id")).groupBy("_afterbell_key").agg(F.count("*").alias("_afterbell_times")), "kept")
     same = docs.withColumn("_afterbell_key", key).join(kept, "_afterbell_key").drop("_afterbell_key")
     once = same.where("_afterbell_times = 1").drop("_afterbell_times")

@@ -47,8 +47,16 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (width - step)], least[width - step :]) if step < width else least
 
 
-def anchored_contexts(texts: list[bytes], keys: list[bytes], counts: list[int], length: int, anchor: int) -> np.ndarray:
-    """Contexts of all windows of ``length`` bytes of the texts.
+def pieces(data: bytes, length: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """Place and bytes of parts of at most ``size`` bytes that overlap by ``length`` - 1, so that each window lies in one of them."""
+    for a in range(0, max(1, len(data) - length + 1), size - length + 1):
+        yield a, data[a : a + size]
+
+
+def anchored_contexts(
+    texts: list[bytes], keys: list[bytes], counts: list[int], length: int, anchor: int, places: list[int] | None = None
+) -> np.ndarray:
+    """Contexts of all windows of ``length`` bytes of the texts, which may be parts that start at ``places``.
 
     The anchor of a window is its first least-hashed ``anchor``-gram, which the window's bytes alone
     decide; neighbouring windows with one anchor form a context. Equal windows have equal anchors at
@@ -56,6 +64,8 @@ def anchored_contexts(texts: list[bytes], keys: list[bytes], counts: list[int],
     """
     sizes = np.array([len(t) for t in texts])
     joined = b"".join(texts)
+    if len(joined) > int(_PLACE) + 1:
+        raise ValueError(f"{len(joined)} bytes at once are more than places can count")
     n = len(joined) - length + 1
     if n <= 0:
         return np.zeros(0, CONTEXT)
@@ -76,7 +86,7 @@ def anchored_contexts(texts: list[bytes], keys: list[bytes], counts: list[int],
     out["c"] = [digest(joined[a:b], s) for a, b, s in zip(lo.tolist(), hi.tolist(), offset.tolist(), strict=True)]
     packed = np.frombuffer(b"".join(keys), np.dtype([("k1", "<u8"), ("k2", "<u4")]))
     out["k1"], out["k2"] = packed["k1"][own], packed["k2"][own]
-    begin = (np.cumsum(sizes) - sizes)[own]
+    begin = (np.cumsum(sizes) - sizes - np.array(places or [0] * len(texts)))[own]
     out["lo"], out["hi"], out["n"], out["p"] = lo - begin, hi - begin, np.array(counts)[own], offset
     return out
 
@@ -242,6 +252,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     """
     if length < ANCHOR + RANGE:
         raise ValueError(f"length must be at least {ANCHOR + RANGE}")
+    if length - ANCHOR >= 2**16:
+        raise ValueError(f"length must be less than {2**16 + ANCHOR}")  # places of anchors have two bytes
     spark = docs.sparkSession
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     buckets = 4 * partitions(spark)
@@ -261,6 +273,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             cuts = np.searchsorted(number, np.arange(buckets + 1))
             yield from (_blob(base + b, chosen[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(np.diff(cuts)).tolist())
 
+    def in_slice(held: list[tuple[bytes, bytes, int, int]]) -> np.ndarray:
+        texts_, keys, counts, places = map(list, zip(*held, strict=True))
+        return anchored_contexts(texts_, keys, counts, length, ANCHOR, places)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[tuple[bytes, bytes], int] = {}
@@ -269,12 +285,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     counts[key, data] = counts.get((key, data), 0) + 1
             held, size = [], 0
             contexts = []
-            for i, ((key, data), n) in enumerate(counts.items(), 1):
-                held.append((data, key, n))
-                size += len(data)
-                if size > SLICE or i == len(counts):
-                    contexts.append(anchored_contexts(*map(list, zip(*held, strict=True)), length, ANCHOR))
-                    held, size = [], 0
+            for (key, data), n in counts.items():
+                for place, piece in pieces(data, length, SLICE):
+                    held.append((piece, key, n, place))
+                    size += len(piece)
+                    if size > SLICE:  # no more than twice that
+                        contexts.append(in_slice(held))
+                        held, size = [], 0
+            if held:
+                contexts.append(in_slice(held))
             if contexts:
                 numbers, blobs = zip(*deal(np.concatenate(contexts)), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["_bucket", "_rows"])

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from afterbell.llm import repeats as R
 
@@ -86,3 +87,25 @@ def test_odd_tables(spark):
     assert R.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = R.remove_repeats(spark.createDataFrame([(None, "k" * 150), (None, "k" * 150), (1, "z" * 210 + "y")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (0, 0), (1, 210)]
+
+
+def test_repeats_far_into_a_long_text(spark):
+    r = np.random.default_rng(5)
+    make = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    far, border, inside = make(400), make(500), make(300)
+    long = make(R.SLICE - 250) + border + make(12_900_000) + inside + far + make(50_000)
+    assert long.index(far) > 2**24
+    texts = [long, make(30) + far, border + make(40), inside + make(9)]
+    out = {x.doc_id: [tuple(s) for s in x.spans] for x in R.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at, cut = long.index(far), long.index(border)
+    assert out[0] == [(cut, cut + 500), (at - 300, at + 400)]
+    assert (out[1], out[2], out[3]) == ([(30, 430)], [(0, 500)], [(0, 300)])
+
+
+def test_a_slice_that_places_cannot_count_is_an_error():
+    with pytest.raises(ValueError, match="more than places can count"):
+        R.anchored_contexts([bytes(2**24 + 1)], [bytes(12)], [1], 200, 64)
+    data = bytes(range(250)) * 5
+    parts = list(R.pieces(data, 200, 300))
+    assert [a for a, _ in parts] == list(range(0, 1051, 101)) and all(p == data[a : a + 300] for a, p in parts)
+    assert list(R.pieces(b"abc", 200, 300)) == [(0, b"abc")]

@@ -112,22 +112,38 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def shares(wanted: dict[str, int], total: int) -> dict[str, int]:
+    """Parts of ``total``: what each wants, where that is no more than an equal part of what those who want less leave over."""
+    out = {}
+    for k, name in enumerate(sorted(wanted, key=lambda x: (wanted[x], x))):
+        out[name] = min(wanted[name], total // (len(wanted) - k))
+        total -= out[name]
+    return out
+
+
 def learn_languages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_chars: int = 20_000_000
 ) -> LanguageModel:
     """Fit on at most ``per_language`` labelled rows of each language and ``max_chars`` characters in all.
 
     Rows are taken in the order of their id's hash, among those whose id isn't held out. Texts are
-    whole; rows beyond ``max_chars`` are left out of the sample. These two are the only bounds.
+    whole. If the rows have more than ``max_chars`` characters, each language has a share of its own
+    (:func:`shares`); a text that doesn't fit into what is left of it is passed over, and doesn't count.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     learn = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.coalesce(F.length("text") > 0, F.lit(False)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = [r.id for r in learn.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).collect()]
-    x, labels, chars = [], [], 0
-    for row in learn.where(F.col("id").isin(chosen)).select("lang", "text", "id").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator() if chosen else ():
-        chars += len(row.text)
-        if has_letter(row.text) and chars <= max_chars:
+    sized = learn.select("id", "lang", F.when(F.col("text").rlike(r"\p{L}"), F.length("text")).otherwise(0).alias("chars"))
+    chosen = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).collect()
+    wanted: dict[str, int] = {}
+    for row in chosen:
+        wanted[row.lang] = wanted.get(row.lang, 0) + row.chars
+    left = shares(wanted, max_chars)
+    taken = learn.where(F.col("id").isin([r.id for r in chosen]) & (F.length("text") <= max(left.values(), default=0)))
+    x, labels = [], []
+    for row in taken.select("lang", "text", "id").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator() if chosen else ():
+        if has_letter(row.text) and len(row.text) <= left.get(row.lang, 0):
+            left[row.lang] -= len(row.text)
             x.append(features(row.text))
             labels.append(row.lang)
     return LanguageModel(np.array(x, np.float32).reshape(-1, DIMENSIONS), labels)

@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from afterbell.llm.language import UNKNOWN, keep_known_languages, learn_languages, predict_languages
+from afterbell.llm.language import UNKNOWN, keep_known_languages, learn_languages, predict_languages, shares
 
 SYLLABLES = {
     "en": "the and ing th er wh ould tion ly ight",
@@ -61,3 +61,22 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     assert predict_languages(empty, learn_languages(empty)).count() == 0
     assert {r.lang_pred for r in predict_languages(df, learn_languages(empty)).collect()} == {UNKNOWN}
+
+
+def test_a_text_beyond_the_bound_does_not_unlearn_others(spark):
+    rows = corpus(200)
+    schema = "doc_id long, text string, lang string"
+    ids = spark.range(1000, 1400).selectExpr("id", "xxhash64(id) h", "crc32(cast(cast(id as string) as binary)) % 4 = 2 held").where("not held").orderBy("h")
+    first = ids.first().id  # learned from before most others
+    df = spark.createDataFrame(rows, schema)
+    more = spark.createDataFrame([*rows, (first, "the ing " * 20_000, "en")], schema)
+    a, b = learn_languages(df, max_chars=100_000), learn_languages(more, max_chars=100_000)
+    assert a.langs == b.langs == sorted(SYLLABLES)
+    assert (a.weights == b.weights).all()
+    assert learn_languages(df, max_chars=2_000).langs == sorted(SYLLABLES)
+
+
+def test_shares():
+    assert shares({"a": 5, "b": 90, "c": 30}, 200) == {"a": 5, "c": 30, "b": 90}
+    assert shares({"a": 5, "b": 90, "c": 30}, 60) == {"a": 5, "c": 27, "b": 28}
+    assert shares({}, 60) == {}

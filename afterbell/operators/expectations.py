@@ -66,43 +66,56 @@ def context_lookup(events: DataFrame, context: DataFrame, carry: Sequence[str])
 def revisions(events: DataFrame, estimates: DataFrame, window_days: int = 30, age_days: int = 370) -> DataFrame:
     """Analyst revisions before each event: latest estimate per (metric, analyst) now and ``window_days`` before.
 
-    estimates: ticker, estimate_time, analyst_id, metric, estimate_value. The interval join is on
-    the ticker; one aggregation finds both latest values.
+    estimates: ticker, estimate_time, analyst_id, metric, estimate_value; event_id is the key of
+    events. Each analyst's two values are as-of steps over the different event times, so rows grow
+    with times and analysts of a ticker, not with pairs of events and estimates.
     """
-    e = events.select("event_id", "ticker", "event_time")
-    age = F.unix_timestamp("event_time") - F.unix_timestamp("estimate_time")
-    rows = e.join(estimates, "ticker").where((age >= 0) & (age <= age_days * 86400))
-    order = F.struct("estimate_time", "estimate_value")
-    both = rows.groupBy("event_id", "metric", "analyst_id").agg(
-        F.max_by("estimate_value", order).alias("_now"), F.max_by("estimate_value", F.when(age >= window_days * 86400, order)).alias("_then")
-    )
+    second = F.unix_timestamp("estimate_time").alias("_at")
+    series = ["ticker", "metric", "analyst_id"]
+    facts = estimates.groupBy(*series, second).agg(F.max_by("estimate_value", F.struct("estimate_time", "estimate_value")).alias("_v"))
+    facts = facts.withColumnRenamed("_at", "_t")
+    times = events.where("event_time is not null").select("ticker", F.unix_timestamp("event_time").alias("_second")).distinct()
+    probes = times.join(facts.select(*series).distinct(), "ticker")
+    late = asof_backward(probes, facts, series, F.col("_second"), F.col("_t"), ["_v", "_t"])
+    late = late.where(F.col("_second") - F.col("_t") <= age_days * 86400).withColumnsRenamed({"_v": "_now", "_t": "_now_at"})
+    both = asof_backward(late, facts, series, F.col("_second") - window_days * 86400, F.col("_t"), ["_v", "_t"])
+    both = both.withColumn("_then", F.when(F.col("_second") - F.col("_t") <= age_days * 86400, F.col("_v")))
     delta = F.col("_now") - F.col("_then")
     matched = F.col("_then").isNotNull()
-    return both.groupBy("event_id", "metric").agg(
+    found = both.groupBy("ticker", "_second", "metric").agg(
         F.count("*").alias("analysts"), F.sum(matched.cast("long")).alias("matched"),
         F.sum(F.coalesce(F.abs(delta) > 1e-12, F.lit(False)).cast("long")).alias("revised"),
         F.avg(delta).alias("mean_revision"), F.avg(F.when(matched, (delta > 0).cast("double"))).alias("pct_up"), F.avg(F.when(matched, (delta < 0).cast("double"))).alias("pct_down"),
         F.when(F.count("*") > 1, F.stddev_samp("_now")).otherwise(0.0).alias("dispersion"),
     )
+    asked = events.select("event_id", "ticker", F.unix_timestamp("event_time").alias("_second"))
+    return asked.join(found, ["ticker", "_second"]).drop("ticker", "_second")
 
 
 def implied_moves(events: DataFrame, quotes: DataFrame, max_age_days: int = 14) -> DataFrame:
     """At-the-money straddle of each event: (call + put) / spot of the best valid quote.
 
     Valid: quoted at or before the event and within ``max_age_days``, not expired, spot above 0,
-    prices not negative. Best: fewest days to expiry, nearest strike, youngest.
+    prices not negative. Best: fewest days to expiry, nearest strike, youngest. The best quote of each
+    second and expiration meets the different event times of its ticker in buckets of ``max_age_days``.
     """
     call = F.coalesce("call_mid", (F.col("call_bid") + F.col("call_ask")) / 2)
     put = F.coalesce("put_mid", (F.col("put_bid") + F.col("put_ask")) / 2)
     day = F.col("event_time").cast("date")
-    age = F.unix_timestamp("event_time") - F.unix_timestamp("quote_time")
-    rows = events.select("event_id", "ticker", "event_time").join(quotes, "ticker")
-    rows = rows.withColumns({"_call": call, "_put": put, "_age": age, "days_to_expiration": F.date_diff("expiration", day)})
-    valid = (F.col("_age") >= 0) & (F.col("_age") <= max_age_days * 86400) & (F.col("days_to_expiration") >= 0) & (F.col("_call") >= 0) & (F.col("_put") >= 0) & (F.col("underlying_price") > 0)
     miss = F.abs(F.col("strike") - F.col("underlying_price")) / F.col("underlying_price")
-    best = rows.where(valid).groupBy("event_id").agg(
-        F.min(F.struct("days_to_expiration", miss.alias("miss"), "_age", "strike", "_call", "_put", "underlying_price")).alias("b")
+    width = max_age_days * 86400
+    priced = quotes.withColumns({"_call": call, "_put": put}).where((F.col("_call") >= 0) & (F.col("_put") >= 0) & (F.col("underlying_price") > 0))
+    offers = priced.groupBy("ticker", F.unix_timestamp("quote_time").alias("_quoted"), "expiration").agg(F.min(F.struct(miss.alias("miss"), "strike", "_call", "_put", "underlying_price")).alias("o"))
+    offers = offers.withColumn("_bucket", F.floor(F.col("_quoted") / width))
+    times = events.select("ticker", "event_time").distinct()
+    bucket = F.floor(F.unix_timestamp("event_time") / width)
+    rows = times.withColumn("_bucket", F.explode(F.array(bucket, bucket - 1))).join(offers, ["ticker", "_bucket"])
+    rows = rows.withColumns({"_age": F.unix_timestamp("event_time") - F.col("_quoted"), "days_to_expiration": F.date_diff("expiration", day)})
+    valid = (F.col("_age") >= 0) & (F.col("_age") <= width) & (F.col("days_to_expiration") >= 0)
+    found = rows.where(valid).groupBy("ticker", "event_time").agg(
+        F.min(F.struct("days_to_expiration", "o.miss", "_age", "o.strike", "o._call", "o._put", "o.underlying_price")).alias("b")
     )
+    best = events.select("event_id", "ticker", "event_time").join(found, ["ticker", "event_time"])
     return best.select("event_id", "b.days_to_expiration", "b.strike", ((F.col("b._call") + F.col("b._put")) / F.col("b.underlying_price")).alias("implied_move"))
 
 

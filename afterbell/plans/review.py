@@ -178,6 +178,23 @@ def jn3_context_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FEW = "few AS (SELECT * FROM evts WHERE event_id % 50 = 0)"
 
 
+def _revisions(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    estimates = base.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").alias("estimate_time"), F.col("l_linenumber").alias("analyst_id"), F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").alias("estimate_value")
+    )
+    return rounded(X.revisions(events, estimates).withColumn("dispersion", F.round("dispersion", 4)))
+
+
+def _moves(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    price = F.col("l_extendedprice")
+    quotes = base.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").alias("quote_time"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).alias("expiration"), (F.col("l_quantity") * 1500).alias("underlying_price"),
+        price.alias("strike"), (price * F.col("l_discount")).alias("call_mid"), F.lit(None).cast("double").alias("call_bid"), F.lit(None).cast("double").alias("call_ask"),
+        F.lit(None).cast("double").alias("put_mid"), (price * F.col("l_tax")).alias("put_bid"), (price * F.col("l_discount")).alias("put_ask"),
+    )
+    return X.implied_moves(events, quotes).withColumn("implied_move", F.round("implied_move", 6))
+
+
 @register(
     "jn5_analyst_revisions",
     "WITH " + base.EVENTS + ", " + _FEW + """, r AS (SELECT f.event_id, l_returnflag AS metric, l_linenumber AS analyst_id, l_extendedprice AS v, l_shipdate AS t, date_diff('second', l_shipdate, f.event_time) AS age FROM few f JOIN lineitem ON l_suppkey = f.ticker
@@ -188,11 +205,7 @@ _FEW = "few AS (SELECT * FROM evts WHERE event_id % 50 = 0)"
 )
 def jn5_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-5: latest and earlier estimate per analyst, and their change."""
-    estimates = base.table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").alias("estimate_time"), F.col("l_linenumber").alias("analyst_id"), F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").alias("estimate_value")
-    )
-    out = X.revisions(base.events(spark, sf_dir).where("event_id % 50 = 0"), estimates)
-    return rounded(out.withColumn("dispersion", F.round("dispersion", 4)))
+    return _revisions(spark, sf_dir, base.events(spark, sf_dir).where("event_id % 50 = 0"))
 
 
 @register(
@@ -205,13 +218,19 @@ def jn5_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def jn4_implied_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-4: at-the-money straddle per event."""
-    price = F.col("l_extendedprice")
-    quotes = base.table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").alias("quote_time"), F.date_add(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int")).alias("expiration"), (F.col("l_quantity") * 1500).alias("underlying_price"),
-        price.alias("strike"), (price * F.col("l_discount")).alias("call_mid"), F.lit(None).cast("double").alias("call_bid"), F.lit(None).cast("double").alias("call_ask"),
-        F.lit(None).cast("double").alias("put_mid"), (price * F.col("l_tax")).alias("put_bid"), (price * F.col("l_discount")).alias("put_ask"),
-    )
-    return X.implied_moves(base.events(spark, sf_dir).where("event_id % 50 = 0"), quotes).withColumn("implied_move", F.round("implied_move", 6))
+    return _moves(spark, sf_dir, base.events(spark, sf_dir).where("event_id % 50 = 0"))
+
+
+@register("jn5_all_analyst_revisions")
+def jn5_all_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5 over all events; the SQL over a part of them is that of jn5_analyst_revisions."""
+    return _revisions(spark, sf_dir, base.events(spark, sf_dir))
+
+
+@register("jn4_all_implied_moves")
+def jn4_all_implied_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-4 over all events; the SQL over a part of them is that of jn4_implied_moves."""
+    return _moves(spark, sf_dir, base.events(spark, sf_dir))
 
 
 @register(

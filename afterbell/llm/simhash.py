@@ -41,7 +41,11 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int) -> int:
     """SimHash of the shingles, as an unsigned number; 0 without words."""
-    hashes = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes as :func:`shingle_hashes` gives them (most significant byte first)."""
     if not len(hashes):
         return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)

@@ -59,5 +59,6 @@ def test_kept_rows_are_those_of_brute_force(spark, monkeypatch):
     assert {r.doc_id for r in keep_one_of_each(df).collect()} == want
     monkeypatch.setattr(jaccard, "SHIFT_GROUP", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
-    monkeypatch.setattr(jaccard, "COMMON", 0)
+    monkeypatch.setattr(jaccard, "CHUNK", 10)
+    monkeypatch.setattr(jaccard, "PARTNERS", 3)
     assert {r.doc_id for r in keep_one_of_each(df).collect()} == want

@@ -28,6 +28,10 @@ TRAILER = struct.Struct("<IIQQQ8s")
 BLOCK_IDS = 4096
 #: Most words whose ids a worker keeps.
 CACHE_WORDS = 1_200_000
+#: The one letter outside ASCII that lower-cases into it.
+KELVIN = "\u212a".encode()
+
+
 def _plain(word: bytes) -> bool:
     """Whether a lower-cased word is only letters that normalisation and lower-casing leave as they are."""
     if word.isascii():
@@ -82,7 +86,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         parsed = json.loads(spec)
         self.by_word = words_are_independent(parsed)
-        self.special = [t["content"].encode() for t in parsed.get("added_tokens", [])]
+        self.special = [t["content"].lower().encode() for t in parsed.get("added_tokens", [])]
         self.known: dict[bytes, bytes] = {}
         # with a suffix that marks a word's last piece, many plain words can be told apart in one text
         suffix = parsed["model"].get("end_of_word_suffix")
@@ -135,9 +139,10 @@ class Encoder:
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._ids([t.decode() for t in texts])
-        # the splitter sees lower case, and special tokens are lower case themselves or handled whole
-        odd = [any(s in t for s in self.special) for t in texts]
-        split = [[] if o else t.lower().split() for t, o in zip(texts, odd, strict=True)]
+        # the tokenizer looks for special tokens before it lower-cases, so a text that holds one in any case is encoded whole
+        lower = [t.lower() for t in texts]
+        odd = [KELVIN in t or any(s in t for s in self.special) for t in lower]
+        split = [[] if o else t.split() for t, o in zip(lower, odd, strict=True)]
         words = set().union(*split)
         if len(self.known) > CACHE_WORDS:  # words of this batch stay, most frequent words are among them
             self.known = {w: self.known[w] for w in words & self.known.keys()}
@@ -230,8 +235,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     temporary name with the attempt's own number and renamed, so repeated attempts do no harm.
     Returns the manifest, one entry per file in id order: uri, docs, ids, start (ids before it).
 
-    Defined cases: a null or empty text has the end id only; null ids come first; repeated ids keep
-    all their rows; an empty table writes no files; further columns are ignored.
+    Defined cases: a null or empty text has the end id only; null ids come first; rows of one id are
+    ordered by the hash of their text, null texts first, and may be spread over files; an empty table
+    writes no files; further columns are ignored.
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(Path(tokenizer_path).read_text())
@@ -269,11 +275,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     # the folder is made by Spark's file system, so that every executor finds it
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    ranged = (
-        docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-        .repartitionByRange(partitions(spark), F.col("_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("_id").asc_nulls_first())
-    )
+    order = [F.col("_id").asc_nulls_first(), F.col("_tie").asc_nulls_first()]
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.when(text.isNotNull(), F.xxhash64(text)).alias("_tie"))
+    ranged = keyed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("_id", "_text")
     manifest, start = [], 0
     for row in sorted(ranged.mapInArrow(run, "part int, uri string, docs long, ids long").collect()):  # one small row per file
         manifest.append({"uri": row.uri, "docs": row.docs, "ids": row.ids, "start": start})

@@ -15,6 +15,9 @@ ODD = [
     "Hello, World. It's THE end... don't ,. x,. y.,",
     "ÀÉ é ́x a b c ẞ İ ǅ",
     "<|endoftext|> and <|STARTOFTEXT|> x<|startoftext|>y",
+    "a <|ENDOFTEXT|> b",
+    "a <|EndOfText|>, <|STARTOFTEXT|>b <|startof text|>",
+    "\u212aelvin \u212a. <|ENDOFTEXT|",
     "tab\tline\nfeed\x0b\x0c\r end 123 4.5 ½ ٣",
     "日本語 テキスト 🎉🎉 a🎉b",
     "x" * 5000,
@@ -39,8 +42,9 @@ def test_words_one_by_one_give_the_ids_of_whole_texts():
     encoder, whole = Encoder(open(PATH).read()), Tokenizer.from_file(PATH)
     assert encoder.by_word
     r = random.Random(2)
-    alphabet = "abcXYZ.,;'-!19éßñ \n\t"
+    alphabet = [*"abcXYZ.,;'-!19éßñ \n\t", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "\u212a"]
     texts = ODD + ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(400)]
+    texts += ["".join(r.choice(alphabet[:19]) for _ in range(r.randint(0, 200))) for _ in range(400)]
     for text, got in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
@@ -86,4 +90,16 @@ def test_random_access_to_a_file(spark, tmp_path):
 
 def test_empty_table(spark):
     assert tokens_round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_rows_of_one_id_have_one_order(spark):
+    rows = [(7, f"text {i}") for i in range(300)] + [(7, None), (None, "x"), (None, "y"), (9, "z")]
+    one, other = (
+        sorted((r.start, r.doc_id, r.ids_crc32) for r in tokens_round_trip(spark.createDataFrame(x, "doc_id long, text string").repartition(k), PATH).collect())
+        for x, k in ((rows, 2), (rows[::-1], 5))
+    )
+    assert one == other and len(one) == len(rows)
+
+
+def test_no_manifest(spark):
     assert read_tokens(spark, []).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

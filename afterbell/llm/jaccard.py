@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from afterbell.llm.common import materialize, partitions
@@ -133,16 +133,14 @@ def prefixes(docs: DataFrame, words: int, rank: Broadcast) -> DataFrame:
 
 
 def postings(docs: DataFrame, nodes: DataFrame, words: int, rank: Broadcast) -> DataFrame:
-    """_key, _node, _times: the nodes that share shingles of their prefixes. Shingles with the same nodes are one key, as they give the same pairs."""
+    """_key, _node, _times: the nodes that share shingles of their prefixes. Shingles with the same nodes are one key, as they give the same pairs.
+
+    (Repeated rows of one text may make keys of different shingles equal; that only adds pairs to look at.)
+    """
     rows = prefixes(docs, words, rank).join(nodes.select(F.col("_first").alias("_id"), "_node"), "_id").select("_node", F.explode("_prefix").alias("_shingle"))
-    rows = materialize(rows.distinct(), "prefixes")
-    shared = (
-        rows.groupBy("_shingle")
-        .agg(F.count("*").alias("_times"), F.bit_xor(F.xxhash64("_node")).alias("_x"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("_y"))
-        .where("_times > 1")
-        .select("_shingle", "_times", F.xxhash64("_times", "_x", "_y").alias("_key"))
-    )
-    return materialize(rows.join(shared, "_shingle").select("_key", "_node", "_times").distinct(), "postings")
+    same = Window.partitionBy("_shingle")
+    shared = rows.withColumns({"_times": F.count("*").over(same), "_x": F.bit_xor(F.xxhash64("_node")).over(same), "_y": F.bit_xor(F.xxhash64("_node", F.lit(1))).over(same)})
+    return materialize(shared.where("_times > 1").select(F.xxhash64("_times", "_x", "_y").alias("_key"), "_node", "_times").distinct(), "postings")
 
 
 def _possible(bits: np.ndarray, n: np.ndarray, group: np.ndarray, guest: np.ndarray, i, j) -> np.ndarray:

@@ -27,14 +27,15 @@ def _merged(probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: C
 def asof_forward(
     probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: Column, fact_at: Column, carry: Sequence[str], strict: Column | bool = False, known: str | None = None
 ) -> DataFrame:
-    """Each probe with the first fact at or after its time (after it where ``strict``); NULLs if there is none.
+    """Each probe with the first fact at or after its time (after it where ``strict``); NULLs if there is none or the probe has no time.
 
     ``known`` names a column that says whether the key has any fact, from the same partitions.
     """
     order = _tie(strict, probe_first=True)
     merged = _merged(probes.withColumn("_strict", F.lit(strict) if isinstance(strict, bool) else strict), facts, key, probe_at, fact_at, carry)
-    w = Window.partitionBy(*key).orderBy(_AT, order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return _result(merged.withColumn("_found", F.first(_ROW, ignorenulls=True).over(w)), probes, carry, key, known)
+    # from the last row back to the first: a running value, where a frame up to the end would be read anew for each row
+    w = Window.partitionBy(*key).orderBy(F.desc(_AT), order.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _result(merged.withColumn("_found", F.when(F.col(_AT).isNotNull(), F.last(_ROW, ignorenulls=True).over(w))), probes, carry, key, known)
 
 
 def asof_backward(

@@ -160,9 +160,10 @@ def free_days(bars: DataFrame, events: DataFrame, margin: int = 10) -> DataFrame
     """
     e = events.select("ticker", F.col("event_time").cast("date").alias("d"), F.lit(1).alias("_e"))
     both = bars.select("ticker", "d", F.lit(0).alias("_e")).unionByName(e)
-    w = Window.partitionBy("ticker").orderBy("d")
-    before = F.last(F.when(F.col("_e") == 1, F.col("d")), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first(F.when(F.col("_e") == 1, F.col("d")), ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    event = F.when(F.col("_e") == 1, F.col("d"))
+    running = (Window.unboundedPreceding, Window.currentRow)
+    before = F.last(event, ignorenulls=True).over(Window.partitionBy("ticker").orderBy("d").rangeBetween(*running))
+    after = F.last(event, ignorenulls=True).over(Window.partitionBy("ticker").orderBy(F.desc("d")).rangeBetween(*running))
     near = F.least(F.date_diff("d", before), F.date_diff(after, "d"))
     return both.withColumn("_near", near).where((F.col("_e") == 0) & (F.col("_near").isNull() | (F.col("_near") > margin))).select("ticker", "d")
 

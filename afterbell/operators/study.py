@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from afterbell.functions.exprs import direction, norm, two_sided_p
 from afterbell.operators.asof import asof_forward
-from afterbell.operators.windows import by_ticker, forward_sum, market_model, trailing_std, trailing_sum
+from afterbell.operators.quantiles import value_range, with_quantile
+from afterbell.operators.windows import by_day, by_ticker, forward_sum, market_model, trailing_std, trailing_sum
 
 HORIZONS = (1, 3, 10)
 
@@ -20,8 +21,7 @@ def market_rows(returns: DataFrame, benchmark: DataFrame, horizons: Sequence[int
     returns: ticker, d, log_ret. benchmark: d, log_ret. A horizon's sums are NULL unless all its
     rows have complete pairs.
     """
-    # one row per calendar day: a broadcast of fixed size, which keeps the rows dealt by ticker
-    rows = returns.select("ticker", "d", F.col("log_ret").alias("y")).join(F.broadcast(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left")
+    rows = returns.select("ticker", "d", F.col("log_ret").alias("y")).join(by_day(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left")
     complete = F.col("y").isNotNull() & F.col("x").isNotNull()
     columns = {"i": F.row_number().over(by_ticker()) - 1, "pre_5": trailing_sum("y", 5), "pre_20": trailing_sum("y", 20), "pre_vol_20": trailing_std("y", 20)}
     for h in horizons:
@@ -69,16 +69,18 @@ def base_rates(study: DataFrame, by: Sequence[str], horizon: int = 1, least: int
     """Rates and moments of the abnormal return by text columns (NULL: unknown), groups of at least ``least`` rows."""
     car = F.col(f"car_{horizon}")
     rows = study.where((F.col("status") == "ok") & car.isNotNull())
+    named = rows.select(*[norm(F.col(c)).alias(c) for c in by], car.alias("_car"), f"significant_{horizon}", f"z_{horizon}")
+    car = F.col("_car")
     n, mean, std = F.count("*"), F.avg(car), F.stddev_samp(car)
     stderr = F.when(n > 1, std / F.sqrt(n))
-    return (
-        rows.groupBy(*[norm(F.col(c)).alias(c) for c in by])
+    stats = (
+        named.groupBy(*by)
         .agg(
             n.alias("n"),
             F.avg((car > 0).cast("double")).alias("positive_rate"),
             F.avg(F.col(f"significant_{horizon}").cast("double")).alias("significant_rate"),
             mean.alias("mean_car"),
-            F.median(car).alias("median_car"),
+            value_range("_car", 0.5).alias("_between"),
             std.alias("std_car"),
             stderr.alias("stderr_car"),
             F.avg(F.expm1(car)).alias("mean_simple"),
@@ -87,6 +89,7 @@ def base_rates(study: DataFrame, by: Sequence[str], horizon: int = 1, least: int
         )
         .where(F.col("n") >= least)
     )
+    return with_quantile(stats, named, "_car", by, 0.5, "median_car", "n", "_between")
 
 
 def one_way_marginals(study: DataFrame, by: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:
@@ -97,16 +100,22 @@ def one_way_marginals(study: DataFrame, by: Sequence[str], horizons: Sequence[in
     cells = long.select("*", "m.*").where(F.col("car").isNotNull()).withColumn(
         "g", F.explode(F.array(F.struct(F.lit("all").alias("c"), F.lit("all").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in by]))
     )
-    return cells.groupBy(F.col("g.c").alias("group_column"), F.col("g.v").alias("group_value"), "horizon").agg(
-        F.count("*").alias("n"), F.avg("car").alias("mean_car"), F.median("car").alias("median_car"), F.avg((F.col("car") > 0).cast("double")).alias("positive_rate")
+    cells = cells.select(F.col("g.c").alias("group_column"), F.col("g.v").alias("group_value"), "horizon", "car")
+    keys = ["group_column", "group_value", "horizon"]
+    stats = cells.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("car").alias("mean_car"), value_range("car", 0.5).alias("_between"), F.avg((F.col("car") > 0).cast("double")).alias("positive_rate")
     )
+    return with_quantile(stats, cells, "car", keys, 0.5, "median_car", "n", "_between")
 
 
 def winsorised_mean(df: DataFrame, value: str, by: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Mean of values clipped to their group's quantiles (linear interpolation)."""
-    bounds = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    clipped = F.least(F.greatest(F.col(value), F.col("_q")[0]), F.col("_q")[1])
-    return df.where(F.col(value).isNotNull()).join(bounds, list(by)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(clipped).alias("winsorised_mean"))
+    rows = df.where(F.col(value).isNotNull())
+    bounds = rows.groupBy(*by).agg(F.count("*").alias("_n"), value_range(value, low).alias("_around_low"), value_range(value, high).alias("_around_high"))
+    bounds = with_quantile(bounds, rows, value, by, low, "_low", "_n", "_around_low")
+    bounds = with_quantile(bounds, rows, value, by, high, "_high", "_n", "_around_high").drop("_n")
+    clipped = F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high"))
+    return rows.join(bounds, list(by)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(clipped).alias("winsorised_mean"))
 
 
 def leave_one_out_range(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

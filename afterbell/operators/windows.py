@@ -10,6 +10,11 @@ def by_ticker(key: str = "ticker", at: str = "d"):
     return Window.partitionBy(key).orderBy(at)
 
 
+def by_day(df: DataFrame) -> DataFrame:
+    """One row per day (d) for a broadcast that keeps the other side dealt by ticker. A date has 3.65 million values: tens of megabytes at most."""
+    return F.broadcast(df.withColumn("d", F.col("d").cast("date")).where(F.col("d").isNotNull()).dropDuplicates(["d"]))
+
+
 def dense_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Log returns on the union calendar: a day without a bar has no price and no return, and neither has the day after.
 
@@ -17,7 +22,7 @@ def dense_returns(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     The grid is (tickers x days), the shape of the analysis itself, not of a pair join.
     """
     days = calendar.select("d", F.row_number().over(Window.orderBy("d")).alias("i"))  # one row per calendar day
-    grid = bars.select("ticker").distinct().join(F.broadcast(days))
+    grid = bars.select("ticker").distinct().join(by_day(days))
     w = by_ticker()
     ratio = F.try_divide(F.col("price"), F.lag("price").over(w))
     return grid.join(bars.select("ticker", "d", "price"), ["ticker", "d"], "left").withColumn("log_ret", F.when(ratio > 0, F.ln(ratio)))
@@ -113,8 +118,7 @@ def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     benchmark's; vol_20 (at least 20 returns); beta_60 and idio_vol_60 over complete pairs; volume_z
     against the 20 bars before; runup_z; expected_move_h.
     """
-    # one row per calendar day: a broadcast of fixed size, which keeps the rows dealt by ticker
-    rows = sparse_returns(bars).join(F.broadcast(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left").withColumnRenamed("log_ret", "y")
+    rows = sparse_returns(bars).join(by_day(benchmark.select("d", F.col("log_ret").alias("x"))), "d", "left").withColumnRenamed("log_ret", "y")
 
     def last(n: int):
         return by_ticker().rowsBetween(-(n - 1), 0)

@@ -142,33 +142,29 @@ def ml7_peer_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.peer_controls(e, B.ring_peers(e.select("ticker")))
 
 
-_FREE = "WITH " + base.BARS + ", " + base.EVENTS + """, few AS (SELECT * FROM evts WHERE event_id % 40 = 0),
-free AS (SELECT ticker, d FROM bars b WHERE NOT EXISTS (SELECT 1 FROM few e WHERE e.ticker = b.ticker AND abs(CAST(e.event_time AS DATE) - b.d) <= 10))
+_FREE = "WITH " + base.BARS + ", " + base.EVENTS + """,
+free AS (SELECT ticker, d FROM bars b WHERE NOT EXISTS (SELECT 1 FROM evts e WHERE e.ticker = b.ticker AND abs(CAST(e.event_time AS DATE) - b.d) <= 10))
 """
 
 
-def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.events(spark, sf_dir).where("event_id % 40 = 0")
-
-
 @register("jn17_free_days", _FREE + "SELECT ticker, CAST(d AS VARCHAR) AS d FROM free")
 def jn17_free_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-17: bars away from a thinned set of events (the driver's events are so dense that hardly a day is free of all)."""
-    return B.free_days(base.bars(spark, sf_dir), _few(spark, sf_dir)).select("ticker", F.col("d").cast("string").alias("d"))
+    """JN-17: bars away from every event of their ticker."""
+    return B.free_days(base.bars(spark, sf_dir), base.events(spark, sf_dir)).select("ticker", F.col("d").cast("string").alias("d"))
 
 
 @register(
     "ml6_random_placebos",
     _FREE
     + """, days AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5('42:' || ticker::VARCHAR || ':' || CAST(d AS VARCHAR)), d) - 1 AS r, count(*) OVER (PARTITION BY ticker) AS n FROM free),
-    a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5('42:' || event_id::VARCHAR), event_id) - 1 AS k FROM few)
+    a AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY md5('42:' || event_id::VARCHAR), event_id) - 1 AS k FROM evts)
     SELECT a.event_id::VARCHAR || '__placebo01' AS event_id, a.ticker, CAST(days.d AS VARCHAR) AS placebo_day, 'placebo' AS event_type, 'non_event_control' AS event_subtype
     FROM a JOIN days ON a.ticker = days.ticker AND a.k % days.n = days.r""",
 )
 def ml6_random_placebos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-6: placebo events at hashed free days."""
-    few = _few(spark, sf_dir)
-    out = B.random_placebos(few, B.free_days(base.bars(spark, sf_dir), few))
+    e = base.events(spark, sf_dir)
+    out = B.random_placebos(e, B.free_days(base.bars(spark, sf_dir), e))
     return out.withColumn("placebo_day", F.col("placebo_day").cast("string"))
 
 

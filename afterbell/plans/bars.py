@@ -20,15 +20,15 @@ def _sql(*ctes: str) -> str:
 @register(
     "sc5_dense_log_returns",
     _sql(base.BARS)
-    + """, cal AS (SELECT DISTINCT d FROM bars), t AS (SELECT DISTINCT ticker FROM bars WHERE ticker <= 20), g AS (SELECT t.ticker, cal.d, b.price FROM t CROSS JOIN cal LEFT JOIN bars b ON b.ticker = t.ticker AND b.d = cal.d),
+    + """, cal AS (SELECT DISTINCT d FROM bars), t AS (SELECT DISTINCT ticker FROM bars), g AS (SELECT t.ticker, cal.d, b.price FROM t CROSS JOIN cal LEFT JOIN bars b ON b.ticker = t.ticker AND b.d = cal.d),
     r AS (SELECT ticker, d, price, ln(price / lag(price) OVER (PARTITION BY ticker ORDER BY d)) AS log_ret FROM g)
-    SELECT ticker, CAST(d AS VARCHAR) AS d, round(price, 6) AS price, round(log_ret, 6) AS log_ret FROM r WHERE log_ret IS NOT NULL""",
+    SELECT ticker, CAST(d AS VARCHAR) AS d, round(price + 1e-9, 6) AS price, round(log_ret, 6) AS log_ret FROM r WHERE log_ret IS NOT NULL""",
 )
 def sc5_dense_log_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC-5, SC-6: log returns on the union calendar (a gap breaks the return), of the tickers of the first block."""
+    """SC-5, SC-6: log returns on the union calendar (a gap breaks the return)."""
     b = base.bars(spark, sf_dir)
-    out = W.dense_returns(b.where("ticker <= 20"), b.select("d").distinct())
-    return out.where("log_ret is not null").select("ticker", F.col("d").cast("string").alias("d"), F.round("price", 6).alias("price"), F.round("log_ret", 6).alias("log_ret"))
+    out = W.dense_returns(b, b.select("d").distinct())
+    return out.where("log_ret is not null").select("ticker", F.col("d").cast("string").alias("d"), F.round(F.col("price") + 1e-9, 6).alias("price"), F.round("log_ret", 6).alias("log_ret"))
 
 
 _F = ["ret_5", "ret_20", "ret_60", "adj_5", "adj_20", "adj_60", "vol_20", "beta_60", "idio_vol_60", "volume_z", "runup_z", "expected_move_3"]

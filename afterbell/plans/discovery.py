@@ -133,28 +133,28 @@ _STOP = ", ".join(f"'{w}'" for w in S.STOP_WORDS)
     f"""WITH t AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[\\w\\p{{L}}]{{2,}}')) AS term FROM benchmark),
     f AS (SELECT id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
     w AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1) AS w FROM f JOIN df USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1), u AS (SELECT w.id, term, w / n AS w FROM w JOIN n ON w.id = n.id),
-    d AS (SELECT p.id AS probe, o.id, sum(p.w * o.w) AS similarity FROM u p JOIN u o ON p.term = o.term AND p.id <> o.id WHERE p.id % 4 = 0 GROUP BY 1, 2),
+    d AS (SELECT p.id AS probe, o.id, sum(p.w * o.w) AS similarity FROM u p JOIN u o ON p.term = o.term AND p.id <> o.id GROUP BY 1, 2),
     r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(similarity, 9) DESC, id) AS rank FROM d)
     SELECT probe, id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""",
 )
 def tx11_tfidf_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-11: most similar texts by TF-IDF cosine."""
     b = base.table(spark, sf_dir, "benchmark")
-    return rounded(S.similar(b, "item_id", "text", b.where("item_id % 4 = 0"), 5))
+    return rounded(S.similar(b, "item_id", "text", b, 5))
 
 
 @register(
     "tx12_analogs",
     """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b, length(p_name)::DOUBLE AS c FROM part), m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM p),
-    z AS (SELECT p_partkey, (a - ma) / sa AS x, (b - mb) / sb AS y, CASE WHEN sc = 0 THEN c - mc ELSE (c - mc) / sc END AS w FROM p, m), q AS (SELECT * FROM z WHERE p_partkey IN (7, 77, 777)),
+    z AS (SELECT p_partkey, (a - ma) / sa AS x, (b - mb) / sb AS y, CASE WHEN sc = 0 THEN c - mc ELSE (c - mc) / sc END AS w FROM p, m), q AS (SELECT * FROM z WHERE p_partkey % 100 = 0),
     d AS (SELECT q.p_partkey AS probe, z.p_partkey, (q.x * z.x + q.y * z.y + q.w * z.w) / nullif(sqrt((q.x * q.x + q.y * q.y + q.w * q.w) * (z.x * z.x + z.y * z.y + z.w * z.w)), 0) AS s FROM q JOIN z ON q.p_partkey <> z.p_partkey),
     r AS (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(s, 9) DESC NULLS LAST, p_partkey) AS rank FROM d)
     SELECT probe, p_partkey, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""",
 )
 def tx12_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TX-12: nearest rows of three probes by standardised features."""
+    """TX-12: nearest rows of every hundredth part by standardised features."""
     p = base.table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), F.length("p_name").cast("double").alias("c"))
-    return rounded(S.analogs(p, "p_partkey", ["a", "b", "c"], p.where(F.col("p_partkey").isin(7, 77, 777)), 8))
+    return rounded(S.analogs(p, "p_partkey", ["a", "b", "c"], p.where("p_partkey % 100 = 0"), 8))
 
 
 @register(

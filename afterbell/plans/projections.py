@@ -16,6 +16,7 @@ from afterbell.plans.registry import register
 from afterbell.plans.study import rounded, study_frame
 from afterbell.sources.documents import filing_items, filter_filings
 from afterbell.sources.events import template
+from afterbell.sources.sinks import packets
 
 _E = "WITH " + base.EVENTS
 
@@ -65,14 +66,14 @@ def jn19_link_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "jn22_dual_context",
-    _E + """, ctx AS (SELECT ticker, CAST(event_time AS DATE) AS asof_date, max(CAST(round(amount) AS BIGINT)) AS cap FROM evts WHERE event_id % 5 = 0 GROUP BY 1, 2), a AS (SELECT event_id, ticker AS target, (ticker + 1) % 90 AS acquirer, CAST(event_time AS DATE) AS day FROM evts WHERE event_id % 3 = 1)
+    _E + """, ctx AS (SELECT ticker, CAST(event_time AS DATE) AS asof_date, max(CAST(round(amount) AS BIGINT)) AS cap FROM evts WHERE event_id % 5 = 0 GROUP BY 1, 2), a AS (SELECT event_id, ticker AS target, (ticker + 1) % 90 AS acquirer, CAST(event_time AS DATE) AS day FROM evts)
     SELECT event_id, t.cap AS target_cap, q.cap AS acquirer_cap, round(t.cap / nullif(q.cap, 0), 6) AS size_ratio FROM a ASOF LEFT JOIN ctx t ON a.target = t.ticker AND a.day >= t.asof_date ASOF LEFT JOIN ctx q ON a.acquirer = q.ticker AND a.day >= q.asof_date""",
 )
 def jn22_dual_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-22: context of both parties of a deal."""
     e = base.events(spark, sf_dir)
     context = e.where("event_id % 5 = 0").select(F.lit(None).cast("long").alias("event_id"), "ticker", F.col("event_time").cast("date").alias("asof_date"), F.round("amount").cast("long").alias("cap"))
-    deals = e.where("event_id % 3 = 1").select("event_id", "ticker", "event_time", ((F.col("ticker") + 1) % 90).alias("acquirer"))
+    deals = e.select("event_id", "ticker", "event_time", ((F.col("ticker") + 1) % 90).alias("acquirer"))
     one = X.context_lookup(deals, context, ["cap"]).drop("context_match").withColumnRenamed("cap", "target_cap").withColumnsRenamed({"ticker": "target", "acquirer": "ticker"})
     two = X.context_lookup(one, context, ["cap"]).withColumnRenamed("cap", "acquirer_cap")
     return two.select("event_id", "target_cap", "acquirer_cap", F.round(F.try_divide(F.col("target_cap"), F.col("acquirer_cap")), 6).alias("size_ratio"))
@@ -173,12 +174,14 @@ def sk2_metric_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template(base.events(spark, sf_dir), {"estimate_value": "double"}, ["eps", "revenue", "margin"])
 
 
-@register("sk10_packets", "SELECT doc_id, sha256(CAST(to_json({'source_doc_id': doc_id, 'fields': ['eps', 'revenue'], 'n': length(text)}) AS VARCHAR)) AS packet FROM documents")
+@register(
+    "sk10_packets",
+    "SELECT doc_id, CAST(to_json({'source_doc_id': doc_id, 'title': source || ' ' || doc_id::VARCHAR, 'fields': ['eps', 'revenue'], 'text': substring(text, 1, 12000)}) AS VARCHAR) AS packet FROM documents",
+)
 def sk10_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SK-10: JSON packets for an extractor (here by hash)."""
-    d = base.table(spark, sf_dir, "documents")
-    packet = F.to_json(F.struct(F.col("doc_id").alias("source_doc_id"), F.array(F.lit("eps"), F.lit("revenue")).alias("fields"), F.length("text").alias("n")))
-    return d.select("doc_id", F.sha2(packet, 256).alias("packet"))
+    """SK-10: JSON packets for an extractor, with title and text."""
+    d = base.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_doc_id"), F.concat("source", F.lit(" "), F.col("doc_id").cast("string")).alias("title"), "text")
+    return packets(d, ["eps", "revenue"]).withColumnRenamed("source_doc_id", "doc_id")
 
 
 @register(
@@ -238,14 +241,13 @@ def ml8_control_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ml6_shifted_placebos",
-    "WITH " + base.BARS + ", " + base.EVENTS + """, few AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_id) - 1 AS k FROM evts WHERE event_id % 40 = 0), s AS (SELECT *, CAST(event_time AS DATE) + [30, 60, 90, -30, -60, -90][k % 6 + 1]::INTEGER AS day FROM few),
+    "WITH " + base.BARS + ", " + base.EVENTS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_id) - 1 AS k FROM evts), s AS (SELECT *, CAST(event_time AS DATE) + [30, 60, 90, -30, -60, -90][k % 6 + 1]::INTEGER AS day FROM numbered),
     f AS (SELECT s.event_id, s.ticker, b.d FROM s ASOF JOIN bars b ON s.ticker = b.ticker AND s.day <= b.d)
-    SELECT event_id::VARCHAR || '__placebo01' AS event_id, ticker, CAST(d AS VARCHAR) AS placebo_day FROM f WHERE NOT EXISTS (SELECT 1 FROM few e WHERE e.ticker = f.ticker AND abs(CAST(e.event_time AS DATE) - f.d) <= 10)""",
+    SELECT event_id::VARCHAR || '__placebo01' AS event_id, ticker, CAST(d AS VARCHAR) AS placebo_day FROM f WHERE NOT EXISTS (SELECT 1 FROM evts e WHERE e.ticker = f.ticker AND abs(CAST(e.event_time AS DATE) - f.d) <= 10)""",
 )
 def ml6_shifted_placebos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-6, shift mode: cycling shifts to the next bar, blocked days dropped."""
-    few = base.events(spark, sf_dir).where("event_id % 40 = 0")
-    return B.shifted_placebos(few, base.bars(spark, sf_dir)).withColumn("placebo_day", F.col("placebo_day").cast("string"))
+    return B.shifted_placebos(base.events(spark, sf_dir), base.bars(spark, sf_dir)).withColumn("placebo_day", F.col("placebo_day").cast("string"))
 
 
 @register(

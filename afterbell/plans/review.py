@@ -159,7 +159,7 @@ def pj5_surprise_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONTEXT = "WITH " + base.EVENTS + """, ctx AS (SELECT CASE WHEN event_id % 10 = 0 THEN event_id END AS event_id, ticker, CAST(event_time AS DATE) AS asof_date, CAST(round(amount) AS BIGINT) AS shares FROM evts WHERE event_id % 5 = 0),
 exact AS (SELECT event_id, arg_max(shares, (asof_date, shares)) AS shares FROM ctx WHERE event_id IS NOT NULL GROUP BY 1),
-dated AS (SELECT ticker, asof_date, max(shares) AS shares FROM ctx GROUP BY 1, 2), asked AS (SELECT *, CAST(event_time AS DATE) AS day FROM evts WHERE event_id % 3 = 0)
+dated AS (SELECT ticker, asof_date, max(shares) AS shares FROM ctx GROUP BY 1, 2), asked AS (SELECT *, CAST(event_time AS DATE) AS day FROM evts)
 """
 
 
@@ -172,10 +172,7 @@ def jn3_context_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-3: exact context, else the latest of the ticker."""
     e = base.events(spark, sf_dir)
     context = e.where("event_id % 5 = 0").select(F.when(F.col("event_id") % 10 == 0, F.col("event_id")).alias("event_id"), "ticker", F.col("event_time").cast("date").alias("asof_date"), F.round("amount").cast("long").alias("shares"))
-    return X.context_lookup(e.where("event_id % 3 = 0"), context, ["shares"]).select("event_id", "shares", "context_match")
-
-
-_FEW = "few AS (SELECT * FROM evts WHERE event_id % 50 = 0)"
+    return X.context_lookup(e, context, ["shares"]).select("event_id", "shares", "context_match")
 
 
 def _revisions(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
@@ -192,44 +189,38 @@ def _moves(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
         price.alias("strike"), (price * F.col("l_discount")).alias("call_mid"), F.lit(None).cast("double").alias("call_bid"), F.lit(None).cast("double").alias("call_ask"),
         F.lit(None).cast("double").alias("put_mid"), (price * F.col("l_tax")).alias("put_bid"), (price * F.col("l_discount")).alias("put_ask"),
     )
-    return X.implied_moves(events, quotes).withColumn("implied_move", F.round("implied_move", 6))
+    return X.implied_moves(events, quotes).withColumn("implied_move", F.round(F.col("implied_move") + 1e-9, 6))
 
 
-@register(
-    "jn5_analyst_revisions",
-    "WITH " + base.EVENTS + ", " + _FEW + """, r AS (SELECT f.event_id, l_returnflag AS metric, l_linenumber AS analyst_id, l_extendedprice AS v, l_shipdate AS t, date_diff('second', l_shipdate, f.event_time) AS age FROM few f JOIN lineitem ON l_suppkey = f.ticker
+_REVISIONS = (
+    "WITH " + base.EVENTS + """, r AS (SELECT f.event_id, l_returnflag AS metric, l_linenumber AS analyst_id, l_extendedprice AS v, l_shipdate AS t, date_diff('second', l_shipdate, f.event_time) AS age FROM evts f JOIN lineitem ON l_suppkey = f.ticker
       WHERE date_diff('second', l_shipdate, f.event_time) BETWEEN 0 AND 370 * 86400),
     b AS (SELECT event_id, metric, analyst_id, arg_max(v, (t, v)) AS n, arg_max(v, (t, v)) FILTER (WHERE age >= 30 * 86400) AS p FROM r GROUP BY 1, 2, 3)
     SELECT event_id, metric, count(*) AS analysts, count(p) AS matched, count(*) FILTER (WHERE abs(n - p) > 1e-12) AS revised, round(avg(n - p), 6) AS mean_revision, round(avg(CASE WHEN p IS NOT NULL THEN CAST(n > p AS DOUBLE) END), 6) AS pct_up,
-      round(avg(CASE WHEN p IS NOT NULL THEN CAST(n < p AS DOUBLE) END), 6) AS pct_down, round(CASE WHEN count(*) > 1 THEN stddev_samp(n) ELSE 0 END, 4) AS dispersion FROM b GROUP BY 1, 2""",
+      round(avg(CASE WHEN p IS NOT NULL THEN CAST(n < p AS DOUBLE) END), 6) AS pct_down, round(CASE WHEN count(*) > 1 THEN stddev_samp(n) ELSE 0 END, 4) AS dispersion FROM b GROUP BY 1, 2"""
 )
+
+
+@register("jn5_analyst_revisions", _REVISIONS)
+@register("jn5_all_analyst_revisions", _REVISIONS)
 def jn5_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-5: latest and earlier estimate per analyst, and their change."""
-    return _revisions(spark, sf_dir, base.events(spark, sf_dir).where("event_id % 50 = 0"))
+    return _revisions(spark, sf_dir, base.events(spark, sf_dir))
 
 
-@register(
-    "jn4_implied_moves",
-    "WITH " + base.EVENTS + ", " + _FEW + """, q AS (SELECT f.event_id, date_diff('day', CAST(f.event_time AS DATE), CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER)) AS dte, abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500) AS miss,
+_MOVES = (
+    "WITH " + base.EVENTS + """, q AS (SELECT f.event_id, date_diff('day', CAST(f.event_time AS DATE), CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER)) AS dte, abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500) AS miss,
       date_diff('second', l_shipdate, f.event_time) AS age, l_extendedprice AS strike, l_extendedprice * l_discount AS c, (l_extendedprice * l_tax + l_extendedprice * l_discount) / 2 AS p, l_quantity * 1500 AS spot
-      FROM few f JOIN lineitem ON l_suppkey = f.ticker),
+      FROM evts f JOIN lineitem ON l_suppkey = f.ticker),
     b AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY dte, miss, age, strike, c, p, spot) AS k FROM q WHERE age BETWEEN 0 AND 14 * 86400 AND dte >= 0)
-    SELECT event_id, dte AS days_to_expiration, strike, round((c + p) / spot, 6) AS implied_move FROM b WHERE k = 1""",
+    SELECT event_id, dte AS days_to_expiration, strike, round((c + p) / spot + 1e-9, 6) AS implied_move FROM b WHERE k = 1"""
 )
-def jn4_implied_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-4: at-the-money straddle per event."""
-    return _moves(spark, sf_dir, base.events(spark, sf_dir).where("event_id % 50 = 0"))
 
 
-@register("jn5_all_analyst_revisions")
-def jn5_all_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-5 over all events; the SQL over a part of them is that of jn5_analyst_revisions."""
-    return _revisions(spark, sf_dir, base.events(spark, sf_dir))
-
-
-@register("jn4_all_implied_moves")
-def jn4_all_implied_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-4 over all events; the SQL over a part of them is that of jn4_implied_moves."""
+@register("jn4_implied_moves", _MOVES)
+@register("jn4_all_implied_moves", _MOVES)
+def jn4_implied_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-4: at-the-money straddle per event."""
     return _moves(spark, sf_dir, base.events(spark, sf_dir))
 
 

@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_packets(docs: DataFrame, path: str, fields: list[str], max_chars: int = 12_000) -> None:
-    """JSON lines for an external extractor: document, wanted fields and the first ``max_chars`` characters, as its limit asks."""
+def packets(docs: DataFrame, fields: list[str], max_chars: int = 12_000) -> DataFrame:
+    """source_doc_id and JSON for an external extractor: document, title, wanted fields and the first ``max_chars`` characters, as its limit asks."""
     packet = F.to_json(F.struct("source_doc_id", "title", F.array(*[F.lit(f) for f in fields]).alias("fields"), F.substring("text", 1, max_chars).alias("text")))
-    docs.select(packet.alias("value")).write.text(path)
+    return docs.select("source_doc_id", packet.alias("packet"))
+
+
+def write_packets(docs: DataFrame, path: str, fields: list[str], max_chars: int = 12_000) -> None:
+    """The packets as JSON lines."""
+    packets(docs, fields, max_chars).select(F.col("packet").alias("value")).write.text(path)
 
 
 def digest(claims: DataFrame, title: str, most: int = 20) -> str:

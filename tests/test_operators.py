@@ -216,3 +216,18 @@ def test_taxonomies(spark):
     assert values(one, T.distress_survivability(F.lit("delisting"), F.lit("after_close"), F.lit(2e6))) == ["immediate-gap"]
     assert values(one, T.distress_survivability(F.lit("delisting"), F.lit("after_close"), F.lit(2e5))) == ["explanation-only"]
     assert values(spark.range(1), T.survivability(F.lit("exit_amendment"), F.lit("after_close")))[0].first_entry == "next_open"
+
+
+def test_forward_asof_takes_one_pass_over_a_large_key(spark):
+    import time
+
+    from afterbell.operators.asof import asof_forward
+    from pyspark.sql import functions as F
+
+    n = 200_000
+    facts = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 3).alias("t"), F.col("id").alias("v"))
+    probes = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 3 + 1).alias("at"), F.col("id").alias("p"))
+    began = time.time()
+    out = asof_forward(probes, facts, ["k"], F.col("at"), F.col("t"), ["v"])
+    assert out.where("v = p + 1").count() == n - 1 and out.where("v is null").count() == 1
+    assert time.time() - began < 60

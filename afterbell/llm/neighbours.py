@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from afterbell.llm.common import materialize
 
 #: Vectors of a tree, points of a leaf, queries of a block.
-SHARD_ROWS, LEAF, BLOCK = 8192, 64, 8192
-#: Room for rounding when a branch is ruled out.
-SLACK = 1e-9
+SHARD_ROWS, LEAF, BLOCK = 8192, 256, 2048
+#: Room for rounding: when a branch is ruled out, and, in squared lengths, when a product stands for a distance.
+SLACK, ROUNDING = 1e-9, 1e-11
 
 
 def distances(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
@@ -76,33 +76,47 @@ class Tree:
         """Distances and ids of the k nearest points of each query but those with its own id, ties to the smaller id.
 
         A branch is left out if its least possible distance times ``factor`` is above the k-th
-        distance so far: factor 1 leaves out only what cannot hold a neighbour.
+        distance so far: factor 1 leaves out only what cannot hold a neighbour. In a leaf, matrix
+        products rule out what is farther than the k-th by more than rounding; the rest is measured exactly.
         """
         best = np.full((len(queries), k), np.inf)
         names = np.full((len(queries), k), np.iinfo(np.int64).max)
+        q2, p2 = (queries * queries).sum(axis=1), (self.points * self.points).sum(axis=1)
 
-        def offer(rows: np.ndarray, d: np.ndarray, point_ids: np.ndarray) -> None:
-            d = np.where(own[rows][:, None] == point_ids[None, :], np.inf, d)
-            near = (d <= best[rows, -1:]).any(axis=1)
+        def offer(rows: np.ndarray, d: np.ndarray, found: np.ndarray) -> None:
+            """Distances ``d`` of points ``found`` (ids) from the queries ``rows``, one each."""
+            near = (d <= best[rows, -1]) & (own[rows] != found)
             if not near.any():
                 return
-            rows, d = rows[near], d[near]
-            all_d = np.hstack((best[rows], d))
-            all_n = np.hstack((names[rows], np.where(np.isinf(d), np.iinfo(np.int64).max, point_ids[None, :])))
-            top = np.lexsort((all_n, all_d), axis=-1)[:, :k]
-            best[rows], names[rows] = np.take_along_axis(all_d, top, 1), np.take_along_axis(all_n, top, 1)
+            rows, d, found = rows[near], d[near], found[near]
+            some = np.unique(rows)
+            all_rows = np.concatenate((np.repeat(some, k), rows))
+            all_d, all_n = np.concatenate((best[some].ravel(), d)), np.concatenate((names[some].ravel(), found))
+            order = np.lexsort((all_n, all_d, all_rows))
+            top = order[np.searchsorted(all_rows[order], some)[:, None] + np.arange(k)]
+            best[some], names[some] = all_d[top], all_n[top]
+
+        def leaf(rows: np.ndarray, at: np.ndarray) -> None:
+            near = q2[rows, None] + p2[None, at] - 2 * (queries[rows] @ self.points[at].T)
+            room = ROUNDING * (q2[rows] + p2[at].max())
+            limit = np.minimum(best[rows, -1] ** 2, np.partition(near, k, axis=1)[:, k] if len(at) > k + 1 else np.inf) + 2 * room
+            i, j = np.nonzero(near <= limit[:, None])
+            d = np.zeros(len(i))
+            for c in range(queries.shape[1]):
+                difference = queries[rows[i], c] - self.points[at[j], c]
+                d += difference * difference
+            offer(rows[i], np.sqrt(d), ids[at[j]])
 
         def visit(number: int, rows: np.ndarray) -> None:
             vantage, radius, inner, outer, a, b = self.nodes[number]
             if vantage < 0:
                 at = self.order[int(a) : int(b)]
                 for part in range(0, len(rows), 512):
-                    some = rows[part : part + 512]
                     for first in range(0, len(at), 4096):
-                        offer(some, distances(queries[some], self.points[at[first : first + 4096]]), ids[at[first : first + 4096]])
+                        leaf(rows[part : part + 512], at[first : first + 4096])
                 return
             d = distances(queries[rows], self.points[int(vantage)][None])[:, 0]
-            offer(rows, d[:, None], ids[[int(vantage)]])
+            offer(rows, d, np.full(len(rows), ids[int(vantage)]))
             within = d <= radius
             for near, far, side in ((inner, outer, within), (outer, inner, ~within)):
                 if side.any():
@@ -128,73 +142,84 @@ def usable_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return v.where(F.size("_vector") == (length.n if length else 0))
 
 
-def build_index(usable: DataFrame) -> DataFrame:
-    """One row per shard of about ``SHARD_ROWS`` vectors: ids, vectors and tree, written to the shared folder. Every vector is in one tree."""
-    shards = max(1, -(-usable.count() // SHARD_ROWS))
+def _pack(rows: DataFrame, group: str, n: int, names: dict[str, str], grow) -> DataFrame:
+    """One row of bytes for each of the ``n`` groups; ``grow`` makes it from the group's sorted ids and its points."""
 
-    def grow(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         ids = table.column("_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        points = np.vstack(table.column("_vector").to_numpy())[order]
+        found = grow(ids[order], np.vstack(table.column("_vector").to_numpy())[order], table.take(order))
+        return pa.table({k: pa.array([v], pa.binary() if names[k] == "binary" else pa.int64()) for k, v in found.items()})
+
+    return rows.repartition(n, group).groupBy(group).applyInArrow(run, ", ".join(f"{k} {v}" for k, v in names.items()))
+
+
+def build_index(distinct: DataFrame, k: int = 10) -> DataFrame:
+    """One row per shard of about ``SHARD_ROWS`` vectors: shard, ids, points and tree, written to the shared folder. Every vector is in one tree.
+
+    ``distinct`` has _id, _vector and _times; of rows that are equal in both, as many as a result can hold are put in.
+    """
+    rows = distinct.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least("_times", F.lit(k)))))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+
+    def grow(ids: np.ndarray, points: np.ndarray, table: pa.Table) -> dict:
         nodes, places = Tree(points).pack()
-        row = {"ids": ids[order].astype("<i8").tobytes(), "points": points.astype("<f8").tobytes(), "nodes": nodes, "places": places}
-        return pa.table({k: pa.array([v], pa.binary()) for k, v in row.items()})
+        return {"_shard": table.column("_shard")[0].as_py(), "ids": ids.astype("<i8").tobytes(), "points": points.astype("<f8").tobytes(), "nodes": nodes, "places": places}
+
+    dealt = rows.select("_id", "_vector", F.pmod(F.xxhash64("_id", "_vector", "_copy"), F.lit(shards)).alias("_shard"))
+    return materialize(_pack(dealt, "_shard", shards, {"_shard": "long"} | dict.fromkeys(("ids", "points", "nodes", "places"), "binary"), grow), "vector-index")
+
 
-    dealt = usable.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(shards)))
-    return materialize(dealt.groupBy("_shard").applyInArrow(grow, "ids binary, points binary, nodes binary, places binary"), "vector-index")
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """One row per block of about ``BLOCK`` queries (_id, _vector, _q): their numbers, ids and vectors."""
+    n = max(1, -(-queries.count() // BLOCK))
 
+    def grow(ids: np.ndarray, points: np.ndarray, table: pa.Table) -> dict:
+        numbers = table.column("_q").to_numpy()
+        return {"q_numbers": numbers.astype("<i8").tobytes(), "q_ids": ids.astype("<i8").tobytes(), "q_points": points.astype("<f8").tobytes()}
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
-    for row in queries.toLocalIterator():
-        ids.append(row._id)
-        vectors.append(row._vector)
-        if len(ids) == BLOCK:
-            yield np.array(ids), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors)
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(n)))
+    return _pack(dealt, "_block", n, dict.fromkeys(("q_numbers", "q_ids", "q_points"), "binary"), grow)
 
 
 def nearest_neighbours(
     vectors: DataFrame, queries: F.Column | None = None, k: int = 10, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """The ``k`` nearest rows (Euclidean) of every query row, among all rows but its own.
+    """The ``k`` nearest rows (Euclidean) of every query row, among all rows but those with its own id.
 
     ``queries`` chooses the query rows by ``id_col`` (default: ids divisible by 100). All rows are
-    indexed: hashed into shards of bounded size with one vantage-point tree each. Queries go to all
-    trees in bounded blocks; each tree gives its k nearest and the least k of these win. ``factor``
+    indexed: hashed into shards of bounded size with one vantage-point tree each. Queries are packed into
+    blocks, every block is dealt to every shard by a join on the shard's number, and a task searches
+    one tree at a time; each tree gives its k nearest and the least k of these win. ``factor``
     above 1 rules out branches sooner (faster, may miss neighbours), 1 gives exact results.
 
     Returns query_id, rank (from 1), vec_id, score; fewer than k rows where there are fewer
     candidates. Defined cases: vectors that are null, zero, hold null or non-finite components, have
     a null id or another length than most take no part, as queries neither; a repeated id isn't its
-    own neighbour; ties go to the smaller id; an empty table gives an empty result; further columns
-    are ignored.
+    own neighbour, and each of its rows has its own result; ties go to the smaller id; an empty table
+    gives an empty result; further columns are ignored.
     """
     if factor < 1:
         raise ValueError("factor must be at least 1")
-    spark = vectors.sparkSession
     usable = usable_vectors(vectors, id_col, vector_col)
-    index = build_index(usable)
-    chosen = usable.where((F.col("_id") % 100 == 0) if queries is None else queries)
-    schema = "query_id long, vec_id long, score double"
-    out = spark.createDataFrame([], schema)
-    for block in _blocks(chosen):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, query_vectors = shared.value
-            for batch in batches:
-                for ids, points, nodes, places in zip(*batch.columns, strict=True):
-                    ids = np.frombuffer(ids.as_buffer(), "<i8")
-                    tree = Tree.unpack(np.frombuffer(points.as_buffer(), "<f8").reshape(len(ids), -1), nodes.as_py(), places.as_py())
-                    score, found = tree.search(query_vectors, query_ids, ids, k, factor)
-                    full = np.isfinite(score)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(query_ids, k)[full.ravel()]), pa.array(found[full]), pa.array(score[full])], names=["query_id", "vec_id", "score"]
-                    )
-
-        out = out.unionAll(index.mapInArrow(run, schema))
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    distinct = materialize(usable.groupBy("_id", "_vector").agg(F.count("*").alias("_times")), "vectors")
+    index = build_index(distinct, k)
+    chosen = distinct.where((F.col("_id") % 100 == 0) if queries is None else queries)
+    asked = materialize(chosen.withColumn("_q", F.monotonically_increasing_id()), "queries")
+    numbers = index.agg(F.collect_set("_shard").alias("_shards"))  # one number per shard
+    dealt = query_blocks(asked).join(F.broadcast(numbers)).withColumn("_shard", F.explode("_shards")).drop("_shards")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, points, nodes, places, q, q_ids, q_points in zip(*batch.columns, strict=True):
+                ids, q, q_ids = (np.frombuffer(x.as_buffer(), "<i8") for x in (ids, q, q_ids))
+                points, q_points = (np.frombuffer(x.as_buffer(), "<f8").reshape(n, -1) for x, n in ((points, len(ids)), (q_points, len(q))))
+                score, found = Tree.unpack(points, nodes.as_py(), places.as_py()).search(q_points, q_ids, ids, k, factor)
+                full = np.isfinite(score)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[full.ravel()]), pa.array(found[full]), pa.array(score[full])], names=["_q", "vec_id", "score"])
+
+    met = index.join(dealt, "_shard").select("ids", "points", "nodes", "places", "q_numbers", "q_ids", "q_points")
+    found = met.mapInArrow(run, "_q long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    named = asked.select("_q", F.col("_id").alias("query_id"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_row"))
+    return named.join(ranked, "_q").select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import materialize, partitions
+from afterbell.llm.common import mark_cell, marks, materialize, partitions
 from afterbell.llm.graph import components
 from afterbell.llm.simhash import BLOCK, SHIFT_GROUP, _forest, fingerprint_of, links, shingle_hashes
 
@@ -230,6 +230,7 @@ def meet(met: DataFrame, nodes: DataFrame, whole: bool) -> DataFrame:
 def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have a similarity of 0.8 or more.
 
+    Sets are made where the texts are, only of texts that :func:`marks` lets through, so texts aren't shuffled.
     Each set goes once to its own place and once to each partner's; sets with many partners have several places.
     """
     pairs = materialize(pairs.withColumn("_center", F.col("u")), "pairs")
@@ -237,16 +238,15 @@ def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
     salted = pairs.join(places, "_center").select("u", "v", F.pmod(F.xxhash64("v"), "_places").alias("_salt"))
     sent = salted.select("u", "_salt", F.explode(F.array("u", "v")).alias("_node")).distinct()
     sent = materialize(sent.join(nodes.select("_node", F.col("_first").alias("_id")), "_node"), "sent")
+    wanted, bits = marks(sent, "_id")
+    id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, found = None, None
         for batch in batches:
-            sets = []
-            for node, text in zip(batch.column(2).to_pylist(), _texts(batch, 3), strict=True):
-                if node != last:  # the rows of a text come one after another
-                    last, found = node, shingle_set(shingle_hashes(text, words)).view(np.int64)
-                sets.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.list_(pa.int64()))], names=["u", "_salt", "_node", "_hashes"])
+            cells = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array(wanted.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1, pa.bool_()))
+            sets = [shingle_set(shingle_hashes(t, words)).view(np.int64) for t in _texts(batch, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_id", "_hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, None
@@ -266,8 +266,8 @@ def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
                         vs.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    sets = docs.join(sent, "_id").select("u", "_salt", "_node", "_text").mapInArrow(run, "u long, _salt long, _node long, _hashes array<long>")
-    dealt = sets.repartition(partitions(docs.sparkSession), "u", "_salt").sortWithinPartitions("u", "_salt", F.col("_node") != F.col("u"))
+    sets = docs.select("_id", mark_cell("_id", bits).alias("_cell"), "_text").mapInArrow(run, f"_id {id_type}, _hashes array<long>")
+    dealt = sets.join(sent, "_id").select("u", "_salt", "_node", "_hashes").repartition(partitions(docs.sparkSession), "u", "_salt").sortWithinPartitions("u", "_salt", F.col("_node") != F.col("u"))
     return materialize(dealt.mapInArrow(compare, "u long, v long"), "links")
 
 

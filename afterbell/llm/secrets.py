@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from afterbell.functions.exprs import starts_of
 from afterbell.llm.common import materialize
 
 #: Fixed values of the contract: kind, pattern, group that is measured, least characters of that group.
@@ -21,33 +22,37 @@ KINDS = (
 )
 #: Words of documentation samples; a value that holds one of them is not live-looking.
 PLACEHOLDER = "example|sample|dummy|placeholder|changeme|your|xxxx|0000|1234|test"
+#: Tasks over which the rows of one value are spread when they meet its counts.
+SPREAD = 16
 #: Least different characters of a live-looking value.
 LEAST_DISTINCT = 8
 
 
-_SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
+def find_matches(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column for each kind: its matches with code point positions, from the pieces between matches and the matches themselves.
 
-
-def _matches(pattern: str, group: int, least: int, rank: int) -> F.Column:
-    """Matches of one kind with code point positions, from the pieces between matches and the matches themselves."""
-    text, empty = F.col("_text"), F.array().cast(_SPANS)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-
-    def step(acc: F.Column, x: F.Column) -> F.Column:
-        start = acc["pos"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["2"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = F.aggregate(
-        F.arrays_zip(pieces, whole, value),
-        F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-        step,
-        lambda acc: F.filter(acc["out"], lambda m: F.length(m["value"]) >= least),
-    )
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    The arrays are columns of their own before they are walked: inside a lambda an expression is worked out anew for each element.
+    """
+    text = F.col("_text")
+    for kind, pattern, group, _ in KINDS:
+        some = text.rlike(pattern)
+        whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
+        rows = rows.withColumns({f"_own_{kind}": F.when(some, whole), f"_value_{kind}": F.when(some, value), f"_before_{kind}": F.when(some, F.split(text, pattern, -1))})
+    sized = rows.drop("_text").withColumns(
+        {f"_{part}_{kind}": F.transform(f"_{part}_{kind}", F.length) for kind, *_ in KINDS for part in ("own", "before")}
+    ).withColumns({f"_before_{kind}": F.slice(f"_before_{kind}", 1, F.size(f"_own_{kind}")) for kind, *_ in KINDS})
+    both = sized.withColumns({f"_both_{kind}": F.zip_with(f"_before_{kind}", f"_own_{kind}", lambda p, w: p + w) for kind, *_ in KINDS})
+    placed = both.withColumns({f"_both_{kind}": starts_of(F.col(f"_both_{kind}")) for kind, *_ in KINDS})
+    out = placed
+    for rank, (kind, _, _, least) in enumerate(KINDS):
+        parts = F.arrays_zip(*[F.col(f"_{part}_{kind}").alias(part) for part in ("both", "before", "own", "value")])
+        start = lambda x: x["both"] + x["before"]
+        spans = F.transform(
+            F.filter(parts, lambda x: F.length(x["value"]) >= least),
+            lambda x: F.struct(start(x).alias("start"), F.lit(rank).alias("rank"), (start(x) + x["own"]).alias("end"), x["value"].alias("value")),
+        )
+        out = out.withColumn(kind, F.coalesce(spans, F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))
+    return out.drop(*[f"_{part}_{kind}" for kind, *_ in KINDS for part in ("both", "before", "own", "value")])
 
 
 def scan_secrets(
@@ -63,7 +68,7 @@ def scan_secrets(
 
     Candidates are hashed; hashes are counted by distinct repositories and owners over the whole
     corpus in three steps with map-side sums, so a value copied into a third of all rows costs a
-    partial sum per task. A value is ``live`` if it looks live (a digit, enough different
+    partial sum per task; its rows then meet the counts in ``SPREAD`` places. A value is ``live`` if it looks live (a digit, enough different
     characters, no placeholder word) and has at most ``max_owners`` owners and ``max_repos``
     repositories; ``example`` if it passes these numbers; else ``other``.
 
@@ -79,9 +84,8 @@ def scan_secrets(
         F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("_repo"),
         F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("_owner"),
     )
-    per_kind = [_matches(pattern, group, least, i).alias(kind) for i, (kind, pattern, group, least) in enumerate(KINDS)]
     found = materialize(
-        rows.select("_doc", "_repo", "_owner", *per_kind).select(
+        find_matches(rows).select(
             F.monotonically_increasing_id().alias("_row"),
             "_doc",
             "_repo",
@@ -105,8 +109,11 @@ def scan_secrets(
         .agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
     few = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    spread = F.pmod(F.xxhash64("_row"), F.lit(SPREAD))
+    places = shared.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
     judged = (
-        candidates.join(shared, "hash")
+        candidates.withColumn("_place", spread)
+        .join(places, ["hash", "_place"])
         .withColumn("class", F.when(~few, "example").when(F.col("looks_live"), "live").otherwise("other"))
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "class", "owners", "repos"))).alias("found"))
@@ -115,7 +122,8 @@ def scan_secrets(
     joined = found.join(judged, "_row", "left").withColumn(
         "found", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,rank:int,end:int,class:string,owners:bigint,repos:bigint>>)"))
     )
-    spans = f"transform(array_sort(array_distinct({{}})), m -> concat({names}, ':', m.start, ':', m.end))"
+    # distinct as strings: among structs it would compare all pairs
+    spans = f"array_distinct(transform(array_sort({{}}), m -> concat({names}, ':', m.start, ':', m.end)))"
     bare = "transform(found, m -> named_struct('start', m.start, 'rank', m.rank, 'end', m.end))"
     live = f"transform(filter(found, m -> m.class = 'live'), m -> named_struct('start', m.start, 'rank', {len(KINDS)}, 'end', m.end))"
     return joined.select(

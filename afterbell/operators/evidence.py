@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from afterbell.functions.exprs import collapse_white, stable_id
+from afterbell.functions.exprs import collapse_white, stable_id, starts_of
 
 
 @dataclass(frozen=True)
@@ -28,17 +28,11 @@ def segments(docs: DataFrame, least: int = 6, end: str = r"[.!?]+\s+|\n+") -> Da
     An end mark needs white space after it, so decimals stay whole.
     """
     pieces, marks = F.split("text", end, -1), F.regexp_extract_all(F.col("text"), F.lit(end), F.lit(0))
-    pairs = F.arrays_zip(pieces, F.concat(marks, F.array(F.lit(""))))
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,piece:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["pos"] + F.length(x["0"]) + F.length(x["1"])).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), x["0"].alias("piece")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    rows = docs.select("doc_id", F.posexplode(walked).alias("_k", "s")).select("doc_id", "_k", F.col("s.start").alias("_start"), F.col("s.piece").alias("_piece"))
+    cut = docs.select("doc_id", pieces.alias("_pieces"), marks.alias("_marks"))
+    lengths = F.zip_with("_pieces", F.concat("_marks", F.array(F.lit(""))), lambda p, m: F.length(p) + F.length(m))
+    placed = cut.select("doc_id", "_pieces", lengths.alias("_lengths")).select("doc_id", F.arrays_zip(starts_of(F.col("_lengths")).alias("start"), F.col("_pieces").alias("piece")).alias("_s"))
+    # outer: an inferred filter on the array's size would be pushed below the columns and work them out anew
+    rows = placed.select("doc_id", F.posexplode_outer("_s").alias("_k", "s")).select("doc_id", "_k", F.col("s.start").alias("_start"), F.col("s.piece").alias("_piece"))
     left = F.length("_piece") - F.length(F.regexp_replace("_piece", r"^\s+", ""))
     segment = F.regexp_replace(F.regexp_replace("_piece", r"^\s+", ""), r"\s+$", "")
     out = rows.select("doc_id", "_k", (F.col("_start") + left).alias("start_char"), segment.alias("segment"))

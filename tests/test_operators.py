@@ -231,3 +231,14 @@ def test_forward_asof_takes_one_pass_over_a_large_key(spark):
     out = asof_forward(probes, facts, ["k"], F.col("at"), F.col("t"), ["v"])
     assert out.where("v = p + 1").count() == n - 1 and out.where("v is null").count() == 1
     assert time.time() - began < 60
+
+
+def test_segments_of_a_long_text_have_their_offsets(spark):
+    from afterbell.operators.evidence import segments
+
+    text = "A sentence is here. Another one!\n" * 30_000
+    out = segments(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"))
+    assert out.count() == 60_000
+    last = out.orderBy("start_char", ascending=False).first()
+    assert text[last.start_char : last.end_char] == last.segment == "Another one"
+    assert last.end_char == len(text) - 2

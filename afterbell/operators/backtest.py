@@ -6,7 +6,7 @@ over all rows is one key; its rows then share a window partition, as the running
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -202,16 +202,46 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: in
     return w
 
 
-def purged_walk_forward(df: DataFrame, key: str, at: str, row_id: str, features: list[str], y: str, least_train: int = 40, purge_days: int = 5) -> DataFrame:
-    """Expanding logistic model per key: each row is predicted from the rows more than ``purge_days`` before it.
+Fit = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], np.ndarray]]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The standard model: from training rows to a function of probabilities."""
+    w = fit_logistic(x, y)
+    return lambda z: 1 / (1 + np.exp(-(z @ w[:-1] + w[-1])))
+
+
+class Preparation:
+    """Numbers: median-imputed and standardised; categories: missing is ``unknown``, one column for each seen one, unseen ones give none. Learned on training rows."""
+
+    def __init__(self, x: np.ndarray, c: np.ndarray):
+        self.middle = np.array([np.median(v[np.isfinite(v)]) if np.isfinite(v).any() else 0.0 for v in x.T])
+        filled = self._filled(x)
+        self.mean, spread = filled.mean(axis=0), filled.std(axis=0)
+        self.spread = np.where(spread > 0, spread, 1)
+        self.levels = [sorted(set(v)) for v in c.T]
+
+    def _filled(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isfinite(x), x, self.middle)
+
+    def __call__(self, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        z = (self._filled(x) - self.mean) / self.spread
+        return np.hstack([z, *[(v[:, None] == np.array(levels, object)[None, :]).astype(float) for v, levels in zip(c.T, self.levels, strict=True)]])
+
+
+def purged_walk_forward(
+    df: DataFrame, key: str, at: str, row_id: str, features: list[str], y: str, least_train: int = 40, purge_days: int = 5, categorical: Sequence[str] = (), fit: Fit = logistic
+) -> DataFrame:
+    """Expanding model per key: each row is predicted from the rows more than ``purge_days`` before it.
 
     A key's series is one group (a fit needs its rows together); keys are independent. Rows of one
-    day share a fit. Features are median-imputed and standardised on the training rows. Too few
-    training rows, or one class, give the baseline: the mean of the targets before.
+    day share a fit. :class:`Preparation` is learned on the training rows; ``fit`` makes a model of
+    them. Too few training rows, or one class, give the baseline: the mean of the targets before.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at, row_id], kind="stable")
+        c = pdf[list(categorical)].fillna("unknown").astype(str).to_numpy(object)
         days = pd.to_datetime(pdf[at]).to_numpy("datetime64[D]")
         x, target = pdf[features].to_numpy(float), pdf[y].to_numpy(float)
         rows = []
@@ -225,18 +255,14 @@ def purged_walk_forward(df: DataFrame, key: str, at: str, row_id: str, features:
             if n >= least_train:
                 status = "one_class"
                 if len(np.unique(target[train])) == 2:
-                    middle = np.nan_to_num(np.nanmedian(np.where(np.isfinite(x[train]), x[train], np.nan), axis=0))
-                    filled = np.where(np.isfinite(x), x, middle)
-                    mean, spread = filled[train].mean(axis=0), filled[train].std(axis=0)
-                    z = (filled - mean) / np.where(spread > 0, spread, 1)
-                    w = fit_logistic(z[train], target[train])
-                    p, status = 1 / (1 + np.exp(-(z[test] @ w[:-1] + w[-1]))), "ok"
+                    prepare = Preparation(x[train], c[train])
+                    p, status = fit(prepare(x[train], c[train]), target[train])(prepare(x[test], c[test])), "ok"
             for i, q in zip(np.flatnonzero(test), p, strict=True):
                 rows.append((pdf[key].iloc[i], pdf[row_id].iloc[i], n, None if np.isnan(q) else float(q), float(target[i]), status))
         return pd.DataFrame(rows, columns=[key, row_id, "train_n", "probability", "target", "status"])
 
     types = dict(df.dtypes)
-    return df.select(key, at, row_id, *features, F.col(y).cast("double").alias(y)).groupBy(key).applyInPandas(
+    return df.select(key, at, row_id, *features, *categorical, F.col(y).cast("double").alias(y)).groupBy(key).applyInPandas(
         run, f"{key} {types[key]}, {row_id} {types[row_id]}, train_n long, probability double, target double, status string"
     )
 

@@ -18,6 +18,11 @@ MAPPING_WORDS = ((0, ("insufficient", "ambiguous", "unmapped", "mapping-risk", "
 LIQUIDITY_WORDS = ((3, ("liquid", "large cap", "adv")), (2, ("mixed", "filter")), (0, ("illiquid", "halt", "penny")))
 GATES = ("full_lifecycle", "feasibility_only", "monitor_only", "backlog", "skip", "blocked_by_registry")
 FULL, FEASIBLE, BACKLOG = 24, 18, 12
+ALERTS = (
+    ("full_lifecycle", "review", "clears the score for the full lifecycle"),
+    ("feasibility_only", "feasibility", "should be reviewed for feasibility only"),
+    ("monitor_only", "monitor", "stays under watch until its registry says to come back"),
+)
 HARD_MINIMUMS = ("timestamp", "delayed_digest_reasons", "materiality_fields", "sample")
 HARD_MINIMUM = 2
 MONITOR, FROZEN = ("monitor",), ("frozen", "closed")
@@ -130,6 +135,22 @@ def snapshot_diff(old: DataFrame, new: DataFrame, columns: Sequence[str]) -> Dat
     return both.select("slug", F.explode(changes).alias("c")).select("slug", "c.*")
 
 
+def alert_rows(gated: DataFrame) -> DataFrame:
+    """One row per candidate that calls for something, with severity, message and gate rank, by which, then by total and slug, they are read."""
+    said = F.lit(None).cast("struct<severity:string,message:string>")
+    for name, severity, message in ALERTS:
+        said = F.when(F.col("gate") == name, F.struct(F.lit(severity).alias("severity"), F.lit(message).alias("message"))).otherwise(said)
+    rows = gated.withColumn("_said", said).where(F.col("_said").isNotNull())
+    return rows.select("slug", "gate", gate_rank(F.col("gate")).alias("gate_rank"), "total", "_said.*")
+
+
+def explain(gated: DataFrame) -> DataFrame:
+    """A row per candidate and sub-score: the score, the minimum that it has to reach, if any, and whether it fails it."""
+    parts = F.array(*[F.struct(F.lit(k).alias("part"), F.col(f"s_{k}").cast("int").alias("score"), F.lit(HARD_MINIMUM if k in HARD_MINIMUMS else None).cast("int").alias("minimum")) for k in SCORES])
+    rows = gated.select("slug", "gate", "total", F.explode(parts).alias("x")).select("slug", "gate", "total", "x.*")
+    return rows.withColumn("fails", F.coalesce(F.col("score") < F.col("minimum"), F.lit(False)))
+
+
 def alerts(gated: DataFrame) -> DataFrame:
     """Open candidates by severity; blocked and skipped ones are counted, not listed (severity ``suppressed``)."""
     severity = F.when(F.col("gate") == "full_lifecycle", "high").when(F.col("gate") == "feasibility_only", "medium").when(F.col("gate").isin("monitor_only", "backlog"), "low").otherwise("suppressed")

@@ -20,6 +20,8 @@ class Rule:
     value: str = "true"
     confidence: float = 0.8
     reject: str | None = None  # a pattern that, in the evidence, takes the claim back
+    spared: str | None = None  # unless this is in the evidence too
+    need: str | None = None  # a pattern that the evidence must hold
 
 
 def segments(docs: DataFrame, least: int = 6, end: str = r"[.!?]+\s+|\n+") -> DataFrame:
@@ -52,6 +54,7 @@ def match_rules(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                     F.col("text").rlike(r.pattern),
                     F.struct(
                         F.lit(r.field).alias("field_name"), F.lit(r.value).alias("value"), F.lit(r.confidence).alias("confidence"), F.lit(r.reject or "").alias("reject"),
+                        F.lit(r.spared or "").alias("spared"), F.lit(r.need or "").alias("need"),
                         F.length(F.element_at(F.split("text", r.pattern, 2), 1)).alias("match_start"),
                         F.length(F.regexp_extract("text", r.pattern, 0)).alias("match_length"),
                     ),
@@ -74,8 +77,10 @@ def match_rules(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     trimmed = F.regexp_replace(F.regexp_replace("_raw", r"^\s+", ""), r"\s+$", "")
     rows = rows.withColumn("start_char", F.col("_first") + lead).withColumn("_trimmed", trimmed)
     rows = rows.withColumn("end_char", F.col("start_char") + F.length("_trimmed")).withColumn("evidence_text", collapse_white(F.col("_trimmed")))
-    kept = rows.where((F.col("reject") == "") | ~F.expr("evidence_text rlike reject"))
-    return kept.select("doc_id", "field_name", "value", "confidence", "match_start", "start_char", "end_char", "evidence_text")
+    taken_back = (F.col("reject") != "") & F.expr("evidence_text rlike reject") & ~((F.col("spared") != "") & F.expr("evidence_text rlike spared"))
+    kept = rows.where(~taken_back & ((F.col("need") == "") | F.expr("evidence_text rlike need")))
+    value = F.when(F.col("value") == "evidence", F.col("evidence_text")).otherwise(F.col("value")).alias("value")
+    return kept.select("doc_id", "field_name", value, "confidence", "match_start", "start_char", "end_char", "evidence_text")
 
 
 def claims_of(matches: DataFrame) -> DataFrame:
@@ -94,6 +99,22 @@ def amounts(c: Column) -> Column:
     return F.transform(F.arrays_zip(numbers, units), lambda x: F.regexp_replace(x["0"], ",", "").cast("double") * scale(x["1"]))
 
 
+def percents(c: Column) -> Column:
+    """All percentages of a text as fractions; ``(5.5)%`` and ``-5.5%`` are negative."""
+    pattern = r"(\(?-?)([0-9]+(?:\.[0-9]+)?)\)?\s?(?:%|percent\b)"
+    signs, numbers = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2))
+    return F.zip_with(signs, numbers, lambda s, n: F.when(s == "", 1.0).otherwise(-1.0) * n.cast("double") / 100)
+
+
+def per_share(c: Column) -> Column:
+    """The amounts per share that follow the first earnings-per-share phrase (all the text without one); ``$(0.12)`` is negative."""
+    phrase = r"(?i)\beps\b|earnings per share"
+    rest = F.when(c.rlike(phrase), F.element_at(F.split(c, phrase, 2), -1)).otherwise(c)
+    pattern = r"(\(?-?)\$\s?(\(?-?)([0-9]+\.[0-9]{2})\b"
+    before, after, numbers = (F.regexp_extract_all(rest, F.lit(pattern), F.lit(g)) for g in (1, 2, 3))
+    return F.zip_with(F.zip_with(before, after, lambda a, b: F.concat(a, b)), numbers, lambda s, n: F.when(s == "", 1.0).otherwise(-1.0) * n.cast("double"))
+
+
 def range_or_mid(values: Column) -> Column:
     """(low, high, mid) of the first two amounts, in order of size; one amount is all three."""
     two = F.array_sort(F.slice(values, 1, 2))

@@ -10,8 +10,12 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it names none (tests on one machine) a temporary folder is made."""
+    """``spark.checkpoint.dir`` of the session; only a session on one machine (tests) that names none gets a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    return _FALLBACK.setdefault("dir", tempfile.mkdtemp(prefix="afterbell-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if "dir" not in _FALLBACK:
+        _FALLBACK["dir"] = tempfile.mkdtemp(prefix="afterbell-")
+    return _FALLBACK["dir"]

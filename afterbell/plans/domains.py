@@ -56,7 +56,6 @@ def flags_sql(low: str, rules) -> str:
 
 
 _LOW = "WITH " + TEXTS + ", l AS (SELECT *, lower(text) AS low, 'item ' || ['1.03', '2.04', '2.06', '3.01', '8.01'][p_size % 5 + 1] || chr(10) || lower(text) AS filed FROM t) "
-_ITEM = F.element_at(F.array(*[F.lit(x) for x in ("1.03", "2.04", "2.06", "3.01", "8.01")]), (F.col("p_size") % 5 + 1).cast("int"))
 
 
 def _labels(df: DataFrame, text: Column, rules, default: str, confidence: float) -> DataFrame:
@@ -72,7 +71,7 @@ def tx7_incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("tx7_distress_events", _LOW + "SELECT doc_id, " + label_sql("filed", DO.DISTRESS_EVENTS, "unknown", 0.0) + " FROM l")
 def tx7_distress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-7, PJ-17: event type of distress filings by item and text."""
-    return _labels(texts(spark, sf_dir), F.concat(F.lit("item "), _ITEM, F.lit("\n"), F.col("text")), DO.DISTRESS_EVENTS, "unknown", 0.0)
+    return _labels(texts(spark, sf_dir), F.concat(F.lit("item "), _pick(("1.03", "2.04", "2.06", "3.01", "8.01"), "p_size"), F.lit("\n"), F.col("text")), DO.DISTRESS_EVENTS, "unknown", 0.0)
 
 
 @register("tx7_trial_events", _LOW + "SELECT doc_id, " + label_sql("low", DO.TRIAL_EVENTS, "other", 0.3) + " FROM l")

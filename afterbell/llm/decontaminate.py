@@ -55,12 +55,8 @@ def best_match(pattern: str, text: str, budget: int) -> tuple[int, int] | None:
 class Matcher:
     """Test items as an automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[object, str]], max_error: float, min_chars: int):
-        self.items = [(item, text, int(len(text) * max_error)) for item, text in items if len(text) >= min_chars]
-        self.short = defaultdict(list)
-        for item, text in items:
-            if 0 < len(text) < min_chars:
-                self.short[text].append(item)
+    def __init__(self, items: list[tuple[object, str]], max_error: float):
+        self.items = [(item, text, int(len(text) * max_error)) for item, text in items if text]
         pieces = defaultdict(list)
         for i, (_, text, budget) in enumerate(self.items):
             cuts = [len(text) * j // (budget + 1) for j in range(budget + 2)]
@@ -76,19 +72,26 @@ class Matcher:
     def match(self, text: str | None, first_only: bool = False) -> list[tuple[object, int, int, int, int]]:
         """(item, distance, budget, characters of the item, end in the normalised text) of each item in the text."""
         text = normalise(text or "")
-        out = [(item, 0, 0, len(text), len(text)) for item in self.short.get(text, ())]
-        if not self.any or (first_only and out):
+        out: list[tuple[object, int, int, int, int]] = []
+        if not self.any:
             return out
-        windows = defaultdict(list)
+        windows, exact = defaultdict(list), {}
         for end, (size, where) in self.automaton.iter(text):
             for i, a in where:
                 start = end - size + 1 - a
                 budget = self.items[i][2]
+                if not budget:
+                    if i not in exact and not (text[start - 1 : start].isalnum() and text[start].isalnum()) and not (text[end].isalnum() and text[end + 1 : end + 2].isalnum()):
+                        exact[i] = end + 1
+                    continue
                 low, high = max(0, start - budget), start + len(self.items[i][1]) + budget
                 if windows[i] and low <= windows[i][-1][1] and windows[i][-1][0] <= low:
                     windows[i][-1][1] = max(high, windows[i][-1][1])
                 else:
                     windows[i].append([low, high])
+        out += [(self.items[i][0], 0, 0, len(self.items[i][1]), end) for i, end in exact.items()]
+        if first_only and out:
+            return out
         for i, found in windows.items():
             item, pattern, budget = self.items[i]
             best = None
@@ -108,11 +111,11 @@ class Matcher:
 _MATCHERS: dict[str, Matcher] = {}
 
 
-def _matcher(block, max_error: float, min_chars: int) -> Matcher:
+def _matcher(block, max_error: float) -> Matcher:
     """The block's automaton, built once in a worker process."""
     if block.value[0] not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[block.value[0]] = Matcher(block.value[1], max_error, min_chars)
+        _MATCHERS[block.value[0]] = Matcher(block.value[1], max_error)
     return _MATCHERS[block.value[0]]
 
 
@@ -139,7 +142,6 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     max_error: float = 0.08,
-    min_chars: int = 40,
 ) -> DataFrame:
     """Every (document, test item) where the document holds the item within ``max_error`` edits per character.
 
@@ -150,8 +152,8 @@ def find_contamination(
     one pass without a shuffle; whole texts are searched.
 
     Returns ``id_col``, ``item_col``, distance, budget, item_chars, norm_end. Defined cases: null or
-    empty texts and items match nothing; an item below ``min_chars`` characters matches only a
-    document that equals it; repeated rows give repeated results; an empty table gives an empty
+    empty texts and items match nothing; an item so short that its budget is 0 is found as it stands,
+    with no letter or digit going on at its borders; repeated rows give repeated results; an empty table gives an empty
     result; further columns are ignored.
     """
     spark = docs.sparkSession
@@ -162,7 +164,7 @@ def find_contamination(
     for block in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(block, max_error, min_chars)
+            matcher = _matcher(block, max_error)
             for batch in batches:
                 found = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.match(text)]
                 columns = list(zip(*found, strict=True)) if found else [()] * 6
@@ -177,14 +179,14 @@ def find_contamination(
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = 0.08, min_chars: int = 40
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_error: float = 0.08
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item (see :func:`find_contamination`); one pass, no shuffle."""
     where = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(block, max_error, min_chars)
+            matcher = _matcher(block, max_error)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.match(t, first_only=True) for t in batch.column(where).to_pylist()], pa.bool_()))
 

@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from afterbell.llm.common import materialize
+
 UNKNOWN = "und"
 #: Features: byte trigrams of lower-cased letters, hashed into so many counts.
 DIMENSIONS = 8192
@@ -122,27 +124,31 @@ def shares(wanted: dict[str, int], total: int) -> dict[str, int]:
 
 
 def learn_languages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_chars: int = 20_000_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, max_chars: int = 20_000_000, max_languages: int = 500
 ) -> LanguageModel:
-    """Fit on at most ``per_language`` labelled rows of each language and ``max_chars`` characters in all.
+    """Fit on at most ``per_language`` labelled texts of each of the ``max_languages`` most frequent labels, and ``max_chars`` characters in all.
 
-    Rows are taken in the order of their id's hash, among those whose id isn't held out. Texts are
-    whole. If the rows have more than ``max_chars`` characters, each language has a share of its own
+    Texts are whole, without a held-out id, and taken by the hash of id and text, so that a repeated row counts
+    once. Rows whose hash is too large to be among the first of their label are left out before any are
+    sorted. If the rows have more than ``max_chars`` characters, each language has a share of its own
     (:func:`shares`); a text that doesn't fit into what is left of it is passed over, and doesn't count.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    learn = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.coalesce(F.length("text") > 0, F.lit(False)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sized = learn.select("id", "lang", F.when(F.col("text").rlike(r"\p{L}"), F.length("text")).otherwise(0).alias("chars"))
-    chosen = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).collect()
-    wanted: dict[str, int] = {}
-    for row in chosen:
-        wanted[row.lang] = wanted.get(row.lang, 0) + row.chars
+    learn = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id") & F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    learn = learn.withColumn("hash", F.xxhash64("id", "text"))
+    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    if not counts:
+        return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, float(min(1.0, 4 * per_language / r["count"])))])
+    some = learn.where(F.pmod("hash", F.lit(1 << 40)) < F.try_element_at(rates, F.col("lang")) * float(1 << 40)).dropDuplicates(["lang", "hash"])
+    some = materialize(some.select("lang", "hash", "text", F.length("text").alias("chars")), "language-sample")
+    order = Window.partitionBy("lang").orderBy("hash")
+    ranked = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    wanted = {r.lang: int(r.chars) for r in ranked.groupBy("lang").agg(F.sum("chars").alias("chars")).collect()}
     left = shares(wanted, max_chars)
-    taken = learn.where(F.col("id").isin([r.id for r in chosen]) & (F.length("text") <= max(left.values(), default=0)))
     x, labels = [], []
-    for row in taken.select("lang", "text", "id").orderBy(F.xxhash64("id"), "id", "text").toLocalIterator() if chosen else ():
-        if has_letter(row.text) and len(row.text) <= left.get(row.lang, 0):
+    for row in ranked.where(F.col("chars") <= max(left.values(), default=0)).select("lang", "text", "hash").orderBy("hash", "lang").toLocalIterator():
+        if len(row.text) <= left.get(row.lang, 0):
             left[row.lang] -= len(row.text)
             x.append(features(row.text))
             labels.append(row.lang)

@@ -59,10 +59,10 @@ def test_matches_brute_force(spark):
 
 
 def test_odd_rows(spark):
-    d = spark.createDataFrame([(1, None), (2, ""), (3, "Tiny  item"), (4, "a tiny item"), (None, "tiny item"), (3, "Tiny  item")], "doc_id long, text string")
+    d = spark.createDataFrame([(1, None), (2, ""), (3, "Tiny  item"), (4, "a tiny item"), (5, "a tiny items"), (6, "Atiny item. TINY\nitem!"), (7, "xtiny item"), (None, "tiny item"), (3, "Tiny  item")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "tiny item"), (2, None), (3, ""), (4, "  ")], "item_id long, text string")
-    assert sorted((r.doc_id or 0, r.item_id) for r in find_contamination(d, b).collect()) == [(0, 1), (3, 1), (3, 1)]
-    assert drop_contaminated(d, b).count() == 3
+    assert sorted((r.doc_id or 0, r.item_id) for r in find_contamination(d, b).collect()) == [(0, 1), (3, 1), (3, 1), (4, 1), (6, 1)]
+    assert {r.doc_id for r in drop_contaminated(d, b).collect()} == {1, 2, 5, 7}
     assert find_contamination(d.limit(0), b).count() == 0
     assert find_contamination(d, b.limit(0)).count() == 0
-    assert drop_contaminated(d, b.limit(0)).count() == 6
+    assert drop_contaminated(d, b.limit(0)).count() == 9

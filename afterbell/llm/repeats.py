@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import materialize, partitions
+from afterbell.llm.common import is_marked, marks, materialize, partitions
 
 #: Bytes of an anchor (a power of two); bytes of text worked on at once; bytes of contexts for one transform.
 ANCHOR, SLICE, TEXT = 64, 4_000_000, 8_000_000
@@ -18,6 +18,8 @@ ANCHOR, SLICE, TEXT = 64, 4_000_000, 8_000_000
 RANGE = 16
 #: Anchors with more different contexts than this don't go to one task as bytes; their windows are hashed and counted.
 HOT = 20_000
+#: Tasks over which the copies of a text are spread when they meet its ranges.
+PLACES = 8
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -344,9 +346,21 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     dealt = texts.select("_key", "_text").mapInArrow(find, "_bucket int, _rows binary").repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket")
     found = materialize(dealt.mapInArrow(meet, "_kind byte, _key binary, _lo long, _hi long, _h long, _c long, _n long, _p long"), "repeats")
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            fresh = []
+            for key in batch.column(0).to_pylist():
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
     def asks(kind: int) -> DataFrame:
-        wanted = found.where(f"_kind = {kind}").groupBy("_key").agg(F.collect_list(F.struct("_lo", "_hi", "_h", "_c", "_n", "_p")).alias("_asks"))
-        return texts.select("_key", "_text").join(wanted, "_key")
+        """Texts whose bytes are asked for: others, and copies in one task, are left out before the shuffle."""
+        rows = found.where(f"_kind = {kind}")
+        wanted = rows.groupBy("_key").agg(F.collect_list(F.struct("_lo", "_hi", "_h", "_c", "_n", "_p")).alias("_asks"))
+        some = texts.select("_key", "_text").where(is_marked(*marks(rows.select("_key").distinct(), "_key"), "_key"))
+        return some.mapInArrow(once, "_key binary, _text binary").join(wanted, "_key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -408,14 +422,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         hashed = materialize(hashed, "hot-windows")
         again = hashed.groupBy("_w").agg(F.sum("_n").alias("_times")).where("_times > 1").select("_w")
         ranges = ranges.unionAll(hashed.where("_n = 1").join(again, "_w").select("_key", "_lo", (F.col("_lo") + length).alias("_hi")))
-    by_text = ranges.groupBy("_key").agg(F.collect_list("_lo").alias("_los"), F.collect_list("_hi").alias("_his"))
+    by_text = materialize(ranges.groupBy("_key").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for data, los, his in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for data, ranges_ in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 spans: list[list[int]] = []
-                for a, b in sorted(zip(los or (), his or (), strict=True)):
+                for a, b in sorted((r["_lo"], r["_hi"]) for r in ranges_ or ()):
                     if spans and a <= spans[-1][1]:
                         spans[-1][1] = max(b, spans[-1][1])
                     else:
@@ -431,5 +445,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             )
 
     schema = f"_id {id_type}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
-    joined = texts.join(by_text, "_key", "left").select("_id", "_text", "_los", "_his")
-    return joined.mapInArrow(cut, schema).withColumnRenamed("_id", id_col)
+    # texts that lose nothing stay where they are; the copies of a text that does meet its ranges in several places
+    loses = is_marked(*marks(by_text, "_key"), "_key")
+    places = by_text.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+    joined = texts.where(loses).withColumn("_place", F.pmod(F.spark_partition_id(), F.lit(PLACES))).join(places, ["_key", "_place"], "left").select("_id", "_text", "_ranges")
+    whole = texts.where(~loses).select("_id", "_text", F.lit(None).cast("array<struct<_lo:bigint,_hi:bigint>>").alias("_ranges"))
+    return joined.unionByName(whole).mapInArrow(cut, schema).withColumnRenamed("_id", id_col)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ BITS, SEED = 64, 42
 SKETCH, SKETCH_COLUMNS = 256, ["_s0", "_s1", "_s2", "_s3"]
 #: Cost of a shuffled row, in compared pairs.
 ROW_COST = 400.0
+#: Estimated fingerprints of a value that one task compares; a value with more is compared chunk by chunk.
+CHUNK = 16_384
 #: Groups up to this size are compared by shifting, larger ones by blocks.
 SHIFT_GROUP = 64
 BLOCK = 512
@@ -97,6 +99,7 @@ class Plan:
     max_distance: int
     counts: tuple[np.ndarray, ...]  # by partition: [threshold + 1, value], for partitions of up to 16 bits
     total: float
+    chunk: int = CHUNK
 
     def values(self, fps: np.ndarray) -> list[np.ndarray]:
         """The partitions' values, each packed into its low bits."""
@@ -307,6 +310,21 @@ def _link(key: np.ndarray, node: np.ndarray, fps: list[np.ndarray], role: np.nda
     return u[differ], v[differ]
 
 
+def _cells(plan: Plan, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys by pair of chunks, and the row of each: a row of a value in c chunks goes to the c pairs that its own chunk is in."""
+    chunks = np.ones(len(key), np.int64)
+    for i, counts in enumerate(plan.counts):
+        own = np.flatnonzero(key >> np.uint64(56) == i)
+        chunks[own] = np.clip(np.ceil(counts[0][(key[own] & np.uint64(0xFFFF)).astype(np.int64)] / plan.chunk), 1, 255).astype(np.int64)
+    if (chunks == 1).all():
+        return key, np.arange(len(key))
+    rows = np.repeat(np.arange(len(key)), chunks)
+    other = np.arange(len(rows)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+    own, c = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks)[rows], chunks[rows]
+    cell = np.where(c > 1, np.minimum(own, other) * c + np.maximum(own, other), 0)
+    return key[rows] | cell.astype(np.uint64) << np.uint64(40), rows
+
+
 def links(nodes: DataFrame, columns: list[str], limits: list[int], sample_size: int = 20_000) -> DataFrame:
     """Edges (u, v) that connect exactly the nodes whose fingerprints are within all limits.
 
@@ -319,13 +337,15 @@ def links(nodes: DataFrame, columns: list[str], limits: list[int], sample_size:
     sample = nodes.orderBy(F.xxhash64(*columns)).limit(sample_size).select(columns[0]).toPandas()[columns[0]].to_numpy(np.int64).view(np.uint64)
     if total < 2:
         return spark.createDataFrame([], "u long, v long")
-    plan = spark.sparkContext.broadcast(fit_plan(sample, total, limits[0]))
+    plan = spark.sparkContext.broadcast(replace(fit_plan(sample, total, limits[0]), chunk=CHUNK))
     names = ["_key", "_node", *columns, "_role"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, *fps = (c.to_numpy() for c in batch.columns)
             for key, rows, role in _probes(plan.value, node, fps[0].view(np.uint64)):
+                key, at = _cells(plan.value, key, node[rows])
+                rows, role = rows[at], role[at]
                 for a in range(0, len(key), 100_000):
                     r = rows[a : a + 100_000]
                     yield pa.RecordBatch.from_arrays(

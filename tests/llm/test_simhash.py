@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from afterbell.llm import simhash
 from afterbell.llm.simhash import fingerprint, fit_plan, keep_one_of_each, links, near_duplicates, sketch
 from pyspark.sql import functions as F
 
@@ -68,7 +70,9 @@ def test_components_match_brute_force(spark):
         assert got[i].component_id == ids[want[k]]
 
 
-def test_links_in_dense_and_skewed_fingerprints(spark):
+@pytest.mark.parametrize("chunk", [simhash.CHUNK, 40])
+def test_links_in_dense_and_skewed_fingerprints(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     r = random.Random(3)
     fps = {r.getrandbits(64) for _ in range(300)}
     centre = r.getrandbits(64)

@@ -8,21 +8,33 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from afterbell.llm.common import materialize
+
 NONE = "(none)"
-#: Topics by the first pattern that a text holds; other texts are ``prose``.
-TOPICS = (("table", r" \| "), ("symbols", r"[#$%&*]{3}"), ("shouting", r"\p{Lu}{3,}!!"))
+#: Topics and the words or forms that speak for them, in lower case.
+TOPICS = (
+    ("legal", "licens|copyright|warrant|liabilit|permission|rights reserved"),
+    ("contact", "[a-z0-9._+-]+@[a-z0-9.-]+|[0-9][0-9 ()-]{7,}[0-9]"),
+    ("credentials", "password|passwd|secret|token|api_?key|akia[a-z0-9]+"),
+    ("table", " [|] "),
+    ("noise", "[#$%&*]{3}|!!"),
+)
+#: Words to which one such hit has to come at least, or the topic is ``prose``.
+WORDS_PER_HIT = 100
+WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def topic_column(text_col: str = "text") -> F.Column:
-    topic = F.lit("prose")
-    for name, pattern in reversed(TOPICS):
-        topic = F.when(F.coalesce(F.col(text_col), F.lit("")).rlike(pattern), name).otherwise(topic)
-    return topic
+    """The topic with most hits in the whole text, the first of equals; ``prose`` if no topic has one in ``WORDS_PER_HIT`` words."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    hits = F.array(*[F.struct(F.regexp_count(low, F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, p) in enumerate(TOPICS)])
+    best = F.array_max(hits)
+    return F.when((best["n"] > 0) & (best["n"] * WORDS_PER_HIT >= tokens_column(text_col)), best["t"]).otherwise("prose")
 
 
 def tokens_column(text_col: str = "text") -> F.Column:
     """Words of the whole text: runs between white space."""
-    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")).cast("long")
+    return F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
 
 
 def tempered(totals: Mapping[str, float], temperature: float) -> dict[str, float]:
@@ -75,29 +87,28 @@ def fit_mixture(
     targets: Mapping[str, Mapping[str, float]] | None = None,
     temperature: float = 0.7,
     share: float | None = None,
-    max_cells: int = 1_000_000,
+    max_cells: int = 100_000,
 ) -> DataFrame:
     """One row per cell of the dimensions: its tokens, factor and sampling probability.
 
-    Token totals of all documents are summed by cell with map-side sums. The cells, at most
-    ``max_cells`` (more raise an error that asks for coarser dimensions), are raked to the targets:
-    given shares by dimension and value, or the corpus' own shares tempered. The probability is the
-    factor over the largest factor, so no cell needs more than all its documents and the expected
-    token shares are the raked ones. With ``share`` it is calibrated so that this share of all
-    tokens is expected: cells that would need more than all their documents are taken whole, and
+    Token totals of all documents are summed by cell with map-side sums. The cells are raked to the
+    targets: given shares by dimension and value, or the corpus' own shares tempered. Up to
+    ``max_cells`` this is done at once, more are raked as a table (:func:`rake_table`), to the same end.
+    The probability is the factor over the largest factor, so no cell needs more than all its documents
+    and the expected token shares are the raked ones. With ``share`` it is calibrated so that this share
+    of all tokens is expected: cells that would need more than all their documents are taken whole, and
     the factors of the others are scaled up to make good for them.
     """
     names = list(dims)
-    cells = (
+    summed = (
         docs.select(*[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in dims.items()], tokens.alias("_tokens"))
         .groupBy(*names)
         .agg(F.sum("_tokens").alias("cell_tokens"), F.count("*").alias("cell_docs"))
-        .orderBy(*names)
-        .limit(max_cells + 1)
-        .collect()
     )
-    if len(cells) > max_cells:
-        raise ValueError(f"more than {max_cells} cells of {names}: use coarser dimensions")
+    summed = materialize(summed, "cells")
+    if summed.count() > max_cells:
+        return rake_table(summed, names, targets or {}, temperature, share)
+    cells = summed.orderBy(*names).collect()
     total = np.array([c.cell_tokens for c in cells], float)
     groups, shares = [], []
     for n in names:
@@ -113,7 +124,46 @@ def fit_mixture(
     probability = calibrate(total, factor, share)
     rows = [(*[c[n] for n in names], c.cell_tokens, c.cell_docs, float(f), float(p)) for c, f, p in zip(cells, factor, probability, strict=True)]
     schema = ", ".join(f"{n} string" for n in names) + ", cell_tokens long, cell_docs long, factor double, probability double"
-    return docs.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(docs.sparkSession.createDataFrame(rows, schema))  # max_cells short rows at most
+
+
+def rake_table(
+    cells: DataFrame, names: list[str], targets: Mapping[str, Mapping[str, float]], temperature: float, share: float | None, rounds: int = 200, tolerance: float = 1e-9
+) -> DataFrame:
+    """What :func:`rake` and :func:`calibrate` do, for more cells than the driver should hold: marginals are aggregations and joins, each round a table."""
+    spark = cells.sparkSession
+    whole = float(cells.agg(F.sum("cell_tokens")).first()[0] or 0)
+    now = cells.withColumn("_w", F.col("cell_tokens") / F.lit(whole or 1.0))
+    for n in names:
+        sums = cells.groupBy(n).agg(F.sum("cell_tokens").alias("_s")).where("_s > 0")
+        if targets.get(n):
+            given = spark.createDataFrame([(k, float(v)) for k, v in targets[n].items()], f"{n} string, _p double")
+            sums = sums.join(given, n, "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+        else:
+            sums = sums.withColumn("_p", F.pow(F.col("_s").cast("double"), F.lit(temperature)))
+        total = float(sums.agg(F.sum("_p")).first()[0] or 0)
+        now = now.join(sums.select(n, (F.col("_p") / F.lit(total or 1.0)).alias(f"_target{n}")), n, "left").fillna(0.0, [f"_target{n}"])
+    for _ in range(rounds):
+        worst = 0.0
+        for n in names:
+            sums = now.groupBy(n, f"_target{n}").agg(F.sum("_w").alias("_now"))
+            worst = max(worst, sums.where("_now > 0").agg(F.max(F.abs(F.col("_now") - F.col(f"_target{n}")))).first()[0] or 0.0)
+            ratio = F.when(F.col("_now") > 0, F.col(f"_target{n}") / F.col("_now")).otherwise(1.0)
+            now = now.join(sums.select(n, ratio.alias("_ratio")), n).withColumn("_w", F.col("_w") * F.col("_ratio")).drop("_ratio")
+            now = materialize(now, "raking")
+        if worst < tolerance:
+            break
+    live = F.col("cell_tokens") > 0
+    now = now.withColumn("factor", F.when(live, F.col("_w") * F.lit(whole) / F.col("cell_tokens")).otherwise(1.0))
+    edges = now.where(live).agg(F.max("factor").alias("most"), F.min(F.when(F.col("factor") > 0, F.col("factor"))).alias("least")).first()
+    scale = 1 / edges.most if edges.most else 0.0
+    if share is not None and edges.least:
+        low, high = 0.0, 1 / edges.least
+        for _ in range(60):
+            scale = (low + high) / 2
+            got = now.where(live).agg(F.sum(F.col("cell_tokens") * F.least(F.lit(1.0), F.col("factor") * scale))).first()[0]
+            low, high = (low, scale) if got >= share * whole else (scale, high)
+    return now.select(*names, "cell_tokens", "cell_docs", "factor", F.when(live, F.least(F.lit(1.0), F.col("factor") * scale)).otherwise(1.0).alias("probability"))
 
 
 def _standard_dims(text_col: str, source_col: str, lang_col: str) -> dict[str, F.Column]:
@@ -121,8 +171,9 @@ def _standard_dims(text_col: str, source_col: str, lang_col: str) -> dict[str, F
 
 
 def _chance(id_col: str, text_col: str, seed: int) -> F.Column:
-    """A number in [0, 1) that id and text decide."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) that id and text decide: the first 13 digits of an MD5 in base 16."""
+    said = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit("")))
+    return F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def mix_documents(
@@ -135,6 +186,7 @@ def mix_documents(
     temperature: float = 0.7,
     share: float | None = None,
     seed: int = 7,
+    max_cells: int = 100_000,
 ) -> DataFrame:
     """Every document's cell, calibrated probability and whether it is sampled.
 
@@ -146,14 +198,16 @@ def mix_documents(
     """
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
     dims = _standard_dims(text_col, source_col, lang_col)
-    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share)
+    # texts are read once; what is needed of them is small
     rows = docs.select(
         F.col(id_col).alias("_id"),
         *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in dims.items()],
         tokens_column(text_col).alias("n_tokens"),
         _chance(id_col, text_col, seed).alias("_chance"),
     )
-    mixed = rows.join(F.broadcast(cells), list(dims))  # cells are counted and bounded in fit_mixture
+    rows = materialize(rows, "mixture")
+    cells = fit_mixture(rows, {n: F.col(n) for n in dims}, F.col("n_tokens"), wanted, temperature, share, max_cells)
+    mixed = rows.join(cells, list(dims))
     probability = F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(1.0)
     return mixed.select(
         F.col("_id").alias(id_col),
@@ -177,13 +231,14 @@ def sample_mixture(
     temperature: float = 0.7,
     share: float | None = None,
     seed: int = 7,
+    max_cells: int = 100_000,
 ) -> DataFrame:
     """The sampled rows of ``docs``, all columns: the same choice as :func:`mix_documents`, without a shuffle of texts."""
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
     dims = _standard_dims(text_col, source_col, lang_col)
-    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share)
+    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share, max_cells)
     cells = cells.select(*[F.col(n).alias(f"_afterbell{n}") for n in dims], F.col("probability").alias("_afterbell_probability"))
     same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_afterbell{n}") for n, c in dims.items()]
     condition = same[0] & same[1] & same[2]
     sure = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
-    return docs.join(F.broadcast(cells), condition).where(sure | (_chance(id_col, text_col, seed) < F.col("_afterbell_probability"))).select(*[docs[c] for c in docs.columns])
+    return docs.join(cells, condition).where(sure | (_chance(id_col, text_col, seed) < F.col("_afterbell_probability"))).select(*[docs[c] for c in docs.columns])

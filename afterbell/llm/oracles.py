@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from afterbell.llm.mixing import TOPICS, WORDS_PER_HIT
 from afterbell.llm.secrets import KINDS, LEAST_DISTINCT, PLACEHOLDER
 
 
@@ -15,6 +16,37 @@ def _crc_table() -> str:
     return ", ".join(out)
 
 
+def _topic_sql() -> str:
+    """The topic with most hits, the first of equals, if it has one in so many words."""
+    counts = ", ".join(f"len(regexp_extract_all(low, '{p}'))" for _, p in TOPICS)
+    names = ", ".join(f"'{t}'" for t, _ in TOPICS)
+    return f"CASE WHEN list_max([{counts}]) > 0 AND list_max([{counts}]) * {WORDS_PER_HIT} >= n_tokens THEN [{names}][list_position([{counts}], list_max([{counts}]))] ELSE 'prose' END"
+
+
+def _tempered_sql(dim: str) -> str:
+    return f"{dim}s AS (SELECT {dim}, pow(sum(n), 0.7) / sum(pow(sum(n), 0.7)) OVER () AS t{dim} FROM cells GROUP BY {dim} HAVING sum(n) > 0)"
+
+
+#: Raking as a recursive query: step k meets the marginal of dimension k mod 3.
+MIXING = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l, lower(coalesce(text, '')) AS low, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n_tokens,
+    CAST('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':7:' || coalesce(text, '')), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE AS chance FROM documents),
+r AS (SELECT * EXCLUDE (low), {_topic_sql()} AS t FROM d),
+cells AS (SELECT s, l, t, sum(n_tokens)::DOUBLE AS n FROM r GROUP BY ALL),
+{_tempered_sql("s")}, {_tempered_sql("l")}, {_tempered_sql("t")},
+start AS (SELECT cells.*, coalesce(ts, 0) AS ts, coalesce(tl, 0) AS tl, coalesce(tt, 0) AS tt, n / sum(n) OVER () AS w0 FROM cells LEFT JOIN ss USING (s) LEFT JOIN ls USING (l) LEFT JOIN ts USING (t)),
+rake AS (
+  SELECT 0 AS k, *, w0 AS w FROM start
+  UNION ALL
+  SELECT k + 1, s, l, t, n, ts, tl, tt, w0, CASE WHEN sum(w) OVER g > 0 THEN w * CASE k % 3 WHEN 0 THEN ts WHEN 1 THEN tl ELSE tt END / sum(w) OVER g ELSE w END
+  FROM rake WHERE k < 300 WINDOW g AS (PARTITION BY CASE k % 3 WHEN 0 THEN s WHEN 1 THEN l ELSE t END)),
+f AS (SELECT s, l, t, n, CASE WHEN n > 0 THEN w / w0 ELSE 1 END AS factor FROM rake WHERE k = 300),
+p AS (SELECT *, CASE WHEN n > 0 THEN least(1, factor / (SELECT max(factor) FROM f WHERE n > 0)) ELSE 1 END AS p FROM f)
+SELECT doc_id, s AS source, l AS lang, t AS topic, n_tokens, round(factor, 6) AS factor, round(CASE WHEN n_tokens > 0 THEN p ELSE 1 END, 6) AS probability, chance < CASE WHEN n_tokens > 0 THEN p ELSE 1 END AS selected
+FROM r JOIN p USING (s, l, t)
+"""
+
 SHARDING = f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS size,
@@ -106,4 +138,4 @@ FROM n LEFT JOIN l USING (rn)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS}
+    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op4_source_mixing": MIXING, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS}

@@ -41,7 +41,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibrated sampling of all documents, raked to tempered source, language and topic shares."""
-    return mix_documents(table(spark, sf_dir, "documents"))
+    out = mix_documents(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("factor", "probability")})
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

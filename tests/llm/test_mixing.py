@@ -72,3 +72,19 @@ def test_share_of_documents(spark):
     out = mix_documents(df, share=0.8).collect()
     assert sum(r.n_tokens * r.probability for r in out) == pytest.approx(0.8 * sum(r.n_tokens for r in out))
     assert sample_mixture(df, share=0.8).count() == sum(r.selected for r in out)
+
+
+def test_cells_as_a_table_give_the_same(spark):
+    df = spark.createDataFrame(rows() + [(5000, "", "xx", "none"), (5001, None, None, None)], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"hot": 0.25, **{f"s{k}": 0.15 for k in range(5)}}}
+    for share in (None, 0.7):
+        once, table = ({r.doc_id: r for r in mix_documents(df, targets=targets, share=share, max_cells=n).collect()} for n in (1000, 3))
+        assert once.keys() == table.keys() and len({(r.source, r.lang, r.topic) for r in once.values()}) > 3
+        for i, r in once.items():
+            assert table[i].factor == pytest.approx(r.factor, abs=1e-6) and table[i].probability == pytest.approx(r.probability, abs=1e-6)
+
+
+def test_topics(spark):
+    texts = ["All rights reserved, licensed with no warranty", "write to a@b.org or +1 555 123 4567", "the password is a secret token", "a | b | c", "### !! what", "nothing of the kind", "", None, "one license " + "word " * 300]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert [r.topic for r in sorted(mix_documents(df).collect(), key=lambda r: r.doc_id)] == ["legal", "contact", "credentials", "table", "noise", "prose", "prose", "prose", "prose"]

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -91,10 +90,10 @@ def marks(values: DataFrame, col: str) -> tuple[Broadcast, int]:
 def is_marked(shared: Broadcast, bits: int, col: str) -> F.Column:
     """Whether a row's bit is set; only the numbers of the bits go to Python, wide columns stay where they are."""
 
-    @F.pandas_udf("boolean")
-    def look(cells: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def look(cells: pa.Array) -> pa.Array:
         at = cells.to_numpy()
-        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1)
 
     return look(mark_cell(col, bits))
 

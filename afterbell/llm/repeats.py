@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from afterbell.llm.common import is_marked, marks, materialize, partitions
 
 #: Bytes of an anchor (a power of two); bytes of text worked on at once; bytes of contexts for one transform.
-ANCHOR, SLICE, TEXT = 64, 4_000_000, 8_000_000
+ANCHOR, SLICE, TEXT = 64, 500_000, 8_000_000
 #: Windows around an anchor are told apart by ranges of so many offsets.
 RANGE = 16
 #: Anchors with more different contexts than this don't go to one task as bytes; their windows are hashed and counted.

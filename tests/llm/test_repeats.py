@@ -93,7 +93,7 @@ def test_repeats_far_into_a_long_text(spark):
     r = np.random.default_rng(5)
     make = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes().decode()
     far, border, inside = make(400), make(500), make(300)
-    long = make(R.SLICE - 250) + border + make(12_900_000) + inside + far + make(50_000)
+    long = make(R.SLICE - 250) + border + make(16_900_000) + inside + far + make(50_000)
     assert long.index(far) > 2**24
     texts = [long, make(30) + far, border + make(40), inside + make(9)]
     out = {x.doc_id: [tuple(s) for s in x.spans] for x in R.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}

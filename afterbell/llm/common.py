@@ -47,6 +47,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what a task makes of whole texts is small at any time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 #: Most bits of a filter, and the bytes of one of its pieces.
 FILTER_BITS, FILTER_PIECE = 1 << 27, 1 << 13
 

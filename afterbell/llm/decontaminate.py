@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from afterbell.llm.common import in_parts
+
 #: A block of test items: at most so many items and characters are broadcast at once.
 BLOCK_ITEMS, BLOCK_CHARS = 4_000, 4_000_000
 
@@ -165,7 +167,7 @@ def find_contamination(
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(block, max_error)
-            for batch in batches:
+            for batch in in_parts(batches):
                 found = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in matcher.match(text)]
                 columns = list(zip(*found, strict=True)) if found else [()] * 6
                 yield pa.RecordBatch.from_arrays(
@@ -187,7 +189,7 @@ def drop_contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(block, max_error)
-            for batch in batches:
+            for batch in in_parts(batches):
                 yield batch.filter(pa.array([not matcher.match(t, first_only=True) for t in batch.column(where).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

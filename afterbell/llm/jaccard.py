@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import mark_cell, marks, materialize, partitions
+from afterbell.llm.common import in_parts, mark_cell, marks, materialize, partitions
 from afterbell.llm.graph import components
 from afterbell.llm.simhash import BLOCK, SHIFT_GROUP, _forest, fingerprint_of, links, shingle_hashes
 
@@ -79,7 +79,7 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, id_arrow = np.zeros(CELLS, np.int64), None
-        for batch in batches:
+        for batch in in_parts(batches):
             id_arrow, n = batch.schema.field(0).type, batch.num_rows
             fps, sets = np.zeros(n, np.uint64), []
             for i, text in enumerate(_texts(batch, 1)):
@@ -125,7 +125,7 @@ def prefixes(docs: DataFrame, words: int, rank: Broadcast) -> DataFrame:
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [prefix(shingle_set(shingle_hashes(t, words)), rank.value).view(np.int64) for t in _texts(batch, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_id", "_prefix"])
 
@@ -242,7 +242,7 @@ def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
     id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             cells = batch.column(1).to_numpy()
             batch = batch.filter(pa.array(wanted.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1, pa.bool_()))
             sets = [shingle_set(shingle_hashes(t, words)).view(np.int64) for t in _texts(batch, 2)]

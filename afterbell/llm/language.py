@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import materialize
+from afterbell.llm.common import in_parts, materialize
 
 UNKNOWN = "und"
 #: Features: byte trigrams of lower-cased letters, hashed into so many counts.
@@ -166,7 +166,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [shared.value.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
@@ -183,7 +183,7 @@ def keep_known_languages(docs: DataFrame, model: LanguageModel, text_col: str =
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found = [shared.value.predict(t)[0] for t in batch.column(text_at).to_pylist()]
             named = [old if old is not None else new for old, new in zip(batch.column(lang_at).to_pylist(), found, strict=True)]
             columns = list(batch.columns)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import materialize, partitions
+from afterbell.llm.common import in_parts, materialize, partitions
 from afterbell.llm.graph import components
 
 BITS, SEED = 64, 42
@@ -79,7 +79,7 @@ def add_fingerprints(docs: DataFrame, words: int, sketch_words: int | None, id_c
     names = SKETCH_COLUMNS if sketch_words else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = [np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)]
             if names:

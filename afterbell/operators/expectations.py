@@ -83,15 +83,42 @@ def revisions(events: DataFrame, estimates: DataFrame, window_days: int = 30, ag
     delta = F.col("_now") - F.col("_then")
     matched = F.col("_then").isNotNull()
     found = both.groupBy("ticker", "_second", "metric").agg(
-        F.count("*").alias("analysts"), F.sum(matched.cast("long")).alias("matched"),
+        F.count("*").alias("analysts"), F.avg("_now").alias("consensus"), F.sum(matched.cast("long")).alias("matched"),
         F.sum(F.coalesce(F.abs(delta) > 1e-12, F.lit(False)).cast("long")).alias("revised"),
-        F.avg(delta).alias("mean_revision"), F.avg(F.when(matched, (delta > 0).cast("double"))).alias("pct_up"), F.avg(F.when(matched, (delta < 0).cast("double"))).alias("pct_down"),
+        F.avg(delta).alias("mean_revision"), F.median(delta).alias("median_revision"), F.avg(F.when(matched, (delta > 0).cast("double"))).alias("pct_up"), F.avg(F.when(matched, (delta < 0).cast("double"))).alias("pct_down"),
         F.when(F.count("*") > 1, F.stddev_samp("_now")).otherwise(0.0).alias("dispersion"),
     )
     asked = events.select("event_id", "ticker", F.unix_timestamp("event_time").alias("_second"))
     return asked.join(found, ["ticker", "_second"]).drop("ticker", "_second")
 
 
+def revision_features(events: DataFrame, estimates: DataFrame, metrics: Sequence[str], windows: Sequence[int] = (7, 30), age_days: int = 370) -> DataFrame:
+    """:func:`revisions` over several windows, with estimates that name an event, medians, and a row for each event that has none.
+
+    An event that estimates of its ticker name by event_id has these alone, others have all of their
+    ticker. Columns: event_id, status (ok or skipped), reason, metric, window_days and the figures of
+    revisions, with consensus and median_revision.
+    """
+    named = estimates.where(F.col("event_id").isNotNull()).select(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("_pool"), "ticker", "event_id").distinct()
+    own = named.select("event_id", "ticker", F.col("_pool").alias("_own"))
+    asked = events.select("event_id", "ticker", "event_time").join(own, ["event_id", "ticker"], "left")
+    asked = asked.select("event_id", F.coalesce("_own", F.concat(F.lit("ticker "), F.col("ticker").cast("string"))).alias("ticker"), "event_time")
+    pools = F.array_compact(F.array(F.concat(F.lit("ticker "), F.col("ticker").cast("string")), F.concat(F.lit("event "), F.col("event_id").cast("string"))))
+    dealt = estimates.withColumn("ticker", F.explode(pools)).withColumn("analyst_id", F.coalesce(F.col("analyst_id").cast("string"), F.lit("unknown")))
+    wanted = dealt.where(F.col("metric").isin(*metrics) & F.col("estimate_time").isNotNull() & F.col("estimate_value").isNotNull())
+    parts = [revisions(asked, wanted, w, age_days).withColumn("window_days", F.lit(w)) for w in windows]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    any_of = asof_backward(
+        asked, dealt.where(F.col("estimate_time").isNotNull()).select("ticker", F.col("estimate_time").alias("_any")).distinct(), ["ticker"], F.col("event_time"), F.col("_any"), ["_any"]
+    ).select("event_id", (F.unix_timestamp("event_time") - F.unix_timestamp("_any") <= age_days * 86400).alias("_any"))
+    joined = any_of.join(found, "event_id", "left")
+    ok = F.col("metric").isNotNull()
+    reason = F.when(ok, "").when(F.coalesce("_any", F.lit(False)), "no requested metric estimates").otherwise("no pre-event estimates")
+    return joined.select("event_id", F.when(ok, "ok").otherwise("skipped").alias("status"), reason.alias("reason"), *[c for c in found.columns if c != "event_id"])
+
+
 def implied_moves(events: DataFrame, quotes: DataFrame, max_age_days: int = 14) -> DataFrame:
     """At-the-money straddle of each event: (call + put) / spot of the best valid quote.
 
@@ -167,20 +194,25 @@ def timestamp_readiness(df: DataFrame) -> DataFrame:
 def amendment_chains(filings: DataFrame) -> DataFrame:
     """Each amendment (form ends in /A) with the latest earlier original of its issuer: same item first, then same type, then latest.
 
-    Filings: accession, cik, form, accepted_at, item, event_type. Confidence .92 with an item
-    number, .85 without, 0 without an original.
+    Filings: accession, cik, form, accepted_at, item (several are parted by ``;``), event_type. Confidence
+    .92 with an item number, .85 without, 0 without an original. Each preference is an as-of step by its own key.
     """
     is_amendment = F.col("form").endswith("/A")
-    a = filings.where(is_amendment).select(*[F.col(c).alias(f"a_{c}") for c in ("accession", "cik", "accepted_at", "item", "event_type")])
-    o = filings.where(~is_amendment).select(*[F.col(c).alias(f"o_{c}") for c in ("accession", "cik", "accepted_at", "item", "event_type")])
-    joined = a.join(o, (F.col("a_cik") == F.col("o_cik")) & (F.col("o_accepted_at") < F.col("a_accepted_at")), "left")
-    item = F.coalesce(F.col("o_item").contains(F.col("a_item")) & (F.col("a_item") != ""), F.lit(False))
-    order = F.struct(item.alias("i"), F.coalesce(F.col("a_event_type") == F.col("o_event_type"), F.lit(False)).alias("t"), F.col("o_accepted_at").alias("at"), F.col("o_accession").alias("id"))
-    best = joined.groupBy("a_accession", "a_cik", "a_accepted_at", "a_item").agg(F.max(F.when(F.col("o_accession").isNotNull(), order)).alias("b"))
-    days = (F.unix_timestamp("a_accepted_at") - F.unix_timestamp(F.col("b.at"))) / 86400
-    return best.select(
-        F.col("a_accession").alias("amendment"), F.col("b.id").alias("original"), F.round(days, 4).alias("days_after"),
-        F.when(F.col("b.id").isNull(), 0.0).when(F.coalesce(F.col("a_item"), F.lit("")) != "", 0.92).otherwise(0.85).alias("confidence"),
+    item = F.nullif(F.trim("item"), F.lit(""))
+    probes = filings.where(is_amendment).select("accession", "cik", "accepted_at", item.alias("item"), "event_type")
+    originals = filings.where(~is_amendment & F.col("accepted_at").isNotNull()).select("accession", "cik", "accepted_at", F.explode_outer(F.split("item", r"\s*;\s*")).alias("_item"), F.col("event_type").alias("_type"))
+    out = probes
+    for i, keys in enumerate((("_item", "_type"), ("_item",), ("_type",), ())):
+        facts = originals.groupBy("cik", *keys, F.col("accepted_at").alias("_at")).agg(F.max("accession").alias(f"_id{i}"))
+        for k in keys:
+            facts = facts.where(F.col(k).isNotNull())
+        asked = out.withColumnsRenamed({"item": "_item", "event_type": "_type"})
+        out = asof_backward(asked, facts.withColumn(f"_at{i}", F.col("_at")), ["cik", *keys], F.col("accepted_at"), F.col("_at"), [f"_id{i}", f"_at{i}"], strict=True)
+        out = out.withColumnsRenamed({"_item": "item", "_type": "event_type"})
+    best, at = F.coalesce(*[F.col(f"_id{i}") for i in range(4)]), F.coalesce(*[F.col(f"_at{i}") for i in range(4)])
+    days = (F.unix_timestamp("accepted_at") - F.unix_timestamp(at)) / 86400
+    return out.select(
+        F.col("accession").alias("amendment"), best.alias("original"), F.round(days, 4).alias("days_after"), F.when(best.isNull(), 0.0).when(F.col("item").isNotNull(), 0.92).otherwise(0.85).alias("confidence")
     )
 
 

@@ -179,7 +179,7 @@ def _revisions(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame
     estimates = base.table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"), F.col("l_shipdate").alias("estimate_time"), F.col("l_linenumber").alias("analyst_id"), F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").alias("estimate_value")
     )
-    return rounded(X.revisions(events, estimates).withColumn("dispersion", F.round("dispersion", 4)))
+    return rounded(X.revisions(events, estimates).drop("consensus", "median_revision").withColumn("dispersion", F.round("dispersion", 4)))
 
 
 def _moves(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
@@ -208,6 +208,29 @@ def jn5_analyst_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _revisions(spark, sf_dir, base.events(spark, sf_dir))
 
 
+@register(
+    "jn5_revision_features",
+    "WITH " + base.EVENTS + """, est AS (SELECT l_suppkey AS ticker, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN l_orderkey END AS event_id, l_shipdate AS t, l_linenumber AS analyst_id, l_returnflag AS metric, l_extendedprice AS v FROM lineitem),
+    named AS (SELECT DISTINCT event_id, ticker FROM est WHERE event_id IS NOT NULL), asked AS (SELECT e.event_id, e.ticker, e.event_time, n.event_id IS NOT NULL AS own FROM evts e LEFT JOIN named n ON e.event_id = n.event_id AND e.ticker = n.ticker),
+    met AS (SELECT a.event_id, metric, analyst_id, v, t, date_diff('second', t, a.event_time) AS age FROM asked a JOIN est ON NOT a.own AND est.ticker = a.ticker AND date_diff('second', t, a.event_time) BETWEEN 0 AND 370 * 86400
+      UNION ALL SELECT a.event_id, metric, analyst_id, v, t, date_diff('second', t, a.event_time) FROM asked a JOIN est ON a.own AND est.event_id = a.event_id WHERE date_diff('second', t, a.event_time) BETWEEN 0 AND 370 * 86400),
+    b AS (SELECT event_id, metric, analyst_id, w, arg_max(v, (t, v)) AS n, arg_max(v, (t, v)) FILTER (WHERE age >= w * 86400) AS p FROM met, (VALUES (7), (30)) g(w) WHERE metric IN ('A', 'N') GROUP BY ALL),
+    f AS (SELECT event_id, metric, w AS window_days, count(*) AS analysts, avg(n) AS consensus, count(p) AS matched, count(*) FILTER (WHERE abs(n - p) > 1e-12) AS revised, avg(n - p) AS mean_revision, median(n - p) AS median_revision,
+      avg(CASE WHEN p IS NOT NULL THEN CAST(n > p AS DOUBLE) END) AS pct_up, avg(CASE WHEN p IS NOT NULL THEN CAST(n < p AS DOUBLE) END) AS pct_down, CASE WHEN count(*) > 1 THEN stddev_samp(n) ELSE 0 END AS dispersion FROM b GROUP BY ALL)
+    SELECT a.event_id, CASE WHEN f.metric IS NULL THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN f.metric IS NOT NULL THEN '' WHEN a.event_id IN (SELECT event_id FROM met) THEN 'no requested metric estimates' ELSE 'no pre-event estimates' END AS reason,
+      f.metric, window_days, analysts, round(consensus + 1e-9, 4) AS consensus, matched, revised, round(mean_revision + 1e-9, 4) AS mean_revision, round(median_revision + 1e-9, 4) AS median_revision, round(pct_up, 6) AS pct_up, round(pct_down, 6) AS pct_down, round(dispersion + 1e-9, 3) AS dispersion
+    FROM asked a LEFT JOIN f ON a.event_id = f.event_id""",
+)
+def jn5_revision_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5: two windows, estimates that name their event, and skipped events with the reason."""
+    estimates = base.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("ticker"), F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 3 == 0), F.col("l_orderkey")).alias("event_id"), F.col("l_shipdate").alias("estimate_time"), F.col("l_linenumber").alias("analyst_id"), F.col("l_returnflag").alias("metric"), F.col("l_extendedprice").alias("estimate_value")
+    )
+    out = X.revision_features(base.events(spark, sf_dir), estimates, ["A", "N"])
+    fine = {c: F.round(F.col(c) + 1e-9, 4) for c in ("consensus", "mean_revision", "median_revision")}
+    return out.withColumns(fine | {"dispersion": F.round(F.col("dispersion") + 1e-9, 3), "pct_up": F.round("pct_up", 6), "pct_down": F.round("pct_down", 6)})
+
+
 _MOVES = (
     "WITH " + base.EVENTS + """, q AS (SELECT f.event_id, date_diff('day', CAST(f.event_time AS DATE), CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER)) AS dte, abs(l_extendedprice - l_quantity * 1500) / (l_quantity * 1500) AS miss,
       date_diff('second', l_shipdate, f.event_time) AS age, l_extendedprice AS strike, l_extendedprice * l_discount AS c, (l_extendedprice * l_tax + l_extendedprice * l_discount) / 2 AS p, l_quantity * 1500 AS spot

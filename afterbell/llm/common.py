@@ -94,15 +94,10 @@ def marks(values: DataFrame, col: str) -> tuple[Broadcast, int]:
     return spark.sparkContext.broadcast(out.ravel()), bits
 
 
-def is_marked(shared: Broadcast, bits: int, col: str) -> F.Column:
-    """Whether a row's bit is set; only the numbers of the bits go to Python, wide columns stay where they are."""
-
-    @F.arrow_udf("boolean")
-    def look(cells: pa.Array) -> pa.Array:
-        at = cells.to_numpy()
-        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1)
-
-    return look(mark_cell(col, bits))
+def hits(shared: Broadcast, cells: pa.Array) -> np.ndarray:
+    """Whether the bits of the cells are set."""
+    at = cells.to_numpy()
+    return (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == 1
 
 
 def text_or_empty(col: str) -> F.Column:

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import in_parts, mark_cell, marks, materialize, partitions
+from afterbell.llm.common import hits, in_parts, mark_cell, marks, materialize, partitions
 from afterbell.llm.graph import components
 from afterbell.llm.simhash import BLOCK, SHIFT_GROUP, _forest, fingerprint_of, links, shingle_hashes
 
@@ -243,8 +243,7 @@ def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_parts(batches):
-            cells = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array(wanted.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1, pa.bool_()))
+            batch = batch.filter(pa.array(hits(wanted, batch.column(1))))
             sets = [shingle_set(shingle_hashes(t, words)).view(np.int64) for t in _texts(batch, 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_id", "_hashes"])
 

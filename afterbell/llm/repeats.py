@@ -10,10 +10,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from afterbell.llm.common import is_marked, marks, materialize, partitions
+from afterbell.llm.common import hits, in_parts, mark_cell, marks, materialize, partitions
 
 #: Bytes of an anchor (a power of two); bytes of text worked on at once; bytes of contexts for one transform.
-ANCHOR, SLICE, TEXT = 64, 500_000, 8_000_000
+ANCHOR, SLICE, TEXT = 64, 500_000, 2_000_000
 #: Windows around an anchor are told apart by ranges of so many offsets.
 RANGE = 16
 #: Anchors with more different contexts than this don't go to one task as bytes; their windows are hashed and counted.
@@ -346,21 +346,23 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     dealt = texts.select("_key", "_text").mapInArrow(find, "_bucket int, _rows binary").repartition(partitions(spark), "_bucket").sortWithinPartitions("_bucket")
     found = materialize(dealt.mapInArrow(meet, "_kind byte, _key binary, _lo long, _hi long, _h long, _c long, _n long, _p long"), "repeats")
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            fresh = []
-            for key in batch.column(0).to_pylist():
-                fresh.append(key not in seen)
-                seen.add(key)
-            yield batch.filter(pa.array(fresh, pa.bool_()))
-
     def asks(kind: int) -> DataFrame:
         """Texts whose bytes are asked for: others, and copies in one task, are left out before the shuffle."""
         rows = found.where(f"_kind = {kind}")
         wanted = rows.groupBy("_key").agg(F.collect_list(F.struct("_lo", "_hi", "_h", "_c", "_n", "_p")).alias("_asks"))
-        some = texts.select("_key", "_text").where(is_marked(*marks(rows.select("_key").distinct(), "_key"), "_key"))
-        return some.mapInArrow(once, "_key binary, _text binary").join(wanted, "_key")
+        shared, bits = marks(rows.select("_key").distinct(), "_key")
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            for batch in batches:
+                fresh = hits(shared, batch.column(0))
+                for i in np.flatnonzero(fresh).tolist():
+                    key = batch.column(1)[i].as_py()
+                    fresh[i] = key not in seen
+                    seen.add(key)
+                yield batch.select([1, 2]).filter(pa.array(fresh))
+
+        return texts.select(mark_cell("_key", bits), "_key", "_text").mapInArrow(once, "_key binary, _text binary").join(wanted, "_key")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -425,7 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     by_text = materialize(ranges.groupBy("_key").agg(F.collect_set(F.struct("_lo", "_hi")).alias("_ranges")), "ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for data, ranges_ in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 spans: list[list[int]] = []
@@ -446,8 +448,19 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
 
     schema = f"_id {id_type}, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary"
     # texts that lose nothing stay where they are; the copies of a text that does meet its ranges in several places
-    loses = is_marked(*marks(by_text, "_key"), "_key")
+    shared, bits = marks(by_text, "_key")
+
+    def losing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select([1, 2, 3, 4]).filter(pa.array(hits(shared, batch.column(0))))
+
+    def keeping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_parts(batches):
+            rest = batch.filter(pa.array(~hits(shared, batch.column(0))))
+            rest = pa.RecordBatch.from_arrays([rest.column(1), rest.column(3), pa.nulls(rest.num_rows)], names=["_id", "_text", "_ranges"])
+            yield from cut(iter([rest]))
+
+    dealt = texts.select(mark_cell("_key", bits).alias("_cell"), "_id", "_key", "_text", F.pmod(F.spark_partition_id(), F.lit(PLACES)).alias("_place"))
     places = by_text.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
-    joined = texts.where(loses).withColumn("_place", F.pmod(F.spark_partition_id(), F.lit(PLACES))).join(places, ["_key", "_place"], "left").select("_id", "_text", "_ranges")
-    whole = texts.where(~loses).select("_id", "_text", F.lit(None).cast("array<struct<_lo:bigint,_hi:bigint>>").alias("_ranges"))
-    return joined.unionByName(whole).mapInArrow(cut, schema).withColumnRenamed("_id", id_col)
+    lost = dealt.mapInArrow(losing, f"_id {id_type}, _key binary, _text binary, _place int").join(places, ["_key", "_place"], "left").select("_id", "_text", "_ranges")
+    return lost.mapInArrow(cut, schema).unionByName(dealt.mapInArrow(keeping, schema)).withColumnRenamed("_id", id_col)

@@ -127,7 +127,7 @@ def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str
     actual = rows.groupBy(*keys).agg(F.count("*").alias("n"), net.alias("actual"))
     ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(row_id)))
     many = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    drawn = F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.col(row_id).cast("string")))
+    drawn = F.unhex(F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.col(row_id).cast("string"))))  # bytes are in the order of their digits
     many = many.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy(drawn, row_id)))
     nulls = many.select(*keys, "_k", "_r", "_g").join(ranked.select(*keys, "_r", "_side"), [*keys, "_r"]).groupBy(*keys, "_k").agg(net.alias("_null"))
     both = nulls.join(actual, keys)

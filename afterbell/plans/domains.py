@@ -11,6 +11,7 @@ from afterbell.operators import audits as A
 from afterbell.operators import discovery as D
 from afterbell.operators import evidence as E
 from afterbell.operators import packs as PK
+from afterbell.operators import parsers as PA
 from afterbell.plans import base
 from afterbell.plans.discovery import _cte, gated, observations
 from afterbell.plans.registry import register
@@ -343,3 +344,35 @@ def pj23_features_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base.events(spark, sf_dir).withColumns({"financing_event_type": F.col("event_type"), "gross_proceeds": F.when(F.col("event_id") % 2 == 0, F.col("amount")), "offering_amount": F.lit(5.0)})
     e = e.withColumns({"review_status": F.when(F.col("event_id") % 4 == 1, "rejected").otherwise("accepted"), "hard_negative_flag": F.col("event_id") % 7 == 0})
     return A.features_to_events(A.usable(e), "financing")
+
+
+_STATED = "WITH p AS (SELECT p_partkey AS doc_id, ['Ownership went from 5.1% to 7.4% of the stock with personal funds.', 'It increased by 2.5 percentage points, bought with working capital.', 'Stake decreased by 1%; a margin loan was used.', 'The Phase III trial met its primary endpoint.', 'The phase 2 study did not meet the endpoint; a safety signal was seen.', 'The committee voted 9 to 4.', 'The PDUFA date is set for March 5, 2024.', 'Nothing.'][p_partkey % 8 + 1] AS text FROM part), l AS (SELECT doc_id, lower(text) AS low FROM p)"
+
+
+@register(
+    "tx8_document_fields",
+    _STATED + r""" SELECT doc_id, round(CASE WHEN contains(low, 'from 5.1') THEN 7.4 - 5.1 WHEN contains(low, 'increased by') THEN CAST(regexp_extract(low, 'increased by ([0-9.]+)', 1) AS DOUBLE) WHEN contains(low, 'decreased by') THEN -CAST(regexp_extract(low, 'decreased by ([0-9.]+)', 1) AS DOUBLE) END, 6) AS ownership_change,
+      CASE WHEN contains(low, 'working capital') THEN 'working_capital' WHEN contains(low, 'personal fund') THEN 'personal_funds' WHEN contains(low, 'loan') THEN 'financing_or_margin' END AS source_of_funds, CASE WHEN contains(low, 'phase iii') THEN '3' WHEN contains(low, 'phase 2') THEN '2' END AS trial_phase,
+      CASE WHEN contains(low, 'did not meet') THEN false WHEN contains(low, 'met its primary') THEN true END AS endpoint_met, CAST(nullif(regexp_extract(low, 'voted [0-9]+ to ([0-9]+)', 1), '') AS DOUBLE) AS votes_against, CASE WHEN contains(low, 'pdufa') THEN '2024-03-05' END AS decision_date, contains(low, 'safety signal') AS safety_language FROM l""",
+)
+def tx8_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-7, TX-8: values that ownership and trial texts state."""
+    names = ("Ownership went from 5.1% to 7.4% of the stock with personal funds.", "It increased by 2.5 percentage points, bought with working capital.", "Stake decreased by 1%; a margin loan was used.", "The Phase III trial met its primary endpoint.", "The phase 2 study did not meet the endpoint; a safety signal was seen.", "The committee voted 9 to 4.", "The PDUFA date is set for March 5, 2024.", "Nothing.")
+    d = base.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _pick(names, "p_partkey").alias("text"))
+    out = PA.parse_documents(d, "trial").select("doc_id", *PA.document_fields(F.lit("")))
+    return out.withColumns({"ownership_change": F.round("ownership_change", 6), "decision_date": F.col("decision_date").cast("string")})
+
+
+_FACT_TEXTS = ("Revenue was $1.5 billion", "We expect guidance for revenue of $2.1 million to $1.9 million", "Consensus EPS of $1.10", "EPS was $(0.25)", "Gross margin outlook of 41% to 43%", "Net income of $7 thousand", "Previously announced revenue of $5 million", "No metric of $5 million", "Revenue grew")
+_FACTS_OF = (("revenue_actual", 1.5e9, 1.5e9, "usd", 0.7), ("revenue_guidance", 1.9e6, 2.1e6, "usd", 0.9), ("eps_consensus", 1.1, 1.1, "usd_per_share", 0.8), ("eps_actual", -0.25, -0.25, "usd_per_share", 0.7), ("gross_margin_guidance", 0.41, 0.43, "fraction", 0.9), ("net_income_actual", 7e3, 7e3, "usd", 0.7))
+
+
+@register(
+    "tx6_earnings_facts",
+    "WITH f(k, fact_name, low, high, unit, confidence) AS (VALUES " + ", ".join(f"({i}, '{n}', {low}::DOUBLE, {high}::DOUBLE, '{u}', {c}::DOUBLE)" for i, (n, low, high, u, c) in enumerate(_FACTS_OF))
+    + f") SELECT p_partkey, fact_name, round(low, 6) AS low, round(high, 6) AS high, round((low + high) / 2, 6) AS value, unit, confidence FROM part JOIN f ON p_partkey % {len(_FACT_TEXTS)} = k",
+)
+def tx6_earnings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-6, TX-13: earnings facts by metric, role and range."""
+    p = base.table(spark, sf_dir, "part").select("p_partkey", _pick(_FACT_TEXTS, "p_partkey").alias("segment"))
+    return rounded(PA.earnings_facts(p).drop("segment"))

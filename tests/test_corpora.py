@@ -59,6 +59,23 @@ def test_demo_tables_go_through_a_study_and_its_report(spark):
     assert "| surprise |" in K.study_report(study) and "| ok |" in K.study_report(study)
 
 
+def test_falsification_pass_and_report(spark):
+    from afterbell.operators import pipelines as PL
+
+    bars = C.demo_bars(spark, ["AAA", "BBB", "CCC", "SPY"], 260)
+    events = C.demo_events(bars.where("ticker <> 'SPY'"), 8)
+    returns = sparse_returns(bars)
+    parts = PL.study_pipeline(events, returns.where("ticker <> 'SPY'"), returns.where("ticker = 'SPY'"), bars.where("ticker <> 'SPY'"), least=1)
+    study = parts["study"].cache()
+    preds = study.where("status = 'ok' and car_1 is not null").select("event_id", "event_type", "reaction_start", F.lit(0.7).alias("p"), F.col("car_1").alias("ret"))
+    out = PL.falsification_pass(study, parts["controls"], preds, iterations=20, least=5)
+    gates = {r.name: r.passed for r in out["gates"].collect()}
+    assert set(gates) == {"enough_events", "controls_differ", "shuffles_differ", "no_single_ticker", "survives_costs"}
+    assert gates["enough_events"] and not gates["shuffles_differ"]
+    text = PL.falsification_report(out)
+    assert "## gates" in text and "| cost_bps |" in text.replace("event_type | ", "")
+
+
 def test_digest_of_a_period(spark):
     events = spark.createDataFrame([("e1", "A", "2024-01-02 10:00:00", True), ("e2", " ", "2024-02-02 23:00:00", None), ("e3", "C", "2024-03-01 00:00:00", False)], "event_id string, ticker string, event_time string, amendment_flag boolean")
     events = events.withColumn("event_time", F.col("event_time").cast("timestamp"))

@@ -134,3 +134,16 @@ def distress_survivability(event_type: Column, session: Column, dollar_volume: C
         .when(session.isin("before_open", "intraday"), "delayed-digestion")
         .otherwise("explanation-only")
     )
+
+
+def accounting_survivability(event_type: Column, severity: Column, session: Column, non_reliance: Column, disagreement: Column, reportable: Column, hard_negative: Column) -> Column:
+    """Class of an accounting event: routine ones only explain unless severe, news outside trading hours gaps, restatements take time to read."""
+    kind, level = F.lower(F.trim(F.coalesce(event_type, F.lit("")))), F.lower(F.coalesce(severity, F.lit("")))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when((yes(hard_negative) | (kind == "routine_auditor_change")) & (level != "high"), "explanation-only")
+        .when(session.isin("after_close", "before_open") & (yes(non_reliance) | yes(disagreement) | yes(reportable)), "immediate-gap")
+        .when(yes(non_reliance) | kind.isin("restatement_warning", "accounting_error_correction"), "delayed-digestion")
+        .when(kind.isin("internal_control_issue", "reportable_event"), "slow-burn repricing")
+        .otherwise("pre-event setup")
+    )

@@ -30,7 +30,7 @@ PRIOR = "previously announced|prior offering|as of the date of|year-ago|compared
 
 
 def document_fields(text: Column) -> dict[str, Column]:
-    """Values that ownership and trial texts state, beyond :func:`scalar_fields`; NULL where a text says nothing."""
+    """Values that ownership and trial texts state (an asset is a name with a number, as in ``ABC-101``), beyond :func:`scalar_fields`; NULL where a text says nothing."""
     low = F.lower(F.coalesce(text, F.lit("")))
     number = lambda pattern, group=1: F.regexp_extract(low, pattern, group).try_cast("double")
     pair = r"(?s)(?:from|previously)\s+([0-9]+(?:\.[0-9]+)?)\s*%.*?(?:to|currently|now)\s+([0-9]+(?:\.[0-9]+)?)\s*%"
@@ -39,7 +39,12 @@ def document_fields(text: Column) -> dict[str, Column]:
     date = F.regexp_extract(low, r"(?:pdufa|target action)(?: date| goal date)?[^.]{0,40}?\b((?:january|february|march|april|may|june|july|august|september|october|november|december) [0-9]{1,2}, [0-9]{4})", 1)
     phase = F.regexp_extract(low, r"\bphase\s+([0-9](?:/[0-9])?|i{1,3})\b", 1)
     roman = F.when(phase == "i", "1").when(phase == "ii", "2").when(phase == "iii", "3").otherwise(phase)
+    raw = F.coalesce(text, F.lit(""))
+    name = r"[A-Z]{2,}[A-Za-z0-9]*-[0-9]+[A-Za-z0-9-]*|[A-Z][a-z]+-[0-9]+[A-Za-z0-9-]*|[A-Z]{2,}[0-9]{2,}[A-Za-z0-9]*"
+    disease = F.regexp_extract(raw, r"(?i)(?:for (?:the )?treatment of|in patients with) ([^.;,\n]+)", 1)
     return {
+        "asset": F.try_element_at(F.filter(F.regexp_extract_all(raw, F.lit(r"\b(" + name + r")\b"), F.lit(1)), lambda x: ~x.rlike("^NCT[0-9]{8}$")), F.lit(1)),
+        "indication": F.nullif(F.trim(F.regexp_replace(disease, r"(?i)\s+(and|with) (announced|reported|met|failed).*$", "")), F.lit("")),
         "ownership_change": change,
         "source_of_funds": F.when(low.contains("working capital"), "working_capital").when(low.contains("personal fund"), "personal_funds").when(low.rlike("margin loan|margin account|borrowed|loan"), "financing_or_margin"),
         "trial_phase": F.nullif(roman, F.lit("")),

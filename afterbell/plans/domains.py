@@ -359,7 +359,7 @@ def tx8_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-7, TX-8: values that ownership and trial texts state."""
     names = ("Ownership went from 5.1% to 7.4% of the stock with personal funds.", "It increased by 2.5 percentage points, bought with working capital.", "Stake decreased by 1%; a margin loan was used.", "The Phase III trial met its primary endpoint.", "The phase 2 study did not meet the endpoint; a safety signal was seen.", "The committee voted 9 to 4.", "The PDUFA date is set for March 5, 2024.", "Nothing.")
     d = base.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), _pick(names, "p_partkey").alias("text"))
-    out = PA.parse_documents(d, "trial").select("doc_id", *PA.document_fields(F.lit("")))
+    out = PA.parse_documents(d, "trial").select("doc_id", *[c for c in PA.document_fields(F.lit("")) if c not in ("asset", "indication")])
     return out.withColumns({"ownership_change": F.round("ownership_change", 6), "decision_date": F.col("decision_date").cast("string")})
 
 

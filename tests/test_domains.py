@@ -138,3 +138,22 @@ def test_walk_forward_against_a_plain_version(spark):
     mean = lambda x, y: lambda z: np.full(len(z), y.mean())
     other = B.purged_walk_forward(df, "key", "at", "id", ["x"], "y", least_train=10, fit=mean)
     assert {o.status for o in other.collect()} >= {"ok", "skipped_not_enough_train"}
+
+
+def test_fields_of_trial_texts(spark):
+    from afterbell.operators import parsers as PA
+
+    d = texts(spark, "ABC-101 for the treatment of rare disease and met its primary endpoint in NCT01234567.", "Nothing.", None)
+    out = {r.doc_id: r for r in PA.parse_documents(d, "trial").collect()}
+    assert (out[0].asset, out[0].indication, out[0].endpoint_met, out[0].trial_id) == ("ABC-101", "rare disease", True, "NCT01234567")
+    assert (out[1].asset, out[1].indication, out[1].event_type) == (None, None, "other") and out[2].percents == []
+    assert PA.parse_documents(d, "distress", "text").count() == 3
+
+
+def test_accounting_events_by_how_their_news_is_digested(spark):
+    from afterbell.functions.taxonomies import accounting_survivability
+
+    rows = [("routine_auditor_change", "low", "after_close", True, None, None, None), ("routine_auditor_change", "high", "after_close", True, None, None, None), ("x", None, "intraday", True, None, None, None), ("reportable_event", None, None, None, None, True, None), ("other", None, "intraday", None, None, None, True), (None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d boolean, e boolean, f boolean, g boolean")
+    found = [r.x for r in df.select(accounting_survivability(*[F.col(c) for c in "abcdefg"]).alias("x")).collect()]
+    assert found == ["explanation-only", "immediate-gap", "delayed-digestion", "slow-burn repricing", "explanation-only", "pre-event setup"]

@@ -31,13 +31,17 @@ LEAST_DISTINCT = 8
 def find_matches(rows: DataFrame) -> DataFrame:
     """``rows`` with a column for each kind: its matches with code point positions, from the pieces between matches and the matches themselves.
 
-    The arrays are columns of their own before they are walked: inside a lambda an expression is worked out anew for each element.
+    A kind's value is its group, which for group 1 is the whole match. The arrays are columns of their own before they are walked: inside a lambda an expression is worked out anew for each element.
     """
     text = F.col("_text")
+    rows = rows.withColumns({f"_some_{kind}": text.rlike(pattern) for kind, pattern, *_ in KINDS})
+    found = {}
     for kind, pattern, group, _ in KINDS:
-        some = text.rlike(pattern)
-        whole, value = (F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in (0, group))
-        rows = rows.withColumns({f"_own_{kind}": F.when(some, whole), f"_value_{kind}": F.when(some, value), f"_before_{kind}": F.when(some, F.split(text, pattern, -1))})
+        for part, what in (("own", F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), ("before", F.split(text, pattern, -1)), ("value", F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))):
+            if part != "value" or group > 1:
+                found[f"_{part}_{kind}"] = F.when(F.col(f"_some_{kind}"), what)
+    rows = rows.withColumns(found).withColumns({f"_value_{kind}": F.col(f"_own_{kind}") for kind, _, group, _ in KINDS if group == 1})
+    rows = rows.drop(*[f"_some_{kind}" for kind, *_ in KINDS])
     sized = rows.drop("_text").withColumns(
         {f"_{part}_{kind}": F.transform(f"_{part}_{kind}", F.length) for kind, *_ in KINDS for part in ("own", "before")}
     ).withColumns({f"_before_{kind}": F.slice(f"_before_{kind}", 1, F.size(f"_own_{kind}")) for kind, *_ in KINDS})

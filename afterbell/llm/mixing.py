@@ -14,7 +14,7 @@ NONE = "(none)"
 #: Topics and the words or forms that speak for them, in lower case.
 TOPICS = (
     ("legal", "licens|copyright|warrant|liabilit|permission|rights reserved"),
-    ("contact", "[a-z0-9._+-]+@[a-z0-9.-]+|[0-9][0-9 ()-]{7,}[0-9]"),
+    ("contact", "@[a-z0-9-]+[.]|[0-9]{3}[ )-]+[0-9]{3}"),
     ("credentials", "password|passwd|secret|token|api_?key|akia[a-z0-9]+"),
     ("table", " [|] "),
     ("noise", "[#$%&*]{3}|!!"),
@@ -24,12 +24,16 @@ WORDS_PER_HIT = 100
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def topic_column(text_col: str = "text") -> F.Column:
-    """The topic with most hits in the whole text, the first of equals; ``prose`` if no topic has one in ``WORDS_PER_HIT`` words."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    hits = F.array(*[F.struct(F.regexp_count(low, F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, p) in enumerate(TOPICS)])
-    best = F.array_max(hits)
-    return F.when((best["n"] > 0) & (best["n"] * WORDS_PER_HIT >= tokens_column(text_col)), best["t"]).otherwise("prose")
+def with_topic(docs: DataFrame, text_col: str = "text", tokens: str = "_tokens", topic: str = "_topic") -> DataFrame:
+    """``docs`` with the number of words and the topic with most hits in the whole text, the first of equals; ``prose`` if none has one in ``WORDS_PER_HIT`` words.
+
+    What is used several times is a column of its own first, or it would be worked out several times.
+    """
+    low = docs.withColumns({tokens: tokens_column(text_col), "_afterbell_low": F.lower(F.coalesce(F.col(text_col), F.lit("")))})
+    hits = F.array(*[F.struct(F.regexp_count("_afterbell_low", F.lit(p)).alias("n"), F.lit(-i).alias("i"), F.lit(t).alias("t")) for i, (t, p) in enumerate(TOPICS)])
+    best = low.withColumn("_afterbell_best", F.array_max(hits)).drop("_afterbell_low")
+    enough = (F.col("_afterbell_best.n") > 0) & (F.col("_afterbell_best.n") * WORDS_PER_HIT >= F.col(tokens))
+    return best.withColumn(topic, F.when(enough, F.col("_afterbell_best.t")).otherwise("prose")).drop("_afterbell_best")
 
 
 def tokens_column(text_col: str = "text") -> F.Column:
@@ -166,10 +170,6 @@ def rake_table(
     return now.select(*names, "cell_tokens", "cell_docs", "factor", F.when(live, F.least(F.lit(1.0), F.col("factor") * scale)).otherwise(1.0).alias("probability"))
 
 
-def _standard_dims(text_col: str, source_col: str, lang_col: str) -> dict[str, F.Column]:
-    return {"_source": F.col(source_col), "_lang": F.col(lang_col), "_topic": topic_column(text_col)}
-
-
 def _chance(id_col: str, text_col: str, seed: int) -> F.Column:
     """A number in [0, 1) that id and text decide: the first 13 digits of an MD5 in base 16."""
     said = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col(text_col), F.lit("")))
@@ -197,17 +197,15 @@ def mix_documents(
     equal rows share their fate; an empty table gives an empty result; further columns are ignored.
     """
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
-    dims = _standard_dims(text_col, source_col, lang_col)
+    dims = ["_source", "_lang", "_topic"]
     # texts are read once; what is needed of them is small
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in dims.items()],
-        tokens_column(text_col).alias("n_tokens"),
-        _chance(id_col, text_col, seed).alias("_chance"),
+    named = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    rows = with_topic(named, "_text", "n_tokens").select(
+        "_id", *[F.coalesce(F.col(n).cast("string"), F.lit(NONE)).alias(n) for n in dims], "n_tokens", _chance("_id", "_text", seed).alias("_chance")
     )
     rows = materialize(rows, "mixture")
     cells = fit_mixture(rows, {n: F.col(n) for n in dims}, F.col("n_tokens"), wanted, temperature, share, max_cells)
-    mixed = rows.join(cells, list(dims))
+    mixed = rows.join(cells, dims)
     probability = F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(1.0)
     return mixed.select(
         F.col("_id").alias(id_col),
@@ -235,10 +233,11 @@ def sample_mixture(
 ) -> DataFrame:
     """The sampled rows of ``docs``, all columns: the same choice as :func:`mix_documents`, without a shuffle of texts."""
     wanted = {f"_{k}": v for k, v in (targets or {}).items()}
-    dims = _standard_dims(text_col, source_col, lang_col)
-    cells = fit_mixture(docs, dims, tokens_column(text_col), wanted, temperature, share, max_cells)
-    cells = cells.select(*[F.col(n).alias(f"_afterbell{n}") for n in dims], F.col("probability").alias("_afterbell_probability"))
-    same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"_afterbell{n}") for n, c in dims.items()]
-    condition = same[0] & same[1] & same[2]
-    sure = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"\S")
-    return docs.join(cells, condition).where(sure | (_chance(id_col, text_col, seed) < F.col("_afterbell_probability"))).select(*[docs[c] for c in docs.columns])
+    dims = {"_source": F.col(source_col), "_lang": F.col(lang_col), "_topic": F.col("_afterbell_topic")}
+    told = with_topic(docs, text_col, "_afterbell_tokens", "_afterbell_topic")
+    cells = fit_mixture(told, dims, F.col("_afterbell_tokens"), wanted, temperature, share, max_cells)
+    cells = cells.select(*[F.col(n).alias(f"_afterbell{n}") if n != "_topic" else F.col(n).alias("_afterbell_cell_topic") for n in dims], F.col("probability").alias("_afterbell_probability"))
+    names = {"_source": "_afterbell_source", "_lang": "_afterbell_lang", "_topic": "_afterbell_cell_topic"}
+    same = [F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(names[n]) for n, c in dims.items()]
+    chosen = (F.col("_afterbell_tokens") == 0) | (_chance(id_col, text_col, seed) < F.col("_afterbell_probability"))
+    return told.join(cells, same[0] & same[1] & same[2]).where(chosen).select(*[F.col(f"`{c}`") for c in docs.columns])

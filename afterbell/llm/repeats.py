@@ -280,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return anchored_contexts(texts_, keys, counts, length, ANCHOR, places)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 4_000):
             counts: dict[tuple[bytes, bytes], int] = {}
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if len(data) >= length:

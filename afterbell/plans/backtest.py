@@ -63,12 +63,21 @@ def _preds_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAFE = PREDS.replace("round(car_1, 9) AS ret", "round(round(car_1, 9) / 20, 9) AS ret")
 
 
-@register(
-    "wn12_strategy_summary",
+_SUMMARY = (
     _SAFE + _TRADES + _EQUITY
     + """SELECT event_type, count(*) AS trades, round(avg(gross), 6) AS mean_gross, round(avg(net), 6) AS mean_net, round(avg(CAST(net > 0 AS DOUBLE)), 6) AS hit_rate,
-      round(CASE WHEN count(*) > 1 THEN avg(net) / nullif(stddev_samp(net), 0) * sqrt(count(*)) END, 4) AS event_sharpe, round(min(drawdown), 6) AS max_drawdown FROM d GROUP BY 1""",
+      round(CASE WHEN count(*) > 1 THEN avg(net) / nullif(stddev_samp(net), 0) * sqrt(count(*)) END, 4) AS event_sharpe, round(min(drawdown), 6) AS max_drawdown FROM d GROUP BY 1"""
 )
+
+
+@register("ml4_research_backtest", _SUMMARY)
+def ml4_research_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-4: the summary of a whole research backtest."""
+    parts = B.research_backtest(_preds_safe(spark, sf_dir), "p", "y", "ret", KEYS, ORDER)
+    return rounded(parts["summary"].withColumn("event_sharpe", F.round("event_sharpe", 4)))
+
+
+@register("wn12_strategy_summary", _SUMMARY)
 def wn12_strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-12: trades with equity curve, summed up by strategy."""
     out = B.strategy_summary(B.strategy(_preds_safe(spark, sf_dir), "p", "ret", KEYS, ORDER), KEYS)

@@ -376,3 +376,42 @@ def tx6_earnings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-6, TX-13: earnings facts by metric, role and range."""
     p = base.table(spark, sf_dir, "part").select("p_partkey", _pick(_FACT_TEXTS, "p_partkey").alias("segment"))
     return rounded(PA.earnings_facts(p).drop("segment"))
+
+
+_DEALS, _DISTRESS, _ACCOUNTS = ("definitive_merger_agreement", "revised_terms", "deal_termination", "acquisition_completion", "other"), ("compliance_cure", "covenant_default", "unknown", "delisting_notice"), ("routine_auditor_change", "restatement_warning", "reportable_event", "other")
+_OWNED = tuple(t for types in T.SURVIVABILITY.values() for t in types) + ("other",)
+_SESSIONS = ("before_open", "intraday", "after_close", "unknown")
+_CASES = f"k AS (SELECT o_orderkey, {_pick_sql(_SESSIONS, 'o_custkey')} AS session, {_pick_sql(_DEALS, 'o_orderkey')} AS deal, CASE WHEN o_custkey % 2 = 0 THEN 'target' ELSE 'acquirer' END AS side, {_pick_sql(_DISTRESS, '(o_orderkey // 2)')} AS distress, o_totalprice * 10 AS volume, {_pick_sql(_ACCOUNTS, '(o_orderkey // 3)')} AS account, {_pick_sql(_OWNED, 'o_orderkey')} AS owned FROM orders)"
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return base.table(spark, sf_dir, "orders").select(
+        "o_orderkey", _pick(_SESSIONS, "o_custkey").alias("session"), _pick(_DEALS, "o_orderkey").alias("deal"), F.when(F.col("o_custkey") % 2 == 0, "target").otherwise("acquirer").alias("side"), _pick(_DISTRESS, "o_orderkey div 2").alias("distress"),
+        (F.col("o_totalprice") * 10).alias("volume"), _pick(_ACCOUNTS, "o_orderkey div 3").alias("account"), _pick(_OWNED, "o_orderkey").alias("owned"),
+    )
+
+
+@register(
+    "pj16_survivability",
+    f"""WITH {_CASES} SELECT o_orderkey, CASE WHEN deal = 'definitive_merger_agreement' AND side = 'target' THEN 'immediate-gap' WHEN deal = 'revised_terms' THEN 'delayed-digestion' WHEN deal = 'deal_termination' THEN 'slow-burn repricing' WHEN deal = 'acquisition_completion' THEN 'explanation-only' ELSE 'pre-event setup' END AS deal,
+      CASE WHEN distress IN ('compliance_cure', 'unknown') OR volume < 1000000 THEN 'explanation-only' WHEN session = 'after_close' THEN 'immediate-gap' WHEN session IN ('before_open', 'intraday') THEN 'delayed-digestion' ELSE 'explanation-only' END AS distress,
+      CASE WHEN account = 'routine_auditor_change' THEN 'explanation-only' WHEN session IN ('after_close', 'before_open') AND side = 'target' THEN 'immediate-gap' WHEN side = 'target' OR account = 'restatement_warning' THEN 'delayed-digestion' WHEN account = 'reportable_event' THEN 'slow-burn repricing' ELSE 'pre-event setup' END AS account FROM k""",
+)
+def pj16_survivability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PJ-16: how news of deals, distress and accounting is digested."""
+    no = F.lit(False)
+    return _cases(spark, sf_dir).select(
+        "o_orderkey", T.deal_survivability(F.col("deal"), F.col("side")).alias("deal"), T.distress_survivability(F.col("distress"), F.col("session"), F.col("volume")).alias("distress"),
+        T.accounting_survivability(F.col("account"), F.lit("low"), F.col("session"), F.col("side") == "target", no, no, no).alias("account"),
+    )
+
+
+@register(
+    "ag26_survivability_summary",
+    f"WITH {_CASES}, c AS (SELECT CASE " + " ".join(f"WHEN owned IN ({', '.join(_quoted(t) for t in types)}) THEN '{name}'" for name, types in T.SURVIVABILITY.items())
+    + " ELSE 'pre-event setup' END AS execution_class, CASE session WHEN 'after_close' THEN 'next_open' WHEN 'before_open' THEN 'same_day_open_or_next_open' ELSE 'first_liquid_trade_after_acceptance' END AS first_entry FROM k) SELECT execution_class, first_entry, count(*) AS events, count(*) FILTER (WHERE execution_class = 'explanation-only') AS explanatory FROM c GROUP BY 1, 2",
+)
+def ag26_survivability_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG-26: events by class and first realistic entry."""
+    x = _cases(spark, sf_dir).select(T.survivability(F.col("owned"), F.col("session")).alias("x")).select("x.*")
+    return x.groupBy("execution_class", "first_entry").agg(F.count("*").alias("events"), F.count_if("explanatory_only").alias("explanatory"))

@@ -267,7 +267,9 @@ def decide(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> D
 
     sets = docs.select("_id", mark_cell("_id", bits).alias("_cell"), "_text").mapInArrow(run, f"_id {id_type}, _hashes array<long>")
     dealt = sets.join(sent, "_id").select("u", "_salt", "_node", "_hashes").repartition(partitions(docs.sparkSession), "u", "_salt").sortWithinPartitions("u", "_salt", F.col("_node") != F.col("u"))
-    return materialize(dealt.mapInArrow(compare, "u long, v long"), "links")
+    out = materialize(dealt.mapInArrow(compare, "u long, v long"), "links")
+    wanted.destroy()  # the links are a table now
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str, words: int = 5, max_distance: int = 3) -> DataFrame:
@@ -298,6 +300,7 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str, words: int =
     linked = decide(near.unionAll(equal).distinct(), docs, nodes, words)
 
     met = postings(docs, nodes, words, rank)
+    rank.destroy()  # the postings are a table now
 
     def with_groups(met: DataFrame, linked: DataFrame) -> DataFrame:
         return met.join(components(linked).withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("component", "_node"))

@@ -137,5 +137,60 @@ FROM n LEFT JOIN l USING (rn)
 """
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''), lambda c: CAST(strpos('0123456789ABCDEF', c) - 1 AS BIGINT))),
+    lambda a, b: xor(a >> 4, [{_crc_table()}][(xor(a, b) & 15) + 1])), 4294967295::BIGINT)"""
+
+
+#: Near words by the strings around each place, chains of forms by recursion.
+VARIANTS = f"""
+WITH RECURSIVE runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-zÀ-ÿ]{{6,}}')) AS w FROM documents),
+seeded AS (SELECT w, count(*) AS n, {_crc_sql("id || w")} AS h FROM runs GROUP BY id, w),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM seeded),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i) u),
+near AS (
+  SELECT x.word, y.word AS v, y.n AS m FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM cut x JOIN words y ON y.word = x.a || x.z
+  UNION SELECT y.word, x.word, x.n FROM cut x JOIN words y ON y.word = x.a || x.z),
+best AS (SELECT word, count(*) AS n_near, list(v ORDER BY m DESC, v)[1] AS v, max(m) AS m FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * n THEN v END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS place FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON c.place = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.place AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM formed f JOIN chain c ON c.word = f.word JOIN formed last ON last.word = c.place AND last.form IS NULL
+"""
+
+#: Every kept term of every group, without occurrences too.
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+found AS (SELECT rn, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT rn) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER s + count(*) OVER s) AS HUGEINT) AS p FROM grid WINDOW s AS (PARTITION BY lang, source)),
+q AS (
+  SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER s + count(*) OVER s) AS HUGEINT) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) WINDOW s AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op4_source_mixing": MIXING, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS}
+    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op4_source_mixing": MIXING, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS, "op11_spelling_variants": VARIANTS, "op13_source_divergence": DIVERGENCE}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from afterbell.llm.common import table
 from afterbell.llm.decontaminate import find_contamination
+from afterbell.llm.divergence import source_divergence
 from afterbell.llm.html import extract_pages
 from afterbell.llm.language import learn_languages, predict_languages
 from afterbell.llm.mixing import mix_documents
@@ -19,6 +20,7 @@ from afterbell.llm.secrets import scan_secrets, secret_digest
 from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
 from afterbell.llm.tokens import tokens_round_trip
+from afterbell.llm.variants import group_variants
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +79,16 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, factor=1.0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of all documents with the form each is a variant of."""
+    return group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of each language in all their words."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -89,4 +101,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_html_text": op9_html_text,
         "op10_neighbours": op10_neighbours,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op13_source_divergence": op13_source_divergence,
     }

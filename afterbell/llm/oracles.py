@@ -168,6 +168,19 @@ SELECT f.word, f.form, c.place AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near,
 FROM formed f JOIN chain c ON c.word = f.word JOIN formed last ON last.word = c.place AND last.form IS NULL
 """
 
+#: Base 32 of a hex digest: its bits, five at a time.
+_BITS = ", ".join(f"'{i:04b}'" for i in range(16))
+_FIVES = ", ".join(f"'{i:05b}'" for i in range(32))
+WARC = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id NULLS LAST) AS place, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(sha1(h), ''), lambda c: [{_BITS}][strpos('0123456789abcdef', c)]), '') AS bits FROM p)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_position([{_FIVES}], substr(bits, i * 5 + 1, 5)) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN least END AS refers_to
+FROM b
+"""
+
 #: Every kept term of every group, without occurrences too.
 DIVERGENCE = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
@@ -193,4 +206,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op4_source_mixing": MIXING, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS, "op11_spelling_variants": VARIANTS, "op13_source_divergence": DIVERGENCE}
+    return {"op1_sharding": SHARDING, "op2_secret_scan": SECRETS, "op4_source_mixing": MIXING, "op6_repeated_bytes": REPEATS, "op10_neighbours": NEIGHBOURS, "op11_spelling_variants": VARIANTS, "op12_warc": WARC, "op13_source_divergence": DIVERGENCE}

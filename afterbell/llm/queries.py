@@ -21,6 +21,7 @@ from afterbell.llm.sharding import shard_by_bytes
 from afterbell.llm.simhash import near_duplicates
 from afterbell.llm.tokens import tokens_round_trip
 from afterbell.llm.variants import group_variants
+from afterbell.llm.warc import warc_round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records with revisits, written and read back by the salvage reader."""
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of all sources of each language in all their words."""
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -102,5 +108,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_text": op9_html_text,
         "op10_neighbours": op10_neighbours,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_warc": op12_warc,
         "op13_source_divergence": op13_source_divergence,
     }

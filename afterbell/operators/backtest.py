@@ -1,7 +1,7 @@
 """Calibration, strategies, thresholds, null shuffles and controls.
 
-Sequential operators take ``keys``: each key is one strategy whose rows are in one order. A strategy
-over all rows is one key; its rows then share a window partition, as the running product asks for.
+Sequential operators take ``keys``: each key is one strategy whose rows are in one order. Products, peaks,
+sums and ranks are associative, so :mod:`afterbell.operators.scans` spreads a key of any size over many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from afterbell.operators.asof import asof_forward
-from afterbell.operators.windows import drawdown_columns
+from afterbell.operators.scans import drawdown, numbered, running
+from afterbell.sources.shared import written
 
 
 def calibration(preds: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
@@ -32,8 +33,8 @@ def calibration(preds: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
 def classification_metrics(preds: DataFrame, p: str, y: str, by: Sequence[str], clip: float = 1e-6) -> DataFrame:
     """n, accuracy, balanced accuracy, Brier score, log loss and ROC-AUC (ties count half) by group.
 
-    The AUC runs over distinct scores: counts by score are summed first, so the sorted rows of a
-    group are as many as its different scores.
+    The AUC runs over distinct scores: counts by score are summed first, and the running count of
+    negatives below a score is a two-level scan.
     """
     rows = preds.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(p).alias("_p"), F.col(y).cast("int").alias("_y"))
     q = F.least(F.greatest(F.col("_p"), F.lit(clip)), F.lit(1 - clip))
@@ -46,9 +47,9 @@ def classification_metrics(preds: DataFrame, p: str, y: str, by: Sequence[str],
         F.avg(-F.when(F.col("_y") == 1, F.ln(q)).otherwise(F.ln(1 - q))).alias("log_loss"),
     )
     scores = rows.groupBy(*by, "_p").agg(F.sum("_y").alias("_pos"), F.sum(1 - F.col("_y")).alias("_neg"))
-    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     area = (
-        scores.withColumn("_wins", F.col("_pos") * (below + F.col("_neg") / 2))
+        running(scores, by, ["_p"], {"_below": ("sum", F.col("_neg"))}, inclusive=False)
+        .withColumn("_wins", F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
         .groupBy(*by)
         .agg(F.try_divide(F.sum("_wins"), F.sum("_pos").cast("double") * F.sum("_neg")).alias("roc_auc"))
     )
@@ -66,7 +67,7 @@ def strategy(preds: DataFrame, p: str, ret: str, keys: list[str], order: list[st
     side = positions(F.col(p), F.lit(long), F.lit(1 - long) if shorts else None)
     rows = preds.withColumn("position", side).withColumn("gross", F.expm1(ret))
     rows = rows.withColumn("net", F.col("position") * F.col("gross") - cost_bps / 1e4).where((F.col("position") != 0) & F.col("net").isNotNull())
-    return drawdown_columns(rows, "net", keys, order)
+    return drawdown(rows, "net", keys, order)
 
 
 def strategy_summary(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,7 +84,7 @@ def cost_grid(preds: DataFrame, p: str, ret: str, keys: list[str], order: list[s
     rows = preds.withColumn("position", positions(F.col(p), F.lit(long), F.lit(1 - long) if shorts else None)).where("position != 0")
     rows = rows.withColumn("gross", F.expm1(ret)).where("gross is not null").withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
     rows = rows.withColumn("net", F.col("position") * F.col("gross") - F.col("cost_bps") / 1e4)
-    return strategy_summary(drawdown_columns(rows, "net", [*keys, "cost_bps"], order), [*keys, "cost_bps"])
+    return strategy_summary(drawdown(rows, "net", [*keys, "cost_bps"], order), [*keys, "cost_bps"])
 
 
 def nested_thresholds(
@@ -94,23 +95,20 @@ def nested_thresholds(
 
     Best is the largest mean net return, then more trades, then the lower threshold. Fewer than
     ``least_prior`` rows with a score before, or no trades, give the default. Running sums per
-    candidate replace the simulation of every prefix.
+    candidate replace the simulation of every prefix; candidates are columns of one scan, not copies of the rows.
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = preds.withColumn("_prior", F.count(p).over(w))
-    each = rows.withColumn("_t", F.explode(F.array(*[F.lit(float(t)) for t in candidates])))
-    side = positions(F.col(p), F.col("_t"), 1 - F.col("_t") if shorts else None)
-    each = each.withColumn("_side", side).withColumn("_net", F.when(F.col("_side") != 0, F.col("_side") * F.expm1(ret) - cost_bps / 1e4))
-    v = Window.partitionBy(*keys, "_t").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("_n", F.count("_net").over(v)).withColumn("_mean", F.round(F.avg("_net").over(v), 12))
-    best = each.groupBy(*keys, *[c for c in order if c not in keys], "_prior").agg(
-        F.max_by("_t", F.when(F.col("_n") > 0, F.struct("_mean", "_n", -F.col("_t")))).alias("_best"), F.max("_n").alias("_trades")
-    )
-    enough = F.col("_prior") >= least_prior
-    return best.select(
+    values = {"_prior": ("count", F.col(p))}
+    for i, t in enumerate(candidates):
+        side = positions(F.col(p), F.lit(float(t)), F.lit(1 - float(t)) if shorts else None)
+        net = F.when(side != 0, side * F.expm1(ret) - cost_bps / 1e4)
+        values |= {f"_n{i}": ("count", net), f"_sum{i}": ("sum", F.coalesce(net, F.lit(0.0)))}
+    rows = running(preds.select(*dict.fromkeys([*keys, *order, p, ret])), keys, order, values, inclusive=False)
+    each = F.array(*[F.when(F.col(f"_n{i}") > 0, F.struct(F.round(F.col(f"_sum{i}") / F.col(f"_n{i}"), 12).alias("mean"), F.col(f"_n{i}").alias("n"), F.lit(-float(t)).alias("less"))) for i, t in enumerate(candidates)])
+    best, enough = F.array_max(each), F.col("_prior") >= least_prior
+    return rows.select(
         *keys, *[c for c in order if c not in keys], F.col("_prior").alias("prior_rows"),
-        F.when(enough & (F.col("_trades") > 0), F.col("_best")).otherwise(default).alias("threshold"),
-        F.when(~enough, "default_not_enough_prior_rows").when(F.col("_trades") == 0, "default_no_candidate_trades").otherwise("selected").alias("status"),
+        F.when(enough & best.isNotNull(), -best["less"]).otherwise(default).alias("threshold"),
+        F.when(~enough, "default_not_enough_prior_rows").when(best.isNull(), "default_no_candidate_trades").otherwise("selected").alias("status"),
     )
 
 
@@ -140,10 +138,12 @@ def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str
 
 
 def ring_peers(tickers: DataFrame) -> DataFrame:
-    """Each ticker with the next one in sorted order, the last with the first. One row per ticker."""
-    w = Window.orderBy("ticker")
-    first = F.first("ticker").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return tickers.distinct().select("ticker", F.coalesce(F.lead("ticker").over(w), first).alias("peer"))
+    """Each ticker with the next one in sorted order, the last with the first: numbers from a scan, joined to their successors."""
+    placed = written(numbered(tickers.distinct(), ["ticker"], "_k"), "ring")
+    n = placed.agg(F.max("_k").alias("_n"))
+    after = placed.select(F.col("ticker").alias("peer"), (F.col("_k") - 1).alias("_k"))
+    ring = placed.join(F.broadcast(n)).withColumn("_k", F.col("_k") % F.col("_n"))  # one row
+    return ring.join(after, "_k").select("ticker", "peer")
 
 
 def peer_controls(events: DataFrame, peers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from afterbell.functions.exprs import direction, norm, two_sided_p
 from afterbell.operators.asof import asof_forward
 from afterbell.operators.quantiles import value_range, with_quantile
+from afterbell.operators.scans import running
 from afterbell.operators.windows import by_day, by_ticker, forward_sum, market_model, trailing_std, trailing_sum
 
 HORIZONS = (1, 3, 10)
@@ -158,10 +159,9 @@ def concentration(df: DataFrame, value: str, group: str) -> DataFrame:
     per = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.abs(F.col(value))).alias("absolute"))
     all_of_it = per.agg(F.sum("absolute").alias("_all"))
     ranked = per.join(F.broadcast(all_of_it)).withColumn("share", F.try_divide(F.col("absolute"), F.col("_all")))
-    w = Window.orderBy(F.desc("share"), group)  # one row per group
     return (
-        ranked.withColumn("rank", F.row_number().over(w))
-        .withColumn("top_share", F.sum("share").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        running(ranked, [], [F.desc("share"), F.col(group)], {"rank": ("count", F.lit(1)), "top_share": ("sum", F.col("share"))})
+        .withColumn("rank", F.col("rank").cast("int"))
         .withColumn("warning", F.when(F.col("share") > 0.75, "dominant").when(F.col("share") > 0.5, "concentrated").otherwise("none"))
         .drop("_all")
     )

@@ -101,16 +101,6 @@ def trailing_return(price: str, length: int) -> Column:
     return F.try_divide(F.col(price), F.lag(price, length).over(by_ticker())) - 1
 
 
-def drawdown_columns(df: DataFrame, net: str, keys: list[str], order: list[str]) -> DataFrame:
-    """equity (running product of 1 + net), peak and drawdown, per key in order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("equity", F.product(1 + F.coalesce(F.col(net), F.lit(0.0))).over(w))
-        .withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0)))
-        .withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
-    )
-
-
 def price_features(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Features of the day before an event: what is known at the close of each bar.
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 
@@ -19,3 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="afterbell-")
     return _FALLBACK["dir"]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: several readers compute it once, and a lost executor costs a re-read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/afterbell/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

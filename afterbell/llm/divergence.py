@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -18,7 +18,7 @@ from afterbell.llm.common import marks, materialize
 #: ASCII that isn't a letter becomes a space, A-Z become lower case; bytes of other characters stay.
 TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text that share an automaton, and entries that a task holds before it hands them on.
-ROUND_BYTES, HELD = 8_000_000, 400_000
+ROUND_BYTES, HELD = 16_000_000, 400_000
 #: Sources of a block, and postings that a task compares at a time on average.
 BLOCK_SOURCES, SLICE_POSTINGS = 512, 200_000
 UNIT = 1_000_000_000
@@ -67,13 +67,13 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Second pass: lang, source, term, n, the occurrences of kept terms (lang, term) in each group.
 
-    A task builds an automaton of the kept terms that its own texts hold, delimiter-padded, for every eight megabytes of text. Which
+    A task builds an automaton of the kept terms that its own texts hold, delimiter-padded, for every sixteen megabytes of text. Which
     they are a bitmap of kept terms tells (16 MB at most, so the vocabulary may be of any size); the few others it lets
-    through are ruled out by a join.
+    through are ruled out by a join. A term is handed on once with its sources, and all that follows has its rows together by (lang, term).
     """
     shared, bits = marks(kept.select(F.concat_ws(" ", "lang", "term").alias("_key")), "_key")
 
-    def counted(lang: str, by_source: dict[str, list[bytes]], counts: dict) -> None:
+    def counted(lang: str, by_source: dict[str, list[bytes]]) -> pa.RecordBatch | None:
         texts = {source: b" ".join((b"", *parts, b"")) for source, parts in by_source.items()}
         terms = list(set().union(*(t.split() for t in texts.values())))
         prefix = lang.encode() + b" "
@@ -81,33 +81,32 @@ def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
         held = (shared.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1) == 1
         terms = [t.decode() for t, h in zip(terms, held.tolist(), strict=True) if h]
         if not terms:
-            return
+            return None
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, term in enumerate(terms):
             automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
-        for source, text in texts.items():
-            hits = np.bincount(np.fromiter((i for _, i in automaton.iter(text.decode())), np.int64), minlength=len(terms))
-            own = counts[lang, source]
-            for i in np.flatnonzero(hits).tolist():
-                own[terms[i]] += int(hits[i])
+        found = []
+        for k, text in enumerate(texts.values()):
+            hits = Counter(map(itemgetter(1), automaton.iter(text.decode())))
+            found.append((np.fromiter(hits.keys(), np.int64, len(hits)), np.full(len(hits), k), np.fromiter(hits.values(), np.int64, len(hits))))
+        at, source, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        ends = np.cumsum(np.bincount(at, minlength=len(terms))).astype(np.int32)  # every term is in some text
+        offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+        sources = pa.array(list(texts), pa.string()).take(pa.array(source[order]))
+        columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.string()), pa.ListArray.from_arrays(offsets, sources), pa.ListArray.from_arrays(offsets, pa.array(n[order]))]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "sources", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, dict[str, list[bytes]]] = defaultdict(lambda: defaultdict(list))
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         size = 0
 
-        def count() -> None:
-            for lang, by_source in texts.items():
-                counted(lang, by_source, counts)
-            texts.clear()
-
-        def handed_on() -> pa.RecordBatch:
-            keys = [k for k, c in counts.items() for _ in range(len(c))]
-            columns = [[k[0] for k in keys], [k[1] for k in keys], [t for c in counts.values() for t in c]]
-            out = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([n for c in counts.values() for n in c.values()], pa.int64())], names=["lang", "source", "term", "n"])
-            counts.clear()
-            return out
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            while texts:
+                out = counted(*texts.popitem())
+                if out is not None:
+                    yield out
 
         for batch in batches:
             for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
@@ -115,16 +114,14 @@ def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
                     texts[lang][source].append(piece)
                     size += len(piece)
                     if size > ROUND_BYTES:
-                        count()
+                        yield from handed_on()
                         size = 0
-                        if sum(map(len, counts.values())) > HELD:
-                            yield handed_on()
-        count()
-        if counts:
-            yield handed_on()
+        yield from handed_on()
 
-    found = rows.mapInArrow(run, "lang string, source string, term string, n long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return found.join(kept.select("lang", "term"), ["lang", "term"], "leftsemi")
+    found = rows.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>").repartition("lang", "term")
+    known = found.join(kept.select("lang", "term"), ["lang", "term"], "leftsemi")
+    each = known.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
+    return each.groupBy("lang", F.col("e.sources").alias("source"), "term").agg(F.sum("e.counts").alias("n"))
 
 
 def share(count: str, total: str, terms: str) -> F.Column:
@@ -141,37 +138,49 @@ def _excess(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // q
 
 
-def _pair_sums(key: tuple, postings: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
+def _pair_sums(key: tuple, postings: pa.Table, sources: pa.Table) -> pa.Table:
     """Of one slice of terms and two blocks of sources: what terms with an occurrence add to the sums of ordered pairs, beside f(p0, q0) for each term.
 
     A term that only one of two sources has depends on the other's floor p0 alone, so these are summed by (source, p);
     terms of both are set right by what they share.
     """
-    lang, low, high, _ = key
-    rows, columns = (sources[sources.source_block == b].sort_values("source_no") for b in (low, high))
-    row_no, column_no, p0, q0 = rows.source_no.to_numpy(), columns.source_no.to_numpy(), rows.p0.to_numpy(), columns.p0.to_numpy()
+    lang, low, high = (k.as_py() for k in key[:3])
+    no, block, floor = (sources.column(c).to_numpy() for c in ("source_no", "source_block", "p0"))
+    order = np.argsort(no)
+    no, block, floor = no[order], block[order], floor[order]
+    row_no, p0, column_no, q0 = no[block == low], floor[block == low], no[block == high], floor[block == high]
     base = _excess(p0[:, None], q0[None, :])
     out = np.zeros((len(row_no), len(column_no)), np.int64)
-    mine, theirs = (postings[postings.block == b] for b in (low, high))
-    for own, numbers, by_row in ((mine, row_no, True), (theirs, column_no, False)):
-        alike = own.groupby(["no", "p"]).size().reset_index(name="k")
-        at = np.searchsorted(numbers, alike.no.to_numpy())
-        p, k = alike.p.to_numpy(), alike.k.to_numpy()
-        for a in range(0, len(p), 2048):
-            z = slice(a, a + 2048)
+    term = postings.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+    own_no, own_block, own_p = (postings.column(c).to_numpy() for c in ("no", "block", "p"))
+    order = np.argsort(term, kind="stable")
+    term, own_no, own_block, own_p = term[order], own_no[order], own_block[order], own_p[order]
+    sides = []
+    for of, numbers, by_row in ((low, row_no, True), (high, column_no, False)):
+        here = own_block == of
+        at, p = np.searchsorted(numbers, own_no[here]), own_p[here]
+        sides.append((term[here], at, p))
+        alike, k = np.unique(np.stack((at, p)), axis=1, return_counts=True)
+        for a in range(0, len(k), 2048):
+            i, v, many = alike[0, a : a + 2048], alike[1, a : a + 2048, None], k[a : a + 2048, None]
             if by_row:
-                np.add.at(out, at[z], (_excess(p[z, None], q0[None, :]) - base[at[z]]) * k[z, None])
+                np.add.at(out, i, (_excess(v, q0[None, :]) - base[i]) * many)
             else:
-                np.add.at(out.T, at[z], (_excess(p0[None, :], p[z, None]) - base.T[at[z]]) * k[z, None])
-    columns_of = {t: (np.searchsorted(column_no, g.no.to_numpy()), g.p.to_numpy()) for t, g in theirs.groupby("term", sort=False)}
-    for term, g in mine.groupby("term", sort=False):
-        if term in columns_of:
-            i, p = np.searchsorted(row_no, g.no.to_numpy()), g.p.to_numpy()
-            j, q = columns_of[term]
-            shared = _excess(p[:, None], q[None, :]) - _excess(p[:, None], q0[None, j]) - _excess(p0[i, None], q[None, :]) + base[np.ix_(i, j)]
-            out[np.ix_(i, j)] += shared
+                np.add.at(out.T, i, (_excess(p0[None, :], v) - base.T[i]) * many)
+    (t, i, p), (u, j, q) = sides
+    first, last = np.searchsorted(u, t, "left"), np.searchsorted(u, t, "right")
+    upto = np.concatenate(([0], np.cumsum(last - first)))
+    a = 0
+    while a < len(t):  # a million pairs of postings of one term at a time
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + 1_000_000, "right")) - 1)
+        size = last[a:b] - first[a:b]
+        x = np.repeat(np.arange(a, b), size)
+        y = np.arange(len(x)) - np.repeat(upto[a:b] - upto[a], size) + np.repeat(first[a:b], size)
+        ix, jy, px, qy = i[x], j[y], p[x], q[y]
+        np.add.at(out, (ix, jy), _excess(px, qy) - _excess(px, q0[jy]) - _excess(p0[ix], qy) + base[ix, jy])
+        a = b
     i, j = np.nonzero(out)
-    return pd.DataFrame({"lang": lang, "no": row_no[i], "other": column_no[j], "more": out[i, j]})
+    return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "no": row_no[i], "other": column_no[j], "more": out[i, j]})
 
 
 def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
@@ -190,7 +199,7 @@ def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
     sums = (
         dealt.groupBy(*keys)
         .cogroup(sources.groupBy(*keys))
-        .applyInPandas(_pair_sums, "lang string, no long, other long, more long")
+        .applyInArrow(_pair_sums, "lang string, no long, other long, more long")
         .groupBy("lang", "no", "other")
         .agg(F.sum(F.col("more").cast("decimal(30,0)")).alias("more"))
     )

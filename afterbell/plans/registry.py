@@ -42,4 +42,4 @@ def load_all() -> None:
         importlib.import_module(f"afterbell.plans.{name}")
 
 
-MODULES = ("study", "bars", "backtest", "evidence", "review", "discovery", "time", "projections", "domains", "sections")
+MODULES = ("study", "bars", "backtest", "evidence", "review", "discovery", "time", "projections", "domains", "sections", "models")

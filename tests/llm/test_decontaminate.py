@@ -1,6 +1,8 @@
 import random
 
-from afterbell.llm.decontaminate import best_match, drop_contaminated, find_contamination, normalise
+import time
+
+from afterbell.llm.decontaminate import Matcher, best_match, best_matches, drop_contaminated, find_contamination, normalise
 
 
 def naive(pattern, text):
@@ -23,6 +25,51 @@ def test_distance_is_exact():
         assert (got[0] if got else None) == (want if want <= budget else None)
 
 
+def test_many_windows_at_once():
+    r = random.Random(2)
+    for _ in range(60):
+        p = "".join(r.choice("abc") for _ in range(r.choice((1, 20, 63, 64, 65, 130, 200))))
+        t = "".join(r.choice("abcd") for _ in range(r.randint(1, 500)))
+        windows = sorted((a := r.randrange(len(t)), min(len(t), a + r.randint(1, 250))) for _ in range(r.randint(1, 9)))
+        budget = r.randint(0, len(p))
+        each = [(h[0], a + h[1]) for a, b in windows if (h := best_match(p, t[a:b], budget))]
+        assert best_matches(p, windows, t, budget) == min(each, default=None)
+
+
+def template(n):
+    return f"question: what is the capital of country number {n} and why was it chosen by its people?"
+
+
+def test_items_of_one_template_in_texts_that_share_their_opening():
+    matcher = Matcher([(i, normalise(template(i * 7919))) for i in range(4_000)], 0.08)
+    for size in (10_000, 1_000_000):
+        began = time.time()
+        assert matcher.match("question: what is the capital of " * (size // 33)) == []
+        assert time.time() - began < 1.5
+    began = time.time()
+    text = "so it begins. " + template(7919 * 12) + " filler " * 2_000 + template(7919 * 40).replace("why", "whyy")
+    found = {f[0]: f[1] for f in matcher.match(text)}
+    assert found[12] == 0 and found[40] == 1
+    near = [i for i in range(0, 4_000, 97)]
+    for i in near:  # all numbers of up to eight digits are within seven edits
+        assert (i in found) == (naive(normalise(template(i * 7919)), normalise(template(7919 * 12))) <= int(len(template(i * 7919)) * 0.08) or naive(normalise(template(i * 7919)), normalise(text)[-120:]) <= int(len(template(i * 7919)) * 0.08))
+    assert time.time() - began < 60
+
+
+def test_templated_items_match_brute_force():
+    r = random.Random(6)
+    items = [(i, normalise(f"the {r.choice('abcdef') * 3} of {r.randint(1, 10**9)} goes to the {r.choice(('north', 'south'))} in year {i}")) for i in range(40)]
+    matcher = Matcher(items, 0.08)
+    for _ in range(40):
+        text = list(" ".join(r.choice(items)[1] if r.random() < 0.4 else "the aaa of goes to the year" for _ in range(4)))
+        for _ in range(r.randint(0, 6)):
+            text[r.randrange(len(text))] = r.choice(("", "q", "zz"))
+        text = normalise("".join(text))
+        want = {i: d for i, p in items if (d := naive(p, text)) <= int(len(p) * 0.08)}
+        assert {f[0]: f[1] for f in matcher.match(text)} == want
+        assert bool(matcher.match(text, first_only=True)) == bool(want)
+
+
 def corpus():
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))

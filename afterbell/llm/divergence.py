@@ -18,7 +18,7 @@ from afterbell.llm.common import marks, materialize
 #: ASCII that isn't a letter becomes a space, A-Z become lower case; bytes of other characters stay.
 TO_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Bytes of text that share an automaton, and entries that a task holds before it hands them on.
-ROUND_BYTES, HELD = 16_000_000, 400_000
+ROUND_BYTES, HELD = 12_000_000, 300_000
 #: Sources of a block, and postings that a task compares at a time on average.
 BLOCK_SOURCES, SLICE_POSTINGS = 512, 200_000
 UNIT = 1_000_000_000
@@ -67,7 +67,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Second pass: lang, source, term, n, the occurrences of kept terms (lang, term) in each group.
 
-    A task builds an automaton of the kept terms that its own texts hold, delimiter-padded, for every sixteen megabytes of text. Which
+    A task builds an automaton of the kept terms that its own texts hold, delimiter-padded, for every twelve megabytes of text. Which
     they are a bitmap of kept terms tells (16 MB at most, so the vocabulary may be of any size); the few others it lets
     through are ruled out by a join. A term is handed on once with its sources, and all that follows has its rows together by (lang, term).
     """
@@ -75,6 +75,7 @@ def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
     def counted(lang: str, by_source: dict[str, list[bytes]]) -> pa.RecordBatch | None:
         texts = {source: b" ".join((b"", *parts, b"")) for source, parts in by_source.items()}
+        by_source.clear()
         terms = list(set().union(*(t.split() for t in texts.values())))
         prefix = lang.encode() + b" "
         cells = np.array([xxhash.xxh64_intdigest(prefix + t, 42) for t in terms], np.uint64).view(np.int64) % bits

@@ -54,6 +54,32 @@ def test_article_parts_with_words_of_clutter():
     assert page_blocks(deep) == (["x"], [])
 
 
+@pytest.mark.parametrize(
+    "kept",
+    ["<div class='teaser'>lead</div>", "<h2 class='subscribe'>lead</h2>", "<p class='promo-code-guide'>lead</p>", "<table class='comparison-banner'><td>lead</table>", "<div class='widget'>lead</div>", "<p class='overlay'>lead</p>", "<p><span class='skip'>lead</span></p>"],
+)
+def test_one_word_of_a_class_costs_an_article_nothing(kept):
+    assert page_blocks(f"<article><p>a</p>{kept}<p>b</p></article>")[0] == ["a", "lead", "b"]
+
+
+def test_one_main_part():
+    page = "<article><p>the long text of the page</p></article><div><article><p>a teaser</p></article></div><p>free</p>"
+    assert page_blocks(page) == (["the long text of the page"], ["free"])
+    assert page_blocks("<main><article><p>a</p></article><article><p>b</p></article></main>")[0] == ["a", "b"]
+    assert page_blocks("<article><div class='related'><a href=x>one</a> <a href=y>two</a></div><p>b</p></article>")[0] == ["b"]
+
+
+def test_suspect_blocks_are_judged_by_their_host(spark):
+    promo = "<div class='promo'><p>Get our paper for half the price now</p><p>Go on</p></div>"
+    page = lambda i, more: f"<article><p>Text number {i} of its own</p>{more}<p>same end</p></article>"
+    rows = [(i, "http://h.example/a", page(i, promo if i < 4 else "")) for i in range(6)] + [(10, "http://h.example/b", page(10, "<div class='promo'>A lead of its own that nobody else has</div>"))]
+    rows += [(20 + i, "http://copy.example/", page(20, "<div class='teaser'>All copies have this lead of nine words here</div>")) for i in range(5)] + [(30, "http://other.example/", page(30, promo))]
+    out = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [out[i] for i in range(6)] == [f"Text number {i} of its own\nsame end" for i in range(6)]
+    assert "A lead of its own" in out[10] and "half the price now\nGo on" in out[30]
+    assert all("All copies have this lead" in out[20 + i] for i in range(5))
+
+
 def test_other_main_parts_and_clutter():
     page = """<div class="side-bar">s</div><div id="content"><h2>T</h2><p>One<ins class="adsbygoogle">ad</ins> two</p><div class="alert notice">n</div>
     <div class="newsletter-signup">x</div><ol class="comment-list"><li>c</ol></div><div>outside</div>"""

@@ -24,10 +24,14 @@ class Rule:
     need: str | None = None  # a pattern that the evidence must hold
 
 
-def segments(docs: DataFrame, least: int = 6, end: str = r"[.!?]+\s+|\n+") -> DataFrame:
-    """Sentences and lines with offsets: the text between ends, trimmed, of at least ``least`` characters.
+#: After a full stop, semicolon, exclamation or question mark that stands beside no digit, and at a line's end.
+BOUNDARY = r"(?<=[.;!?])(?<![0-9][.;!?])(?![0-9])|\n"
 
-    An end mark needs white space after it, so decimals stay whole.
+
+def segments(docs: DataFrame, least: int = 6, end: str = BOUNDARY) -> DataFrame:
+    """Sentences and lines with offsets: the text up to each boundary with its end mark, trimmed, of at least ``least`` characters.
+
+    A mark beside a digit ends nothing, so decimals and item numbers stay whole.
     """
     pieces, marks = F.split("text", end, -1), F.regexp_extract_all(F.col("text"), F.lit(end), F.lit(0))
     cut = docs.select("doc_id", pieces.alias("_pieces"), marks.alias("_marks"))
@@ -90,20 +94,44 @@ def claims_of(matches: DataFrame) -> DataFrame:
     return matches.select(claim.alias("claim_id"), F.col("doc_id").alias("source_doc_id"), "field_name", "value", "confidence", span.alias("evidence_span_id"), "evidence_text", "start_char", "end_char")
 
 
+_NUMBER = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
+_MONEY = r"\$\s?" + _NUMBER + r"\s?(million|billion|thousand|[MBK]\b)?"
+#: Two amounts of which only the second has a unit; the first has the same one.
+_SHORT_RANGE = r"\$\s?" + _NUMBER + r"\s*(to|through|-|–|—)\s*\$?\s?" + _NUMBER + r"\s?(million|billion|thousand)"
+
+
+def _scale(unit: Column) -> Column:
+    return F.when(F.lower(unit).isin("million", "m"), 1e6).when(F.lower(unit).isin("billion", "b"), 1e9).when(F.lower(unit).isin("thousand", "k"), 1e3).otherwise(1.0)
+
+
+def _number(text: Column) -> Column:
+    return F.regexp_replace(text, ",", "").try_cast("double")
+
+
 def amounts(c: Column) -> Column:
-    """All money amounts of a text as numbers: ``$1.2 million`` is 1200000."""
-    pattern = r"\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?(million|billion|thousand|[MBK]\b)?"
-    numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    units = F.regexp_extract_all(c, F.lit(pattern), F.lit(2))
-    scale = lambda u: F.when(F.lower(u).isin("million", "m"), 1e6).when(F.lower(u).isin("billion", "b"), 1e9).when(F.lower(u).isin("thousand", "k"), 1e3).otherwise(1.0)
-    return F.transform(F.arrays_zip(numbers, units), lambda x: F.regexp_replace(x["0"], ",", "").cast("double") * scale(x["1"]))
+    """All money amounts of a text as numbers: ``$1.2 million`` is 1200000. The low end of a range has the unit of the high end: ``$3 to $5 billion``."""
+    whole = F.regexp_replace(c, "(?i)" + _SHORT_RANGE, r"\$$1 $4 $2 \$$3 $4")
+    numbers, units = (F.regexp_extract_all(whole, F.lit("(?i)" + _MONEY), F.lit(g)) for g in (1, 2))
+    return F.zip_with(numbers, units, lambda n, u: _number(n) * _scale(u))
 
 
 def percents(c: Column) -> Column:
-    """All percentages of a text as fractions; ``(5.5)%`` and ``-5.5%`` are negative."""
-    pattern = r"(\(?-?)([0-9]+(?:\.[0-9]+)?)\)?\s?(?:%|percent\b)"
-    signs, numbers = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in (1, 2))
-    return F.zip_with(signs, numbers, lambda s, n: F.when(s == "", 1.0).otherwise(-1.0) * n.cast("double") / 100)
+    """All percentages of a text as fractions; ``(5.5)%``, ``(5.5%)`` and ``-5.5%`` are negative, ``(5.5% in all)`` isn't: the bracket has to close at once."""
+    pattern = r"(\(?)(-?)([0-9]+(?:\.[0-9]+)?)(\)?)\s?(?:%|percent\b)(\)?)"
+    opened, minus, numbers, inner, outer = (F.regexp_extract_all(c, F.lit(pattern), F.lit(g)) for g in range(1, 6))
+    parts = F.arrays_zip(opened.alias("o"), minus.alias("m"), numbers.alias("n"), inner.alias("i"), outer.alias("u"))
+    negative = lambda x: (x["m"] != "") | ((x["o"] != "") & ((x["i"] != "") | (x["u"] != "")))
+    return F.transform(parts, lambda x: F.when(negative(x), -1.0).otherwise(1.0) * x["n"].cast("double") / 100)
+
+
+def stated_range(c: Column) -> Column:
+    """(low, high, mid) of a text's money: an amount ``plus or minus`` another or a percentage, else :func:`range_or_mid` of its amounts."""
+    around = "(?i)" + _MONEY + r",?\s*(?:plus or minus|\+/-|±)\s*(\$?)\s?" + _NUMBER + r"\s?(million|billion|thousand|%|percent)?"
+    part = lambda g: F.regexp_extract(c, around, g)
+    mid, far, unit = _number(part(1)) * _scale(part(2)), _number(part(4)), part(5)
+    room = F.when(unit.isin("%", "percent"), mid * far / 100).otherwise(far * _scale(F.when(unit == "", part(2)).otherwise(unit)))
+    plain = range_or_mid(amounts(c))
+    return F.when(part(1) != "", F.struct((mid - room).alias("low"), (mid + room).alias("high"), mid.alias("mid"))).otherwise(plain)
 
 
 def per_share(c: Column) -> Column:
@@ -134,11 +162,20 @@ def highlight(text: Column, start: Column, end: Column, around: int = 180) -> Co
     return F.concat(escape(piece(first, start)), F.lit("<mark>"), escape(piece(start, end)), F.lit("</mark>"), escape(piece(end, end + around)))
 
 
+#: Elements whose content isn't seen; one that is never closed goes on to the end.
+HIDDEN = ("script", "style", "noscript", "svg", "head")
+_GONE = "(?is)" + "|".join([rf"<{name}\b.*?(?:</{name}\s*>|\z)" for name in HIDDEN] + [r"<!--.*?(?:-->|\z)"])
+_BREAKS = r"(?i)</?(?:p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|body)\b[^>]*(?:>|\z)"
+_TAG = r"</?[a-zA-Z!?][^>]*(?:>|\z)"
+
+
 def visible_text(html: Column) -> Column:
-    """Text of an HTML page by staged replacement: skipped elements out, block tags as line feeds, other tags out, references decoded, white space collapsed."""
-    c = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg|head)\b.*?</(script|style|noscript|svg|head)\s*>|<!--.*?-->", " ")
-    c = F.regexp_replace(c, r"(?i)</?(p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|body)\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]*>", "")
+    """Text of an HTML page by staged replacement: skipped elements out, block tags as line feeds, other tags out, references decoded, white space collapsed.
+
+    What is left open ends with the page, so each pattern passes over it once, whatever it holds.
+    """
+    c = F.regexp_replace(html, _GONE, " ")
+    c = F.regexp_replace(F.regexp_replace(c, _BREAKS, "\n"), _TAG, "")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")

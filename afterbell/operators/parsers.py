@@ -25,8 +25,11 @@ METRICS = (
     ("gross_margin", "gross margin"), ("operating_margin", "operating margin"), ("free_cash_flow", "free cash flow"), ("operating_income", "operating income|income from operations"), ("net_income", "net income"),
     ("eps", "earnings per share|per diluted share"), ("capex", "capital expenditures|capex"), ("revenue", "revenue|net sales"),
 )
-ROLES = (("consensus", "consensus|analysts expect|street estimate"), ("guidance", "guidance|outlook|expects|expected to be|anticipates|forecast"), ("forward", "next year|long-term|fiscal year ahead"))
+ROLES = (("consensus", "consensus|analysts expect|street estimate"), ("guidance", r"guidance|outlook|\bexpects?\b|expected to be|anticipates|forecast"), ("forward", "next year|long-term|fiscal year ahead"))
 PRIOR = "previously announced|prior offering|as of the date of|year-ago|compared with the prior"
+#: What was guided before, in a text about what came; words of a firm's description; definitions of a measure.
+GUIDED = r"\b(above|below|within|exceed(ed|ing)?|beat|topped|versus|compared (to|with))\b.{0,60}\b(guidance|outlook|forecast|midpoint)"
+DESCRIBED = "with (revenues?|net sales) of (more than|over|approximately)|is defined as|described further below|determined in accordance with"
 
 
 def document_fields(text: Column) -> dict[str, Column]:
@@ -72,8 +75,10 @@ def parse_documents(docs: DataFrame, domain: str, item_col: str | None = None) -
 def earnings_facts(segments: DataFrame) -> DataFrame:
     """One fact per segment that names a metric and a value of its unit: fact_name, low, high, value, unit, confidence.
 
-    Money is in dollars, margins are fractions, earnings per share dollars. Two values are a range in
-    order of size. Segments about earlier transactions or periods are left out. Confidence: .6, and .1 each
+    Money is in dollars, margins are fractions, earnings per share dollars. Guidance of two values is a range in order of
+    size, and so is an amount ``plus or minus`` another; other roles have the first value. A result that is told beside
+    earlier guidance is a result. Segments about earlier transactions or periods, descriptions of a firm and definitions
+    are left out. Confidence: .6, and .1 each
     for a named role, a range and a unit that fits, at most .95.
     """
     low = F.lower(F.col("segment"))
@@ -83,11 +88,15 @@ def earnings_facts(segments: DataFrame) -> DataFrame:
     role = F.lit("actual")
     for name, pattern in reversed(ROLES):
         role = F.when(low.rlike(pattern), name).otherwise(role)
-    rows = segments.withColumns({"_metric": metric, "_role": role}).where(F.col("_metric").isNotNull() & ~low.rlike(PRIOR))
+    role = F.when(low.rlike(GUIDED), "actual").otherwise(role)
+    rows = segments.withColumns({"_metric": metric, "_role": role}).where(F.col("_metric").isNotNull() & ~low.rlike(PRIOR) & ~low.rlike(DESCRIBED))
     share = F.col("_metric") == "eps"
     part = F.col("_metric").endswith("margin")
     values = F.when(share, E.per_share(F.col("segment"))).when(part, E.percents(F.col("segment"))).otherwise(E.amounts(F.col("segment")))
-    rows = rows.withColumn("_values", values).where(F.size("_values") > 0).withColumn("_range", E.range_or_mid(F.col("_values")))
+    rows = rows.withColumn("_values", values).where(F.size("_values") > 0)
+    ranged = F.col("_role").isin("guidance", "forward")
+    rows = rows.withColumn("_values", F.when(ranged, F.col("_values")).otherwise(F.slice("_values", 1, 1)))
+    rows = rows.withColumn("_range", F.when(ranged & ~share & ~part, E.stated_range(F.col("segment"))).otherwise(E.range_or_mid(F.col("_values"))))
     unit = F.when(share, "usd_per_share").when(part, "fraction").otherwise("usd")
     scaled = share | part | low.rlike("million|billion|thousand")
     confidence = F.least(F.lit(0.95), 0.6 + F.when(F.col("_role") != "actual", 0.1).otherwise(0.0) + F.when(F.size("_values") > 1, 0.1).otherwise(0.0) + F.when(scaled, 0.1).otherwise(0.0))

@@ -23,7 +23,7 @@ SENTENCES = (
     "As previously reported, the investigation is ongoing.", "No evidence that personal information was exposed has been found.", "Forensic experts and outside counsel help us.", "The impact is not yet determined and its scope is open.",
     "The company regained compliance with the listing rule.", "A hearing panel granted an extension.", "The notice concerns the minimum bid price.", "An event of default led to acceleration of the notes.", "It recorded a goodwill impairment.", "It filed for bankruptcy under chapter 11.",
     "The phase 3 trial met its primary endpoint.", "The FDA issued a complete response letter.", "The study was halted by a clinical hold.", "The company completed enrollment and expects to present an abstract.", "FDA approval was granted for the drug.", "The advisory committee voted against it.", "The phase 2 study did not meet the primary endpoint.",
-    "We dosed first patient; actual results could differ.", "Diluted EPS was $1.25 against $(0.40) a year ago, up 12.5% or 3 percent.", "Margins fell (4.5)% while $2.50 per share was expected.", "Nothing else happened here.", "Employee personal information was viewed.", "Costs associated with the response were small.",
+    "We dosed first patient; actual results could differ.", "Diluted EPS was $1.25 against $(0.40) a year ago, up 12.5% or 3 percent.", "Margins fell (4.5)% (7% in constant currency, (2%)) while $2.50 per share was expected.", "Nothing else happened here.", "Employee personal information was viewed.", "Costs associated with the response were small.",
 )
 _N = len(SENTENCES)
 _LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SENTENCES) + "]"
@@ -94,7 +94,7 @@ _SHARE = r"\(?-?\$\s?\(?-?([0-9]+\.[0-9]{2})\b"
 @register(
     "tx5_percents_per_share",
     "WITH " + TEXTS + rf""", r AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, '(?i)\beps\b|earnings per share') THEN regexp_replace(text, '(?is)^.*?(\beps\b|earnings per share)', '') ELSE text END AS rest FROM t)
-    SELECT doc_id, list_sum(list_transform(list_zip(regexp_extract_all(text, '(\(?-?){_NUMBER}', 1), regexp_extract_all(text, '(\(?-?){_NUMBER}', 2)), lambda x: CASE WHEN x[1] = '' THEN 1.0 ELSE -1.0 END * CAST(x[2] AS DOUBLE))) AS percents,
+    SELECT doc_id, list_sum(list_transform(list_zip(regexp_extract_all(text, '\(?-?{_NUMBER}\)?', 0), regexp_extract_all(text, '\(?-?{_NUMBER}\)?', 1)), lambda x: CASE WHEN x[1] LIKE '%-%' OR (x[1] LIKE '(%' AND x[1] LIKE '%)%') THEN -1.0 ELSE 1.0 END * CAST(x[2] AS DOUBLE))) AS percents,
       list_sum(list_transform(list_zip(regexp_extract_all(rest, '{_SHARE}', 0), regexp_extract_all(rest, '{_SHARE}', 1)), lambda x: CASE WHEN regexp_matches(x[1], '^[(-]|\$\s?[(-]') THEN -1.0 ELSE 1.0 END * CAST(x[2] AS DOUBLE))) AS per_share FROM r""",
 )
 def tx5_percents_per_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,13 +363,13 @@ def tx8_document_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"ownership_change": F.round("ownership_change", 6), "decision_date": F.col("decision_date").cast("string")})
 
 
-_FACT_TEXTS = ("Revenue was $1.5 billion", "We expect guidance for revenue of $2.1 million to $1.9 million", "Consensus EPS of $1.10", "EPS was $(0.25)", "Gross margin outlook of 41% to 43%", "Net income of $7 thousand", "Previously announced revenue of $5 million", "No metric of $5 million", "Revenue grew")
-_FACTS_OF = (("revenue_actual", 1.5e9, 1.5e9, "usd", 0.7), ("revenue_guidance", 1.9e6, 2.1e6, "usd", 0.9), ("eps_consensus", 1.1, 1.1, "usd_per_share", 0.8), ("eps_actual", -0.25, -0.25, "usd_per_share", 0.7), ("gross_margin_guidance", 0.41, 0.43, "fraction", 0.9), ("net_income_actual", 7e3, 7e3, "usd", 0.7))
+_FACT_TEXTS = ("Revenue was $1.5 billion", "We expect guidance for revenue of $2.1 million to $1.9 million", "Consensus EPS of $1.10", "EPS was $(0.25)", "Gross margin outlook of 41% to 43%", "Net income of $7 thousand", "Previously announced revenue of $5 million", "No metric of $5 million", "Revenue grew", "We expect net sales of $4.60 billion, plus or minus $200 million", "Revenue is expected to be in the range of $2.20 to $2.50 billion", "Revenues were $2.43 billion, above the midpoint of the guidance range of $2.20 to $2.50 billion", "A leader with revenue of more than $12 billion")
+_FACTS_OF = (("revenue_actual", 1.5e9, 1.5e9, "usd", 0.7), ("revenue_guidance", 1.9e6, 2.1e6, "usd", 0.9), ("eps_consensus", 1.1, 1.1, "usd_per_share", 0.8), ("eps_actual", -0.25, -0.25, "usd_per_share", 0.7), ("gross_margin_guidance", 0.41, 0.43, "fraction", 0.9), ("net_income_actual", 7e3, 7e3, "usd", 0.7), None, None, None, ("revenue_guidance", 4.4e9, 4.8e9, "usd", 0.9), ("revenue_guidance", 2.2e9, 2.5e9, "usd", 0.9), ("revenue_actual", 2.43e9, 2.43e9, "usd", 0.7))
 
 
 @register(
     "tx6_earnings_facts",
-    "WITH f(k, fact_name, low, high, unit, confidence) AS (VALUES " + ", ".join(f"({i}, '{n}', {low}::DOUBLE, {high}::DOUBLE, '{u}', {c}::DOUBLE)" for i, (n, low, high, u, c) in enumerate(_FACTS_OF))
+    "WITH f(k, fact_name, low, high, unit, confidence) AS (VALUES " + ", ".join(f"({i}, '{n}', {low}::DOUBLE, {high}::DOUBLE, '{u}', {c}::DOUBLE)" for i, (n, low, high, u, c) in ((i, f) for i, f in enumerate(_FACTS_OF) if f))
     + f") SELECT p_partkey, fact_name, round(low, 6) AS low, round(high, 6) AS high, round((low + high) / 2, 6) AS value, unit, confidence FROM part JOIN f ON p_partkey % {len(_FACT_TEXTS)} = k",
 )
 def tx6_earnings_facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,12 +145,19 @@ def tx3_rule_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir)
 
 
+def _beside(c: str) -> str:
+    """Marks beside digits as control characters, which end nothing."""
+    for i, mark in enumerate(".;!?", 1):
+        c = f"regexp_replace(regexp_replace({c}, '([0-9])[{mark}]', '\\1' || chr({i}), 'g'), '[{mark}]([0-9])', chr({i}) || '\\1', 'g')"
+    return c
+
+
 @register(
     "tx1_segments",
-    """WITH p AS (SELECT doc_id, string_split_regex(text, '[.!?]+\\s+|\\n+') AS pieces, list_append(regexp_extract_all(text, '[.!?]+\\s+|\\n+', 0), '') AS marks FROM documents),
-    u AS (SELECT doc_id, k, pieces[k] AS piece, coalesce(list_sum(list_transform(pieces[1:k - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(marks[1:k - 1], lambda x: length(x))), 0) AS start
-      FROM p, LATERAL (SELECT unnest(range(1, len(pieces) + 1)) AS k) x),
-    t AS (SELECT doc_id, start + length(piece) - length(regexp_replace(piece, '^\\s+', '')) AS start_char, regexp_replace(regexp_replace(piece, '^\\s+', ''), '\\s+$', '') AS segment FROM u)
+    "WITH m AS (SELECT doc_id, regexp_replace(" + _beside("coalesce(text, '')") + r""", '([.;!?])', '\1' || chr(5), 'g') AS t FROM documents),
+    u AS (SELECT doc_id, unnest(string_split_regex(t, '[\x05\n]')) AS piece, unnest(list_concat([''], regexp_extract_all(t, '[\x05\n]'))) AS mark, generate_subscripts(string_split_regex(t, '[\x05\n]'), 1) AS k FROM m),
+    s AS (SELECT doc_id, translate(piece, chr(1) || chr(2) || chr(3) || chr(4), '.;!?') AS piece, sum(length(piece) + CASE WHEN mark = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) AS start FROM u),
+    t AS (SELECT doc_id, start + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS start_char, regexp_replace(regexp_replace(piece, '^\s+', ''), '\s+$', '') AS segment FROM s)
     SELECT doc_id, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(segment) AS BIGINT) AS end_char, segment FROM t WHERE length(segment) >= 6""",
 )
 def tx1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,8 +193,8 @@ def sc9_ingest_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "sc10_visible_text",
-    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript|svg|head)\b.*?</(script|style|noscript|svg|head)\s*>|<!--.*?-->', ' ', 'g') AS c FROM pages),
-    b AS (SELECT page_id, regexp_replace(regexp_replace(c, '(?i)</?(p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|body)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS c FROM a),
+    r"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)|<noscript\b.*?(</noscript\s*>|\z)|<svg\b.*?(</svg\s*>|\z)|<head\b.*?(</head\s*>|\z)|<!--.*?(-->|\z)', ' ', 'g') AS c FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(c, '(?i)</?(p|div|li|ul|ol|br|tr|table|h[1-6]|section|article|header|footer|nav|body)\b[^>]*(>|\z)', chr(10), 'g'), '</?[a-zA-Z!?][^>]*(>|\z)', '', 'g') AS c FROM a),
     e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(c, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS c FROM b)
     SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ' || chr(10)) AS text FROM e""",
 )
@@ -200,7 +207,7 @@ def sc10_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     "tx5_amounts",
     r"""WITH t AS (SELECT o_orderkey AS id, 'revenue of $' || CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || CASE o_orderkey % 3 WHEN 0 THEN ' million' WHEN 1 THEN 'K' ELSE '' END || ' to $' || CAST(o_custkey AS VARCHAR) || ' billion' AS text FROM orders),
     m AS (SELECT id, regexp_extract_all(text, '\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?(million|billion|thousand|[MBK]\b)?', 1) AS n, regexp_extract_all(text, '\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)\s?(million|billion|thousand|[MBK]\b)?', 2) AS u FROM t),
-    v AS (SELECT id, list_transform(range(1, len(n) + 1), lambda i: CAST(replace(n[i], ',', '') AS DOUBLE) * CASE WHEN lower(u[i]) IN ('million', 'm') THEN 1e6 WHEN lower(u[i]) IN ('billion', 'b') THEN 1e9 WHEN lower(u[i]) IN ('thousand', 'k') THEN 1e3 ELSE 1 END) AS v FROM m)
+    v AS (SELECT id, list_transform(range(1, len(n) + 1), lambda i: CAST(replace(n[i], ',', '') AS DOUBLE) * CASE WHEN lower(u[i]) IN ('million', 'm') THEN 1e6 WHEN lower(u[i]) IN ('billion', 'b') THEN 1e9 WHEN lower(u[i]) IN ('thousand', 'k') THEN 1e3 WHEN i = 1 THEN 1e9 ELSE 1 END) AS v FROM m)
     SELECT id, len(v) AS n, list_min(v) AS low, list_max(v) AS high, (list_min(v) + list_max(v)) / 2 AS mid FROM v""",
 )
 def tx5_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:

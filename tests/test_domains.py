@@ -93,11 +93,10 @@ def test_analogs_with_categories_match_one_hot_vectors(spark):
             assert {i for q, i in got if q == p} == {i for _, i in best}
 
 
-def test_patterns_in_blocks(spark):
+def test_patterns_that_names_hold(spark):
     names = spark.createDataFrame([("steel works",), ("nothing",), (None,)], "name string")
     patterns = spark.createDataFrame([(f"x{i}", "X", 0.9, i) for i in range(40)] + [("steel", "S", 0.8, 1), ("work", "W", 0.8, 2), (" ", "B", 0.9, 3)], "pattern string, ticker string, confidence double, place int")
-    for block in (7, 1000):
-        assert {r.name: (r.ticker, r.hits) for r in S.best_substring(names, patterns, block=block).collect()} == {"steel works": ("S", 2), "nothing": (None, 0), None: (None, 0)}
+    assert {r.name: (r.ticker, r.hits) for r in S.best_substring(names, patterns).collect()} == {"steel works": ("S", 2), "nothing": (None, 0), None: (None, 0)}
 
 
 def walk_by_hand(rows, purge=5, least=10):

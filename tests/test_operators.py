@@ -151,7 +151,7 @@ def test_rules_and_offsets(spark):
     text = "First line here.\nThe firm paid $1.2 million to $3 billion é. It did not say why! End"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id int, text string")
     seg = [(s.start_char, s.end_char, s.segment) for s in E.segments(docs).collect()]
-    assert [text[a:b] for a, b, _ in seg] == [s for _, _, s in seg] and seg[1][2].endswith("billion é")
+    assert [text[a:b] for a, b, _ in seg] == [s for _, _, s in seg] and seg[1][2].endswith("billion é.")
     hits = {h.field_name: h for h in E.match_rules(docs, [E.Rule("paid", "paid"), E.Rule("said", "say", reject="not")]).collect()}
     assert set(hits) == {"paid"}
     assert text[hits["paid"].start_char : hits["paid"].end_char] == hits["paid"].evidence_text == "The firm paid $1."
@@ -240,5 +240,37 @@ def test_segments_of_a_long_text_have_their_offsets(spark):
     out = segments(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"))
     assert out.count() == 60_000
     last = out.orderBy("start_char", ascending=False).first()
-    assert text[last.start_char : last.end_char] == last.segment == "Another one"
-    assert last.end_char == len(text) - 2
+    assert text[last.start_char : last.end_char] == last.segment == "Another one!"
+    assert last.end_char == len(text) - 1
+
+
+def test_segments_end_at_marks_that_stand_beside_no_digit(spark):
+    text = "In 2024.Revenue grew; costs fell!Why? It was 2.5% of all in 2024. Next one\nlast line ;;; x"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    got = [s.segment for s in E.segments(docs).orderBy("start_char").collect()]
+    assert got == ["In 2024.Revenue grew;", "costs fell!", "It was 2.5% of all in 2024. Next one", "last line ;"]
+
+
+def test_money_ranges_and_signs(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(E.amounts(F.lit("from $3 to $5 billion, then $1,442 million"))) == [3e9, 5e9, 1.442e9]
+    assert tuple(one(E.stated_range(F.lit("sales of approximately $4.60 billion, plus or minus $200 million")))) == (4.4e9, 4.8e9, 4.6e9)
+    assert [round(v) for v in one(E.stated_range(F.lit("revenue of $3.20 billion, +/- $100 million")))] == [3.1e9, 3.3e9, 3.2e9]
+    assert [round(v) for v in one(E.stated_range(F.lit("revenue of $2 billion ± 5%")))] == [1.9e9, 2.1e9, 2e9]
+    assert tuple(one(E.stated_range(F.lit("range of $6.5 billion to $6.8 billion")))) == (6.5e9, 6.8e9, 6.65e9)
+    assert one(E.percents(F.lit("grew (5% in constant currency), fell (4.5)%, (3%) and -2 percent"))) == pytest.approx([0.05, -0.045, -0.03, -0.02])
+
+
+@pytest.mark.parametrize("piece", ["<svg ", "<!--", "<script>", "<p ", "< ", "</style>", "<a href=", "<head><svg>"])
+def test_a_megabyte_of_open_markup_takes_a_moment(spark, piece):
+    import time
+
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)),)], "html string")
+    began = time.time()
+    df.select(F.length(E.visible_text(F.col("html")))).collect()
+    assert time.time() - began < 15
+
+
+def test_hidden_elements_end_with_their_own_tag(spark):
+    one = lambda html: spark.createDataFrame([(html,)], "html string").select(E.visible_text(F.col("html")).alias("x")).first().x
+    assert one("<p>a</p><script>var s = '</style>'; no()</script><p>5 < 6 and b</p><style>never closed") == "a\n5 < 6 and b"

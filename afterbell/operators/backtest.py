@@ -112,22 +112,58 @@ def nested_thresholds(
     )
 
 
+#: Of the keyed permutation: rounds, steps of the walk, and the numbers of its round function.
+ROUNDS, WALK = 4, 16
+PRIME, TIMES, BY_KEY, BY_ROUND = 2_147_483_647, 48_271, 16_807, 69_621
+
+
+def _mixed(x: Column, key: Column, turn: int) -> Column:
+    """A number below :data:`PRIME` from a place, a key and a round; squared, so that it isn't linear."""
+    t = (x * TIMES + key * BY_KEY + turn * BY_ROUND + 1) % PRIME
+    return (t * t + x) % PRIME
+
+
+def permuted(place: Column, key: Column, n: Column) -> Column:
+    """The place (from 0) that a permutation of 0 to n - 1 drawn by ``key`` moves ``place`` to, worked out from the row alone.
+
+    Places are pairs of a number below a, the root of n, and one below b, with a * b at least n; rounds add a mix of one to the other in turn,
+    as in a Feistel network, so each round can be undone. Few pairs are places beyond n; from those the walk goes on, which
+    again can be undone. It ends within a few steps, or the row fails.
+    """
+    a = F.greatest(F.floor(F.sqrt(n)), F.lit(1))
+    b = F.ceil(n / a)
+
+    def once(x: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)),
+            F.struct(F.floor(x / b).alias("l"), (x % b).alias("r")),
+            lambda s, i: F.when(i % 2 == 1, F.struct(((s["l"] + _mixed(s["r"], key, i)) % a).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), ((s["r"] + _mixed(s["l"], key, i)) % b).alias("r"))),
+            lambda s: s["l"] * b + s["r"],
+        )
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), once(place), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk of a permutation did not end")).cast("long"))
+
+
 def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str], iterations: int = 500, long: float = 0.6, shorts: bool = True, cost_bps: float = 10.0) -> DataFrame:
     """Mean net return of the strategy against shuffled returns: actual, mean and deviation of the nulls, z and one-sided p.
 
-    Iteration k gives the row of rank r (by id) the return of the row of rank r by the hash of
-    (k, id): a permutation that any engine can repeat. Keys and iterations are shuffled
-    independently, and rows that don't trade are summed away before the last step.
+    Rows are numbered once (by id, in a scan). Iteration k gives a trading row the return of the row that :func:`permuted` names, so
+    nothing is sorted for an iteration and rows that don't trade are never copied; returns wait in blocks of 1,024 by number, so
+    each trade of an iteration is looked up in one block and summed where it is.
     """
     rows = preds.where(F.col(ret).isNotNull()).withColumn("_side", positions(F.col(p), F.lit(long), F.lit(1 - long) if shorts else None))
     rows = rows.select(*keys, row_id, "_side", F.expm1(ret).alias("_g"))
     net = F.avg(F.when(F.col("_side") != 0, F.col("_side") * F.col("_g") - cost_bps / 1e4))
-    actual = rows.groupBy(*keys).agg(F.count("*").alias("n"), net.alias("actual"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(row_id)))
-    many = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    drawn = F.unhex(F.md5(F.concat_ws(":", F.col("_k").cast("string"), F.col(row_id).cast("string"))))  # bytes are in the order of their digits
-    many = many.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy(drawn, row_id)))
-    nulls = many.select(*keys, "_k", "_r", "_g").join(ranked.select(*keys, "_r", "_side"), [*keys, "_r"]).groupBy(*keys, "_k").agg(net.alias("_null"))
+    ranked = written(running(rows, keys, [row_id], {"_r": ("count", F.lit(1))}), "shuffle-rows")
+    actual = ranked.groupBy(*keys).agg(F.count("*").alias("n"), net.alias("actual"))
+    block = F.floor((F.col("_r") - 1) / 1024)
+    values = ranked.groupBy(*keys, block.alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_g"))), lambda x: x["_g"]).alias("_gs"))
+    trades = ranked.where("_side <> 0").join(actual.select(*keys, "n"), keys).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    drawn = trades.select(*keys, "_k", "_side", permuted(F.col("_r") - 1, F.col("_k"), F.col("n")).alias("_to"))
+    met = drawn.withColumn("_b", F.floor(F.col("_to") / 1024)).join(values, [*keys, "_b"])
+    given = F.get("_gs", (F.col("_to") % 1024).cast("int"))
+    nulls = met.groupBy(*keys, "_k").agg(F.avg(F.col("_side") * given - cost_bps / 1e4).alias("_null"))
     both = nulls.join(actual, keys)
     return both.groupBy(*keys, "n", "actual").agg(
         F.avg("_null").alias("null_mean"),

@@ -1,4 +1,4 @@
-"""Compositions: documents to reviewed event rows, events to a study with controls and backtest. All parts stay lazy."""
+"""Compositions: documents to reviewed event rows, events to a study with controls and backtest. Parts stay lazy, but for what several of them read."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from afterbell.operators import evidence as E
 from afterbell.operators import projections as P
 from afterbell.operators import review as R
 from afterbell.operators import study as S
+from afterbell.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,10 @@ def evidence_pipeline(docs: DataFrame, pack: RulePack, reviews: DataFrame | None
 def study_pipeline(events: DataFrame, returns: DataFrame, benchmark: DataFrame, bars: DataFrame, by: Sequence[str] = ("event_type",), least: int = 5) -> dict[str, DataFrame]:
     """Events through the study, base rates, robustness, and the same study on placebo and peer controls.
 
-    The market rows are one plan that the main study and both controls read.
+    The market rows are written once; the main study and both controls read them.
     """
-    market = S.market_rows(returns, benchmark)
-    study = S.event_study(events, market)
+    market = written(S.market_rows(returns, benchmark), "market")
+    study = written(S.event_study(events, market), "study")
     placebos = B.random_placebos(events, B.free_days(bars, events)).select("event_id", "ticker", F.col("placebo_day").cast("timestamp").alias("event_time"), "event_type", F.lit("before_open").alias("release_session"))
     peers = B.peer_controls(events, B.ring_peers(bars.select("ticker"))).withColumn("release_session", F.lit("before_open"))
     controls = S.event_study(placebos, market).unionByName(S.event_study(peers, market)).withColumn("control", F.col("event_type"))

@@ -12,6 +12,7 @@ from afterbell.operators.asof import asof_forward
 from afterbell.operators.quantiles import value_range, with_quantile
 from afterbell.operators.scans import running
 from afterbell.operators.windows import by_day, by_ticker, forward_sum, market_model, trailing_std, trailing_sum
+from afterbell.sources.shared import written
 
 HORIZONS = (1, 3, 10)
 
@@ -70,7 +71,8 @@ def base_rates(study: DataFrame, by: Sequence[str], horizon: int = 1, least: int
     """Rates and moments of the abnormal return by text columns (NULL: unknown), groups of at least ``least`` rows."""
     car = F.col(f"car_{horizon}")
     rows = study.where((F.col("status") == "ok") & car.isNotNull())
-    named = rows.select(*[norm(F.col(c)).alias(c) for c in by], car.alias("_car"), f"significant_{horizon}", f"z_{horizon}")
+    # two passes read them: the study behind them is computed once
+    named = written(rows.select(*[norm(F.col(c)).alias(c) for c in by], car.alias("_car"), f"significant_{horizon}", f"z_{horizon}"), "rates")
     car = F.col("_car")
     n, mean, std = F.count("*"), F.avg(car), F.stddev_samp(car)
     stderr = F.when(n > 1, std / F.sqrt(n))
@@ -95,9 +97,8 @@ def base_rates(study: DataFrame, by: Sequence[str], horizon: int = 1, least: int
 
 def one_way_marginals(study: DataFrame, by: Sequence[str], horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """All, and each value of each column, by horizon in one pass: group_column, group_value, horizon, n, mean, median, positive_rate."""
-    long = study.where(F.col("status") == "ok").select(
-        *[norm(F.col(c)).alias(c) for c in by], F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"car_{h}").alias("car")) for h in horizons])).alias("m")
-    )
+    kept = written(study.where(F.col("status") == "ok").select(*[norm(F.col(c)).alias(c) for c in by], *[F.col(f"car_{h}") for h in horizons]), "marginals")
+    long = kept.select(*by, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"car_{h}").alias("car")) for h in horizons])).alias("m"))
     cells = long.select("*", "m.*").where(F.col("car").isNotNull()).withColumn(
         "g", F.explode(F.array(F.struct(F.lit("all").alias("c"), F.lit("all").alias("v")), *[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in by]))
     )
@@ -111,7 +112,7 @@ def one_way_marginals(study: DataFrame, by: Sequence[str], horizons: Sequence[in
 
 def winsorised_mean(df: DataFrame, value: str, by: Sequence[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Mean of values clipped to their group's quantiles (linear interpolation)."""
-    rows = df.where(F.col(value).isNotNull())
+    rows = written(df.where(F.col(value).isNotNull()).select(*by, value), "winsorised")
     bounds = rows.groupBy(*by).agg(F.count("*").alias("_n"), value_range(value, low).alias("_around_low"), value_range(value, high).alias("_around_high"))
     bounds = with_quantile(bounds, rows, value, by, low, "_low", "_n", "_around_low")
     bounds = with_quantile(bounds, rows, value, by, high, "_high", "_n", "_around_high").drop("_n")

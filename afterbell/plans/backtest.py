@@ -123,12 +123,29 @@ def wn15_nested_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.nested_thresholds(preds(spark, sf_dir), "p", "ret", KEYS, ORDER).withColumn("reaction_start", F.col("reaction_start").cast("string"))
 
 
+def _once(place: str, name: str) -> str:
+    """One pass of the permutation over a place: four rounds, unrolled."""
+    low, high = f"({place} // b)", f"({place} % b)"
+
+    def mix(x: str, turn: int) -> str:
+        t = f"(({x} * {B.TIMES} + k * {B.BY_KEY} + {turn * B.BY_ROUND + 1}) % {B.PRIME})"
+        return f"(({t} * {t} + {x}) % {B.PRIME})"
+
+    for turn in range(1, B.ROUNDS + 1):
+        if turn % 2:
+            low = f"(({low} + {mix(high, turn)}) % a)"
+        else:
+            high = f"(({high} + {mix(low, turn)}) % b)"
+    return f"({low} * b + {high})"
+
+
 @register(
     "ml5_null_shuffle",
     PREDS + _TRADES
-    + """, r AS (SELECT event_type, event_id, side, gross, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM s),
-    m AS (SELECT r.event_type, k, gross, row_number() OVER (PARTITION BY event_type, k ORDER BY md5(k::VARCHAR || ':' || event_id::VARCHAR), event_id) AS r FROM r, (SELECT unnest(range(1, 21)) AS k) g),
-    z AS (SELECT m.event_type, k, avg(CASE WHEN side <> 0 THEN side * m.gross - 10 / 1e4 END) AS null_net FROM m JOIN r USING (event_type, r) GROUP BY 1, 2),
+    + f""", r AS (SELECT event_type, event_id, side, gross, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM s),
+    g AS (SELECT *, greatest(CAST(floor(sqrt(n)) AS BIGINT), 1) AS a FROM r), t AS (SELECT g.*, CAST(ceil(n / a) AS BIGINT) AS b, k FROM g, (SELECT unnest(range(1, 21)) AS k) WHERE side <> 0),
+    m AS (SELECT event_type, k, side, list_reduce(list_prepend({_once("r", "r")}, range({B.WALK - 1})), lambda x, i: CASE WHEN x < n THEN x ELSE {_once("x", "x")} END) AS r FROM t),
+    z AS (SELECT m.event_type, k, avg(m.side * r.gross - 10 / 1e4) AS null_net FROM m JOIN r USING (event_type, r) GROUP BY 1, 2),
     a AS (SELECT event_type, count(*) AS n, avg(CASE WHEN side <> 0 THEN side * gross - 10 / 1e4 END) AS actual FROM r GROUP BY 1)
     SELECT event_type, n, round(actual, 6) AS actual, round(avg(null_net), 6) AS null_mean, round(stddev_samp(null_net), 6) AS null_std, round((actual - avg(null_net)) / stddev_samp(null_net), 4) AS z,
       round((sum(CASE WHEN round(null_net, 12) >= round(actual, 12) THEN 1 ELSE 0 END) + 1) / (count(*) + 1), 6) AS p_value FROM z JOIN a USING (event_type) GROUP BY 1, 2, actual""",

@@ -50,3 +50,23 @@ def test_losses_beyond_all_turn_the_product_over(spark):
 def test_ring_over_ranges(spark):
     out = dict(B.ring_peers(spark.createDataFrame([(f"t{i:03d}",) for i in range(200)] * 2, "ticker string")).collect())
     assert out == {f"t{i:03d}": f"t{(i + 1) % 200:03d}" for i in range(200)}
+
+
+def test_permutations_of_places(spark):
+    seen = set()
+    for n in (1, 2, 3, 10, 97, 1000):
+        for key in (1, 2, 500):
+            rows = spark.range(n).select(B.permuted(F.col("id"), F.lit(key), F.lit(n)).alias("to")).collect()
+            assert sorted(r.to for r in rows) == list(range(n))
+            seen.add((n, tuple(r.to for r in rows)))
+    assert len({s for s in seen if s[0] == 1000}) == 3
+
+
+def test_null_shuffle_draws_each_return_alike(spark):
+    n = 2500
+    r = random.Random(9)
+    preds = spark.createDataFrame([("k", i, 0.9 if i % 2 else 0.5, r.gauss(0.001 * (i % 7), 0.02)) for i in range(n)], "k string, i long, p double, ret double")
+    out = B.null_shuffle(preds, "p", "ret", "i", ["k"], iterations=200).first()
+    every = preds.agg(F.avg(F.expm1("ret")).alias("m"), F.stddev_pop(F.expm1("ret")).alias("s")).first()
+    assert abs(out.null_mean - (every.m - 0.001)) < 4 * every.s / (n / 2 * 200) ** 0.5
+    assert abs(out.null_std / (every.s * (1 / (n / 2) * (n / 2) / (n - 1)) ** 0.5) - 1) < 0.25

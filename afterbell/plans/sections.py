@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,3 +183,24 @@ SELECT doc_id, fact_name, value, CASE WHEN unit = 'percent' THEN TRY_CAST(value
 def tx8_trial_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TX-8: facts of each release with evidence, span and section."""
     return S.trial_facts(releases(spark, sf_dir))
+
+
+@register(
+    "sc20_observation_feed",
+    """SELECT 's' || s_suppkey AS slug, s_name AS title, s_nationkey % 2 = 0 AS official_source, [n_name, CAST(s_nationkey AS VARCHAR)] AS tags, s_suppkey % 50 AS sample_size_hint
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0 AND n_name IS NOT NULL""",
+)
+def sc20_observation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC-20, UD-1: suppliers written as a feed of JSON lines, read back by the data source with filters pushed into it."""
+    from afterbell.sources import readers
+    from afterbell.sources.shared import shared_dir
+
+    readers.register(spark)
+    s, n = base.table(spark, sf_dir, "supplier"), base.table(spark, sf_dir, "nation")
+    rows = s.join(n, s.s_nationkey == n.n_nationkey).select(
+        F.concat(F.lit("s"), "s_suppkey").alias("slug"), F.col("s_name").alias("title"), F.when(F.col("s_suppkey") % 3 == 0, "other").otherwise("feed").alias("source_kind"), (F.col("s_nationkey") % 2 == 0).alias("official_source"),
+        F.array("n_name", F.col("s_nationkey").cast("string")).alias("tags"), (F.col("s_suppkey") % 50).cast("int").alias("sample_size_hint"),
+    )
+    folder = f"{shared_dir(spark)}/afterbell/feed-{uuid.uuid4().hex}"
+    rows.write.json(folder)
+    return spark.read.format("observations").load(folder).where("source_kind = 'feed'").select("slug", "title", "official_source", "tags", "sample_size_hint")

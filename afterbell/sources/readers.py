@@ -2,7 +2,7 @@
 
 ``register(spark)`` makes the formats ``observations``, ``pipe_tables`` and ``source_documents`` known. Each file is a
 partition, read on an executor in a stream of rows; equality filters on columns are applied while reading, and those on
-``source_file`` leave whole files out (``spark.sql.python.filterPushdown.enabled``).
+``source_file`` leave whole files out.
 """
 
 from __future__ import annotations
@@ -219,5 +219,7 @@ class DocumentSource(_Source):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the formats known to the session, and let it push filters into Python sources, which they ask for."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (ObservationSource, PipeTableSource, DocumentSource):
         spark.dataSource.register(source)

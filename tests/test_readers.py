@@ -7,7 +7,6 @@ from afterbell.sources import readers
 
 def test_feeds_of_all_kinds(spark, tmp_path):
     readers.register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a/one.jsonl").write_text('{"slug": "x", "title": "One", "official_source": true, "tags": ["p", "q"], "sample_size_hint": 5}\n\nnot json\n[1]\n{"slug": "y", "tags": "single", "sample_size_hint": "many"}\n')
     (tmp_path / "a/b/two.json").write_text(json.dumps([{"slug": "z"}, {"slug": "w", "title": {"a": 1}}]))

@@ -204,3 +204,53 @@ def sc20_observation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/afterbell/feed-{uuid.uuid4().hex}"
     rows.write.json(folder)
     return spark.read.format("observations").load(folder).where("source_kind = 'feed'").select("slug", "title", "official_source", "tags", "sample_size_hint")
+
+
+#: Openings of filings of 2024, and what they say: facts (name, value), event, amount and its source.
+DEALS = (
+    ("XYZ announced a public offering of 10,000,000 shares of common stock at a public offering price of $2.50 per share. Gross proceeds are expected to be approximately $25.0 million before expenses.", (("shares_offered", 1e7), ("price_per_share", 2.5), ("gross_proceeds", 25e6)), "completed_equity_offering", 25e6, "gross_proceeds"),
+    ("It entered into a registered direct offering of 35,500,000 shares of Class A common stock, par value $0.0001 per share, at a price of $8.50 per Share, for gross proceeds of $301.75 million.", (("shares_offered", 35.5e6), ("price_per_share", 8.5), ("gross_proceeds", 301.75e6)), "registered_direct_offering", 301.75e6, "gross_proceeds"),
+    ("A private placement, a sale of 1,000,000 shares at a price of $8.50 per share, was completed. Each warrant is exercisable for one share at an exercise price of $11.50 per share.", (("shares_offered", 1e6), ("price_per_share", 8.5)), "private_placement", 8.5e6, "shares_offered_x_price_per_share"),
+    ("XYZ Announces Redemption of Public Warrants. The public warrants are exercisable for shares of common stock at a price of $11.50 per share.", (), "unknown", None, None),
+    ("It entered into an at-the-market offering program under which it may sell shares having an aggregate offering price of up to $150 million from time to time.", (("atm_capacity", 150e6),), "atm_program_created", 150e6, "atm_capacity"),
+    ("Calculated pursuant to Rule 457(o) based on the proposed maximum aggregate offering price of $75,000,000 of the shelf registration.", (), "shelf_registration", None, None),
+    ("Up to 504,859,164 shares, assuming the sale of $8,000,000 of shares at an assumed offering price of $7.77 per share, which was the last reported sale price.", (), "unknown", None, None),
+    ("On June 23, 2023, we issued 6,337,039 shares of Class A common stock and received gross proceeds of $25,000,000.\nOn January 5, 2024, we issued 2,000,000 shares.", (("shares_offered", 2e6),), "unknown", None, None),
+    ("XYZ priced $300 million aggregate principal amount of convertible senior notes; the conversion price is $12.50 per share.", (("convertible_principal", 300e6), ("conversion_price", 12.5)), "convertible_note_offering", 300e6, "convertible_principal"),
+    ("Under exchange agreements, $40 million principal amount of convertible notes was exchanged for shares", (), "convertible_note_offering", None, None),
+)
+
+
+def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = base.table(spark, sf_dir, "documents")
+    lead = F.element_at(F.array(*[F.lit(x[0]) for x in DEALS]), (F.col("doc_id") % len(DEALS) + 1).cast("int"))
+    return d.select("doc_id", F.concat_ws("\n", lead, F.coalesce("text", F.lit(""))).alias("text"), F.lit("2024-01-10 16:05:00").cast("timestamp").alias("event_time"))
+
+
+def _number_sql(v: float | None) -> str:
+    return "NULL" if v is None else f"{v!r}::DOUBLE"
+
+
+@register(
+    "tx13_financing_facts",
+    "WITH f(k, fact_name, value) AS (VALUES " + ", ".join(f"({i}, '{n}', {v!r}::DOUBLE)" for i, x in enumerate(DEALS) for n, v in x[1]) + f") SELECT doc_id, fact_name, value FROM documents JOIN f ON doc_id % {len(DEALS)} = k",
+)
+def tx13_financing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TX-13, TX-7: terms of financings; background deals, fee tables, assumed prices and exercise prices are none."""
+    from afterbell.operators.financing import financing_facts
+
+    return financing_facts(deals(spark, sf_dir)).select("doc_id", "fact_name", "value")
+
+
+@register(
+    "pj18_financing_fields",
+    "WITH f(k, event_type, amount, amount_source) AS (VALUES " + ", ".join(f"({i}, '{x[2]}', {_number_sql(x[3])}, {'NULL' if x[4] is None else _quoted(x[4])})" for i, x in enumerate(DEALS))
+    + f""") SELECT doc_id, event_type, amount, amount_source, event_type IN ('completed_equity_offering', 'registered_direct_offering', 'private_placement', 'convertible_note_offering', 'atm_program_usage_reported') AS completed,
+      event_type IN ('atm_program_created', 'shelf_registration') AS capacity_only FROM documents JOIN f ON doc_id % {len(DEALS)} = k""",
+)
+def pj18_financing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PJ-18: best amount with precedence and implied amounts, and flags of financings."""
+    from afterbell.operators.financing import financing_facts, financing_fields
+
+    d = deals(spark, sf_dir)
+    return financing_fields(d, financing_facts(d)).select("doc_id", "event_type", "amount", "amount_source", "completed", "capacity_only")

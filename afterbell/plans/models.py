@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from afterbell.operators import logistic as L
-from afterbell.plans import base
+from afterbell.plans import base, registry
+from afterbell.plans.backtest import PREDS, preds
 from afterbell.plans.registry import register
 from afterbell.plans.study import rounded, study_frame
 
@@ -82,3 +83,34 @@ _ANCHORS = "".join(
 def wn17_block_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN-17, ML-2, ML-3: purged walk-forward by event type, anchors by block and a step for each day."""
     return rounded(L.block_walk_forward(rows(spark, sf_dir), ["event_type"], "reaction_start", "event_id", ["x"], "y", rounds=3))
+
+
+_NET = "CASE WHEN p >= 0.6 THEN {r} - 10 / 1e4 WHEN p <= 0.4 THEN -({r}) - 10 / 1e4 END"
+_KINDS = "(VALUES ('peer', 0.5::DOUBLE), ('placebo', -0.25)) v(control, times)"
+
+
+def _gates_sql() -> str:
+    nulls = registry._ORACLES["ml5_null_shuffle"]
+    return f"""{PREDS}, nulls AS (SELECT event_type, p_value FROM ({nulls})),
+    b AS (SELECT event_type, greatest(1, ceil(round(least(greatest(p, 0), 1) * 10, 9))) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM preds GROUP BY 1, 2), e AS (SELECT event_type, sum(n * gap) / sum(n) AS ece FROM b GROUP BY 1),
+    m AS (SELECT event_type, count(p) AS predictions, count(*) FILTER (WHERE p >= 0.6 OR p <= 0.4) AS trades, avg({_NET.format(r="(exp(ret) - 1)")}) AS net FROM preds GROUP BY 1),
+    c AS (SELECT event_type, control, avg({_NET.format(r="(exp(ret * times) - 1)")}) AS net FROM preds, {_KINDS} GROUP BY 1, 2),
+    g AS (
+      SELECT event_type, 'minimum_predictions' AS gate, predictions::DOUBLE AS value, 30.0::DOUBLE AS threshold, predictions >= 30 AS passed FROM m
+      UNION ALL SELECT event_type, 'minimum_trades', trades, 5, trades >= 5 FROM m UNION ALL SELECT event_type, 'calibration_ece', ece, 0.2, ece <= 0.2 FROM e
+      UNION ALL SELECT event_type, 'null_shuffle_p_value', p_value, 0.1, p_value <= 0.1 FROM nulls UNION ALL SELECT event_type, 'positive_mean_net_event_return', net, 0, net > 0 FROM m
+      UNION ALL SELECT event_type, control || '_control_not_stronger', c.net, 0.75 * m.net, c.net < 0.75 * m.net FROM c JOIN m USING (event_type))
+    SELECT event_type, gate, round(value, 6) AS value, round(threshold, 6) AS threshold, passed, CASE WHEN bool_and(passed) OVER w THEN 'promising_needs_fresh_data'
+      WHEN bool_or(NOT passed AND gate LIKE '%control_not_stronger') OVER w THEN 'failed_control_test' WHEN predictions < 30 THEN 'inconclusive_too_few_predictions' ELSE 'not_promising_yet' END AS decision
+    FROM g JOIN m USING (event_type) WINDOW w AS (PARTITION BY event_type)"""
+
+
+@register("ml8_signal_gates", _gates_sql())
+def ml8_signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-8, ML-9: gates of a signal by event type, with controls of scaled returns, and the decision."""
+    from afterbell.operators.gates import signal_gates
+
+    p = preds(spark, sf_dir)
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("control"), F.lit(t).alias("times")) for c, t in (("peer", 0.5), ("placebo", -0.25))]))
+    controls = p.withColumn("k", kinds).select("event_type", "reaction_start", "event_id", "p", "y", (F.col("ret") * F.col("k.times")).alias("ret"), F.col("k.control").alias("control"))
+    return rounded(signal_gates(p, controls, "p", "y", "ret", "event_id", ["event_type"], ["reaction_start", "event_id"], iterations=20))

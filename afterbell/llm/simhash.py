@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ BITS, SEED = 64, 42
 SKETCH, SKETCH_COLUMNS = 256, ["_s0", "_s1", "_s2", "_s3"]
 #: Cost of a shuffled row, in compared pairs.
 ROW_COST = 400.0
-#: Estimated fingerprints of a value that one task compares; a value with more is compared chunk by chunk.
-CHUNK = 16_384
+#: Fingerprints of a value that one task compares; a value with more is compared chunk by chunk. Most such values that are told to all tasks.
+CHUNK, MOST_HOT = 16_384, 1_000_000
 #: Groups up to this size are compared by shifting, larger ones by blocks.
 SHIFT_GROUP = 64
 BLOCK = 512
@@ -99,7 +100,6 @@ class Plan:
     max_distance: int
     counts: tuple[np.ndarray, ...]  # by partition: [threshold + 1, value], for partitions of up to 16 bits
     total: float
-    chunk: int = CHUNK
 
     def values(self, fps: np.ndarray) -> list[np.ndarray]:
         """The partitions' values, each packed into its low bits."""
@@ -310,19 +310,42 @@ def _link(key: np.ndarray, node: np.ndarray, fps: list[np.ndarray], role: np.nda
     return u[differ], v[differ]
 
 
-def _cells(plan: Plan, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hot_values(nodes: DataFrame, column: str, plan: Broadcast, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (partition and value) that more fingerprints have than one task compares, in order, and into how many chunks each is cut.
+
+    Counted over all fingerprints, whatever the number of partitions. A fingerprint has a value in each, so no more than
+    their number times ``total`` by the chunk can be hot; beyond a million the chunk grows instead.
+    """
+    chunk = max(CHUNK, -(-len(plan.value.parts) * total // MOST_HOT))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = plan.value.values(batch.column(0).to_numpy().view(np.uint64))
+            own = np.concatenate([v | np.uint64(i) << np.uint64(56) for i, v in enumerate(values)])
+            key, n = np.unique(own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["_key", "_n"])
+
+    counted = nodes.select(column).mapInArrow(keys, "_key long, _n long").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    hot = counted.where(F.col("_n") > chunk).toPandas()  # a million at most
+    key = hot["_key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], np.minimum(-(-hot["_n"].to_numpy(np.int64)[order] // chunk), 4095)
+
+
+def _cells(hot: tuple[np.ndarray, np.ndarray], key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys by pair of chunks, and the row of each: a row of a value in c chunks goes to the c pairs that its own chunk is in."""
-    chunks = np.ones(len(key), np.int64)
-    for i, counts in enumerate(plan.counts):
-        own = np.flatnonzero(key >> np.uint64(56) == i)
-        chunks[own] = np.clip(np.ceil(counts[0][(key[own] & np.uint64(0xFFFF)).astype(np.int64)] / plan.chunk), 1, 255).astype(np.int64)
+    values, parts = hot
+    if not len(values):
+        return key, np.arange(len(key))
+    at = np.minimum(np.searchsorted(values, key), len(values) - 1)
+    chunks = np.where(values[at] == key, parts[at], 1)
     if (chunks == 1).all():
         return key, np.arange(len(key))
     rows = np.repeat(np.arange(len(key)), chunks)
     other = np.arange(len(rows)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
     own, c = ((node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks)[rows], chunks[rows]
     cell = np.where(c > 1, np.minimum(own, other) * c + np.maximum(own, other), 0)
-    return key[rows] | cell.astype(np.uint64) << np.uint64(40), rows
+    return key[rows] | cell.astype(np.uint64) << np.uint64(32), rows  # values have 32 bits at most
 
 
 def links(nodes: DataFrame, columns: list[str], limits: list[int], sample_size: int = 20_000) -> DataFrame:
@@ -337,14 +360,15 @@ def links(nodes: DataFrame, columns: list[str], limits: list[int], sample_size:
     sample = nodes.orderBy(F.xxhash64(*columns)).limit(sample_size).select(columns[0]).toPandas()[columns[0]].to_numpy(np.int64).view(np.uint64)
     if total < 2:
         return spark.createDataFrame([], "u long, v long")
-    plan = spark.sparkContext.broadcast(replace(fit_plan(sample, total, limits[0]), chunk=CHUNK))
+    plan = spark.sparkContext.broadcast(fit_plan(sample, total, limits[0]))
+    hot = spark.sparkContext.broadcast(hot_values(nodes, columns[0], plan, total))
     names = ["_key", "_node", *columns, "_role"]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, *fps = (c.to_numpy() for c in batch.columns)
             for key, rows, role in _probes(plan.value, node, fps[0].view(np.uint64)):
-                key, at = _cells(plan.value, key, node[rows])
+                key, at = _cells(hot.value, key, node[rows])
                 rows, role = rows[at], role[at]
                 for a in range(0, len(key), 100_000):
                     r = rows[a : a + 100_000]

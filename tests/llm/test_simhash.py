@@ -99,6 +99,31 @@ def test_links_in_dense_and_skewed_fingerprints(spark, monkeypatch, chunk):
         assert [root(i) for i in range(len(fps))] == naive_components(fps, limit)
 
 
+@pytest.mark.parametrize("m", [2, 3, 4])
+def test_hot_values_are_cut_into_chunks_for_every_number_of_partitions(spark, monkeypatch, m):
+    r = np.random.default_rng(5)
+    fps = np.unique(np.concatenate([r.integers(0, 2**62, 300), (7 << 40) | r.integers(0, 2**20, 1500)])).astype(np.uint64)
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    monkeypatch.setattr(simhash, "fit_plan", lambda sample, total, distance: simhash.Plan(simhash._group_bits(sample, m), distance, (), float(total)))
+    nodes = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.tolist())], "_node long, _fp long")
+    plan = spark.sparkContext.broadcast(simhash.fit_plan(fps, len(fps), 3))
+    values, chunks = simhash.hot_values(nodes, "_fp", plan, len(fps))
+    assert len(values) and chunks.max() > 5 and (values[1:] > values[:-1]).all()
+    edges = simhash.links(nodes, ["_fp"], [3]).collect()
+    parent = list(range(len(fps)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for e in edges:
+        a, b = sorted((root(e.u), root(e.v)))
+        parent[b] = a
+    assert [root(i) for i in range(len(fps))] == naive_components([int(f) for f in fps], 3)
+
+
 def test_plan_for_many_rows_uses_fewer_wider_partitions():
     sample = np.random.default_rng(1).integers(0, 2**63, 2000).astype(np.uint64)
     assert len(fit_plan(sample, 1000, 3).parts) == 4

@@ -117,7 +117,7 @@ ROUNDS, WALK = 4, 16
 PRIME, TIMES, BY_KEY, BY_ROUND = 2_147_483_647, 48_271, 16_807, 69_621
 
 
-def _mixed(x: Column, key: Column, turn: int) -> Column:
+def _mixed(x: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
     """A number below :data:`PRIME` from a place, a key and a round; squared, so that it isn't linear."""
     t = (x * TIMES + key * BY_KEY + turn * BY_ROUND + 1) % PRIME
     return (t * t + x) % PRIME
@@ -128,21 +128,29 @@ def permuted(place: Column, key: Column, n: Column) -> Column:
 
     Places are pairs of a number below a, the root of n, and one below b, with a * b at least n; rounds add a mix of one to the other in turn,
     as in a Feistel network, so each round can be undone. Few pairs are places beyond n; from those the walk goes on, which
-    again can be undone. It ends within a few steps, or the row fails.
+    again can be undone. It ends within a few steps, or the row fails. Worked out for a batch of rows at once.
     """
-    a = F.greatest(F.floor(F.sqrt(n)), F.lit(1))
-    b = F.ceil(n / a)
-
-    def once(x: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(1), F.lit(ROUNDS)),
-            F.struct(F.floor(x / b).alias("l"), (x % b).alias("r")),
-            lambda s, i: F.when(i % 2 == 1, F.struct(((s["l"] + _mixed(s["r"], key, i)) % a).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), ((s["r"] + _mixed(s["l"], key, i)) % b).alias("r"))),
-            lambda s: s["l"] * b + s["r"],
-        )
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK - 1)), once(place), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the walk of a permutation did not end")).cast("long"))
+    return F.pandas_udf(_permuted, "long")(place.cast("long"), key.cast("long"), n.cast("long"))
+
+
+def _permuted(place: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
+    x, key, n = (c.to_numpy(np.int64) for c in (place, key, n))
+    a = np.maximum(np.floor(np.sqrt(n)).astype(np.int64), 1)
+    b = -(-n // a)
+    x, left = x.copy(), np.arange(len(x))
+    for _ in range(WALK):
+        k, high = key[left], b[left]
+        low, r = np.divmod(x[left], high)
+        for turn in range(1, ROUNDS + 1):
+            if turn % 2:
+                low = (low + _mixed(r, k, turn)) % a[left]
+            else:
+                r = (r + _mixed(low, k, turn)) % high
+        x[left] = low * high + r
+        left = left[x[left] >= n[left]]
+        if not len(left):
+            return pd.Series(x)
+    raise ValueError("the walk of a permutation did not end")
 
 
 def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str], iterations: int = 500, long: float = 0.6, shorts: bool = True, cost_bps: float = 10.0) -> DataFrame:

@@ -323,6 +323,7 @@ def shifted_placebos(events: DataFrame, bars: DataFrame, shifts: Sequence[int] =
 
 def research_backtest(preds: DataFrame, p: str, y: str, ret: str, keys: list[str], order: list[str], long: float = 0.6, cost_bps: float = 10.0) -> dict[str, DataFrame]:
     """The parts of a backtest report over scored events: metrics, calibration, trades, summary and cost grid."""
+    preds = written(preds.select(*dict.fromkeys([*keys, *order, p, y, ret])), "backtest")  # every part reads them
     trades = strategy(preds, p, ret, keys, order, long, cost_bps=cost_bps)
     return {
         "metrics": classification_metrics(preds, p, y, keys),

@@ -25,6 +25,7 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) ->
     The order has to be total: rows that are equal in all of it would have no defined place.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = written(df, "unranged")  # bounds of ranges are drawn from a pass of their own: what is behind the rows is computed once
     return written(df.repartitionByRange(n, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 

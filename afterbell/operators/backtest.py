@@ -36,7 +36,8 @@ def classification_metrics(preds: DataFrame, p: str, y: str, by: Sequence[str],
     The AUC runs over distinct scores: counts by score are summed first, and the running count of
     negatives below a score is a two-level scan.
     """
-    rows = preds.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(p).alias("_p"), F.col(y).cast("int").alias("_y"))
+    # two passes read them: what is behind them is computed once
+    rows = written(preds.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(p).alias("_p"), F.col(y).cast("int").alias("_y")), "scores")
     q = F.least(F.greatest(F.col("_p"), F.lit(clip)), F.lit(1 - clip))
     hit = ((F.col("_p") >= 0.5).cast("int") == F.col("_y")).cast("double")
     plain = rows.groupBy(*by).agg(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from afterbell.operators.asof import asof_forward
-from afterbell.operators.scans import drawdown, numbered, running
+from afterbell.operators.scans import drawdown, numbered, ranged, running, scan
 from afterbell.sources.shared import written
 
 
@@ -81,11 +81,17 @@ def strategy_summary(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def cost_grid(preds: DataFrame, p: str, ret: str, keys: list[str], order: list[str], costs: Sequence[float] = (5, 25, 50, 100), long: float = 0.6, shorts: bool = True) -> DataFrame:
-    """Summary of the strategy at each all-in cost, one pass with the cost as a further key."""
+    """Summary of the strategy at each all-in cost; costs are columns of one scan, not copies of the rows."""
     rows = preds.withColumn("position", positions(F.col(p), F.lit(long), F.lit(1 - long) if shorts else None)).where("position != 0")
-    rows = rows.withColumn("gross", F.expm1(ret)).where("gross is not null").withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
-    rows = rows.withColumn("net", F.col("position") * F.col("gross") - F.col("cost_bps") / 1e4)
-    return strategy_summary(drawdown(rows, "net", [*keys, "cost_bps"], order), [*keys, "cost_bps"])
+    rows = ranged(rows.withColumn("gross", F.expm1(ret)).where("gross is not null").select(*dict.fromkeys([*keys, *order]), "position", "gross"), keys, order)
+    net = [F.col("position") * F.col("gross") - float(c) / 1e4 for c in costs]
+    rows = written(scan(rows, keys, order, {f"_equity{i}": ("product", 1 + n) for i, n in enumerate(net)}), "equity")
+    rows = scan(rows, keys, order, {f"_peak{i}": ("max", F.col(f"_equity{i}")) for i in range(len(net))})
+    each = [
+        F.struct(F.lit(float(c)).alias("cost_bps"), n.alias("net"), (F.col(f"_equity{i}") / F.greatest(F.col(f"_peak{i}"), F.lit(1.0)) - 1).alias("drawdown"))
+        for i, (c, n) in enumerate(zip(costs, net, strict=True))
+    ]
+    return strategy_summary(rows.select(*keys, "gross", F.explode(F.array(*each)).alias("c")).select(*keys, "gross", "c.*"), [*keys, "cost_bps"])
 
 
 def nested_thresholds(

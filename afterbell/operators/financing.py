@@ -34,6 +34,8 @@ FACTS = (
     ("convertible_principal", 0.84, (r"(?i)" + _AMOUNT + r"\s+(?:aggregate\s+)?principal amount", r"(?is)principal amount.*?" + _AMOUNT), ("convertible",), (FEES, DENOMINATION), "usd"),
     ("conversion_price", 0.78, (r"(?is)conversion price[^$]*?" + _PRICE,), (), (), "usd_per_share"),
 )
+#: What a segment with a match of the patterns holds in lower case; looked for first, as it costs least.
+HELD = {"gross_proceeds": "gross proceeds", "net_proceeds": "net proceeds", "capacity": "$", "shares_offered": "shares", "price_per_share": "pric", "convertible_principal": "principal amount", "conversion_price": "conversion price"}
 COMPLETED = ("completed_equity_offering", "registered_direct_offering", "private_placement", "convertible_note_offering", "atm_program_usage_reported")
 DILUTIVE = ("completed_equity_offering", "registered_direct_offering", "private_placement", "atm_program_usage_reported")
 CAPACITY = {"atm_program_created": "atm_capacity", "shelf_registration": "shelf_capacity"}
@@ -52,7 +54,7 @@ def _value(text: Column, patterns, units: bool) -> Column:
 def background(low: Column, event_time: Column) -> Column:
     """Whether a segment tells of a deal of an earlier year than the text's own: its earliest date, and a word of a deal that is done."""
     years = F.transform(F.regexp_extract_all(low, F.lit(DATED), F.lit(1)), lambda y: y.cast("int"))
-    return F.coalesce((F.array_min(years) < F.year(event_time)) & low.rlike(DONE), F.lit(False))
+    return F.coalesce(low.rlike(DONE) & (F.array_min(years) < F.year(event_time)), F.lit(False))
 
 
 def financing_facts(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def financing_facts(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_background", background(low, F.col("event_time")))
     found = []
     for name, confidence, patterns, need, reject, unit in FACTS:
-        ok = ~F.col("_background")
+        ok = low.contains(HELD[name]) & ~F.col("_background")
         for n in need:
             ok &= low.rlike(n)
         for r in reject:
@@ -88,7 +90,8 @@ def financing_facts(docs: DataFrame) -> DataFrame:
         label = F.when(F.lit(name == "capacity"), F.coalesce(*[F.when(F.col("_event") == e, n) for e, n in CAPACITY.items()], F.lit("offering_amount"))).otherwise(F.lit(name))
         words = F.when(low.rlike(MORE_SURE), 30).otherwise(0) - (F.when(low.rlike(LESS_SURE), 35).otherwise(0) if name == "shares_offered" else F.lit(0))
         found.append(F.when(ok & value.isNotNull(), F.struct(label.alias("fact_name"), value.alias("value"), F.lit(unit).alias("unit"), sure.alias("confidence"), words.alias("words"))))
-    each = rows.withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("doc_id", "start_char", "end_char", "segment", "f.*")
+    # outer, as an inner one would work all patterns out again to see that there is something to explode
+    each = rows.withColumn("f", F.explode_outer(F.array_compact(F.array(*found)))).where("f is not null").select("doc_id", "start_char", "end_char", "segment", "f.*")
     best = each.groupBy("doc_id", "fact_name").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("words")).alias("w"), "start_char", "end_char", "segment", "value", "unit", "confidence")).alias("b"))
     return best.select("doc_id", "fact_name", *[F.col(f"b.{c}").alias(c) for c in ("value", "unit", "confidence", "start_char", "end_char")], F.col("b.segment").alias("evidence_text"))
 

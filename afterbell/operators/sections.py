@@ -39,7 +39,8 @@ def sectioned(docs: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.col("_raw").alias("text"), F.lit(0).alias("at"), F.col("_line").alias("clean")))
     rows = rows.withColumn("_kept", F.filter(parts, lambda p: fits(p["clean"])))
     chosen = F.when(F.size("_kept") > 0, F.col("_kept")).when(fits(F.col("_line")), whole)
-    out = rows.select("doc_id", "_at", "_section", F.explode(chosen).alias("p")).select("doc_id", "_section", (F.col("_at") + F.col("p.at")).alias("_at"), F.col("p.text").alias("_text"), F.col("p.clean").alias("segment"))
+    # outer, as an inner one would cut each line again to see that there is something to explode
+    out = rows.select("doc_id", "_at", "_section", F.explode_outer(chosen).alias("p")).where("p is not null").select("doc_id", "_section", (F.col("_at") + F.col("p.at")).alias("_at"), F.col("p.text").alias("_text"), F.col("p.clean").alias("segment"))
     left = F.regexp_replace("_text", r"^\s+", "")
     start = F.col("_at") + F.length("_text") - F.length(left)
     out = out.withColumns({"start_char": start, "end_char": start + F.length(F.regexp_replace(left, r"\s+$", ""))})
@@ -201,7 +202,7 @@ def trial_facts(docs: DataFrame) -> DataFrame:
         fact("endpoint_met", endpoint, "boolean", F.lit(0.92)),
         fact("safety_issue", safety, "boolean", F.lit(0.82)),
     ]
-    exploded = rows.withColumn("f", F.explode(F.array_compact(F.array(*found)))).select("doc_id", "start_char", "end_char", "section", "segment", "f.*")
+    exploded = rows.withColumn("f", F.explode_outer(F.array_compact(F.array(*found)))).where("f is not null").select("doc_id", "start_char", "end_char", "section", "segment", "f.*")
     first = exploded.groupBy("doc_id", "fact_name").agg(F.min(F.struct("start_char", "end_char", "section", "segment", "value", "unit", "confidence")).alias("x"))
     number = F.expr("try_cast(x.value AS double)")
     return first.select(

@@ -32,7 +32,7 @@ def _quoted(s: str) -> str:
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base.table(spark, sf_dir, "documents")
+    d = base.spread(base.table(spark, sf_dir, "documents"))
     pick = lambda of, by: F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.col("doc_id") * by, F.lit(len(of))) + 1).cast("int"))
     return d.select("doc_id", F.concat_ws("\n", pick(HEADS, 1), pick(LEADS, 5), F.coalesce("text", F.lit("")), pick(TAILS, 7)).alias("text"))
 
@@ -222,7 +222,7 @@ DEALS = (
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = base.table(spark, sf_dir, "documents")
+    d = base.spread(base.table(spark, sf_dir, "documents"))
     lead = F.element_at(F.array(*[F.lit(x[0]) for x in DEALS]), (F.col("doc_id") % len(DEALS) + 1).cast("int"))
     return d.select("doc_id", F.concat_ws("\n", lead, F.coalesce("text", F.lit(""))).alias("text"), F.lit("2024-01-10 16:05:00").cast("timestamp").alias("event_time"))
 

@@ -21,9 +21,27 @@ def better(priority: Column | None = None) -> Column:
 def best_facts(facts: DataFrame, keys: Sequence[str] = ("event_id", "fact_name"), least: float = 0.0, priority: Column | None = None) -> DataFrame:
     """One fact per key, the best by :func:`better`; map-side maxima, no window over a key's rows."""
     kept = facts.where(F.col("confidence") >= least)
-    columns = [c for c in facts.columns if c not in keys]
-    best = kept.groupBy(*keys).agg(F.max_by(F.struct(*columns), better(priority)).alias("_b"), F.count("*").alias("candidates"))
-    return best.select(*keys, "_b.*", "candidates")
+    types = dict(facts.dtypes)
+    order = better(priority)
+    # what the order holds already is read back from it, so a row carries its value and evidence once
+    held = {
+        "confidence": F.col("_b.o.a").cast(types["confidence"]),
+        "value": F.when(F.col("_b.v"), F.col("_b.o.d")).cast(types["value"]),
+        "evidence_text": F.when(F.col("_b.t"), F.col("_b.o.e")),
+    }
+    if types["value"] not in ("string", "tinyint", "smallint", "int", "bigint", "boolean"):
+        del held["value"]  # its text may not give it back
+    if types["confidence"] not in ("double", "float"):
+        del held["confidence"]
+    rest = [c for c in facts.columns if c not in keys and c not in held]
+    one = F.struct(order.alias("o"), F.col("value").isNotNull().alias("v"), F.col("evidence_text").isNotNull().alias("t"), *[F.col(c).alias(f"r_{c}") for c in rest])
+    best = kept.groupBy(*keys).agg((F.max(one) if _ordered(facts, rest) else F.max_by(one, order)).alias("_b"), F.count("*").alias("candidates"))
+    return best.select(*keys, *[(held[c] if c in held else F.col(f"_b.r_{c}")).alias(c) for c in facts.columns if c not in keys], "candidates")
+
+
+def _ordered(facts: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether the columns can be compared (maps can't)."""
+    return not any("map<" in t or "variant" in t for c, t in facts.dtypes if c in columns)
 
 
 def pivot_facts(facts: DataFrame, names: Sequence[str], least: float = 0.7) -> DataFrame:

@@ -16,6 +16,7 @@ from afterbell.plans.registry import register
 from afterbell.plans.study import rounded, study_frame
 from afterbell.sources.documents import filing_items, filter_filings
 from afterbell.sources.events import template
+from afterbell.sources.shared import written
 from afterbell.sources.sinks import packets
 
 _E = "WITH " + base.EVENTS
@@ -235,7 +236,7 @@ def ml1_feature_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ml8_control_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-8, ML-10: events against controls."""
-    s = study_frame(spark, sf_dir).where("status = 'ok'")
+    s = written(study_frame(spark, sf_dir).where("status = 'ok'").select("event_type", "car_3"), "controls")  # both sides read it
     return rounded(P.compare_controls(s.where("event_type = '1-urgent'"), s.where("event_type <> '1-urgent'").withColumn("control", F.col("event_type")), "car_3"))
 
 

@@ -10,6 +10,7 @@ from afterbell.plans import base, registry
 from afterbell.plans.backtest import PREDS, preds
 from afterbell.plans.registry import register
 from afterbell.plans.study import rounded, study_frame
+from afterbell.sources.shared import written
 
 ROWS = base.STUDY + """, r AS (SELECT event_id, ticker, event_type, CAST(reaction_start - DATE '1970-01-01' AS BIGINT) AS t, round(pre_20, 9) AS x, CASE WHEN car_1 > 0 THEN 1 ELSE 0 END AS y
   FROM study WHERE status = 'ok' AND car_1 IS NOT NULL AND pre_20 IS NOT NULL)"""
@@ -110,7 +111,7 @@ def ml8_signal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-8, ML-9: gates of a signal by event type, with controls of scaled returns, and the decision."""
     from afterbell.operators.gates import signal_gates
 
-    p = preds(spark, sf_dir)
+    p = written(preds(spark, sf_dir), "preds")  # the signal and its controls read them
     kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("control"), F.lit(t).alias("times")) for c, t in (("peer", 0.5), ("placebo", -0.25))]))
     controls = p.withColumn("k", kinds).select("event_type", "reaction_start", "event_id", "p", "y", (F.col("ret") * F.col("k.times")).alias("ret"), F.col("k.control").alias("control"))
     return rounded(signal_gates(p, controls, "p", "y", "ret", "event_id", ["event_type"], ["reaction_start", "event_id"], iterations=20))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +67,95 @@ def context_lookup(events: DataFrame, context: DataFrame, carry: Sequence[str])
     return out
 
 
-def revisions(events: DataFrame, estimates: DataFrame, window_days: int = 30, age_days: int = 370) -> DataFrame:
+def revisions(events: DataFrame, estimates: DataFrame, window_days: int | Sequence[int] = 30, age_days: int = 370) -> DataFrame:
     """Analyst revisions before each event: latest estimate per (metric, analyst) now and ``window_days`` before.
 
     estimates: ticker, estimate_time, analyst_id, metric, estimate_value; event_id is the key of
-    events. Each analyst's two values are as-of steps over the different event times, so rows grow
-    with times and analysts of a ticker, not with pairs of events and estimates.
+    events. Several windows give rows for each, with window_days. Estimates and the different event times of a ticker
+    are shuffled once; a task looks up each analyst's values by their place in the sorted times, so what grows with
+    times and analysts is never shuffled.
     """
+    windows = [window_days] if isinstance(window_days, int) else list(window_days)
+    second = F.unix_timestamp("estimate_time").alias("_at")
+    facts = estimates.where(F.col("estimate_time").isNotNull() & F.col("ticker").isNotNull()).groupBy("ticker", "metric", "analyst_id", second).agg(F.max_by("estimate_value", F.struct("estimate_time", "estimate_value")).alias("_v"))
+    facts = facts.select("ticker", F.struct("metric", "analyst_id").alias("_series"), "metric", "_at", F.col("_v").cast("double").alias("_v"))
+    times = events.where("event_time is not null and ticker is not null").select("ticker", F.unix_timestamp("event_time").alias("_at")).distinct()
+    types = dict(facts.dtypes)
+    schema = f"ticker {types['ticker']}, _second long, metric {types['metric']}, window_days int, analysts long, consensus double, matched long, revised long, mean_revision double, median_revision double, pct_up double, pct_down double, dispersion double"
+    found = times.groupBy("ticker").cogroup(facts.groupBy("ticker")).applyInArrow(_revised(windows, age_days * 86400), schema)
+    if isinstance(window_days, int):
+        found = found.drop("window_days")
+    asked = events.select("event_id", "ticker", F.unix_timestamp("event_time").alias("_second"))
+    return asked.join(found, ["ticker", "_second"]).drop("ticker", "_second")
+
+
+#: Times of a ticker that are looked up at once.
+TIMES = 4_096
+
+
+def _revised(windows: list[int], age: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A ticker's figures by event time, metric and window; estimates may be unknown, and analysts without one now are left out."""
+    names = ["ticker", "_second", "metric", "window_days", "analysts", "consensus", "matched", "revised", "mean_revision", "median_revision", "pct_up", "pct_down", "dispersion"]
+
+    def latest(at: np.ndarray, value: np.ndarray, when: np.ndarray, known_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last value up to each time, NaN without one; and whether it is young enough at ``known_by``."""
+        place = np.searchsorted(at, when, side="right") - 1
+        young = (place >= 0) & (known_by - at[place] <= age)
+        return np.where(young, value[place], np.nan), young
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts: list[tuple] = []
+        if not left.num_rows or not right.num_rows:
+            left = left.slice(0, 0)
+            right = right.slice(0, 0)
+        when = np.sort(left.column("_at").to_numpy())
+        order = pc.sort_indices(right, [("_at", "ascending")])
+        right = right.take(order) if right.num_rows else right
+        at, value = right.column("_at").to_numpy(), right.column("_v").to_numpy()
+        code, series = {}, np.empty(right.num_rows, np.int64)
+        for i, r in enumerate(right.column("_series").to_pylist()):
+            series[i] = code.setdefault((r["metric"], r["analyst_id"]), len(code))
+        metrics: dict[object, list[int]] = {}
+        for (metric, _), c in code.items():
+            metrics.setdefault(metric, []).append(c)
+        rows = np.argsort(series, kind="stable")
+        ends = np.searchsorted(series[rows], np.arange(len(code) + 1))
+        own = [rows[ends[c] : ends[c + 1]] for c in range(len(code))]
+        for low in range(0, len(when), TIMES):
+            t = when[low : low + TIMES]
+            for metric, codes in metrics.items():
+                pairs = [latest(at[own[c]], value[own[c]], t, t) for c in codes]
+                now, here = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+                now[~here] = np.nan
+                n = here.sum(axis=0)
+                for w in windows:
+                    # an old value counts for what was known of it at the event
+                    then = np.array([latest(at[own[c]], value[own[c]], t - w * 86400, t)[0] for c in codes])
+                    then[~here] = np.nan
+                    delta = now - then
+                    both = ~np.isnan(then)
+                    with np.errstate(all="ignore"), warnings.catch_warnings():
+                        warnings.simplefilter("ignore", RuntimeWarning)  # of columns without a value
+                        m, k = both.sum(axis=0), (~np.isnan(now)).sum(axis=0)
+                        spread = np.where(n > 1, np.nanstd(now, axis=0, ddof=1), 0.0)
+                        moved = (~np.isnan(delta)).sum(axis=0)
+                        up, down = (delta > 0).sum(axis=0) / moved, (delta < 0).sum(axis=0) / moved
+                        figures = (n, np.where(k > 0, np.nanmean(now, axis=0), np.nan), m, (np.abs(delta) > 1e-12).sum(axis=0), np.nanmean(delta, axis=0), np.nanmedian(delta, axis=0), up, down, spread)
+                    told = n > 0
+                    parts.append((t[told], [metric] * int(told.sum()), np.full(int(told.sum()), w, np.int32), *[f[told] for f in figures]))
+        ticker = left.column("ticker") if left.num_rows else right.column("ticker")
+        count = sum(len(p[0]) for p in parts)
+        key = pa.array([ticker[0].as_py()] * count if count else [], ticker.type)
+        joined = lambda i, kind, dtype: pa.array(np.concatenate([p[i] for p in parts]).astype(dtype) if parts else np.zeros(0, dtype), kind, from_pandas=True)  # noqa: E731  NaN is unknown
+        kinds = [(pa.int64(), np.int64), None, (pa.int32(), np.int32), (pa.int64(), np.int64), (pa.float64(), float), (pa.int64(), np.int64), (pa.int64(), np.int64), *[(pa.float64(), float)] * 5]
+        columns = [pa.array([m for p in parts for m in p[1]], right.column("metric").type) if k is None else joined(i, *k) for i, k in enumerate(kinds)]
+        return pa.Table.from_arrays([key, *columns], names=names)
+
+    return run
+
+
+def _named_revisions(events: DataFrame, estimates: DataFrame, window_days: int, age_days: int) -> DataFrame:
+    """:func:`revisions` of pools of few estimates, by as-of steps: one event and those that name it would make a group of its own for every event."""
     second = F.unix_timestamp("estimate_time").alias("_at")
     series = ["ticker", "metric", "analyst_id"]
     facts = estimates.groupBy(*series, second).agg(F.max_by("estimate_value", F.struct("estimate_time", "estimate_value")).alias("_v"))
@@ -106,10 +192,10 @@ def revision_features(events: DataFrame, estimates: DataFrame, metrics: Sequence
     pools = F.array_compact(F.array(F.concat(F.lit("ticker "), F.col("ticker").cast("string")), F.concat(F.lit("event "), F.col("event_id").cast("string"))))
     dealt = estimates.withColumn("ticker", F.explode(pools)).withColumn("analyst_id", F.coalesce(F.col("analyst_id").cast("string"), F.lit("unknown")))
     wanted = dealt.where(F.col("metric").isin(*metrics) & F.col("estimate_time").isNotNull() & F.col("estimate_value").isNotNull())
-    parts = [revisions(asked, wanted, w, age_days).withColumn("window_days", F.lit(w)) for w in windows]
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    by_name = F.col("ticker").startswith("event ")
+    found = revisions(asked.where(~by_name), wanted.where(~by_name), list(windows), age_days)
+    for w in windows:
+        found = found.unionByName(_named_revisions(asked.where(by_name), wanted.where(by_name), w, age_days).withColumn("window_days", F.lit(w)))
     any_of = asof_backward(
         asked, dealt.where(F.col("estimate_time").isNotNull()).select("ticker", F.col("estimate_time").alias("_any")).distinct(), ["ticker"], F.col("event_time"), F.col("_any"), ["_any"]
     ).select("event_id", (F.unix_timestamp("event_time") - F.unix_timestamp("_any") <= age_days * 86400).alias("_any"))

@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -269,7 +270,7 @@ class Preparation:
         self.middle = np.array([np.median(v[np.isfinite(v)]) if np.isfinite(v).any() else 0.0 for v in x.T])
         filled = self._filled(x)
         self.mean, spread = filled.mean(axis=0), filled.std(axis=0)
-        self.spread = np.where(spread > 0, spread, 1)
+        self.spread = np.where(filled.max(axis=0) > filled.min(axis=0), spread, 1)  # of equal values it may be above 0 by rounding
         self.levels = [sorted(set(v)) for v in c.T]
 
     def _filled(self, x: np.ndarray) -> np.ndarray:
@@ -280,42 +281,143 @@ class Preparation:
         return np.hstack([z, *[(v[:, None] == np.array(levels, object)[None, :]).astype(float) for v, levels in zip(c.T, self.levels, strict=True)]])
 
 
+#: Training rows times fits of one task, and the rows and fits that are worked on at a time.
+PART_WORK, TILE_ROWS, TILE_FITS = 20_000_000, 2_048, 64
+
+
+def walk_logistic(x: np.ndarray, c: np.ndarray, y: np.ndarray, sizes: np.ndarray, ends: np.ndarray, strength: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """What :class:`Preparation` and :func:`logistic`, learned on the first ``sizes[k]`` rows, give for rows ``ends[k, 0]`` to ``ends[k, 1]``, one after the other; many fits at once.
+
+    All fits read the same columns: numbers in the units of all rows (0 where missing), marks of missing ones, marks of levels, and 1. What a fit's
+    own median, mean and spread make of them is a matrix, so the sums of a Newton step are products of matrices over tiles of rows and fits, and
+    the step is that of the single fit. A level without training rows has coefficient 0. Targets are 0 or 1. The few fits that don't settle,
+    or whose spread is too small for sums of squares, are made one at a time.
+    """
+    n, d = x.shape
+    known = np.isfinite(x)
+    count = np.maximum(known.sum(axis=0), 1)
+    filled = np.where(known, x, 0.0)
+    middle = filled.sum(axis=0) / count
+    unit = np.sqrt((np.where(known, x - middle, 0.0) ** 2).sum(axis=0) / count)
+    unit = np.where(unit > 0, unit, 1.0)
+    v = np.where(known, (filled - middle) / unit, 0.0)
+    gaps = np.flatnonzero(~known.all(axis=0))
+    marks = [(col[:, None] == np.array(sorted(set(col)), object)[None, :]).astype(float) for col in c.T]
+    z = np.hstack([v, ~known[:, gaps], *marks, np.ones((n, 1))]).astype(float)
+    width, levels = z.shape[1], z.shape[1] - d - len(gaps) - 1
+    one, two = np.triu_indices(width)
+    upto = lambda a: np.vstack([np.zeros((1, a.shape[1])), np.cumsum(a, axis=0)])[sizes]
+    # of each fit: the median where something is missing, mean and spread
+    fill = np.zeros((len(sizes), d))
+    for j in gaps:
+        own, held = v[known[:, j], j], np.concatenate(([0], np.cumsum(known[:, j])))[sizes]
+        fill[:, j] = [np.median(own[:m]) if m else -middle[j] / unit[j] for m in held]
+    missing = upto(~known)
+    mean = (upto(v) + missing * fill) / sizes[:, None]
+    variance = (upto(v * v) + missing * fill**2) / sizes[:, None] - mean**2
+    varies = np.maximum.accumulate(np.where(known, v, -np.inf))[sizes - 1] > np.minimum.accumulate(np.where(known, v, np.inf))[sizes - 1]
+    single = (varies & (variance < 1e-9)).any(axis=1)
+    spread = np.where(varies, np.sqrt(np.maximum(variance, 1e-9)), 1.0)
+    ones = np.concatenate(([0.0], np.cumsum(y)))[sizes]
+    heavy = np.stack((sizes / (2 * np.maximum(1, sizes - ones)), sizes / (2 * np.maximum(1, ones))))  # weight of a row of each class
+    kind = (y == 1).astype(int)
+    out = []
+    for at in range(0, len(sizes), TILE_FITS):
+        here = slice(at, at + TILE_FITS)
+        m, k = sizes[here], len(sizes[here])
+        own = np.zeros((k, d + levels + 1, width))
+        own[:, range(d), range(d)] = 1 / spread[here]
+        own[:, gaps, range(d, d + len(gaps))] = (fill[here] / spread[here])[:, gaps]
+        own[:, :d, -1] = -mean[here] / spread[here]
+        own[:, range(d, d + levels + 1), range(d + len(gaps), width)] = 1
+        w = np.zeros((k, d + levels + 1))
+        for _ in range(rounds):
+            to_rows = np.einsum("kpq,kp->qk", own, w)
+            gradient, hessian = np.zeros((width, k)), np.zeros((len(one), k))
+            for a in range(0, int(m.max()), TILE_ROWS):
+                tile = z[a : min(a + TILE_ROWS, int(m.max()))]
+                of = kind[a : a + len(tile)]
+                p = 1 / (1 + np.exp(-np.clip(tile @ to_rows, -30, 30)))
+                weight = heavy[:, here][of]
+                if a + len(tile) > m.min():
+                    weight = weight * (np.arange(a, a + len(tile))[:, None] < m)
+                gradient += tile.T @ (weight * (p - of[:, None]))
+                hessian += (tile[:, one] * tile[:, two]).T @ (weight * p * (1 - p))
+            full = np.empty((k, width, width))
+            full[:, one, two] = full[:, two, one] = hessian.T
+            slope = np.einsum("kpq,qk->kp", own, gradient) + strength * w
+            step = np.linalg.solve(own @ full @ own.transpose(0, 2, 1) + strength * np.eye(w.shape[1]), slope[:, :, None])[:, :, 0]
+            w -= step
+            if (settled := np.abs(step).max(axis=1) < 1e-9).all():
+                break
+        to_rows = np.einsum("kpq,kp->kq", own, w)
+        for i, (first, last) in enumerate(ends[here]):
+            if settled[i] and not single[at + i]:
+                out.append(1 / (1 + np.exp(-(z[first:last] @ to_rows[i]))))
+            else:
+                prepare = Preparation(x[: m[i]], c[: m[i]])
+                out.append(logistic(prepare(x[: m[i]], c[: m[i]]), y[: m[i]])(prepare(x[first:last], c[first:last])))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def purged_walk_forward(
     df: DataFrame, key: str, at: str, row_id: str, features: list[str], y: str, least_train: int = 40, purge_days: int = 5, categorical: Sequence[str] = (), fit: Fit = logistic
 ) -> DataFrame:
     """Expanding model per key: each row is predicted from the rows more than ``purge_days`` before it.
 
-    A key's series is one group (a fit needs its rows together); keys are independent. Rows of one
-    day share a fit. :class:`Preparation` is learned on the training rows; ``fit`` makes a model of
-    them. Too few training rows, or one class, give the baseline: the mean of the targets before.
-    """
+    Rows of one day share a fit. :class:`Preparation` is learned on the training rows; ``fit`` makes a model of
+    them, the standard one of many days at once (:func:`walk_logistic`). Too few training rows, or one class, give the baseline: the mean of the targets before.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, row_id], kind="stable")
-        c = pdf[list(categorical)].fillna("unknown").astype(str).to_numpy(object)
-        days = pd.to_datetime(pdf[at]).to_numpy("datetime64[D]")
-        x, target = pdf[features].to_numpy(float), pdf[y].to_numpy(float)
-        rows = []
-        for day in np.unique(days):
-            test = days == day
-            first = int(np.argmax(test))
-            train = days < day - np.timedelta64(purge_days, "D")
-            n = int(train.sum())
-            base = float(target[:first].mean()) if first else np.nan
-            p, status = np.full(int(test.sum()), base), "skipped_not_enough_train"
-            if n >= least_train:
-                status = "one_class"
-                if len(np.unique(target[train])) == 2:
-                    prepare = Preparation(x[train], c[train])
-                    p, status = fit(prepare(x[train], c[train]), target[train])(prepare(x[test], c[test])), "ok"
-            for i, q in zip(np.flatnonzero(test), p, strict=True):
-                rows.append((pdf[key].iloc[i], pdf[row_id].iloc[i], n, None if np.isnan(q) else float(q), float(target[i]), status))
-        return pd.DataFrame(rows, columns=[key, row_id, "train_n", "probability", "target", "status"])
-
-    types = dict(df.dtypes)
-    return df.select(key, at, row_id, *features, *categorical, F.col(y).cast("double").alias(y)).groupBy(key).applyInPandas(
-        run, f"{key} {types[key]}, {row_id} {types[row_id]}, train_n long, probability double, target double, status string"
-    )
+    A key's days are dealt into parts of at most about :data:`PART_WORK` training rows times fits, each with all rows up to its last day, so keys
+    are independent and a large one is worked on by many tasks. A task holds the rows of one key (a fit needs them together).
+    """
+    types, together = dict(df.dtypes), fit is logistic
+    schema = f"{key} {types[key]}, {row_id} {types[row_id]}, train_n long, probability double, target double, status string"
+
+    def result(own: pa.Table, n: Sequence[int], p: Sequence[float], status: Sequence[str]) -> pa.Table:
+        columns = [own.column(key), own.column(row_id), pa.array(n, pa.int64()), pa.array(p, pa.float64(), from_pandas=True), own.column(y), pa.array(status, pa.string())]
+        return pa.table(columns, names=[key, row_id, "train_n", "probability", "target", "status"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_day", "ascending"), (row_id, "ascending")])
+        column = lambda name: table.column(name).cast(pa.float64()).to_numpy()
+        days, target = table.column("_day").to_numpy(), column(y)
+        x = np.stack([column(f) for f in features], axis=1) if features else np.zeros((len(days), 0))
+        c = np.empty((len(days), len(categorical)), object)
+        for j, name in enumerate(categorical):
+            c[:, j] = ["unknown" if v is None or v != v else str(v) for v in table.column(name).to_pylist()]
+        asked = np.flatnonzero(table.column("_part").to_numpy() == table.column("_of").to_numpy())  # the days at the end
+        if not len(asked):  # a day may reach past a whole part
+            return result(table.slice(0, 0), [], [], [])
+        every, first = np.unique(days[asked], return_index=True)
+        first = first + asked[0]
+        ends = np.stack((first, np.append(first[1:], len(days))), axis=1)
+        sizes = np.searchsorted(days, every - purge_days)
+        binary = np.isin(target, (0.0, 1.0)).all()
+        before = np.concatenate(([0.0], np.cumsum(target)))
+        if binary:
+            mixed = (before[sizes] > 0) & (before[sizes] < sizes)
+        else:
+            mixed = np.array([len(np.unique(target[:m])) == 2 for m in sizes])
+        status = np.where(sizes < least_train, "skipped_not_enough_train", np.where(mixed, "ok", "one_class"))
+        length = ends[:, 1] - ends[:, 0]
+        p = np.repeat(np.divide(before[first], first, out=np.full(len(first), np.nan), where=first > 0), length)
+        fitted = (status == "ok") & (sizes > 0)
+        if together and binary:
+            p[np.repeat(fitted, length)] = walk_logistic(x, c, target, sizes[fitted], ends[fitted])
+        else:
+            for m, (a, b) in zip(sizes[fitted], ends[fitted], strict=True):
+                prepare = Preparation(x[:m], c[:m])
+                p[a - asked[0] : b - asked[0]] = fit(prepare(x[:m], c[:m]), target[:m])(prepare(x[a:b], c[a:b]))
+        return result(table.slice(int(asked[0])), np.repeat(sizes, length), p, np.repeat(status, length))
+
+    rows = df.where(F.col(at).isNotNull()).select(key, F.unix_date(F.col(at).cast("date")).alias("_day"), row_id, *features, *categorical, F.col(y).cast("double").alias(y))
+    days = Window.partitionBy(key).orderBy("_day")
+    # days so far times rows so far: equal within a day, and at least the work of the days so far
+    rows = rows.withColumn("_part", F.floor(F.dense_rank().over(days).cast("long") * F.rank().over(days) / PART_WORK))
+    rows = rows.withColumn("_last", F.max("_part").over(Window.partitionBy(key))).withColumn("_of", F.explode(F.sequence("_part", "_last")))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: parts stay spread over tasks
+    return rows.repartition(n, key, "_of").groupBy(key, "_of").applyInArrow(run, schema)
 
 
 def shifted_placebos(events: DataFrame, bars: DataFrame, shifts: Sequence[int] = (30, 60, 90, -30, -60, -90), margin: int = 10) -> DataFrame:

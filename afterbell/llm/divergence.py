@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 
 import ahocorasick
@@ -22,6 +23,8 @@ ROUND_BYTES, HELD = 12_000_000, 300_000
 #: Sources of a block, and postings that a task compares at a time on average.
 BLOCK_SOURCES, SLICE_POSTINGS = 512, 200_000
 UNIT = 1_000_000_000
+#: Counts below it, times :data:`UNIT`, fit in a long.
+FITS = 9_000_000_000
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -65,7 +68,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
 
 
 def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Second pass: lang, source, term, n, the occurrences of kept terms (lang, term) in each group.
+    """Second pass: lang, source, term, n, the occurrences of kept terms (lang, term) in each group, and lang_n, those in the language.
 
     A task builds an automaton of the kept terms that its own texts hold, delimiter-padded, for every twelve megabytes of text. Which
     they are a bitmap of kept terms tells (16 MB at most, so the vocabulary may be of any size); the few others it lets
@@ -76,7 +79,7 @@ def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
     def counted(lang: str, by_source: dict[str, list[bytes]]) -> pa.RecordBatch | None:
         texts = {source: b" ".join((b"", *parts, b"")) for source, parts in by_source.items()}
         by_source.clear()
-        terms = list(set().union(*(t.split() for t in texts.values())))
+        terms = list(dict.fromkeys(chain.from_iterable(t.split() for t in texts.values())))  # frequent ones first, so that the automaton finds them first
         prefix = lang.encode() + b" "
         cells = np.array([xxhash.xxh64_intdigest(prefix + t, 42) for t in terms], np.uint64).view(np.int64) % bits
         held = (shared.value[cells >> 3] >> (cells & 7).astype(np.uint8) & 1) == 1
@@ -120,14 +123,16 @@ def recounted(rows: DataFrame, kept: DataFrame) -> DataFrame:
         yield from handed_on()
 
     found = rows.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>").repartition("lang", "term")
-    known = found.join(kept.select("lang", "term"), ["lang", "term"], "leftsemi")
-    each = known.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
-    return each.groupBy("lang", F.col("e.sources").alias("source"), "term").agg(F.sum("e.counts").alias("n"))
+    each = found.select("lang", "term", F.explode(F.arrays_zip("sources", "counts")).alias("e"))
+    counts = each.groupBy("lang", F.col("e.sources").alias("source"), "term").agg(F.sum("e.counts").alias("n"))
+    counts = counts.withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term")))
+    return counts.join(kept.select("lang", "term"), ["lang", "term"], "leftsemi")  # the window has sorted them
 
 
 def share(count: str, total: str, terms: str) -> F.Column:
-    """1 + floor(10^9 (count + 1) / (total + terms)), exactly."""
-    return F.expr(f"cast(1 + ((cast({UNIT} as decimal(10,0)) * (cast({count} as decimal(20,0)) + 1)) div (cast({total} as decimal(20,0)) + {terms})) as long)")
+    """1 + floor(10^9 (count + 1) / (total + terms)), exactly: in longs where the product fits in one, else in decimals."""
+    wide = f"cast(1 + ((cast({UNIT} as decimal(10,0)) * (cast({count} as decimal(20,0)) + 1)) div (cast({total} as decimal(20,0)) + {terms})) as long)"
+    return F.expr(f"case when {count} < {FITS} then 1 + ({UNIT}L * ({count} + 1L)) div ({total} + {terms}) else {wide} end")
 
 
 def excess(p: str, q: str) -> F.Column:
@@ -184,18 +189,16 @@ def _pair_sums(key: tuple, postings: pa.Table, sources: pa.Table) -> pa.Table:
     return pa.table({"lang": pa.array([lang] * len(i), pa.string()), "no": row_no[i], "other": column_no[j], "more": out[i, j]})
 
 
-def _pairs(groups: DataFrame, postings: DataFrame) -> DataFrame:
-    """lang, source, item, value of every ordered pair of sources of a language; groups: lang, source, no, block, blocks, p0, terms."""
-    per_lang = postings.groupBy("lang").agg(F.expr(f"cast(1 + count(*) div {SLICE_POSTINGS} as int)").alias("slices"))
+def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
+    """lang, source, item, value of every ordered pair of sources of a language; groups: lang, source, no, block, blocks, slices, p0, total, terms."""
     # a source's rows meet those of every block, in both orders; a pair of a block with itself needs them once
     meets = F.expr("array_distinct(flatten(transform(sequence(0, blocks - 1), b -> array(struct(block as low, b as high), struct(b as low, block as high)))))")
-    own = groups.where("terms > 0").join(per_lang, "lang")
-    sources = own.select("lang", "no", "block", "p0", F.explode(meets).alias("m"), "slices").select(
-        "lang", "m.low", "m.high", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.col("no").alias("source_no"), F.col("block").alias("source_block"), "p0"
+    met = groups.where("terms > 0").withColumn("m", F.explode(meets))
+    sources = met.select("lang", "m.low", "m.high", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.col("no").alias("source_no"), F.col("block").alias("source_block"), "p0")
+    # the few rows of a source are multiplied, not its many postings
+    dealt = counts.join(met, ["lang", "source"]).select(
+        "lang", "m.low", "m.high", F.expr("cast(pmod(xxhash64(term), slices) as int)").alias("slice"), "term", "no", "block", share("n", "total", "terms").alias("p")
     )
-    dealt = postings.join(per_lang, "lang").select(
-        "lang", F.explode(meets).alias("m"), F.expr("cast(pmod(xxhash64(term), slices) as int)").alias("slice"), "term", "no", "block", "p"
-    ).select("lang", "m.low", "m.high", "slice", "term", "no", "block", "p")
     keys = ["lang", "low", "high", "slice"]
     sums = (
         dealt.groupBy(*keys)
@@ -232,10 +235,10 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for a, c in (("lang", lang_col), ("source", source_col), ("text", text_col))))
     kept = materialize(document_frequencies(rows).where(F.col("df") >= least_df), "divergence-terms")
-    counts = materialize(recounted(rows, kept).withColumn("lang_n", F.sum("n").over(Window.partitionBy("lang", "term"))), "divergence-postings")
-    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    counts = materialize(recounted(rows, kept), "divergence-postings")
+    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("postings"))
     terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    lang_sizes = sizes.groupBy("lang").agg(F.sum("total").alias("lang_total"))
+    lang_sizes = sizes.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.expr(f"cast(1 + sum(postings) div {SLICE_POSTINGS} as int)").alias("slices"))
     by_source = Window.partitionBy("lang").orderBy("source")
     groups = materialize(
         rows.select("lang", "source")
@@ -243,7 +246,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         .join(sizes, ["lang", "source"], "left")
         .join(terms, "lang", "left")
         .join(lang_sizes, "lang", "left")
-        .select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"))
+        .select("lang", "source", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), F.coalesce("slices", F.lit(1)).alias("slices"))
         .withColumn("no", (F.row_number().over(by_source) - 1).cast("long"))
         .withColumn("block", F.expr(f"cast(no div {BLOCK_SOURCES} as int)"))
         .withColumn("blocks", F.max("block").over(Window.partitionBy("lang")) + 1)
@@ -253,7 +256,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     postings = counts.join(groups, ["lang", "source"]).withColumns({"p": share("n", "total", "terms"), "q": share("lang_n", "lang_total", "terms")})
     item = F.col("item")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), item)
-    pairs = _pairs(groups, postings.select("lang", "term", "no", "block", "blocks", "p")).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    pairs = _pairs(groups, counts).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
     marked = (
         postings.where("p > q")
         .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), excess("p", "q").alias("value"))

@@ -74,3 +74,27 @@ def test_one_long_text_takes_linear_time(spark):
     out = source_divergence(spark.createDataFrame(rows, "lang string, source string, text string")).collect()
     assert sorted(map(tuple, out)) == plain(rows)
     assert time.time() - began < 90
+
+
+def test_shares_are_exact_where_longs_end(spark):
+    counts = [0, 1, 5, divergence.FITS - 1, divergence.FITS, divergence.FITS + 1, 9_223_372_036, 10**12]
+    rows = [(n, total, terms) for n in counts for total in (n, n + 7, 3 * n + 1) for terms in (1, 3, 10**7)]
+    df = spark.createDataFrame(rows, "n long, total long, terms long")
+    got = df.select("n", "total", "terms", divergence.share("n", "total", "terms").alias("p"), divergence.share("0", "total", "terms").alias("p0")).collect()
+    assert len(got) == len(rows)
+    for n, total, terms, p, p0 in got:
+        assert p == 1 + 10**9 * (n + 1) // (total + terms) and p0 == 1 + 10**9 // (total + terms)
+
+
+def test_occurrences_are_summed_before_they_are_sorted(spark):
+    rows = spark.createDataFrame([("en", "a", "one two one"), ("en", "b", "two three"), ("de", "a", "one")], "lang string, source string, text string")
+    kept = spark.createDataFrame([("en", "one"), ("en", "two"), ("de", "one")], "lang string, term string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = divergence.recounted(rows, kept)
+        assert sorted(map(tuple, counts.select("lang", "source", "term", "n", "lang_n").collect())) == [("de", "a", "one", 1, 1), ("en", "a", "one", 2, 2), ("en", "a", "two", 1, 2), ("en", "b", "two", 1, 2)]
+        # sums, and kept terms: what tasks hand on isn't sorted
+        assert counts._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == 1
+        assert counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -138,7 +138,8 @@ def permuted(place: Column, key: Column, n: Column) -> Column:
     as in a Feistel network, so each round can be undone. Few pairs are places beyond n; from those the walk goes on, which
     again can be undone. It ends within a few steps, or the row fails. Worked out for a batch of rows at once.
     """
-    return F.pandas_udf(_permuted, "long")(place.cast("long"), key.cast("long"), n.cast("long"))
+    once = F.pandas_udf(_permuted, "long").asNondeterministic()  # else a filter that a join infers works it out anew
+    return once(place.cast("long"), key.cast("long"), n.cast("long"))
 
 
 def _permuted(place: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
@@ -166,7 +167,8 @@ def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str
 
     Rows are numbered once (by id, in a scan). Iteration k gives a trading row the return of the row that :func:`permuted` names, so
     nothing is sorted for an iteration and rows that don't trade are never copied; returns wait in blocks of 1,024 by number, so
-    each trade of an iteration is looked up in one block and summed where it is.
+    each trade of an iteration is looked up in one block and summed where it is. Spark takes trades for as few as the file they come
+    from, however many iterations are drawn, and would broadcast them; so joins are told to shuffle them, and their means, and to hash the other side.
     """
     rows = preds.where(F.col(ret).isNotNull()).withColumn("_side", positions(F.col(p), F.lit(long), F.lit(1 - long) if shorts else None))
     rows = rows.select(*keys, row_id, "_side", F.expm1(ret).alias("_g"))
@@ -177,10 +179,10 @@ def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str
     values = ranked.groupBy(*keys, block.alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_g"))), lambda x: x["_g"]).alias("_gs"))
     trades = ranked.where("_side <> 0").join(actual.select(*keys, "n"), keys).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     drawn = trades.select(*keys, "_k", "_side", permuted(F.col("_r") - 1, F.col("_k"), F.col("n")).alias("_to"))
-    met = drawn.withColumn("_b", F.floor(F.col("_to") / 1024)).join(values, [*keys, "_b"])
+    met = drawn.withColumn("_b", F.floor(F.col("_to") / 1024)).join(values.hint("shuffle_hash"), [*keys, "_b"])
     given = F.get("_gs", (F.col("_to") % 1024).cast("int"))
     nulls = met.groupBy(*keys, "_k").agg(F.avg(F.col("_side") * given - cost_bps / 1e4).alias("_null"))
-    both = nulls.join(actual, keys)
+    both = nulls.join(actual.hint("shuffle_hash"), keys)
     return both.groupBy(*keys, "n", "actual").agg(
         F.avg("_null").alias("null_mean"),
         F.stddev_samp("_null").alias("null_std"),

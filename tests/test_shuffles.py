@@ -1,6 +1,22 @@
+import os
+
+import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
 from afterbell.operators import backtest as B
+from afterbell.plans import base, registry
+
+
+def broadcast(df):
+    """What the plan broadcasts: the nodes under each exchange, down to the first aggregate."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            last = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            first = next((j + 1 for j in range(i + 1, last) if "Aggregate(" in lines[j]), last)
+            yield "\n".join(lines[i:first])
 
 
 def plain(place, key, n):
@@ -24,3 +40,23 @@ def test_permutation_is_worked_out_for_batches(spark):
         df = spark.range(min(n, 400)).select("id", B.permuted(F.col("id"), F.lit(3), F.lit(n)).alias("to"))
         assert "ArrowEvalPython" in df._jdf.queryExecution().toString()
         assert all(r.to == plain(r.id, 3, n) for r in df.collect())
+
+
+def test_rows_of_iterations_are_not_broadcast(spark):
+    id_ = F.col("id")
+    df = spark.range(300).select("id", (id_ % 2).alias("k"), ((id_ * 7 % 100) / 100).alias("p"), ((id_ * 3 % 11 - 5) / 100).alias("ret"))
+    out = B.null_shuffle(df, "p", "ret", "id", ["k"], iterations=500)
+    assert not [x for x in broadcast(out) if "_k#" in x]
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.k: r.n for r in out.collect()} == {0: 150, 1: 150}
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_events_are_not_broadcast(spark):
+    assert not [*broadcast(base.events(spark, DATA))]
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", ["ml5_null_shuffle"])
+def test_queries_of_shuffled_returns_broadcast_no_trades(spark, name):
+    assert not [x for x in broadcast(registry.queries()[name](spark, DATA)) if "_k#" in x]

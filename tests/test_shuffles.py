@@ -57,6 +57,6 @@ def test_events_are_not_broadcast(spark):
 
 
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["ml5_null_shuffle"])
+@pytest.mark.parametrize("name", ["ml5_null_shuffle", "ml8_signal_gates"])
 def test_queries_of_shuffled_returns_broadcast_no_trades(spark, name):
     assert not [x for x in broadcast(registry.queries()[name](spark, DATA)) if "_k#" in x]

@@ -177,7 +177,9 @@ def null_shuffle(preds: DataFrame, p: str, ret: str, row_id: str, keys: list[str
     actual = ranked.groupBy(*keys).agg(F.count("*").alias("n"), net.alias("actual"))
     block = F.floor((F.col("_r") - 1) / 1024)
     values = ranked.groupBy(*keys, block.alias("_b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_g"))), lambda x: x["_g"]).alias("_gs"))
-    trades = ranked.where("_side <> 0").join(actual.select(*keys, "n"), keys).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
+    n = int(preds.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, and much is drawn from each: dealt to that many tasks
+    trades = ranked.where("_side <> 0").join(actual.select(*keys, "n"), keys).repartition(n, *keys, "_r")
+    trades = trades.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     drawn = trades.select(*keys, "_k", "_side", permuted(F.col("_r") - 1, F.col("_k"), F.col("n")).alias("_to"))
     met = drawn.withColumn("_b", F.floor(F.col("_to") / 1024)).join(values.hint("shuffle_hash"), [*keys, "_b"])
     given = F.get("_gs", (F.col("_to") % 1024).cast("int"))

@@ -51,6 +51,14 @@ def test_rows_of_iterations_are_not_broadcast(spark):
     assert {r.k: r.n for r in out.collect()} == {0: 150, 1: 150}
 
 
+def test_draws_are_dealt_to_many_tasks(spark):
+    df = spark.range(400).select("id", F.lit(0).alias("k"), F.lit(0.9).alias("p"), (F.col("id") / 1e4).alias("ret"))
+    plan = B.null_shuffle(df, "p", "ret", "id", ["k"], iterations=50)._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, x in enumerate(plan) if "Generate explode" in x)  # one key, and what stands right under its draws
+    below = next(x for x in plan[at + 1 :] if not x.lstrip(" :+-").startswith("Project"))
+    assert "Exchange hashpartitioning(k#" in below and "_r#" in below
+
+
 @pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
 def test_events_are_not_broadcast(spark):
     assert not [*broadcast(base.events(spark, DATA))]

wn12_strategy_summary, ml4_research_backtest: bars stay with their ticker in an as-of join, and only the columns that are read go into it

Symptom: the query shuffles several times the bytes that it reads; the largest shuffle is of all market rows, which the rolling windows have dealt by ticker just before.
Evidence: the profiler, over sf0.1 tables, wn12_strategy_summary: 116 MB shuffled, 69 of them (680,709 rows) after the union of events and market rows; 63 MB of memory in the largest task. The union hides that its sides are dealt by key, and one struct of all columns hides which are read.
Fix: both sides are dealt by key before the union, which costs nothing where they are dealt so already, and Spark keeps the partitioning through the union; a fact's columns are apart, so the optimizer drops what nobody reads before the sort.

@@ -12,16 +12,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SIDE, _AT, _ROW = "_side", "_at", "_payload"
+_SIDE, _AT, _FACT, _FOUND = "_side", "_at", "_fact_", "_found_"
 
 
 def _merged(probes: DataFrame, facts: DataFrame, key: Sequence[str], probe_at: Column, fact_at: Column, carry: Sequence[str]) -> DataFrame:
-    """Both sides under one schema: key, time, side (0 probe, 1 fact), the fact's payload or the probe's columns."""
-    payload = F.struct(*[F.col(c) for c in carry])
+    """Both sides under one schema: key, time, side (0 probe, 1 fact), the fact's columns or the probe's.
+
+    Each side is dealt by key before the union, which keeps that for the window after it. A side that is dealt by key already, as
+    facts out of a window are, stays where it is; dealt after the union, all of its rows would be shuffled again. A fact's columns are
+    apart, so that those that nobody reads are dropped in front of the sort.
+    """
     own = F.struct(*[F.col(c) for c in probes.columns])
-    p = probes.select(*key, probe_at.alias(_AT), F.lit(0).alias(_SIDE), F.lit(None).cast(facts.select(payload.alias("x")).schema[0].dataType).alias(_ROW), own.alias("_probe"))
-    f = facts.select(*key, fact_at.alias(_AT), F.lit(1).alias(_SIDE), payload.alias(_ROW), F.lit(None).cast(probes.select(own.alias("x")).schema[0].dataType).alias("_probe"))
-    return p.unionByName(f.where(F.col(_AT).isNotNull()))
+    p = probes.select(*key, probe_at.alias(_AT), F.lit(0).alias(_SIDE), *[F.lit(None).cast(facts.schema[c].dataType).alias(_FACT + c) for c in carry], own.alias("_probe"))
+    f = facts.select(*key, fact_at.alias(_AT), F.lit(1).alias(_SIDE), *[F.col(c).alias(_FACT + c) for c in carry], F.lit(None).cast(probes.select(own.alias("x")).schema[0].dataType).alias("_probe"))
+    f = f.where(F.col(_AT).isNotNull())
+    return p.repartition(*key).unionByName(f.repartition(*key)) if key else p.unionByName(f)
+
+
+def _last_fact(c: str) -> Column:
+    """A column of the last fact so far, which may be NULL in it: hence in a struct, which is NULL for probes only."""
+    return F.last(F.when(F.col(_SIDE) == 1, F.struct(F.col(_FACT + c).alias("v"))), ignorenulls=True)
 
 
 def asof_forward(
@@ -35,7 +45,7 @@ def asof_forward(
     merged = _merged(probes.withColumn("_strict", F.lit(strict) if isinstance(strict, bool) else strict), facts, key, probe_at, fact_at, carry)
     # from the last row back to the first: a running value, where a frame up to the end would be read anew for each row
     w = Window.partitionBy(*key).orderBy(F.desc(_AT), order.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _result(merged.withColumn("_found", F.when(F.col(_AT).isNotNull(), F.last(_ROW, ignorenulls=True).over(w))), probes, carry, key, known)
+    return _result(merged.withColumns({_FOUND + c: F.when(F.col(_AT).isNotNull(), _last_fact(c).over(w)) for c in carry}), probes, carry, key, known)
 
 
 def asof_backward(
@@ -45,7 +55,7 @@ def asof_backward(
     order = _tie(strict, probe_first=False)
     merged = _merged(probes.withColumn("_strict", F.lit(strict) if isinstance(strict, bool) else strict), facts, key, probe_at, fact_at, carry)
     w = Window.partitionBy(*key).orderBy(_AT, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _result(merged.withColumn("_found", F.last(_ROW, ignorenulls=True).over(w)), probes, carry)
+    return _result(merged.withColumns({_FOUND + c: _last_fact(c).over(w) for c in carry}), probes, carry)
 
 
 def _tie(strict: Column | bool, probe_first: bool) -> Column:
@@ -55,7 +65,7 @@ def _tie(strict: Column | bool, probe_first: bool) -> Column:
 
 
 def _result(merged: DataFrame, probes: DataFrame, carry: Sequence[str], key: Sequence[str] = (), known: str | None = None) -> DataFrame:
-    columns = [F.col("_probe")[c].alias(c) for c in probes.columns] + [F.col("_found")[c].alias(c) for c in carry]
+    columns = [F.col("_probe")[c].alias(c) for c in probes.columns] + [F.col(_FOUND + c)["v"].alias(c) for c in carry]
     if known:
         merged = merged.withColumn("_known", F.max(_SIDE).over(Window.partitionBy(*key)) == 1)
         columns.append(F.col("_known").alias(known))

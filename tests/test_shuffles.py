@@ -2,10 +2,13 @@ import os
 
 import pytest
 from oracle import DATA
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from afterbell.operators import backtest as B
+from afterbell.operators.asof import asof_backward, asof_forward
 from afterbell.plans import base, registry
+from afterbell.plans.study import study_frame
 
 
 def broadcast(df):
@@ -68,3 +71,30 @@ def test_events_are_not_broadcast(spark):
 @pytest.mark.parametrize("name", ["ml5_null_shuffle", "ml8_signal_gates"])
 def test_queries_of_shuffled_returns_broadcast_no_trades(spark, name):
     assert not [x for x in broadcast(registry.queries()[name](spark, DATA)) if "_k#" in x]
+
+
+def test_facts_out_of_a_window_are_not_shuffled_for_an_asof(spark):
+    data = [("hot" if i % 2 else f"k{i % 7}" if i % 5 else None, i * 3 % 101, None if i % 4 == 0 else i) for i in range(300)]
+    bars = spark.createDataFrame(sorted({x[:2]: x for x in data}.values(), key=str), "k string, d int, v int")
+    facts = bars.withColumn("w", F.row_number().over(Window.partitionBy("k").orderBy("d")))
+    asked = [(i // 2, "hot" if i % 3 else f"k{i % 9}" if i % 5 else None, None if i % 11 == 0 else i * 5 % 120, i % 4 == 0) for i in range(120)]  # ids come twice, some without key, time or facts
+    probes = spark.createDataFrame(asked, "id int, k string, t int, s boolean")
+    by_key = {}
+    for r in facts.collect():
+        by_key.setdefault(r.k, []).append(r)
+    for asof, first, ok in ((asof_forward, min, lambda d, t, s: d > t or d == t and not s), (asof_backward, max, lambda d, t, s: d < t or d == t and not s)):
+        out = asof(probes, facts, ["k"], F.col("t"), F.col("d"), ["d", "v", "w"], strict=F.col("s"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(k#") == 2 and "Exchange" not in plan[: plan.index("Union")]  # bars for their window, and probes
+        want = []
+        for id_, k, t, s in asked:
+            near = first((r for r in by_key.get(k, []) if t is not None and ok(r.d, t, s)), key=lambda r: r.d, default=None)
+            want.append((id_, k, t, s, *((near.d, near.v, near.w) if near else (None, None, None))))
+        assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+        assert "row_number" not in out.select("id", "v")._jdf.queryExecution().executedPlan().toString()  # what nobody reads is neither made nor sorted
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_market_rows_stay_with_their_ticker(spark):
+    plan = study_frame(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Union")]

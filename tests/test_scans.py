@@ -70,3 +70,21 @@ def test_null_shuffle_draws_each_return_alike(spark):
     every = preds.agg(F.avg(F.expm1("ret")).alias("m"), F.stddev_pop(F.expm1("ret")).alias("s")).first()
     assert abs(out.null_mean - (every.m - 0.001)) < 4 * every.s / (n / 2 * 200) ** 0.5
     assert abs(out.null_std / (every.s * (1 / (n / 2) * (n / 2) / (n - 1)) ** 0.5) - 1) < 0.25
+
+
+def test_rows_of_a_scan_are_dealt_once(spark):
+    df = rows(spark).withColumn("text", F.concat(F.lit("row "), F.col("i")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # with many keys summaries are no small table
+    try:
+        out = running(df, ["k", "c"], ["i"], {"n": ("count", F.lit(1))})
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # without its children, each exchange: those whose rows still have the text are of whole rows
+    plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    lines = plan.splitlines()
+    whole = [x for i, x in enumerate(lines) if "Exchange hashpartitioning(" in x and "HashAggregate" not in lines[i + 1] and "Window" not in "".join(lines[i + 1 : i + 3])]
+    assert "SortMergeJoin" in plan and len(whole) == 1 and "_in#" in whole[0]
+    plain = df.withColumn("m", F.row_number().over(Window.partitionBy("k", "c").orderBy("i")))
+    assert sorted((r.i, r.n) for r in out.collect()) == sorted((r.i, r.m) for r in plain.collect())
